@@ -1 +1,8 @@
 """Office and workspace data as Spark tables: scans, enrichment, keyed sync, edits and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions used inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
