@@ -223,7 +223,7 @@ def _book(spark, sf):
     )
     grid = F.struct(F.lit(3).alias("startRow"), line_cells.alias("rowData"))
     sheet = F.array(F.struct(F.array(grid).alias("data")))
-    d = table(spark, sf, "documents")
+    d = inputs.texts(spark, sf, "documents")
     return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("spreadsheetId"), sheet.alias("sheets"))).alias("json"))
 
 

@@ -62,7 +62,7 @@ def plain(c: Column, kind: T.DataType, as_set: bool = False) -> Column:
     raise TypeError(f"no JSON form for {kind.simpleString()}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _quote_any(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else json.dumps(s))
 

@@ -1,4 +1,116 @@
-"""placeholder"""
-def mail_content(c, mode):
-    from pyspark.sql import functions as F
-    return F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
+"""Mail parsing: RFC 822 bytes to headers, main body and content, as Arrow-batched functions over columns."""
+
+from __future__ import annotations
+
+import email
+import email.header
+import email.policy
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from officelake.functions.html import VALUE_OR_ERROR, clean_html, html_to_markdown
+
+_HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
+PARSED = T.StructType(
+    [
+        T.StructField("headers", T.ArrayType(_HEADER)),
+        T.StructField("body_type", T.StringType()),
+        T.StructField("body", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def _body(message) -> tuple[str | None, str]:
+    """(media type, text) of the main body: html before plain text."""
+    part = message.get_body(("html", "plain", "related"))
+    if part is None:
+        raise ValueError("No email body found.")
+    if not part.get_payload():
+        return None, ""
+    if part.is_attachment():
+        raise ValueError("The body is an attachment.")
+    return part.get_content_type(), part.get_content()
+
+
+def _read(raw: bytes):
+    message = email.message_from_bytes(bytes(raw), policy=email.policy.default)
+    headers = [{"name": k, "value": str(v)} for k, v in message.items()]
+    try:
+        return headers, *_body(message), None
+    except Exception as e:  # one bad mail must not fail the others
+        return headers, None, None, f"{type(e).__name__}: {e}"
+
+
+@F.pandas_udf(PARSED)
+def _parse(raws: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None, None) if r is None else _read(r) for r in raws]
+    return pd.DataFrame(rows, columns=["headers", "body_type", "body", "error"])
+
+
+def parse_mail(raw: Column) -> Column:
+    """struct<headers, body_type, body, error> of raw mail bytes."""
+    return _parse(raw)
+
+
+def mail_content(raw: Column, output: str = "raw") -> Column:
+    """struct<value, error>: the main body as it is (``raw``), cleaned (``clean``) or as markdown (``md``)."""
+    if output not in ("raw", "clean", "md"):
+        raise ValueError(f"unknown output {output!r}")
+
+    @F.pandas_udf(VALUE_OR_ERROR)
+    def run(raws: pd.Series) -> pd.DataFrame:
+        def one(r):
+            _, _, body, error = _read(r)
+            if error or not body or output == "raw":
+                return body, error
+            try:
+                cleaned = clean_html(body)
+                return (cleaned if output == "clean" else html_to_markdown(cleaned)), None
+            except Exception as e:  # one bad body must not fail the others
+                return None, f"{type(e).__name__}: {e}"
+
+        rows = [(None, None) if r is None else one(r) for r in raws]
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    return run(raw)
+
+
+def choose_body(parts: DataFrame, key: str = "id") -> DataFrame:
+    """Main body from exploded parts: html if there is one, else the last plain part.
+
+    A body that is an attachment is an error. An aggregate, so a mail of any size combines map-side.
+    """
+    kind = F.lower("mime_type")
+    preference = F.when(kind == "text/html", 2).when(kind == "text/plain", 1)
+    # Among html parts the first counts, among plain ones the last.
+    place = F.when(kind == "text/html", -F.col("part_no")).otherwise(F.col("part_no"))
+    usable = parts.where(preference.isNotNull())
+    best = usable.groupBy(key).agg(
+        F.max_by(F.struct("mime_type", "content", "is_attachment"), F.struct(preference, place)).alias("b")
+    )
+    bad = F.col("b.is_attachment")
+    return best.select(
+        key,
+        F.when(~bad, F.col("b.mime_type")).alias("body_type"),
+        F.when(~bad, F.col("b.content")).alias("body"),
+        F.when(bad, "the body is an attachment").alias("error"),
+    )
+
+
+def _decode_words(text: str) -> str:
+    pieces = email.header.decode_header(text)
+    return "".join(p.decode(c or "ascii", "ignore") if isinstance(p, bytes) else p for p, c in pieces)
+
+
+@F.pandas_udf(T.StringType())
+def _decode(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda s: None if s is None else _decode_words(s))
+
+
+def decode_header(c: Column) -> Column:
+    """Header text with encoded words decoded; '' becomes null. Only encoded headers reach Python."""
+    encoded = c.contains("=?")
+    text = F.when(encoded, _decode(F.when(encoded, c))).otherwise(c)
+    return F.nullif(text, F.lit(""))

@@ -10,6 +10,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from officelake.functions.html import VALUE_OR_ERROR
 from officelake.functions.jsons import decode_json, json_text, typed
 from officelake.functions.strings import truncate_prompt
 from officelake.operators.lookups import match_back
@@ -60,7 +61,7 @@ def generate_text(
     """
     factory = model.factory
 
-    @F.pandas_udf("value string, error string")
+    @F.pandas_udf(VALUE_OR_ERROR)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = factory()
         for prompts in batches:

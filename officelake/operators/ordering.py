@@ -74,6 +74,23 @@ def ordinal(
     return cold_rows.unionByName(_split_ordinal(hot_part, keys, order, name))
 
 
+def running_total(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Sum of ``value`` over the rows of the key up to and including each row."""
+    if not hot_keys(df, keys, hot_rows).take(1):
+        upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(name, F.sum(value).over(upto))
+    pieces = _sorted_pieces(df, [F.col(k) for k in keys] + order).withColumn("_v", value)
+    sums = pieces.groupBy(*keys, "_piece").agg(F.sum("_v").alias("_s"))
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    upto = W.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = pieces.withColumn("_in", F.sum("_v").over(upto))
+    joined = inside.join(sums, _null_safe(inside, sums, [*keys, "_piece"]), "inner")
+    return joined.select(*[inside[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias(name))
+
+
 def global_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
     """0-based position over the whole table, by a range sort and per-piece offsets."""
     pieces = _sorted_pieces(df, order)

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores when its files give too few tasks for parsing it.
+
+    Counting the tasks of a plain scan costs planning only; a table of many files is left as it is.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: one per conversation turn."""
     c = table(spark, sf_dir, "conversations")
@@ -176,7 +186,9 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # Shuffled by document before the lines are exploded, so that windows per document need no further shuffle.
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    d = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     size = utf16_len(F.col("line")) + 1
     upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.length("line") % 7 + 1).cast("int"))

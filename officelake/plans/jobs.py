@@ -23,3 +23,17 @@ def render_todos(items: DataFrame, template: str = TODO_TEMPLATE, url: Column |
     source_url = numbered_url(F.col("analysis_id"), F.col("action_number")) if url is None else url
     item = F.struct("priority", "title", source_url.alias("source_url"), "due_date", "notes", "links")
     return items.withColumn("markdown", todo_markdown(item, template))
+
+
+def sheet_extract(
+    books: DataFrame, text: str, keys: list[str], fields: list, row_number: str | None = None, accepted: int = 0
+) -> DataFrame:
+    """Spreadsheet JSON to one JSON text per used row, over all sheets and grids."""
+    from officelake.operators import grid
+    from officelake.sources.sheets import grid_rows, parse_spreadsheets
+
+    keys = [*keys, "sheet", "grid"]
+    rows = grid_rows(parse_spreadsheets(books, text))
+    wide = grid.normalise(rows, keys, F.col("width"))
+    named = grid.to_fields(grid.used_rows(wide, keys, accepted), keys, fields, row_number)
+    return named.select(F.to_json(F.struct(*([row_number] if row_number else []), *[f for f in fields if f])).alias("json"))

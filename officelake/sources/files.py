@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from officelake.functions.strings import glob_to_regex, mime_from_name
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_dropping(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 

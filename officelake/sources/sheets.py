@@ -13,7 +13,10 @@ def parse_spreadsheets(df: DataFrame, text: str) -> DataFrame:
 
 
 def grid_rows(df: DataFrame) -> DataFrame:
-    """One row per grid row: sheet and grid numbers, row number with the grid offset, ragged ``values``."""
+    """One row per grid row: sheet and grid numbers, row number with the grid offset, ragged ``values``.
+
+    ``width`` is the widest row of the grid, known here while the grid is still one value.
+    """
     keys = [c for c in df.columns if c != "book"]
     sheets = df.select(*keys, F.posexplode("book.sheets").alias("sheet", "_s"))
     grids = sheets.select(*keys, "sheet", F.posexplode("_s.data").alias("grid", "_g"))
@@ -22,16 +25,17 @@ def grid_rows(df: DataFrame) -> DataFrame:
         "sheet",
         "grid",
         F.coalesce("_g.startRow", F.lit(0)).alias("start_row"),
+        F.array_max(F.transform("_g.rowData", lambda r: F.size(F.coalesce(r["values"], F.array())))).alias("width"),
         F.posexplode("_g.rowData").alias("_r", "_row"),
     )
     values = F.transform(F.coalesce("_row.values", F.array()), lambda c: c["effectiveValue"])
     return rows.select(
-        *keys, "sheet", "grid", "start_row", (F.col("start_row") + F.col("_r")).alias("row_num"), values.alias("values")
+        *keys, "sheet", "grid", "start_row", "width", (F.col("start_row") + F.col("_r")).alias("row_num"), values.alias("values")
     )
 
 
 def grid_cells(df: DataFrame) -> DataFrame:
     """One row per cell."""
     rows = grid_rows(df)
-    keys = [c for c in rows.columns if c not in ("values", "start_row")]
+    keys = [c for c in rows.columns if c not in ("values", "start_row", "width")]
     return rows.select(*keys, F.posexplode("values").alias("col_num", "cell"))
