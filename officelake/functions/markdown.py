@@ -202,5 +202,6 @@ def _blocks(texts: pd.Series) -> pd.Series:
 
 def block_rows(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     """One row per block with its number; insert them by falling number to get them in order."""
-    blocks = df.select(key, F.posexplode(_blocks(F.col(text))).alias("block_no", "b"))
+    parsed = df.select(key, _blocks(F.col(text)).alias("_b"))
+    blocks = parsed.select(key, F.posexplode_outer("_b").alias("block_no", "b")).where(F.col("block_no").isNotNull())
     return blocks.select(key, "block_no", "b.*")

@@ -43,9 +43,15 @@ def value_text(cell: Column) -> Column:
     return merged_value(cell)["value"]
 
 
+def cell_is_empty(cell: Column) -> Column:
+    """Whether a cell has no value, or ''."""
+    others = [cell[f].isNull() for f in _VARIANTS.values() if f != "stringValue"]
+    return reduce(lambda a, b: a & b, others, cell.isNull() | (F.coalesce(cell["stringValue"], F.lit("")) == ""))
+
+
 def row_is_empty(values: Column) -> Column:
     """Whether every cell is null or ''."""
-    return F.forall(F.coalesce(values, F.array()), lambda c: F.coalesce(value_text(c), F.lit("")) == "")
+    return F.forall(F.coalesce(values, F.array()), cell_is_empty)
 
 
 def used_rows(

@@ -89,10 +89,12 @@ def under(flag: str) -> Column:
 def extents(nodes: DataFrame) -> DataFrame:
     """Adds where a section's sub-sections start (its own end) and where the last of them ends."""
     by_pos = W.partitionBy("doc_id").orderBy("pos")
-    after = by_pos.rowsBetween(1, W.unboundedFollowing)
     n = nodes.withColumn("_prev_end", F.lag("end_index").over(by_pos))
+    # Backwards, so that "the next heading" is the last one seen and the frame only grows.
+    after = W.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
+    border = F.struct("pos", "_prev_end")
     nexts = [
-        F.when(F.col("rank") >= k, F.min(F.when(F.col("rank") == k, F.struct("pos", "_prev_end"))).over(after))
+        F.when(F.col("rank") >= k, F.last(F.when(F.col("rank") == k, border), ignorenulls=True).over(after))
         for k in range(TEXT_RANK)
     ]
     n = n.withColumn("_next", F.least(*nexts)).withColumn("_doc_end", F.max("end_index").over(W.partitionBy("doc_id")))

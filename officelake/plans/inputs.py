@@ -188,7 +188,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Shuffled by document before the lines are exploded, so that windows per document need no further shuffle.
     d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    d = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = d.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     size = utf16_len(F.col("line")) + 1
     upto = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.length("line") % 7 + 1).cast("int"))
