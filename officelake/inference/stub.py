@@ -24,6 +24,11 @@ def repair(prompt: str) -> str:
     return text + ("]" if text.startswith("[") else "}")
 
 
+def listed(prompt: str) -> list:
+    """The first JSON array of objects in a prompt."""
+    return json.JSONDecoder().raw_decode(prompt, prompt.index("[{"))[0]
+
+
 def classify_one() -> "callable":
     """Answers ``{"id", "category"}`` for a prompt with an ``id: …`` line."""
 
@@ -38,12 +43,12 @@ def classify_one() -> "callable":
 
 
 def classify_list() -> "callable":
-    """Answers a list for a prompt whose last line is a JSON array of rows with ``id`` and ``n_chars``."""
+    """Answers a list for a prompt that holds a JSON array of rows with ``id`` and ``n_chars``."""
 
     def ask(prompt: str) -> str:
         if prompt.startswith(REPAIR_INTRO):
             return repair(prompt)
-        rows = json.loads(prompt.rstrip("\n").rsplit("\n", 1)[1])
+        rows = listed(prompt)
         answer = json.dumps([{"id": str(r["id"]), "category": CATEGORIES[r["n_chars"] % 5]} for r in rows])
         return dress(answer, len(prompt))
 
@@ -51,12 +56,12 @@ def classify_list() -> "callable":
 
 
 def edit_list() -> "callable":
-    """Answers edit instructions for a prompt whose last line is a JSON array of items to place."""
+    """Answers edit instructions for a prompt that holds a JSON array of items to place."""
 
     def ask(prompt: str) -> str:
         if prompt.startswith(REPAIR_INTRO):
             return repair(prompt)
-        rows = json.loads(prompt.rstrip("\n").rsplit("\n", 1)[1])
+        rows = listed(prompt)
         inserts = [
             {"index": r["action_number"] * 7 - 3, "content": r["title"], "origin_ids": [r["origin_id"]]} for r in rows
         ]

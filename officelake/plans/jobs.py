@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import Any
 
-from officelake.functions.template import TODO_TEMPLATE, todo_markdown
-from officelake.operators.filters import numbered_url
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from officelake.functions.html import document_markdown
+from officelake.functions.strings import split_modification_id
+from officelake.functions.template import TODO_TEMPLATE, Template, todo_markdown, triage_prompt
+from officelake.inference.model import (
+    ANSWER_ROW,
+    BATCH_SIZE,
+    ModelSpec,
+    classify_batches,
+    generate_json,
+    generate_object,
+    joined_prompt,
+    pin,
+    refine,
+)
+from officelake.operators.edits import apply_edits, clamp, executed_ids, item_edits
+from officelake.operators.filters import header_lines, matches_priority, numbered_url, route, unprocessed
+from officelake.operators.lookups import match_back
+from officelake.operators.ordering import batches
+from officelake.schemas import LINKS
+from officelake.sinks.exports import mail_export_plan, save_index, write_messages
+from officelake.sinks.merge import cascade_upsert, upsert
+from officelake.sinks.store import TableStore
+from officelake.sinks.sync import upsert_managed
 
 
 def mail_metadata(messages: DataFrame) -> DataFrame:
@@ -37,3 +60,224 @@ def sheet_extract(
     wide = grid.normalise(rows, keys, F.col("width"))
     named = grid.to_fields(grid.used_rows(wide, keys, accepted), keys, fields, row_number)
     return named.select(F.to_json(F.struct(*([row_number] if row_number else []), *[f for f in fields if f])).alias("json"))
+
+
+ACTION = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("title", "notes", "priority", "due_date")] + [T.StructField("links", LINKS)]
+)
+ANALYSIS_ANSWER = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("noteworthy_details", T.ArrayType(T.StringType())),
+        T.StructField("action_items", T.ArrayType(ACTION)),
+    ]
+)
+
+
+def analyse(messages: DataFrame, model: ModelSpec, settings: dict[str, Any]) -> DataFrame:
+    """Messages (with ``content``) to nested sources, in struct<value, error> rows; a failing mail is one row."""
+    headers = header_lines(
+        id=F.col("id"), Subject=F.col("subject"), From=F.col("senders"), Received=F.col("received_date")
+    )
+    asked = generate_object(
+        messages, triage_prompt(headers, F.col("content"), **settings), model, ANALYSIS_ANSWER, ["category"]
+    )
+    no_items = F.array().cast(T.ArrayType(ACTION))
+    analysis = F.struct(
+        F.col("result.value.category").alias("category"),
+        F.col("result.value.noteworthy_details").alias("noteworthy_details"),
+        F.coalesce("result.value.action_items", no_items).alias("action_items"),
+    )
+    return asked.select(
+        "id",
+        F.when(F.col("result.error").isNull(), analysis).alias("analysis"),
+        F.col("result.error").alias("error"),
+    )
+
+
+def mail_triage(
+    store: TableStore,
+    messages: DataFrame,
+    model: ModelSpec,
+    settings: dict[str, Any],
+    order: list[Column],
+    now: Column,
+    limit: int | None = 30,
+    force_all: bool = False,
+) -> DataFrame:
+    """Analyse mails that have no metadata yet and store source, analysis, items and metadata.
+
+    The anti-join and the limit come before anything that reads bodies or calls the model. Returns the
+    failures; the model's answers are pinned, so storing them asks for none again.
+    """
+    fresh = messages
+    if store.exists("mail_metadata"):
+        fresh = unprocessed(messages, store.read("mail_metadata"), "id", force_all)
+    if limit is not None:
+        fresh = fresh.orderBy(*order).limit(limit)
+    answered = pin(analyse(fresh, model, settings))
+    good = answered.where(F.col("error").isNull())
+    cascade_upsert(store, good.select("id", F.lit("mail").alias("type"), now.alias("created_time"), "analysis"))
+    upsert(store, "mail_metadata", mail_metadata(fresh.join(good.select("id"), "id", "left_semi")), ["id"])
+    return answered.where(F.col("error").isNotNull()).select("id", "error")
+
+
+def place_todos(
+    store: TableStore,
+    items: DataFrame,
+    documents: DataFrame,
+    container: Column,
+    index: Column,
+    order: list[Column],
+    priority: str = ".*",
+    limit: int | None = 5,
+    template: str = TODO_TEMPLATE,
+) -> DataFrame:
+    """Insert to-dos not placed yet into their documents (``doc_id`` of an item) and record the placements.
+
+    Returns the edited documents. ``container`` gives the document's URL from ``doc_id``.
+    """
+    items = items.withColumn("placement_container_url", container).where(F.col("analysis_id").isNotNull())
+    key = ["analysis_id", "action_number", "placement_container_url"]
+    fresh = items.where(matches_priority(priority))
+    if store.exists("placement"):
+        done = store.read("placement").where(F.col("placement_id") == "(None)")
+        fresh = fresh.join(done.select(*key), key, "left_anti")
+    if limit is not None:
+        fresh = fresh.orderBy(*order).limit(limit)
+    edits = item_edits(render_todos(fresh, template), index, F.col("markdown"), F.col("seq"))
+    edited = apply_edits(documents, edits)
+    placed = executed_ids(edits).select(container.alias("placement_container_url"), split_modification_id(F.col("origin_id")).alias("p"))
+    rows = placed.where(F.col("p").isNotNull()).select("p.analysis_id", "p.action_number", "placement_container_url", "p.placement_id")
+    upsert(store, "placement", rows, [*key, "placement_id"])
+    return edited
+
+
+def categorise(
+    index: DataFrame,
+    done: DataFrame,
+    order: list[Column],
+    prompt: Column,
+    model: ModelSpec,
+    refine_prompt: Column | None = None,
+    refine_model: ModelSpec | None = None,
+    refine_categories: tuple[str, ...] = ("unknown", "other"),
+    size: int = BATCH_SIZE,
+) -> DataFrame:
+    """Categories of the index rows that have none, in batches, with a second look at the vague ones.
+
+    A failed batch fails the job. ``prompt`` is built from the ``items`` of a batch, ``refine_prompt`` from a
+    row with its category.
+    """
+    pending = unprocessed(index, done)
+    found, _, failed = classify_batches(batches(pending.select("id", "n_chars"), order, size), pending, prompt, model)
+    first = failed.first()
+    if first is not None:
+        raise RuntimeError(f"batch {first['batch']} failed: {first['error']}")
+    if refine_prompt is not None:
+        schema = T.StructType([T.StructField("category", T.StringType())])
+
+        def second(rows: DataFrame) -> DataFrame:
+            return refine(rows, refine_prompt, refine_model or model, schema, ["category"]).drop("refine_error")
+
+        found = route(found, "category", list(refine_categories), second)
+    return found
+
+
+def export_mail(messages: DataFrame, root: str, index_path: str, order: list[Column]) -> DataFrame:
+    """Write mails and their index; returns the index rows."""
+    plan = mail_export_plan(messages)
+    write_messages(plan, root)
+    index = mail_metadata(plan)
+    save_index(index, index_path, order)
+    return index
+
+
+def todos_to_tasks(
+    pages: DataFrame, html: str, key: str, model: ModelSpec, stored: DataFrame, order: list[Column]
+) -> DataFrame:
+    """To-dos a model finds in HTML documents, synced as managed tasks."""
+    text = document_markdown(F.col(html))
+    asked = pages.select(key, text.alias("m"))
+    prompt = F.concat(F.lit("id: "), F.col(key).cast("string"), F.lit("\n"), F.col("m.value"))
+    answered = generate_json(asked, joined_prompt(model, prompt), model)
+    tasks = answered.where(F.col("result.error").isNull()).select(
+        F.concat(F.lit("http://pages/"), F.col(key).cast("string")).alias("id_url"),
+        F.concat(F.lit("Read: "), F.get_json_object("result.json", "$.category")).alias("title"),
+        F.lit(None).cast("string").alias("tasklist_id"),
+        F.lit(None).cast("string").alias("notes"),
+        F.lit("needsAction").alias("status"),
+    )
+    return upsert_managed(tasks, stored, order)
+
+
+CHECK_TEMPLATE = """\
+id: {{ name }}
+Check the document below and suggest improvements as JSON.
+
+{{ text }}
+"""
+
+
+def self_check(documents: DataFrame, checked: DataFrame, model: ModelSpec) -> DataFrame:
+    """Suggestions for documents whose content has changed since they were checked (doc_id, content_hash)."""
+    hashed = documents.withColumn("content_hash", F.md5("text"))
+    changed = hashed.join(checked.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
+    prompt = Template(CHECK_TEMPLATE).render(name=F.col("doc_id"), text=F.col("text"))
+    return generate_object(changed, prompt, model, ANSWER_ROW, ["id"])
+
+
+INSERTS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("index", T.LongType()),
+            T.StructField("content", T.StringType()),
+            T.StructField("origin_ids", T.ArrayType(T.StringType())),
+        ]
+    )
+)
+DELETES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("origin_ids", T.ArrayType(T.StringType())),
+        ]
+    )
+)
+UPDATE = T.StructType(
+    [T.StructField("error", T.StringType()), T.StructField("inserts", INSERTS), T.StructField("deletes", DELETES)]
+)
+
+
+def model_edits(grouped: DataFrame, prompt: Column, model: ModelSpec, end: Column) -> tuple[DataFrame, DataFrame]:
+    """Edits a model proposes for batches of items, clamped to a document ending at ``end``; and failures."""
+    asked = pin(generate_object(grouped, prompt, model, UPDATE, []).select("batch", "result"))
+    error = F.coalesce("result.error", "result.value.error")
+    good = asked.where(error.isNull())
+    deletes = good.select("batch", F.explode("result.value.deletes").alias("e")).select(
+        "batch", F.lit("delete").alias("kind"), F.col("e.start").alias("index"), "e.end", "e.origin_ids"
+    )
+    inserts = good.select("batch", F.explode("result.value.inserts").alias("e")).select(
+        "batch", F.lit("insert").alias("kind"), "e.index", F.lit(None).cast("long").alias("end"), "e.origin_ids", "e.content"
+    )
+    edits = clamp(deletes.unionByName(inserts, allowMissingColumns=True), end)
+    return edits, asked.where(error.isNotNull()).select("batch", error.alias("error"))
+
+
+def categorise_and_store(
+    store: TableStore, documents: DataFrame, done: DataFrame, model: ModelSpec, limit: int | None = None
+) -> DataFrame:
+    """The smallest whole job: scan, anti-join, prompt, model, decode, last-wins, merge."""
+    fresh = unprocessed(documents, done)
+    if limit is not None:
+        fresh = fresh.orderBy("id").limit(limit)
+    prompt = Template("id: {{ id }}\n{{ text }}").render(id=F.col("id"), text=F.col("text"))
+    answered = generate_json(fresh, joined_prompt(model, prompt), model)
+    rows = answered.select(
+        F.get_json_object("result.json", "$.id").alias("id"), F.get_json_object("result.json", "$.category").alias("category")
+    )
+    matched, _ = match_back(rows.where(F.col("id").isNotNull()), fresh.select("id"))
+    upsert(store, "results", matched, ["id"], [F.col("category")])
+    return store.read("results")
