@@ -38,8 +38,11 @@ def _sorted_pieces(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are left out."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _split_ordinal(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -48,10 +51,8 @@ def _split_ordinal(df: DataFrame, keys: list[str], order: list[Column], name: st
     starts = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = pieces.join(starts, _null_safe(pieces, starts, [*keys, "_piece"]), "inner")
-    return joined.select(
-        *[pieces[c] for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first")).alias(name)
-    )
+    joined = _join(pieces, starts, [*keys, "_piece"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -69,8 +70,8 @@ def ordinal(
         return df.withColumn(name, plain)
     hot = df.sparkSession.createDataFrame(found, df.select(*keys).schema)
     hot = F.broadcast(hot)  # at most total/hot_rows rows
-    cold_rows = df.join(hot, _null_safe(df, hot, keys), "left_anti").withColumn(name, plain)
-    hot_part = df.join(hot, _null_safe(df, hot, keys), "left_semi")
+    cold_rows = _join(df, hot, keys, "left_anti").withColumn(name, plain)
+    hot_part = _join(df, hot, keys, "left_semi")
     return cold_rows.unionByName(_split_ordinal(hot_part, keys, order, name))
 
 
@@ -87,8 +88,8 @@ def running_total(
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     upto = W.partitionBy(*keys, "_piece").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = pieces.withColumn("_in", F.sum("_v").over(upto))
-    joined = inside.join(sums, _null_safe(inside, sums, [*keys, "_piece"]), "inner")
-    return joined.select(*[inside[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias(name))
+    joined = _join(inside, sums, [*keys, "_piece"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
