@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from officelake.catalog import query
-from officelake.catalog.bus_and_rules import LOG_SQL, log, subscriptions
+from officelake.catalog.bus_and_rules import LOG_SQL, log
 from officelake.catalog.functions import TODO_SQL, TRIAGE_SETTINGS, _triage_sql
 from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, classify_prompt
 from officelake.functions.jsons import decode_json
@@ -62,7 +62,8 @@ def _messages(spark, sf):
     return inputs.mail(spark, sf).withColumnRenamed("body", "content")
 
 
-BY_DATE = [F.col("received_date"), F.col("id")]
+def _by_date():
+    return [F.col("received_date"), F.col("id")]
 
 
 @query(
@@ -73,8 +74,8 @@ BY_DATE = [F.col("received_date"), F.col("id")]
 def e2e1(spark, sf):
     store, mail = _store(spark), _messages(spark, sf)
     # A first run takes one page of mails, the second all others.
-    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, BY_DATE, _now())
-    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, BY_DATE, _now(), limit=None)
+    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, _by_date(), _now())
+    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, _by_date(), _now(), limit=None)
     out = store.read("source").join(store.read("analysis"), "id").join(store.read("mail_metadata"), "id")
     return out.select("id", "type", "category", "subject", "path")
 
@@ -145,7 +146,7 @@ def e2e3(spark, sf):
 )
 def e2e4(spark, sf):
     root, index = work_dir(spark, "export"), work_dir(spark, "index")
-    rows = jobs.export_mail(inputs.mail(spark, sf), root, index, BY_DATE)
+    rows = jobs.export_mail(inputs.mail(spark, sf), root, index, _by_date())
     saved = spark.read.schema(rows.schema).json(index).select("path", "subject")
     files = spark.read.parquet(root).select("path", F.md5("content").alias("digest"))
     return saved.join(files, "path")
@@ -268,14 +269,18 @@ def t5_stream(spark, sf):
     return out.groupBy("topic").agg(F.count("*").alias("messages"), F.countDistinct("id").alias("ids"))
 
 
+def _inboxes(spark, sf):
+    """Messages with an inbox per user as topic, which only that user's agent listens to."""
+    rows = log(spark, sf).withColumn("topic", F.concat(F.lit("inbox-"), "sender"))
+    return rows.select("topic", "id", "message"), rows.select(F.col("sender").alias("agent"), "topic").distinct()
+
+
 @query(
     "t6_streamed_deliveries",
-    f"""WITH {LOG_SQL}, subs AS (SELECT DISTINCT sender AS agent, topic FROM log WHERE topic <> 'error')
-        SELECT agent, topic, count(*) AS messages, max(id) AS last_id FROM subs JOIN log USING (topic) GROUP BY 1, 2""",
+    f"""WITH {LOG_SQL} SELECT sender AS agent, 'inbox-' || sender AS topic, count(*) AS messages, max(id) AS last_id FROM log GROUP BY 1, 2""",
 )
 def t6_stream(spark, sf):
-    rows = log(spark, sf).select("topic", "id", "message")
-    known = subscriptions(spark, sf)
+    rows, known = _inboxes(spark, sf)
     stream = stream_jobs.file_stream(spark, _files(spark, rows.orderBy("id"), 1), rows.schema)
     target = work_dir(spark, "deliveries")
     out = deliveries(stream, known).writeStream.format("parquet").option("checkpointLocation", work_dir(spark, "progress"))
@@ -284,6 +289,34 @@ def t6_stream(spark, sf):
     return got.groupBy("agent", "topic").agg(F.count("*").alias("messages"), F.max("id").alias("last_id"))
 
 
+@query(
+    "t7_receive_timeout",
+    f"WITH {LOG_SQL} SELECT DISTINCT sender AS agent, 'timeout' AS status FROM log",
+)
+def t7(spark, sf):
+    """After the last message every agent is told once that nothing more has come."""
+    import time
+
+    rows, known = _inboxes(spark, sf)
+    agents = known.select("agent").distinct().count()
+    target = work_dir(spark, "deliveries")
+    stream = stream_jobs.file_stream(spark, _files(spark, rows, 1), rows.schema)
+    out = deliveries(stream, known, timeout_ms=1000).writeStream.format("parquet").option("path", target)
+    running = out.option("checkpointLocation", work_dir(spark, "progress")).trigger(processingTime="1 second").start()
+    told = None
+    try:
+        deadline = time.time() + 300
+        while time.time() < deadline and running.isActive:
+            if any(p["numInputRows"] > 0 for p in running.recentProgress):
+                told = spark.read.parquet(target).where("status = 'timeout'").select("agent", "status").distinct()
+                if told.count() >= agents:
+                    break
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    return told
+
+
 @query("t9_live_metrics", "SELECT count(*) AS items, count(*) FILTER (value > 100) AS errors, max(event_id) AS last_id FROM events")
 def t9(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value")

@@ -11,7 +11,8 @@ from officelake.schemas import MAIL_INDEX
 from officelake.session import work_dir
 from officelake.sources import calendar, documents, files, mailbox, sheets, tables, tasks
 
-BY_DATE = [F.col("received_date").desc(), F.col("id").asc()]
+def _newest_first():
+    return [F.col("received_date").desc(), F.col("id").asc()]
 
 
 @query(
@@ -19,7 +20,7 @@ BY_DATE = [F.col("received_date").desc(), F.col("id").asc()]
     f"WITH {MAIL_SQL} SELECT id, thread_id FROM mail WHERE role = 'user' ORDER BY received_date DESC, id LIMIT 500",
 )
 def s1(spark, sf):
-    return mailbox.fetch_ids(inputs.mail(spark, sf), F.col("role") == "user", BY_DATE)
+    return mailbox.fetch_ids(inputs.mail(spark, sf), F.col("role") == "user", _newest_first())
 
 
 @query("s2_generate_ids", f"WITH {MAIL_SQL} SELECT id, thread_id FROM mail WHERE role <> 'system'")
@@ -35,7 +36,7 @@ def s2(spark, sf):
 )
 def s3(spark, sf):
     mail = inputs.mail(spark, sf)
-    ids = mailbox.fetch_ids(mail, F.col("body").contains("the"), BY_DATE)
+    ids = mailbox.fetch_ids(mail, F.col("body").contains("the"), _newest_first())
     return mailbox.search_expand(ids, mail.select("id", "senders", "subject", "received_date", "body"))
 
 

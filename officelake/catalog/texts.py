@@ -13,7 +13,7 @@ from officelake.plans.inputs import MAIL_SQL, table
 
 def _raw(spark, sf):
     """Messages as RFC 822 bytes: html from assistants, base64-encoded text from users."""
-    m = inputs.mail(spark, sf)
+    m = inputs.as_mail(inputs.texts(spark, sf, "conversations"))
     html_part = F.concat(F.lit("<html><body><p>"), F.col("body"), F.lit("</p></body></html>"))
     encoding = F.when(F.col("role") == "user", "base64").otherwise("8bit")
     kind = F.when(F.col("role") == "assistant", "html").otherwise("plain")

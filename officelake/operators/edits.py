@@ -49,13 +49,44 @@ def _splice(text: Column, e: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), at), inserted, F.substring(text, upto + 1, F.octet_length(text)))
 
 
+def _end_of(e: Column) -> Column:
+    return F.when(e["kind"] == "delete", e["end"]).otherwise(e["index"])
+
+
+def _in_one_pass(edits: Column, text: Column) -> Column:
+    """Text with edits that do not meet each other, as one concatenation of slices and contents."""
+    rising, units = F.reverse(edits), F.encode(text, "UTF-16LE")
+
+    def start(i: Column) -> Column:
+        return F.when(i == 0, F.lit(1).cast("long")).otherwise(_end_of(F.try_element_at(rising, i)))
+
+    def piece(e: Column, i: Column) -> Column:
+        at = start(i)
+        before = F.substring(units, ((at - 1) * 2 + 1).cast("int"), ((e["index"] - at) * 2).cast("int"))
+        return F.concat(F.decode(before, "UTF-16LE"), F.coalesce(e["content"], F.lit("")))
+
+    tail = F.substring(units, ((_end_of(F.element_at(rising, -1)) - 1) * 2 + 1).cast("int"), F.octet_length(units))
+    return F.concat(F.array_join(F.transform(rising, piece), ""), F.decode(tail, "UTF-16LE"))
+
+
+def _meet(edits: Column, text: Column) -> Column:
+    """Whether an edit lies inside a deleted range or outside the text, so that the order of edits matters."""
+    rising = F.reverse(edits)
+    inside = F.exists(
+        F.transform(rising, lambda e, i: (i > 0) & (_end_of(F.try_element_at(rising, F.greatest(i, F.lit(1)))) > e["index"])),
+        lambda x: x,
+    )
+    return inside | (F.element_at(rising, -1)["index"] > utf16_len(text) + 1) | (rising[0]["index"] < 1)
+
+
 def apply_edits(
     documents: DataFrame, edits: DataFrame, per_round: int = 10_000, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Documents (doc_id, text) with all their edits applied in order.
 
-    The edits of a document are folded over its text in rounds of ``per_round``, highest index first, which
-    is the same as one long fold; so no task ever holds more than one round of a document's edits.
+    The edits of a document are applied in rounds of ``per_round``, highest index first, which is the same as
+    one long sequence; so no task ever holds more than one round of a document's edits. Edits that do not meet
+    each other are one concatenation; only documents where they do fold them over the text one by one.
     """
     placed = ordinal(edits, ["doc_id"], edit_order(), "_pos", hot_rows).withColumn(
         "_round", F.expr(f"_pos div {int(per_round)}")
@@ -68,9 +99,11 @@ def apply_edits(
     out = documents
     for r in range(rounds + 1):
         mine = folded.where(F.col("_round") == r).select("doc_id", "_edits")
-        after = F.decode(F.aggregate("_edits", F.encode("text", "UTF-16LE"), _splice), "UTF-16LE")
-        text = F.when(F.col("_edits").isNotNull(), after).otherwise(F.col("text"))
-        out = out.join(mine, "doc_id", "left").withColumn("text", text).drop("_edits")
+        mine_edits, text = F.col("_edits"), F.col("text")
+        one_by_one = F.decode(F.aggregate(mine_edits, F.encode(text, "UTF-16LE"), _splice), "UTF-16LE")
+        after = F.when(_meet(mine_edits, text), one_by_one).otherwise(_in_one_pass(mine_edits, text))
+        out = out.join(mine, "doc_id", "left")
+        out = out.withColumn("text", F.when(mine_edits.isNotNull(), after).otherwise(text)).drop("_edits")
     return out
 
 

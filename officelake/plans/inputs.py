@@ -27,7 +27,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: one per conversation turn."""
-    c = table(spark, sf_dir, "conversations")
+    return as_mail(table(spark, sf_dir, "conversations"))
+
+
+def as_mail(c: DataFrame) -> DataFrame:
+    """Conversation turns as messages."""
     minutes = F.col("conv_id") * 60 + F.col("turn")
     return c.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),

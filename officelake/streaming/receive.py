@@ -59,7 +59,11 @@ class Receiver(StatefulProcessor):
 
 
 def deliveries(messages: DataFrame, subscriptions: DataFrame, timeout_ms: int = 0) -> DataFrame:
-    """Messages of a stream delivered to the agents subscribed to their topic."""
+    """Messages of a stream delivered to the agents subscribed to their topic.
+
+    Every delivery is a row, so this is for topics with few listeners, such as inboxes. For topics that many
+    agents listen to, ``bus.receive`` looks up the one next message of each agent and fans nothing out.
+    """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     routed = messages.join(subscriptions, "topic").select("agent", "topic", "id", "message")
     return routed.groupBy("agent").transformWithStateInPandas(

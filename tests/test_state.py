@@ -16,7 +16,8 @@ from officelake.sources import calendar, mailbox, tasks
 from officelake.streaming import jobs as stream_jobs
 from officelake.streaming.receive import deliveries
 
-AT = F.lit("2024-01-01").cast("timestamp")
+def at():
+    return F.lit("2024-01-01").cast("timestamp")
 
 
 @pytest.fixture
@@ -144,8 +145,8 @@ def test_purge_prefix_overrides_field_by_field(spark):
     df = spark.createDataFrame(
         [("a", 10, 10), ("a", 30, 1), ("ab", 10, 10), ("ab", 3, 30), ("z", 25, 25)], "reg_key string, accessed_ago int, added_ago int"
     )
-    calls = df.select("reg_key", "accessed_ago", "added_ago", *[(AT - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {c}_ago)")).alias(c) for c in ("accessed", "added")])
-    kept = cache.purge(calls, AT, default_access=20.0, default_added=None, prefix_ages=[("ab", 5.0, None), ("a", None, 5.0)])
+    calls = df.select("reg_key", "accessed_ago", "added_ago", *[(at() - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {c}_ago)")).alias(c) for c in ("accessed", "added")])
+    kept = cache.purge(calls, at(), default_access=20.0, default_added=None, prefix_ages=[("ab", 5.0, None), ("a", None, 5.0)])
     assert rows(kept, "reg_key", "accessed_ago") == [("ab", 3)]
 
 
@@ -166,10 +167,10 @@ def test_model_is_called_once_per_prompt_and_retried(spark, store, tmp_path):
 
     spec = ModelSpec("m", factory)
     df = spark.createDataFrame([("x",), ("x",), ("y",), ("bad",)], "p string")
-    out = cache.cached_call(store, "calls", df, F.col("p"), spec, AT)
+    out = cache.cached_call(store, "calls", df, F.col("p"), spec, at())
     assert rows(out, "p", "value") == [("bad", None), ("x", "X"), ("x", "X"), ("y", "Y")]
     assert len(list(log.iterdir())) == 3
-    cache.cached_call(store, "calls", df.where("p <> 'bad'"), F.col("p"), spec, AT).collect()
+    cache.cached_call(store, "calls", df.where("p <> 'bad'"), F.col("p"), spec, at()).collect()
     assert len(list(log.iterdir())) == 3
     flaky = spark.createDataFrame([("flaky",), (None,)], "p string")
     got = flaky.select(model.generate_text(F.col("p"), spec, delay=0.01).alias("r")).select("r.*").collect()
@@ -205,7 +206,7 @@ SETTINGS = {"categories_instructions": "c", "action_items_instructions": "a", "c
 
 def test_triage_twice_changes_nothing(spark, store):
     order = [F.col("received_date")]
-    run = lambda **kw: jobs.mail_triage(store, messages(spark), SINGLE, SETTINGS, order, AT, **kw)
+    run = lambda **kw: jobs.mail_triage(store, messages(spark), SINGLE, SETTINGS, order, at(), **kw)
     run(limit=3)
     assert rows(store.read("mail_metadata"), "id") == [("m1",), ("m2",), ("m3",)]
     run(limit=None)
