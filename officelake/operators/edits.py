@@ -53,15 +53,11 @@ def _end_of(e: Column) -> Column:
     return F.when(e["kind"] == "delete", e["end"]).otherwise(e["index"])
 
 
-def _in_one_pass(edits: Column, text: Column) -> Column:
+def _in_one_pass(rising: Column, units: Column) -> Column:
     """Text with edits that do not meet each other, as one concatenation of slices and contents."""
-    rising, units = F.reverse(edits), F.encode(text, "UTF-16LE")
-
-    def start(i: Column) -> Column:
-        return F.when(i == 0, F.lit(1).cast("long")).otherwise(_end_of(F.try_element_at(rising, i)))
 
     def piece(e: Column, i: Column) -> Column:
-        at = start(i)
+        at = F.when(i == 0, F.lit(1).cast("long")).otherwise(_end_of(F.try_element_at(rising, F.greatest(i, F.lit(1)))))
         before = F.substring(units, ((at - 1) * 2 + 1).cast("int"), ((e["index"] - at) * 2).cast("int"))
         return F.concat(F.decode(before, "UTF-16LE"), F.coalesce(e["content"], F.lit("")))
 
@@ -69,14 +65,14 @@ def _in_one_pass(edits: Column, text: Column) -> Column:
     return F.concat(F.array_join(F.transform(rising, piece), ""), F.decode(tail, "UTF-16LE"))
 
 
-def _meet(edits: Column, text: Column) -> Column:
+def _meet(rising: Column, units: Column) -> Column:
     """Whether an edit lies inside a deleted range or outside the text, so that the order of edits matters."""
-    rising = F.reverse(edits)
-    inside = F.exists(
-        F.transform(rising, lambda e, i: (i > 0) & (_end_of(F.try_element_at(rising, F.greatest(i, F.lit(1)))) > e["index"])),
-        lambda x: x,
-    )
-    return inside | (F.element_at(rising, -1)["index"] > utf16_len(text) + 1) | (rising[0]["index"] < 1)
+
+    def inside(e: Column, i: Column) -> Column:
+        return (i > 0) & (_end_of(F.try_element_at(rising, F.greatest(i, F.lit(1)))) > e["index"])
+
+    outside = (F.element_at(rising, -1)["index"] > F.octet_length(units) / 2 + 1) | (rising[0]["index"] < 1)
+    return F.exists(F.transform(rising, inside), lambda x: x) | outside
 
 
 def apply_edits(
@@ -95,15 +91,19 @@ def apply_edits(
     if rounds is None:
         return documents
     item = F.struct("_pos", "kind", "index", "end", "content")
-    folded = placed.groupBy("doc_id", "_round").agg(F.array_sort(F.collect_list(item)).alias("_edits"))
+    folded = placed.groupBy("doc_id", "_round").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rising"))
     out = documents
     for r in range(rounds + 1):
-        mine = folded.where(F.col("_round") == r).select("doc_id", "_edits")
-        mine_edits, text = F.col("_edits"), F.col("text")
-        one_by_one = F.decode(F.aggregate(mine_edits, F.encode(text, "UTF-16LE"), _splice), "UTF-16LE")
-        after = F.when(_meet(mine_edits, text), one_by_one).otherwise(_in_one_pass(mine_edits, text))
-        out = out.join(mine, "doc_id", "left")
-        out = out.withColumn("text", F.when(mine_edits.isNotNull(), after).otherwise(text)).drop("_edits")
+        mine = folded.where(F.col("_round") == r).select("doc_id", "_rising")
+        # The text's units are a column of their own: inside the functions over the edits they would be
+        # encoded anew for every edit.
+        units = F.when(F.col("_rising").isNotNull(), F.encode("text", "UTF-16LE"))
+        both = out.join(mine, "doc_id", "left").withColumn("_units", units)
+        rising, units = F.col("_rising"), F.col("_units")
+        one_by_one = F.decode(F.aggregate(F.reverse(rising), units, _splice), "UTF-16LE")
+        after = F.when(_meet(rising, units), one_by_one).otherwise(_in_one_pass(rising, units))
+        out = both.withColumn("text", F.when(rising.isNotNull(), after).otherwise(F.col("text")))
+        out = out.drop("_rising", "_units")
     return out
 
 
