@@ -50,7 +50,7 @@ def _done(spark, sf):
 )
 def e2e0(spark, sf):
     store, done = _store(spark), _done(spark, sf)
-    store.replace("results", done)
+    store.replace("results", done, ["id"])
     return jobs.categorise_and_store(store, _documents(spark, sf), done, SINGLE)
 
 

@@ -52,7 +52,7 @@ def k1_conflicts(spark, sf):
 )
 def k2(spark, sf):
     store = TableStore(spark, work_dir(spark, "store"))
-    store.replace("orders", _orders(spark, sf).where(F.col("o_orderpriority") != "1-URGENT"))
+    store.replace("orders", _orders(spark, sf).where(F.col("o_orderpriority") != "1-URGENT"), ["o_orderkey"])
     returned = table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
     changes = returned.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max_by("l_linestatus", F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("o_orderstatus"),

@@ -66,7 +66,7 @@ def cached_call(
     if store.exists(table):
         stored = store.read(table)
         if touch_on_hit:
-            store.replace(table, touch(stored, keyed, now))
+            store.replace(table, touch(stored, keyed, now), KEY)
             stored = store.read(table)
         misses = misses.join(stored.select(*KEY), KEY, "left_anti")
     asked = misses.withColumn("_answer", generate_text(F.col("_prompt"), model))
@@ -77,7 +77,10 @@ def cached_call(
         now.alias("added"),
         now.alias("accessed"),
     )
-    store.append(table, calls)
+    if store.exists(table):
+        store.append(table, calls)
+    else:
+        store.replace(table, calls, KEY)
     return get(store.read(table), keyed.drop("_prompt", "_call"))
 
 
@@ -133,4 +136,4 @@ def load(store: TableStore, table: str, reference: Column, empty: DataFrame, **a
 
 def save(store: TableStore, table: str, calls: DataFrame, reference: Column, **ages) -> None:
     """Store calls without the expired ones."""
-    store.replace(table, purge(calls, reference, **ages))
+    store.replace(table, purge(calls, reference, **ages), KEY)

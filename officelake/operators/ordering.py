@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from officelake.session import ensure_checkpoints
 
 HOT_ROWS = 1_000_000
+MAX_HOT = 10_000  # keys that come to the driver
 _ROW_BITS = 33  # monotonically_increasing_id: task number above, row in the task below
 
 
@@ -65,11 +66,14 @@ def ordinal(
 ) -> DataFrame:
     """0-based position of every row within its key. ``order`` must be total within a key."""
     plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1
-    found = hot_keys(df, keys, hot_rows).collect()
+    found = hot_keys(df, keys, hot_rows).limit(MAX_HOT + 1).collect()
+    while len(found) > MAX_HOT:  # on huge tables only the hottest keys are worth splitting
+        hot_rows *= 4
+        found = hot_keys(df, keys, hot_rows).limit(MAX_HOT + 1).collect()
     if not found:
         return df.withColumn(name, plain)
     hot = df.sparkSession.createDataFrame(found, df.select(*keys).schema)
-    hot = F.broadcast(hot)  # at most total/hot_rows rows
+    hot = F.broadcast(hot)  # at most MAX_HOT rows
     cold_rows = _join(df, hot, keys, "left_anti").withColumn(name, plain)
     hot_part = _join(df, hot, keys, "left_semi")
     return cold_rows.unionByName(_split_ordinal(hot_part, keys, order, name))

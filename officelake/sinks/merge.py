@@ -29,11 +29,14 @@ def conflicts(rows: DataFrame, stored: DataFrame | None, key: list[str]) -> Data
 
 def insert(store: TableStore, name: str, rows: DataFrame, key: list[str]) -> DataFrame:
     """Append rows and hand them on; a duplicate key fails before anything is written."""
-    stored = store.read(name) if store.exists(name) else None
+    stored = store.read(name, store.buckets_of(name, rows)) if store.exists(name) else None
     bad = conflicts(rows, stored, key).limit(5).collect()
     if bad:
         raise DuplicateKey(f"{name}: {[tuple(r) for r in bad]}")
-    store.append(name, rows)
+    if store.exists(name):
+        store.append(name, rows)
+    else:
+        store.replace(name, rows, key)
     return rows
 
 
@@ -66,15 +69,17 @@ def upsert(
     txn = store.begin()
     upsert_in(txn, store, name, rows, key, order)
     txn.commit()
-    return store.read(name).join(rows.select(*key).distinct(), key, "left_semi")
+    back = store.read(name, store.buckets_of(name, rows))
+    return back.join(rows.select(*key).distinct(), key, "left_semi")
 
 
 def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str], order=None) -> None:
-    """Stage an upsert in a transaction."""
+    """Stage an upsert in a transaction; only the buckets of the incoming keys are read and written."""
     if store.exists(name):
-        txn.replace(name, merged(store.read(name), rows, key, order))
+        touched = store.buckets_of(name, rows)
+        txn.replace_buckets(name, merged(store.read(name, touched), rows, key, order), touched)
     else:
-        txn.replace(name, last_wins(rows, key, order) if order else rows)
+        txn.replace(name, last_wins(rows, key, order) if order else rows, key)
 
 
 def merge_into(target: str, rows: DataFrame, key: list[str]) -> None:
@@ -103,12 +108,16 @@ def cascade_upsert(store: TableStore, nested: DataFrame) -> None:
     rewritten = nested.select("id")
     txn = store.begin()
     upsert_in(txn, store, "source", parts["source"], ["id"])
-    for name, key, owner in (("analysis", ["id"], "id"), ("action_item", ["analysis_id", "action_number"], "analysis_id")):
+    # Items are bucketed by their analysis, so that a source's items are found by its id.
+    for name, owner in (("analysis", "id"), ("action_item", "analysis_id")):
         rows = parts[name]
-        if store.exists(name):
-            orphan_of = rewritten.withColumnRenamed("id", owner)
-            rows = store.read(name).join(orphan_of, owner, "left_anti").unionByName(rows, allowMissingColumns=True)
-        txn.replace(name, rows)
+        if not store.exists(name):
+            txn.replace(name, rows, [owner])
+            continue
+        touched = store.buckets_of(name, rewritten, ["id"])
+        orphan_of = rewritten.withColumnRenamed("id", owner)
+        kept = store.read(name, touched).join(orphan_of, owner, "left_anti")
+        txn.replace_buckets(name, kept.unionByName(rows, allowMissingColumns=True), touched)
     txn.commit()
 
 

@@ -1,8 +1,11 @@
 """Parquet tables whose versions are published together.
 
-A write goes to a new folder; publishing creates the next numbered commit file, which lists the current folder
+A write goes to a new folder; publishing creates the next numbered commit file, which lists the current folders
 of every table. Creating that file fails if another writer has taken the number, so nothing is half visible
 and no table that is being read is overwritten.
+
+A keyed table is kept in buckets of its key, one folder each, so that a merge reads and rewrites only the
+buckets its rows fall into, however big the table is.
 """
 
 from __future__ import annotations
@@ -10,7 +13,14 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+WHOLE = "whole"
+
+
+def bucket_of(by: list[str], n: int) -> Column:
+    """Bucket number of a row; keys are hashed as text, so that equal keys of different number types meet."""
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(n)).cast("int")
 
 
 class CommitConflict(RuntimeError):
@@ -25,7 +35,7 @@ class TableStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _latest(self) -> tuple[int, dict[str, list[str]]]:
+    def _latest(self) -> tuple[int, dict]:
         """Highest commit number and the tables of the newest complete commit.
 
         A writer lost between creating and filling its commit file has published nothing.
@@ -48,19 +58,33 @@ class TableStore:
     def exists(self, name: str) -> bool:
         return name in self._latest()[1]
 
-    def read(self, name: str) -> DataFrame:
-        """The published rows of a table, pinned to the version current now."""
-        folders = self._latest()[1][name]
-        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The published rows of a table, pinned to the version current now; of a keyed one also part."""
+        entry = self._latest()[1][name]
+        wanted = entry["dirs"] if buckets is None else [str(b) for b in buckets]
+        paths = [f"{self.root}/{d}" for b in wanted for d in entry["dirs"].get(b, [])]
+        schema = T.StructType.fromJson(entry["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def buckets_of(self, name: str, rows: DataFrame, owner: list[str] | None = None) -> list[int] | None:
+        """Buckets of a keyed table that rows fall into (a list no longer than there are buckets), else None.
+
+        ``owner`` names the columns of ``rows`` that hold the bucketing key, where they are called otherwise.
+        """
+        entry = self._latest()[1][name]
+        if not entry["by"]:
+            return None
+        found = rows.select(bucket_of(owner or entry["by"], entry["n"]).alias("b")).distinct().collect()
+        return sorted(r["b"] for r in found)
 
     def begin(self) -> "Transaction":
         """Start a set of writes that is published as one."""
         return Transaction(self, *self._latest())
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Publish new contents of one table."""
+    def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
+        """Publish new contents of one table, kept in buckets of ``by`` if given."""
         txn = self.begin()
-        txn.replace(name, rows)
+        txn.replace(name, rows, by)
         txn.commit()
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -73,20 +97,52 @@ class TableStore:
 class Transaction:
     """Staged writes; nothing is visible before ``commit`` and nothing at all without it."""
 
-    def __init__(self, store: TableStore, number: int, tables: dict[str, list[str]]):
+    def __init__(self, store: TableStore, number: int, tables: dict):
         self._store, self._number = store, number
-        self._tables = {name: list(folders) for name, folders in tables.items()}
-
-    def _write(self, name: str, rows: DataFrame) -> str:
-        folder = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self._store.root}/{folder}")
-        return folder
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        self._tables[name] = [self._write(name, rows)]
+        self._tables = json.loads(json.dumps(tables))
+
+    def _write(self, name: str, rows: DataFrame, by: list[str], n: int) -> dict[str, list[str]]:
+        """Write rows to a new folder and return its sub-folder per bucket."""
+        folder, store = f"{name}/{uuid.uuid4().hex}", self._store
+        path = f"{store.root}/{folder}"
+        if not by:
+            rows.write.parquet(path)
+            return {WHOLE: [folder]}
+        # Rebalanced, so that a bucket is written by one task unless it is so big that AQE splits it.
+        marked = rows.withColumn("_bucket", bucket_of(by, n)).hint("rebalance", "_bucket")
+        marked.write.partitionBy("_bucket").parquet(path)
+        names = [s.getPath().getName() for s in store._fs.listStatus(store._path(path))]
+        return {x[8:]: [f"{folder}/{x}"] for x in names if x.startswith("_bucket=")}
+
+    def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
+        """Stage new contents of a table."""
+        n = int(self._store.spark.conf.get("spark.sql.shuffle.partitions"))
+        dirs = self._write(name, rows, by or [], n)
+        self._tables[name] = {"by": by or [], "n": n, "schema": rows.schema.jsonValue(), "dirs": dirs}
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._tables.setdefault(name, []).append(self._write(name, rows))
+        """Stage additional rows of a table."""
+        if name not in self._tables:
+            return self.replace(name, rows)
+        entry = self._tables[name]
+        for b, dirs in self._write(name, rows, entry["by"], entry["n"]).items():
+            entry["dirs"].setdefault(b, []).extend(dirs)
+        self._widen(entry, rows)
+
+    def replace_buckets(self, name: str, rows: DataFrame, buckets: list[int] | None) -> None:
+        """Stage new contents of some buckets of a keyed table (None: of the whole table)."""
+        entry = self._tables[name]
+        if buckets is None:
+            return self.replace(name, rows, entry["by"])
+        for b in buckets:
+            entry["dirs"].pop(str(b), None)
+        entry["dirs"].update(self._write(name, rows, entry["by"], entry["n"]))
+        self._widen(entry, rows)
+
+    @staticmethod
+    def _widen(entry: dict, rows: DataFrame) -> None:
+        known = {f["name"] for f in entry["schema"]["fields"]}
+        entry["schema"]["fields"] += [f.jsonValue() for f in rows.schema.fields if f.name not in known]
 
     def commit(self) -> None:
         store = self._store

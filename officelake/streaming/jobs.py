@@ -52,7 +52,8 @@ class PolledJob:
         """One run over a batch of items."""
         latest = last_wins(items, [self.key], self.order)
         if self.store.exists(self.results):
-            latest = unprocessed(latest, self.store.read(self.results), self.key, self.force_all)
+            done = self.store.read(self.results, self.store.buckets_of(self.results, latest))
+            latest = unprocessed(latest, done, self.key, self.force_all)
         if self.limit is not None:
             latest = latest.orderBy(self.key).limit(self.limit)
         outcome = self.process(latest)

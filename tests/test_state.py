@@ -45,6 +45,16 @@ def test_upsert_last_of_several(spark, store):
     assert rows(merge.upsert(store, "t", src, ["id"], [F.col("seq")]), "id", "v") == [("i", "b")]
 
 
+def test_merge_rewrites_only_its_buckets(spark, store):
+    big = spark.range(500).select(F.col("id"), F.lit("old").alias("v"))
+    store.replace("t", big, ["id"])
+    before = store._latest()[1]["t"]["dirs"]
+    merge.upsert(store, "t", spark.createDataFrame([(7, "new")], "id int, v string"), ["id"])  # int meets long
+    after = store._latest()[1]["t"]["dirs"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(before) > 1
+    assert store.read("t").count() == 500 and rows(store.read("t").where("v = 'new'"), "id") == [(7,)]
+
+
 def test_commit_conflict_and_invisible_staging(spark, store):
     df = spark.range(3)
     one, two = store.begin(), store.begin()
