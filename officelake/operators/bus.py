@@ -38,9 +38,11 @@ def next_ids(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame, block
     the block of an offset has no later message, the first one of a later block counts.
     """
     wanted = subscriptions.join(cursors, ["agent", "topic"], "left").select(
-        "agent", "topic", F.coalesce("offset", F.lit(0)).cast("long").alias("id"), F.lit(0).alias("kind")
+        "agent", "topic", F.coalesce("offset", F.lit(0)).cast("long").alias("offset")
     )
-    points = wanted.unionByName(log.select("topic", "id", F.lit(1).alias("kind")), allowMissingColumns=True)
+    # Many agents stand at the same offset, most of all at 0; each offset is looked up once.
+    offsets = wanted.select("topic", F.col("offset").alias("id"), F.lit(0).alias("kind")).distinct()
+    points = offsets.unionByName(log.select("topic", "id", F.lit(1).alias("kind")))
     points = points.withColumn("_block", F.expr(f"id div {int(block)}"))
     message = F.when(F.col("kind") == 1, F.col("id"))
     firsts = points.groupBy("topic", "_block").agg(F.min(message).alias("_first"))
@@ -50,7 +52,8 @@ def next_ids(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame, block
     after = W.partitionBy("topic", "_block").orderBy(F.col("id").desc(), "kind").rowsBetween(W.unboundedPreceding, -1)
     seen = points.withColumn("_here", F.last(message, ignorenulls=True).over(after)).where(F.col("kind") == 0)
     out = seen.join(firsts, ["topic", "_block"])
-    return out.select("agent", "topic", F.col("id").alias("offset"), F.coalesce("_here", "_later").alias("next_id"))
+    found = out.select("topic", F.col("id").alias("offset"), F.coalesce("_here", "_later").alias("next_id"))
+    return wanted.join(found, ["topic", "offset"]).select("agent", "topic", "offset", "next_id")
 
 
 def next_messages(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -146,9 +146,10 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread:
     """The first ``n`` rows of every key in ``order``.
 
     Every key is first cut to ``n`` within each of ``spread`` slices, so the final window sees at most
-    ``spread * n`` rows of any key, however many it holds.
+    ``spread * n`` rows of any key, however many it holds. A slice is a set of tasks, so Spark can cut to
+    ``n`` within each task before the first shuffle; which rows make up a slice does not change the result.
     """
-    slice_of = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    slice_of = F.spark_partition_id() % spread
     first = W.partitionBy(*keys, "_slice").orderBy(*order)
     last = W.partitionBy(*keys).orderBy(*order)
     return (
