@@ -279,5 +279,6 @@ def categorise_and_store(
         F.get_json_object("result.json", "$.id").alias("id"), F.get_json_object("result.json", "$.category").alias("category")
     )
     matched, _ = match_back(rows.where(F.col("id").isNotNull()), fresh.select("id"))
+    matched = pin(matched)  # used for the buckets, the merge and the way back; the model is asked once
     upsert(store, "results", matched, ["id"], [F.col("category")])
     return store.read("results")

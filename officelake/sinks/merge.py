@@ -67,19 +67,24 @@ def upsert(
 ) -> DataFrame:
     """Merge rows into a table, publish it and return the merged rows of the incoming keys."""
     txn = store.begin()
-    upsert_in(txn, store, name, rows, key, order)
+    touched = upsert_in(txn, store, name, rows, key, order)
     txn.commit()
-    back = store.read(name, store.buckets_of(name, rows))
+    back = store.read(name, touched)
     return back.join(rows.select(*key).distinct(), key, "left_semi")
 
 
-def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str], order=None) -> None:
-    """Stage an upsert in a transaction; only the buckets of the incoming keys are read and written."""
-    if store.exists(name):
-        touched = store.buckets_of(name, rows)
-        txn.replace_buckets(name, merged(store.read(name, touched), rows, key, order), touched)
-    else:
+def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str], order=None) -> list[int] | None:
+    """Stage an upsert in a transaction; only the buckets of the incoming keys are read and written.
+
+    Returns these buckets. ``rows`` is used more than once, so rows that are dear to compute, such as model
+    answers, have to be pinned before.
+    """
+    if not store.exists(name):
         txn.replace(name, last_wins(rows, key, order) if order else rows, key)
+        return None
+    touched = store.buckets_of(name, rows)
+    txn.replace_buckets(name, merged(store.read(name, touched), rows, key, order), touched)
+    return touched
 
 
 def merge_into(target: str, rows: DataFrame, key: list[str]) -> None:
