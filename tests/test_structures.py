@@ -64,7 +64,7 @@ def test_cells_and_fields(spark):
     short = df.withColumn("values", F.slice("values", 1, 2))
     got = grid.to_fields(short, [], ["a", "b", grid.Field("c", default="333")], "n").first()
     assert tuple(got) == (None, "22.0", "333", 0)
-    wide = grid.normalise(short.unionByName(df), [])if False else grid.normalise(short, [], 4)
+    wide = grid.normalise(short, [], 4)
     assert [c is None for c in wide.first()["values"]] == [False, False, True, True]
     assert grid.bad_first_row(df.withColumn("start_row", F.lit(3)), [], 1).count() == 1
 
