@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import mixing
-from officelake.llm.common import table
+from officelake.llm import mixing, toxicity
+from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows whose crc32 is 2 modulo 4 are held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) == 2)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(fold(F.col("row.doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {
