@@ -7,17 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import mixing, toxicity
+from officelake.llm import mixing, quality, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document and the forest's verdict."""
+    stats = quality.measured(table(spark, sf_dir, "documents"))
+    forest = quality.fit_forest(stats, table(spark, sf_dir, "labels"))
+    return quality.judged(stats, forest).select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows whose crc32 is 0 modulo 5 are held out of training."""
+    stats = quality.measured(table(spark, sf_dir, "documents"))
+    model = quality.fit_quality(stats, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) == 0)
+    return quality.quality_scores(stats, model).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows whose crc32 is 2 modulo 4 are held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -32,7 +51,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_toxicity": op9_toxicity,
 }
 
