@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import mixing, quality, toxicity
+from officelake.llm import decontamination, mixing, quality, secrets, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as pairs."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows whose crc32 is 0 modulo 5 are held out of training."""
     stats = quality.measured(table(spark, sf_dir, "documents"))
@@ -37,6 +42,19 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base matches and those of the Markov models."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows whose crc32 is 2 modulo 4 are held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -53,7 +71,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
 }
 
