@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import decontamination, mixing, quality, secrets, toxicity
+from officelake.llm import decontamination, licenses, mixing, quality, secrets, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(stats, forest).select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document, the rules' labels and the surest detection."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    listed = lambda *columns: F.array_join(
+        F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda s: s["label"]) for c in columns]))), ","
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda s: s["start"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda s: s["start"])).alias("last_word"),
+        listed("base").alias("base_labels"),
+        listed("base", "found").alias("labels"),
+        F.greatest(
+            F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)),
+            F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)),
+        ).alias("score"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -70,6 +91,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_licenses": op2_licenses,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
