@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import decontamination, licenses, mixing, quality, secrets, toxicity
+from officelake.llm import decontamination, jaccard, licenses, mixing, quality, secrets, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their word shingles."""
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_licenses": op2_licenses,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
