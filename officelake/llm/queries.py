@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import decontamination, jaccard, licenses, mixing, quality, secrets, toxicity
+from officelake.llm import decontamination, jaccard, licenses, mixing, quality, secrets, substrings, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,18 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 400-byte string found elsewhere covers, and what remains."""
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -97,6 +109,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_licenses": op2_licenses,
+    "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
