@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import decontamination, jaccard, licenses, mixing, quality, secrets, substrings, toxicity
+from officelake.llm import decontamination, jaccard, licenses, mixing, pii, quality, secrets, substrings, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,19 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base matches and those of the field."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.fit(docs))
+    of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base matches and those of the Markov models."""
     docs = table(spark, sf_dir, "documents")
@@ -113,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
