@@ -294,3 +294,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(handed.value.probability(found))], ["row", "score"])
 
     return nested.mapInArrow(run, T.StructType([nested.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, all columns as they are."""
+    return score(docs, model).where(F.col("score") < cut).select("row.*")
