@@ -7,7 +7,6 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from officelake.session import ensure_checkpoints, work_dir
 
@@ -60,27 +59,16 @@ def known_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """``rows`` rows chosen by a hash of their key: the same ones at every run, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+    """``rows`` rows chosen by a hash of their key: the same ones at every run, whatever the partitioning.
 
-
-def through(df: DataFrame, fn, added: str) -> DataFrame:
-    """Every row of ``df`` with the columns that ``fn(texts) -> dict of lists`` adds, names of ``df`` kept apart.
-
-    The result has the columns ``row`` (all of ``df``) and those of ``added``, a schema string.
+    Rows are counted first and thinned by the hash to little more than ``rows``, so that no task hands on more than
+    its share.
     """
-    import pyarrow as pa
-
-    nested = df.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = T.StructType([nested.schema["row"], *T._parse_datatype_string(added).fields])
-    names = [f.name for f in schema.fields[1:]]
-
-    def run(batches):
-        for b in batches:
-            out = fn(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(out[n]) for n in names)], ["row", *names])
-
-    return nested.mapInArrow(run, schema)
+    total = df.count()
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 31))
+    if total > 2 * rows:
+        df = df.where(place < int((1 << 31) * min(1.0, 1.5 * rows / total)))
+    return df.orderBy(place, F.col(key)).limit(rows)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

@@ -203,6 +203,8 @@ def _met(docs: DataFrame, size: int, percent: int, plan: dict[int, Allocation])
                 continue
             owners = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(v) for v in seen.values()])
             key = np.concatenate(list(seen.values()))
+            if not len(key):
+                continue
             order = np.lexsort((owners, key))
             key, owners = key[order], owners[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])

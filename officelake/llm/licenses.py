@@ -33,7 +33,7 @@ bsd-2-clause | bsd | (?:simplified|freebsd|2 clause|two clause) bsd(?: (?:licens
 bsd-3-clause | bsd | (?:new|modified|revised|3 clause|three clause) bsd(?: (?:license|licence))? | bsd 3 clause
 bsd-4-clause | bsd | (?:original|4 clause|four clause) bsd(?: (?:license|licence))? | bsd 4 clause
 bsd | bsd | bsd (?:style )?(?:license|licence) | bsd
-0bsd | 0bsd | (?:zero clause|0 clause) bsd | 0bsd
+0bsd | bsd | (?:zero clause|0 clause) bsd | 0bsd
 agpl-3.0 | affero | (?:gnu )?affero general public (?:license|licence)(?: version)? 3(?: 0)? | agpl ?v?3(?: 0)?
 agpl-1.0 | affero | affero general public (?:license|licence)(?: version)? 1(?: 0)? | agpl ?v?1(?: 0)?
 agpl | affero | (?:gnu )?affero general public (?:license|licence) | agpl
@@ -110,7 +110,7 @@ ecl-2.0 | educational | educational community (?:license|licence)(?: version)?(?
 sspl-1.0 | server | server side public (?:license|licence)(?: v?1)? | sspl 1 0
 elastic-2.0 | elastic | elastic (?:license|licence)(?: version)? 2(?: 0)? | elastic 2 0
 mulan-2.0 | mulan | mulan permissive software (?:license|licence) v?2 | mulanpsl 2 0
-openrail | openrail | open ?rail(?: m)?(?: (?:license|licence))? | openrail
+openrail | openrail | openrail(?: m)?(?: (?:license|licence))? | openrail
 llama-community | llama | llama(?: [23])? community (?:license|licence) | llama
 jquery | jquery | jquery (?:license|licence) | jquery
 json | json | json (?:license|licence) | json
@@ -135,7 +135,7 @@ public-domain | dedicated public | 65 | 0.85 | dedicated to the public domain
 proprietary | proprietary confidential | 60 | 0.8 | proprietary and confidential
 proprietary | permission written | 55 | 0.7 | without (?:the )?(?:prior )?(?:express )?written permission
 proprietary | reproduction prohibited | 55 | 0.7 | reproduction (?:is |or distribution is )?(?:strictly )?prohibited
-no-commercial | commercial noncommercial | 55 | 0.7 | for noncommercial use only
+no-commercial | noncommercial | 55 | 0.7 | for noncommercial use only
 no-commercial | commercial | 55 | 0.7 | (?:for )?non commercial use only
 mit | permission hereby granted | 85 | 0.95 | permission is hereby granted free of charge to any person obtaining a copy
 isc | permission hereby granted | 85 | 0.9 | permission to use copy modify and or distribute this software for any purpose

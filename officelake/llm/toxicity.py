@@ -25,6 +25,8 @@ MODEL_WORDS = 1 << 19
 MODEL_PAIRS = 1 << 18
 #: Labelled rows the curve is fitted on at most.
 CURVE_ROWS = 20_000
+#: Rows of either kind a curve needs at least.
+FEWEST = 5
 #: A word with fewer distinct words before it, in all training text, is pooled as rare: copies of one text give many
 #: counts of its odd words but few contexts.
 MIN_CONTEXTS = 5
@@ -190,10 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     curve = texts(docs).join(small_side(sample), "doc_id").select("doc_id", "text", "label")
     seen = _evidence(curve, model).select("doc_id", "label", "evidence").toPandas().sort_values("doc_id")
     x, y = np.array(seen["evidence"].tolist(), dtype=np.float64).reshape(-1, FEATURES), seen["label"].to_numpy(dtype=np.float64)
-    if 0 < y.sum() < len(y):
+    if FEWEST <= y.sum() <= len(y) - FEWEST:
         model.curve = _rising(x, y)
-    else:  # too few rows for a curve: five nats in a window are as good as certain
-        model.curve = np.array([0.0, 5.0, 0.0, 0.0, -5.0])
+    if not (model.curve[:-1] > 0).any():  # too few rows for a curve: two nats a word in a window are as good as certain
+        model.curve = np.array([0.0, 5.0, 0.0, 0.0, -8.0])
     return model
 
 
