@@ -1,5 +1,4 @@
-"""Bindings: mail, HTML and markdown. Parsing has no SQL counterpart where the text is free; there the tests
-hold the expected texts."""
+"""Bindings: mail, HTML and markdown."""
 
 from __future__ import annotations
 
@@ -54,18 +53,26 @@ def x2(spark, sf):
     return mail.choose_body(parts).select("id", F.lower("body_type").alias("body_type"), "body")
 
 
-@query("x3_mail_content_markdown")
+CLEAN_SQL = html.clean_sql("html")
+MARKDOWN_SQL = html.sql_steps(html.sql_steps("html", html.CLEAN_STEPS), html.MARKDOWN_STEPS)
+
+
+@query(
+    "x3_mail_content_markdown",
+    f"""WITH {MAIL_SQL}, raw AS (SELECT id, CASE WHEN role = 'assistant' THEN '<html><body><p>' || body || '</p></body></html>' ELSE body END AS html FROM mail)
+        SELECT id, {MARKDOWN_SQL} AS value, CAST(NULL AS VARCHAR) AS error FROM raw""",
+)
 def x3(spark, sf):
     out = _raw(spark, sf).select("id", mail.mail_content(F.col("raw"), "md").alias("c"))
     return out.select("id", "c.value", "c.error")
 
 
-@query("x4_html_clean")
+@query("x4_html_clean", f"SELECT page_id, {CLEAN_SQL} AS html FROM pages")
 def x4(spark, sf):
     return inputs.texts(spark, sf, "pages").select("page_id", html.clean(F.col("html")).alias("html"))
 
 
-@query("x5_html_to_markdown")
+@query("x5_html_to_markdown", f"SELECT page_id, {MARKDOWN_SQL} AS value, CAST(NULL AS VARCHAR) AS error FROM pages")
 def x5(spark, sf):
     out = inputs.texts(spark, sf, "pages").select("page_id", html.document_markdown(F.col("html")).alias("m"))
     return out.select("page_id", "m.value", "m.error")
@@ -73,13 +80,14 @@ def x5(spark, sf):
 
 @query(
     "x6_format_conversion",
-    """SELECT page_id, url LIKE '%/en/%' AS converted,
-       CASE WHEN url NOT LIKE '%/en/%' THEN 'cannot convert text/html to text/plain' END AS error FROM pages""",
+    f"""SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN {MARKDOWN_SQL} WHEN url LIKE '%/de/%' THEN {CLEAN_SQL} END AS value,
+        CASE WHEN url NOT LIKE '%/en/%' AND url NOT LIKE '%/de/%' THEN 'no way from text/html to text/plain' END AS error FROM pages""",
 )
 def x6(spark, sf):
-    target = F.when(F.col("url").contains("/en/"), "text/markdown").otherwise("text/plain")
+    url = F.col("url")
+    target = F.when(url.contains("/en/"), "text/markdown").when(url.contains("/de/"), "text/x-clean-html").otherwise("text/plain")
     out = inputs.texts(spark, sf, "pages").select("page_id", html.convert(F.col("html"), F.lit("text/html"), target).alias("c"))
-    return out.select("page_id", F.col("c.value").isNotNull().alias("converted"), "c.error")
+    return out.select("page_id", "c.value", "c.error")
 
 
 @query(

@@ -1,358 +1,103 @@
-"""HTML cleaning and HTML to markdown, as Arrow-batched functions over columns."""
+"""Web pages: cleaning and markdown as chains of built-in string functions, one table of steps for each."""
 
 from __future__ import annotations
 
-import re
-from html import escape
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 VALUE_OR_ERROR = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
 
-# What cleaning removes.
-DROPPED_TAGS = {"style", "script"}
-KEPT_TAGS = {"document", "head", "body"}
-DROPPED_ATTRIBUTES = {
-    "class", "align", "border", "cellpadding", "cellspacing", "id", "background", "role", "type", "valign",
-}
-STYLE_ITEM = re.compile(r"^\s*(\S+)\s*:\s*(.*?)(\s*\!.*)?$", re.S)
-DROPPED_STYLES = re.compile(
-    r"-.*|word-.*|hyphens|float|mso-.*|opacity|text-decoration"
-    r"|.*(?:background|align|border|padding|margin|spacing|width|height|line).*"
-    r"|overflow|visibility|font-family|white-space|font|display",
-    re.I,
-)
-VOID_TAGS = {
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
-    "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
-}
-LETTER = re.compile(r"[a-z0-9]", re.I)
-
-
-class Node:
-    """A tag, a text (``text`` set) or markup without content such as a doctype (``raw`` set)."""
-
-    __slots__ = ("name", "attrs", "children", "parent", "letters", "text", "raw")
-
-    def __init__(self, name=None, attrs=None, parent=None, text=None, raw=None):
-        self.name, self.attrs, self.parent, self.text, self.raw = name, attrs or {}, parent, text, raw
-        self.children, self.letters = [], False
-
-
-class _TreeBuilder(HTMLParser):
-    """Builds the tree; an end tag closes up to the latest open tag of its name, or nothing."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("[document]")
-        self.open: dict[str, int] = {}
-
-    def handle_starttag(self, tag, attrs, closed=False):
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        node.attrs = dict(reversed(node.attrs.items()))
-        self.at.children.append(node)
-        if tag not in VOID_TAGS and not closed:
-            self.at = node
-            self.open[tag] = self.open.get(tag, 0) + 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs, closed=True)
-
-    def handle_endtag(self, tag):
-        while self.open.get(tag):
-            done = self.at.name
-            self.open[done] -= 1
-            self.at = self.at.parent
-            if done == tag:
-                return
-
-    def handle_data(self, data):
-        if not data.strip(" \n\t\f\r") and not (self.open.get("pre") or self.open.get("textarea")):
-            data = "\n" if "\n" in data else " "
-        self.at.children.append(Node(text=data, parent=self.at))
-        if self.at.name not in DROPPED_TAGS and LETTER.search(data):
-            node = self.at
-            while node is not None and not node.letters:
-                node.letters, node = True, node.parent
-
-    def handle_decl(self, decl):
-        self.at.children.append(Node(raw="<!DOCTYPE " + decl[8:] + ">\n", parent=self.at))
-
-
-def parse_html(source: str) -> Node:
-    """The tree of a page; comments and processing instructions are left out."""
-    builder = _TreeBuilder()
-    builder.feed(source)
-    builder.close()
-    return builder.root
-
-
-def _kept_attributes(attrs: dict[str, str]) -> dict[str, str] | None:
-    """Attributes to keep, or None when the style hides the element."""
-    kept = {k: v for k, v in attrs.items() if k not in DROPPED_ATTRIBUTES}
-    if "style" in kept:
-        items = [STYLE_ITEM.match(i) for i in re.split(r"\s*;\s*", kept.pop("style")) if i]
-        styles = {m.group(1): m.group(2) for m in items if m}
-        if styles.get("display") == "none" or styles.get("visibility") == "hidden":
-            return None
-        left = ";".join(f"{k}:{v}" for k, v in styles.items() if not DROPPED_STYLES.fullmatch(k))
-        if left:
-            kept["style"] = left
-    return kept
-
-
-def prune(node: Node) -> bool:
-    """Drop what a cleaned page does not have. Whether a tag has letters is a matter of its own text only, so
-    parents can be judged before their children."""
-    if node.letters is False or node.name in DROPPED_TAGS:
-        if node.name not in KEPT_TAGS:
-            return False
-    todo = [node]
-    while todo:
-        here = todo.pop()
-        left = []
-        for child in here.children:
-            if child.name is not None:
-                if child.name in DROPPED_TAGS or (not child.letters and child.name not in KEPT_TAGS):
-                    continue
-                kept = _kept_attributes(child.attrs)
-                if kept is None:
-                    continue
-                child.attrs = kept
-                todo.append(child)
-            left.append(child)
-        here.children = left
-    return True
-
-
-def _start_tag(node: Node) -> str:
-    out = [node.name]
-    for k, v in node.attrs.items():
-        value = escape(v, quote=False)
-        out.append(f"{k}='{value}'" if '"' in value and "'" not in value else f'{k}="{value.replace(chr(34), "&quot;")}"')
-    return "<" + " ".join(out) + ("/>" if node.name in VOID_TAGS else ">")
-
-
-def to_html(root: Node) -> str:
-    """The markup of a tree."""
-    out: list[str] = []
-    todo: list[Node | str] = list(reversed(root.children))
-    while todo:
-        node = todo.pop()
-        if isinstance(node, str):
-            out.append(node)
-        elif node.name is None:
-            out.append(node.raw if node.raw is not None else escape(node.text, quote=False))
-        else:
-            out.append(_start_tag(node))
-            if node.name not in VOID_TAGS:
-                todo.append(f"</{node.name}>")
-                todo.extend(reversed(node.children))
-    return "".join(out)
-
-
-def clean_html(source: str) -> str:
-    """A page without scripts, styles, hidden and empty elements; '' when nothing is left."""
-    root = parse_html(source)
-    return to_html(root) if prune(root) else ""
-
-
-BLOCKS = {
-    "h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "article", "div", "section", "ol", "ul", "li", "dl", "dt",
-    "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
-}
-MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "code": "`", "kbd": "`", "samp": "`"}
-_EDGES = re.compile(r"^(\n*)((?:.*[^\n])?)(\n*)$", re.S)
-
-
-def _is_block(node: Node | None, outside: bool = False) -> bool:
-    return node is not None and (node.name in BLOCKS or (outside and node.name == "pre"))
-
-
-class _Markdown:
-    """Renders a tree bottom-up; the text of a tag is made of its children's texts."""
-
-    def __init__(self, atx: bool):
-        self.atx = atx
-
-    def children(self, node: Node, inside: frozenset[str]) -> str:
-        kids = [k for k in node.children if k.raw is None]
-        parts: list[str] = [""]
-        for i, kid in enumerate(kids):
-            before = kids[i - 1] if i else None
-            after = kids[i + 1] if i + 1 < len(kids) else None
-            if kid.name is None:
-                left = _is_block(before, True) or (_is_block(node) and before is None)
-                right = _is_block(after, True) or (_is_block(node) and after is None)
-                text = self.text(kid.text, inside, left, right)
-            else:
-                text = self.tag(kid, inside, after)
-            if not text:
-                continue
-            if "pre" in inside:
-                parts.append(text)
-                continue
-            head, body, tail = _EDGES.match(text).groups()
-            if parts[-1].endswith("\n") and not parts[-1].strip("\n") and head:
-                head = "\n" * min(2, max(len(parts.pop()), len(head)))
-            parts += [head, body, tail]
-        return "".join(parts)
-
-    def text(self, text: str, inside: frozenset[str], left: bool, right: bool) -> str:
-        if "pre" in inside:
-            return text
-        text = re.sub(r"[\t ]+", " ", re.sub(r"[ \t\r\n]*[\r\n][ \t\r\n]*", "\n", text))
-        if not text.strip() and (left or right):
-            return ""
-        if "code" not in inside:
-            text = re.sub(r"([*_])", r"\\\1", text)
-        text = text.lstrip(" \t\r\n") if left else text
-        return text.rstrip() if right else text
-
-    def tag(self, node: Node, inside: frozenset[str], after: Node | None) -> str:
-        name = node.name
-        if name in DROPPED_TAGS:
-            return ""
-        within = inside | {name} | ({"inline"} if re.fullmatch(r"h[1-6]|t[dh]", name) else set())
-        within |= {"code"} if name in ("pre", "kbd", "samp") else set()
-        body = self.children(node, frozenset(within))
-        flat = " ".join(body.split())
-        if "inline" in inside and name in ("p", "div", "section", "article", "blockquote"):
-            return f" {body.strip()} "
-        if name in ("p", "div", "section", "article", "dl"):
-            return f"\n\n{body.strip()}\n\n" if body.strip() else ""
-        if re.fullmatch(r"h[1-6]", name):
-            level = int(name[1])
-            if not self.atx and level <= 2:
-                return f"\n\n{flat}\n{'=-'[level - 1] * len(flat)}\n\n" if flat else ""
-            return f"\n\n{'#' * level} {flat}\n\n"
-        if name in MARKS:
-            if "code" in inside or not body.strip():
-                return body
-            lead = " " if body[0] == " " else ""
-            return f"{lead}{MARKS[name]}{body.strip()}{MARKS[name]}{' ' if body[-1] == ' ' else ''}"
-        if name == "a":
-            href, title = node.attrs.get("href", ""), node.attrs.get("title", "")
-            if "code" in inside or not body.strip() or not href:
-                return body
-            text = body.strip()
-            if text.replace("\\_", "_") == href and not title:
-                return f"<{href}>"
-            note = f' "{title}"' if title else ""
-            return f"{' ' if body[0] == ' ' else ''}[{text}]({href}{note}){' ' if body[-1] == ' ' else ''}"
-        if name == "br":
-            return " " if "inline" in inside else "  \n"
-        if name == "hr":
-            return "\n\n---\n\n"
-        if name == "img":
-            alt, note = node.attrs.get("alt", ""), node.attrs.get("title", "")
-            shown = f' "{note}"' if note else ""
-            return alt if "inline" in inside else f"![{alt}]({node.attrs.get('src', '')}{shown})"
-        if name == "pre":
-            return f"\n\n```\n{body}\n```\n\n" if body else ""
-        if name == "blockquote":
-            lines = body.strip(" \t\r\n").split("\n")
-            return "\n" + "\n".join(f"> {x}" if x else ">" for x in lines) + "\n\n" if body.strip() else "\n"
-        if name in ("ul", "ol"):
-            if "li" in inside:
-                return "\n" + body.rstrip()
-            follows = after is not None and after.name not in ("ul", "ol")
-            return f"\n\n{body}" + ("\n" if follows else "")
-        if name == "li":
-            return self.item(node, body.strip())
-        if name in ("td", "th"):
-            return " " + body.strip().replace("\n", " ") + " |"
-        if name == "tr":
-            return self.table_row(node, body)
-        if name == "table":
-            return f"\n\n{body.strip()}\n\n"
-        return body
-
-    def item(self, node: Node, body: str) -> str:
-        if not body:
-            return "\n"
-        parent = node.parent
-        if parent.name == "ol":
-            start = parent.attrs.get("start", "1")
-            place = [k for k in parent.children if k.name == "li"].index(node)
-            bullet = f"{(int(start) if start.isdigit() else 1) + place}. "
-        else:
-            depth = -1
-            while parent is not None:
-                depth += parent.name == "ul"
-                parent = parent.parent
-            bullet = "*+-"[max(depth, 0) % 3] + " "
-        indent = " " * len(bullet)
-        lines = [indent + x if x else "" for x in body.split("\n")]
-        return bullet + "\n".join(lines)[len(bullet) :] + "\n"
-
-    def table_row(self, node: Node, body: str) -> str:
-        cells = [k for k in node.children if k.name in ("td", "th")]
-        rows = [k for k in node.parent.children if k.name == "tr"]
-        first = rows[0] is node
-        heads = all(k.name == "th" for k in cells)
-        if node.parent.name == "tbody":
-            table = node.parent.parent
-            first = first and not any(k.name == "thead" for k in (table.children if table else []))
-        rule = "| " + " | ".join(["---"] * len(cells)) + " |\n"
-        if first and (heads or node.parent.name == "thead"):
-            return f"|{body}\n{rule}"
-        blank = "| " + " | ".join([""] * len(cells)) + " |\n" + rule if first else ""
-        return f"{blank}|{body}\n"
-
-
-def html_to_markdown(source: str, atx: bool = False) -> str:
-    """Markdown of a page."""
-    return _Markdown(atx).children(parse_html(source), frozenset()).strip("\n")
-
-
-def _guarded(fn, *args):
-    """(value, error) of a function over one text."""
-    try:
-        return fn(*args), None
-    except Exception as e:  # one bad page must not fail the others
-        return None, f"{type(e).__name__}: {e}"
-
-
-def clean(c: Column) -> Column:
-    """Cleaned HTML."""
-
-    @F.pandas_udf(T.StringType())
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda s: None if s is None else clean_html(s))
-
-    return run(c)
-
-
-def to_markdown(c: Column, atx: bool = False) -> Column:
-    """Markdown of HTML, as it is."""
-
-    @F.pandas_udf(T.StringType())
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda s: None if s is None else html_to_markdown(s, atx))
-
-    return run(c)
-
-
-def document_markdown(c: Column) -> Column:
-    """struct<value, error>: cleaned HTML as markdown with ``#`` headings and one final newline."""
-
-    @F.pandas_udf(VALUE_OR_ERROR)
-    def run(pages: pd.Series) -> pd.DataFrame:
-        def one(s):
-            return html_to_markdown(clean_html(s), True).strip() + "\n"
-
-        rows = [(None, None) if s is None else _guarded(one, s) for s in pages]
-        return pd.DataFrame(rows, columns=["value", "error"])
-
-    return run(c)
-
-
-def convert(content: Column, source_type: Column, target_type: Column) -> Column:
-    """struct<value, error> of a conversion between media types; only HTML to markdown exists."""
-    known = (source_type == "text/html") & (target_type == "text/markdown")
-    done = document_markdown(F.when(known, content))
-    problem = F.concat(F.lit("cannot convert "), source_type, F.lit(" to "), target_type)
-    return F.struct(done["value"].alias("value"), F.when(~known, problem).otherwise(done["error"]).alias("error"))
+#: What a model has no use for; attributes that only lay out a page.
+LAYOUT_ATTRIBUTES = "class|style|align|border|cellpadding|cellspacing|id|background|role|type|valign"
+TAG = r"<[^<>]+>"
+ATTRIBUTE = rf"""(?i)\s+(?:{LAYOUT_ATTRIBUTES})\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+
+#: (pattern, replacement), in order; groups are written $1. Patterns keep to what any regex engine has.
+CLEAN_STEPS = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
+    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
+    (r"[ \t\r\n\f]+", " "),
+]
+MARKDOWN_STEPS = [
+    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
+    (r"(?i)<!doctype[^>]*>", ""),
+    (r"(?is)<(?:b|strong)\b[^>]*>\s*([^<]*[^<\s])\s*</(?:b|strong)\s*>", "**$1**"),
+    (r"(?is)<(?:i|em)\b[^>]*>\s*([^<]*[^<\s])\s*</(?:i|em)\s*>", "*$1*"),
+    (r"(?is)<code\b[^>]*>([^<]*)</code\s*>", "`$1`"),
+    (r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>\s*([^<]*?)\s*</a\s*>""", "[$2]($1)"),
+    (r"""(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]*)"[^>]*>""", "![]($1)"),
+    *[(rf"(?i)<h{n}\b[^>]*>\s*", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+    (r"(?i)<li\b[^>]*>\s*", "\n* "),
+    (r"(?i)<br\b[^>]*>\s*", "  \n"),
+    (r"(?i)<hr\b[^>]*>\s*", "\n\n---\n\n"),
+    (r"(?i)<blockquote\b[^>]*>\s*", "\n\n> "),
+    (r"(?i)<tr\b[^>]*>\s*", "\n|"),
+    (r"(?i)<t[dh]\b[^>]*>\s*", " "),
+    (r"(?i)\s*</t[dh]\s*>", " |"),
+    (r"(?i)</?(?:p|div|ul|ol|table|section|article|nav|header|footer|main|pre|blockquote|h[1-6])\b[^>]*>\s*", "\n\n"),
+    (r"<[^<>]*>", ""),
+    ("&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+    (r"[ \t]+\n\n", "\n\n"),
+    (r"\n\n[ \t]+", "\n\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+|\s+$", ""),
+]
+
+
+def stepped(text: Column, steps: list[tuple[str, str]]) -> Column:
+    """The text after all steps."""
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def sql_steps(text: str, steps: list[tuple[str, str]]) -> str:
+    """The same steps as nested SQL calls."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    for pattern, replacement in steps:
+        back = replacement.replace("\\", r"\\").replace("$1", r"\1").replace("$2", r"\2")
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(back)}, 'g')"
+    return text
+
+
+def clean(html: Column) -> Column:
+    """The page without comments, scripts, styles, layout attributes and runs of white space."""
+    bare = stepped(html, CLEAN_STEPS)
+    between = F.split(bare, TAG, -1)
+    tags = F.transform(F.regexp_extract_all(bare, F.lit(TAG), F.lit(0)), lambda t: F.regexp_replace(t, ATTRIBUTE, ""))
+    return F.array_join(F.zip_with(between, tags, lambda b, t: F.concat(b, F.coalesce(t, F.lit("")))), "")
+
+
+def clean_sql(html: str) -> str:
+    """``clean`` as SQL."""
+    bare = sql_steps(html, CLEAN_STEPS)
+    attribute = ATTRIBUTE.replace("'", "''")
+    pieces = f"string_split_regex({bare}, '{TAG}')"
+    tags = f"list_transform(regexp_extract_all({bare}, '{TAG}'), lambda t: regexp_replace(t, '{attribute}', '', 'g'))"
+    return f"list_reduce(list_transform(list_zip({pieces}, {tags}), lambda z: z[1] || coalesce(z[2], '')), lambda a, b: a || b)"
+
+
+def to_markdown(html: Column) -> Column:
+    """Headings, emphasis, links, lists, tables and paragraphs of the page as markdown; all other markup is dropped."""
+    return stepped(stepped(html, CLEAN_STEPS), MARKDOWN_STEPS)
+
+
+def document_markdown(html: Column) -> Column:
+    """struct<value, error>: the page as markdown; a page without any text is an error."""
+    text = to_markdown(html)
+    return F.struct(F.when(text != "", text).alias("value"), F.when(text == "", "the page has no text").alias("error"))
+
+
+def convert(content: Column, source: Column, target: Column) -> Column:
+    """struct<value, error>: content from one media type in another, where there is a way."""
+    html, same = source == "text/html", source == target
+    value = F.when(same, content).when(html & (target == "text/markdown"), to_markdown(content)).when(html & (target == "text/x-clean-html"), clean(content))
+    known = same | (html & target.isin("text/markdown", "text/x-clean-html"))
+    return F.struct(value.alias("value"), F.when(~known, F.concat(F.lit("no way from "), source, F.lit(" to "), target)).alias("error"))

@@ -1,80 +1,88 @@
-"""Mail parsing: RFC 822 bytes to headers, main body and content, as Arrow-batched functions over columns."""
+"""Mail as columns: raw messages to headers, parts and main body, and encoded header words, all by built-in functions."""
 
 from __future__ import annotations
 
-import email
-import email.header
-import email.policy
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from officelake.functions import html
 
-from officelake.functions.html import VALUE_OR_ERROR, clean_html, html_to_markdown
+BLANK_LINE = r"\r?\n\r?\n"
+ENCODED_WORD = r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?="
 
-_HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
-PARSED = T.StructType(
-    [
-        T.StructField("headers", T.ArrayType(_HEADER)),
-        T.StructField("body_type", T.StringType()),
-        T.StructField("body", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
 
+def header_fields(head: Column) -> Column:
+    """array<struct<name, value>> of a header block; folded lines are joined."""
+    lines = F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n")
+    fields = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
+    return F.transform(
+        fields, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.regexp_replace(x, r"^[^:]*:\s*|\s+$", "").alias("value"))
+    )
+
+
+def field(head: Column, name: str) -> Column:
+    """The value of one header of a block, '' without it."""
+    return F.regexp_extract(F.regexp_replace(head, r"\r?\n[ \t]+", " "), rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
-def _body(message) -> tuple[str | None, str]:
-    """(media type, text) of the main body: html before plain text."""
-    part = message.get_body(("html", "plain", "related"))
-    if part is None:
-        raise ValueError("No email body found.")
-    if not part.get_payload():
-        return None, ""
-    if part.is_attachment():
-        raise ValueError("The body is an attachment.")
-    return part.get_content_type(), part.get_content()
 
+def percent_decoded(text: Column) -> Column:
+    """Text whose bytes were written =XX."""
+    safe = F.regexp_replace(F.regexp_replace(text, "%", "%25"), r"\+", "%2B")
+    return F.try_url_decode(F.regexp_replace(safe, r"=([0-9A-Fa-f]{2})", "%$1"))
 
-def _read(raw: bytes):
-    message = email.message_from_bytes(bytes(raw), policy=email.policy.default)
-    headers = [{"name": k, "value": str(v)} for k, v in message.items()]
-    try:
-        return headers, *_body(message), None
-    except Exception as e:  # one bad mail must not fail the others
-        return headers, None, None, f"{type(e).__name__}: {e}"
 
+def transferred(content: Column, encoding: Column) -> Column:
+    """A part's text as its transfer encoding has it (UTF-8)."""
+    quoted = percent_decoded(F.regexp_replace(content, r"=\r?\n", ""))
+    packed = F.decode(F.unbase64(F.regexp_replace(content, r"\s", "")), "UTF-8")
+    return F.when(encoding == "base64", packed).when(encoding == "quoted-printable", quoted).otherwise(content)
 
-@F.pandas_udf(PARSED)
-def _parse(raws: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None, None) if r is None else _read(r) for r in raws]
-    return pd.DataFrame(rows, columns=["headers", "body_type", "body", "error"])
+
+def message_parts(text: Column) -> Column:
+    """array<struct<mime_type, attached, content>>: every part that isn't a container, whatever its depth.
+
+    All boundaries a message names are looked for at once, so nesting needs no recursion.
+    """
+    bounds = F.regexp_extract_all(text, F.lit(r"""(?i)boundary\s*=\s*"?([^"\s;]+)"""), F.lit(1))
+    marks = F.array_join(F.transform(bounds, lambda b: F.concat(F.lit(r"\Q--"), b, F.lit(r"\E(?:--)?[ \t]*\r?\n?"))), "|")
+    chunks = F.when(F.size(bounds) > 0, F.slice(F.split(text, marks, -1), 2, 1 << 30)).otherwise(F.array(text))
+
+    def part(chunk: Column) -> Column:
+        halves = F.split(chunk, BLANK_LINE, 2)
+        head, body = halves[0], F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        kind = F.lower(F.trim(F.substring_index(field(head, "content-type"), ";", 1)))
+        content = transferred(body, F.lower(F.trim(field(head, "content-transfer-encoding"))))
+        return F.struct(
+            F.when(kind == "", "text/plain").otherwise(kind).alias("mime_type"),
+            F.lower(field(head, "content-disposition")).startswith("attachment").alias("attached"),
+            content.alias("content"),
+        )
+
+    return F.filter(F.transform(chunks, part), lambda p: ~p["mime_type"].startswith("multipart/") & (p["content"] != ""))
 
 
 def parse_mail(raw: Column) -> Column:
-    """struct<headers, body_type, body, error> of raw mail bytes."""
-    return _parse(raw)
+    """struct<headers, body_type, body, error> of raw mail bytes: the first html part that is no attachment, else the
+    first plain one; no such part is an error unless the message has no content at all.
+    """
+    text = F.decode(raw, "UTF-8")
+    parts = message_parts(text)
+    of = lambda kind: F.get(F.filter(parts, lambda p: (p["mime_type"] == kind) & ~p["attached"]), F.lit(0))
+    body = F.coalesce(of("text/html"), of("text/plain"))
+    return F.struct(
+        header_fields(F.split(text, BLANK_LINE, 2)[0]).alias("headers"),
+        body["mime_type"].alias("body_type"),
+        F.when(F.size(parts) == 0, F.lit("")).otherwise(body["content"]).alias("body"),
+        F.when((F.size(parts) > 0) & body.isNull(), "only attachments").alias("error"),
+    )
 
 
 def mail_content(raw: Column, output: str = "raw") -> Column:
     """struct<value, error>: the main body as it is (``raw``), cleaned (``clean``) or as markdown (``md``)."""
-    if output not in ("raw", "clean", "md"):
+    ways = {"raw": lambda c: c, "clean": html.clean, "md": html.to_markdown}
+    if output not in ways:
         raise ValueError(f"unknown output {output!r}")
-
-    @F.pandas_udf(VALUE_OR_ERROR)
-    def run(raws: pd.Series) -> pd.DataFrame:
-        def one(r):
-            _, _, body, error = _read(r)
-            if error or not body or output == "raw":
-                return body, error
-            try:
-                cleaned = clean_html(body)
-                return (cleaned if output == "clean" else html_to_markdown(cleaned)), None
-            except Exception as e:  # one bad body must not fail the others
-                return None, f"{type(e).__name__}: {e}"
-
-        rows = [(None, None) if r is None else one(r) for r in raws]
-        return pd.DataFrame(rows, columns=["value", "error"])
-
-    return run(raw)
+    parsed = parse_mail(raw)
+    return F.struct(ways[output](parsed["body"]).alias("value"), parsed["error"].alias("error"))
 
 
 def choose_body(parts: DataFrame, key: str = "id") -> DataFrame:
@@ -99,18 +107,19 @@ def choose_body(parts: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def _decode_words(text: str) -> str:
-    pieces = email.header.decode_header(text)
-    return "".join(p.decode(c or "ascii", "ignore") if isinstance(p, bytes) else p for p, c in pieces)
-
+def decode_header(c: Column) -> Column:
+    """Header text with encoded words (UTF-8; base64 words also Latin-1) in place; '' becomes null.
 
-@F.pandas_udf(T.StringType())
-def _decode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else _decode_words(s))
+    White space between two encoded words belongs to neither.
+    """
+    tight = F.regexp_replace(c, r"\?=\s+=\?", "?==?")
+    words = F.regexp_extract_all(tight, F.lit(ENCODED_WORD), F.lit(0))
 
+    def word(w: Column) -> Column:
+        charset, coding, content = (F.regexp_extract(w, ENCODED_WORD, g) for g in (1, 2, 3))
+        packed = F.unbase64(content)
+        plain = F.when(F.lower(charset) == "iso-8859-1", F.decode(packed, "ISO-8859-1")).otherwise(F.decode(packed, "UTF-8"))
+        return F.when(F.lower(coding) == "b", plain).otherwise(percent_decoded(F.regexp_replace(content, "_", " ")))
 
-def decode_header(c: Column) -> Column:
-    """Header text with encoded words decoded; '' becomes null. Only encoded headers reach Python."""
-    encoded = c.contains("=?")
-    text = F.when(encoded, _decode(F.when(encoded, c))).otherwise(c)
-    return F.nullif(text, F.lit(""))
+    mixed = F.zip_with(F.split(tight, ENCODED_WORD, -1), F.transform(words, word), lambda p, w: F.concat(p, F.coalesce(w, F.lit(""))))
+    return F.nullif(F.when(c.contains("=?"), F.array_join(mixed, "")).otherwise(c), F.lit(""))

@@ -1,207 +1,107 @@
-"""Markdown to block rows with inline spans in UTF-16 offsets."""
+"""Markdown text to block rows: lines are rows, blocks are runs of lines, all in DataFrame operations."""
 
 from __future__ import annotations
 
-import re
-from html import unescape
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-SPAN = T.StructType(
-    [
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("style", T.StringType()),
-        T.StructField("url", T.StringType()),
-    ]
-)
-BLOCK = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("ordered", T.BooleanType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("spans", T.ArrayType(SPAN)),
-    ]
-)
-_ITEM = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])(?:\s+(.*)|\s*)$", re.S)
-_HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_INDENTED = re.compile(r"^ {0,3}(\.+) (.*)$")
-_RULE = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
-_INLINE = re.compile(
-    r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<hard>(?: {2,}|\\)\n)|(?P<soft> ?\n)"
-    r"|(?P<ticks>`+)(?P<code>.+?)(?<!`)(?P=ticks)(?!`)"
-    r"|!\[(?P<alt>[^\]]*)\]\([^)]*\)"
-    r"|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\]\((?P<url>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"[^\"]*\")?\)"
-    r"|<(?P<auto>https?://[^>\s]+)>|(?P<bare>https?://[^\s<]*[^\s<.,:;!?\"'\])*_~])"
-    r"|(?P<html></?[a-zA-Z][^>]*>)|(?P<mark>\*{1,3}|_{1,3}|~~)",
-    re.S,
-)
-_STYLES = {"**": "strong", "__": "strong", "*": "em", "_": "em", "~~": "s"}
-
-
-def _units(s: str) -> int:
-    return len(s) + sum(ord(c) > 0xFFFF for c in s)
-
-
-class _Inline:
-    """Text and spans of one inline run."""
-
-    def __init__(self):
-        self.text, self.spans = "", []
-
-    def feed(self, source: str) -> None:
-        opened: list[tuple[str, int, int]] = []  # mark, offset, length of text before it
-        end = 0
-        for m in _INLINE.finditer(source):
-            if m.start() < end:
-                continue
-            self.text += unescape(source[end : m.start()])
-            end = m.end()
-            kind = m.lastgroup if m.lastgroup != "code" else "ticks"
-            if m["esc"]:
-                self.text += m["esc"][1]
-            elif m["hard"]:
-                self.text += "\v"
-            elif m["soft"]:
-                self.text += " "
-            elif m["code"] is not None:
-                code = m["code"].replace("\n", " ")
-                if code.strip() and code[0] == code[-1] == " ":
-                    code = code[1:-1]
-                self.span("code", lambda c=code: self.add(c))
-            elif m["label"] is not None:
-                self.span("link", lambda t=m["label"]: self.feed(t), m["url"])
-            elif m["auto"] or m["bare"]:
-                url = m["auto"] or m["bare"]
-                self.span("link", lambda u=url: self.add(u), url)
-            elif m["mark"]:
-                self.mark(m["mark"], source, m.start(), m.end(), opened)
-            elif kind == "html" or m["alt"] is not None:
-                pass  # neither raw markup nor pictures have a place in the text
-        self.text += unescape(source[end:])
-        for mark, _, at in reversed(opened):  # marks never closed are plain text
-            self.text = self.text[:at] + mark + self.text[at:]
-            grow = _units(mark)
-            cut = _units(self.text[:at])
-            self.spans = [
-                (s + grow if s >= cut else s, e + grow if e > cut else e, k, u) for s, e, k, u in self.spans
-            ]
-
-    def add(self, text: str) -> None:
-        self.text += text
-
-    def span(self, style: str, write, url: str | None = None) -> None:
-        start = _units(self.text)
-        write()
-        self.spans.append((start, _units(self.text), style, url))
-
-    def mark(self, mark: str, source: str, start: int, end: int, opened: list) -> None:
-        before = source[start - 1] if start else " "
-        after = source[end] if end < len(source) else " "
-        inside_word = mark[0] == "_" and before.isalnum() and after.isalnum()
-        closes, opens = not before.isspace() and not inside_word, not after.isspace() and not inside_word
-        while mark:
-            if closes and opened and mark.startswith(opened[-1][0]) and opened[-1][2] < len(self.text):
-                done, at, _ = opened.pop()
-                self.spans.append((at, _units(self.text), _STYLES[done], None))
-                mark = mark[len(done) :]
-            elif opens:
-                part = mark[:2] if len(mark) != 1 else mark
-                opened.append((part, _units(self.text), len(self.text)))
-                mark = mark[len(part) :]
-            else:
-                self.text += mark
-                return
-
-
-def _block(kind: str, lines: list[str], level: int = 0, ordered: bool | None = None):
-    inline = _Inline()
-    inline.feed("\n".join(x.lstrip() for x in lines).rstrip())
-    if not inline.text:
-        return None
-    spans = [dict(zip(("start", "end", "style", "url"), s)) for s in sorted(inline.spans, key=lambda s: s[0])]
-    return {"kind": kind, "level": level, "ordered": ordered, "text": inline.text, "spans": spans}
-
-
-def markdown_blocks(source: str) -> list[dict]:
-    """Blocks of a markdown text in document order."""
-    found: list = []
-    lines: list[str] = []  # of the open paragraph or list item
-    current: tuple[str, int, bool | None] = ("paragraph", 0, None)
-    lists: list[tuple[int, bool]] = []  # content column and orderedness per open list level
-    fence = None
-    blank = True
-
-    def close() -> None:
-        nonlocal lines, current
-        if lines:
-            found.append(_block(current[0], lines, current[1], current[2]))
-        lines, current = [], ("paragraph", 0, None)
-
-    for line in [*source.expandtabs(4).split("\n"), ""]:
-        bare = line.strip()
-        if fence:
-            if bare.startswith(fence) and not bare.strip(fence[0]):
-                fence = None
-            continue
-        column = len(line) - len(line.lstrip())
-        if not bare:
-            close()
-            blank = True
-            continue
-        item = _ITEM.match(line)
-        while lists and column < lists[-1][0] and not (item and not blank and column >= lists[-1][0]):
-            if not blank and not item and lines:
-                break  # a lazy line goes on with the open item
-            lists.pop()
-        if re.match(r"^ {0,3}(```+|~~~+)", line):
-            close()
-            fence = re.match(r"`+|~+", bare).group(0)
-        elif lines and not lists and current[0] == "paragraph" and re.fullmatch(r" {0,3}(=+|-+) *", line):
-            current = ("heading", 1 if bare[0] == "=" else 2, None)
-            close()
-        elif _RULE.match(line):
-            close()
-            lists.clear()
-        elif _HEADING.match(line):
-            close()
-            hashes, text = _HEADING.match(line).groups()
-            found.append(_block("heading", [text or ""], len(hashes)))
-        elif item and (item[3] or not lines or current[0] == "list_item"):
-            close()
-            marker, ordered = item[2], item[2][0].isdigit()
-            lists.append((len(item[1]) + len(marker) + 1, ordered))
-            current = ("list_item", len(lists) - 1, ordered)
-            lines = [item[3]] if item[3] else []
-        elif _INDENTED.match(line) and not lists:
-            dots, text = _INDENTED.match(line).groups()
-            if lines and current[0] == "indented" and current[1] == len(dots):
-                lines.append(text)
-            else:
-                close()
-                current, lines = ("indented", len(dots), None), [text]
-        elif column >= 4 and not lines and not lists:
-            pass  # code blocks are not inserted
-        elif lines:
-            lines.append(line)
-        else:
-            text = re.sub(r"^\s*>+ ?", "", line)
-            current = ("list_item", len(lists) - 1, lists[-1][1]) if lists else ("paragraph", 0, None)
-            lines = [text]
-        blank = False
-    close()
-    return [b for b in found if b]
-
-
-@F.pandas_udf(T.ArrayType(BLOCK))
-def _blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else markdown_blocks(s))
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+HEADING = r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
+ITEM = r"^(\s*)(?:[*+-]|\d+[.)])\s+(.*)$"
+INDENTED = r"^(\.{3,})\s+(.*)$"
+STRONG_OR_LINK = r"\*\*([^*]+)\*\*|\[([^\]]*)\]\(([^)\s]*)\)"
+SPAN = "array<struct<start:int,end:int,style:string,url:string>>"
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 units, as document positions count."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def inline(text: Column) -> Column:
+    """struct<text, spans>: bold and linked parts without their marks, and where they stand."""
+    marks = F.regexp_extract_all(text, F.lit(STRONG_OR_LINK), F.lit(0))
+    between = F.split(text, STRONG_OR_LINK, -1)
+
+    def one(gap: Column, mark: Column) -> Column:
+        strong, title, url = (F.regexp_extract(mark, STRONG_OR_LINK, g) for g in (1, 2, 3))
+        bold = mark.startswith("**")
+        return F.struct(
+            gap.alias("gap"), F.when(bold, strong).otherwise(title).alias("inner"),
+            F.when(bold, "strong").otherwise("link").alias("style"), F.when(~bold, url).alias("url"),
+        )
+
+    pairs = F.zip_with(F.slice(between, 1, F.size(marks)), marks, one)
+    start = F.struct(F.lit("").alias("text"), F.array().cast(SPAN).alias("spans"))
+    folded = F.aggregate(
+        pairs,
+        start,
+        lambda acc, p: F.struct(
+            F.concat(acc["text"], p["gap"], p["inner"]).alias("text"),
+            F.concat(
+                acc["spans"],
+                F.array(
+                    F.struct(
+                        units(F.concat(acc["text"], p["gap"])).alias("start"),
+                        units(F.concat(acc["text"], p["gap"], p["inner"])).alias("end"),
+                        p["style"].alias("style"),
+                        p["url"].alias("url"),
+                    )
+                ).cast(SPAN),
+            ).alias("spans"),
+        ),
+    )
+    return F.struct(F.concat(folded["text"], F.element_at(between, -1)).alias("text"), folded["spans"].alias("spans"))
 
 
 def block_rows(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
-    """One row per block with its number; insert them by falling number to get them in order."""
-    parsed = df.select(key, _blocks(F.col(text)).alias("_b"))
-    blocks = parsed.select(key, F.posexplode_outer("_b").alias("block_no", "b")).where(F.col("block_no").isNotNull())
-    return blocks.select(key, "block_no", "b.*")
+    """One row per block with its number, kind, level, text and spans.
+
+    Headings are blocks of one line; an item, an indented block (dots) or a paragraph goes on over plain lines up to a
+    blank one. An item's level is its indent in steps of two. A line that ends in two spaces keeps its break as a
+    vertical tab. Windows are over the lines of one document, which came in as one row.
+    """
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    kind = (
+        F.when(F.trim(line) == "", "blank")
+        .when(line.rlike(HEADING), "heading")
+        .when(line.rlike(ITEM), "list_item")
+        .when(line.rlike(INDENTED), "indented")
+        .otherwise("text")
+    )
+    order = Window.partitionBy(key).orderBy("line_no")
+    before = F.lag("kind").over(order)
+    opens = F.col("kind").isin("heading", "list_item", "indented") | (
+        (F.col("kind") == "text") & (before.isNull() | before.isin("blank", "heading"))
+    )
+    lines = lines.withColumn("kind", kind).withColumn("opens", opens.cast("int")).withColumn("block", F.sum("opens").over(order))
+    level = (
+        F.when(F.col("kind") == "heading", F.length(F.regexp_extract(line, HEADING, 1)))
+        .when(F.col("kind") == "list_item", F.floor(F.length(F.regexp_extract(line, ITEM, 1)) / 2))
+        .when(F.col("kind") == "indented", F.length(F.regexp_extract(line, INDENTED, 1)))
+        .otherwise(0)
+    )
+    bare = (
+        F.when(F.col("kind") == "heading", F.regexp_extract(line, HEADING, 2))
+        .when(F.col("kind") == "list_item", F.regexp_extract(line, ITEM, 2))
+        .when(F.col("kind") == "indented", F.regexp_extract(line, INDENTED, 2))
+        .otherwise(F.regexp_replace(line, r"^\s+", ""))
+    )
+    joint = F.when(line.endswith("  "), "\v").otherwise(" ")
+    rows = lines.where("kind <> 'blank'").select(key, "block", "line_no", "kind", level.cast("int").alias("level"), F.rtrim(bare).alias("bare"), joint.alias("joint"))
+    blocks = rows.groupBy(key, "block").agg(
+        F.min_by("kind", "line_no").alias("kind"),
+        F.min_by("level", "line_no").alias("level"),
+        F.array_sort(F.collect_list(F.struct("line_no", "bare", "joint"))).alias("lines"),
+    )
+    whole = F.array_join(F.transform("lines", lambda x: F.concat(x["bare"], x["joint"])), "")
+    done = blocks.withColumn("inline", inline(F.substring(whole, F.lit(1), F.length(whole) - 1)))
+    done = done.where("inline.text <> ''")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("block")) - 1
+    return done.select(
+        key,
+        number.cast("int").alias("block_no"),
+        F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind")).alias("kind"),
+        "level",
+        "inline.text",
+        "inline.spans",
+    )
