@@ -19,7 +19,7 @@ def _cell(**value):
 
 def _grid(spark, sf):
     """A grid per order from row 2 on: ragged cells, blank rows for returned lines."""
-    rows = ordinal(table(spark, sf, "lineitem"), ["l_orderkey"], [F.col(c) for c in inputs.LINE_ORDER], "_n")
+    rows = ordinal(table(spark, sf, "lineitem"), ["l_orderkey"], [F.col(c) for c in inputs.LINE_ORDER], "_n", bounded=True)
     full = F.array(
         _cell(numberValue=F.col("l_quantity")),
         _cell(stringValue=F.col("l_linestatus")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from officelake.catalog import query
 from officelake.catalog.functions import prompt_hash_sql
 from officelake.inference import cache, model
-from officelake.inference.stub import LISTS, SINGLE
+from officelake.inference.stub import LISTS, SINGLE, weight
 from officelake.operators.filters import route, unprocessed
 from officelake.operators.ordering import batches, last_wins
 from officelake.plans import inputs
@@ -18,8 +18,13 @@ from officelake.sinks.store import TableStore
 CATEGORY_SQL = "['useful', 'unknown', 'other', 'news', 'spam'][{n} % 5 + 1]"
 
 
+def weight_sql(text: str) -> str:
+    """The stub's weight of a prompt, as SQL."""
+    return f"(length({text}) + 31 * (length({text}) - length(replace({text}, 'e', ''))))"
+
+
 def answer_sql(id_json: str, n: str) -> str:
-    """The stub's answer to a prompt of n characters."""
+    """The stub's answer to a prompt of weight n."""
     full = f"""'{{"id": ' || {id_json} || ', "category": "' || {CATEGORY_SQL.format(n=n)} || '"}}'"""
     broken = f"CASE WHEN {n} % 7 = 0 THEN left({full}, -1) ELSE {full} END"
     return f"CASE WHEN {n} % 3 = 0 THEN '```json' || chr(10) || {broken} || chr(10) || '```' ELSE {broken} END"
@@ -29,12 +34,13 @@ def _prompt():
     return F.concat(F.lit("id: "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
 
 
-PROMPTS_SQL = "p AS (SELECT doc_id, length('id: ' || doc_id || chr(10) || text) AS size FROM documents)"
+PROMPT_WEIGHT_SQL = weight_sql("('id: ' || doc_id || chr(10) || text)")
+PROMPTS_SQL = f"p AS (SELECT doc_id, {PROMPT_WEIGHT_SQL} AS size FROM documents)"
 
 
 @query(
     "m1_generate_text",
-    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, least(size, 20000) + 3 AS n FROM p)
+    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, size + 3 AS n FROM p)
         SELECT doc_id, {answer_sql("'" + '"' + "' || doc_id || '" + '"' + "'", 'n')} AS answer, CAST(NULL AS VARCHAR) AS error FROM q""",
 )
 def m1(spark, sf):
@@ -45,7 +51,7 @@ def m1(spark, sf):
 
 @query(
     "m2_generate_json",
-    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, least(size, 20000) AS n FROM p)
+    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, size AS n FROM p)
         SELECT doc_id, {CATEGORY_SQL.format(n='n')} AS category, CAST(NULL AS VARCHAR) AS error FROM q""",
 )
 def m2(spark, sf):
@@ -54,12 +60,12 @@ def m2(spark, sf):
     return out.select("doc_id", F.get_json_object("result.json", "$.category").alias("category"), "result.error")
 
 
-INSTRUCTIONS_SIZE = len(model.object_instructions(model.ANSWER_ROW)) + 1
+INSTRUCTIONS_SIZE = weight(model.object_instructions(model.ANSWER_ROW)) + 1
 
 
 @query(
     "m3_generate_object",
-    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, least(size, 20000) + {INSTRUCTIONS_SIZE} AS n FROM p)
+    f"""WITH {PROMPTS_SQL}, q AS (SELECT doc_id, size + {INSTRUCTIONS_SIZE} AS n FROM p)
         SELECT CAST(doc_id AS VARCHAR) AS id, {CATEGORY_SQL.format(n='n')} AS category, CAST(NULL AS VARCHAR) AS error FROM q""",
 )
 def m3(spark, sf):
@@ -94,7 +100,7 @@ def m5(spark, sf):
 
 @query(
     "m6_refinement",
-    f"""WITH {CATEGORIES_SQL}, q AS (SELECT c.id, c.category, least(length('id: ' || c.id || chr(10) || text), 20000) AS n
+    f"""WITH {CATEGORIES_SQL}, q AS (SELECT c.id, c.category, {PROMPT_WEIGHT_SQL} AS n
             FROM categories c JOIN documents ON doc_id = c.id)
         SELECT id, CASE WHEN category IN ('unknown', 'other') THEN {CATEGORY_SQL.format(n='n')} ELSE category END AS category FROM q""",
 )
@@ -112,7 +118,7 @@ def m6(spark, sf):
 
 @query(
     "c2_cached_call",
-    f"""WITH q AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations)
+    f"""WITH q AS (SELECT conv_id, turn, text, {weight_sql('text')} AS n FROM conversations)
         SELECT conv_id, turn, {answer_sql("'null'", 'n')} AS value,
         {prompt_hash_sql('text')} AS args_hash, 'Stub_query(single)' AS reg_key FROM q""",
 )

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from officelake.catalog import query
 from officelake.catalog.bus_and_rules import LOG_SQL, log
 from officelake.catalog.functions import TODO_SQL, TRIAGE_SETTINGS, _triage_sql
-from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, classify_prompt
+from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, PROMPT_WEIGHT_SQL, classify_prompt, weight_sql
 from officelake.functions.jsons import decode_json
 from officelake.functions.template import Template
 from officelake.inference import model
-from officelake.inference.stub import EDITS, LISTS, SINGLE
+from officelake.inference.stub import EDITS, LISTS, SINGLE, weight
 from officelake.operators.ordering import batches
 from officelake.plans import inputs, jobs
 from officelake.plans.inputs import ITEMS_SQL, MAIL_SQL, table
@@ -43,7 +43,7 @@ def _done(spark, sf):
 
 @query(
     "e2e0_categorise_new_documents",
-    f"""WITH q AS (SELECT doc_id, least(length('id: ' || doc_id || chr(10) || text), 20000) AS n FROM documents
+    f"""WITH q AS (SELECT doc_id, {PROMPT_WEIGHT_SQL} AS n FROM documents
                    WHERE doc_id NOT IN (SELECT doc_id FROM labels))
         SELECT CAST(doc_id AS VARCHAR) AS id, {CATEGORY_SQL.format(n='n')} AS category FROM q
         UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN toxic = 1 THEN 'other' WHEN quality = 1 THEN 'useful' ELSE 'unknown' END FROM labels""",
@@ -55,7 +55,7 @@ def e2e0(spark, sf):
 
 
 TRIAGE_HEAD_SQL = """'id: ' || id || chr(10) || 'Subject: ' || subject || chr(10) || 'From: ' || senders || chr(10) || 'Received: ' || received_date"""
-ANALYSIS_INSTRUCTIONS = len(model.object_instructions(jobs.ANALYSIS_ANSWER)) + 1
+ANALYSIS_INSTRUCTIONS = weight(model.object_instructions(jobs.ANALYSIS_ANSWER)) + 1
 
 
 def _messages(spark, sf):
@@ -68,7 +68,7 @@ def _by_date():
 
 @query(
     "e2e1_mail_triage",
-    f"""WITH {MAIL_SQL}, q AS (SELECT id, subject, least(length({_triage_sql('(' + TRIAGE_HEAD_SQL + ')', 'body')}), 20000) + {ANALYSIS_INSTRUCTIONS} AS n FROM mail)
+    f"""WITH {MAIL_SQL}, q AS (SELECT id, subject, {weight_sql('(' + _triage_sql('(' + TRIAGE_HEAD_SQL + ')', 'body') + ')')} + {ANALYSIS_INSTRUCTIONS} AS n FROM mail)
         SELECT id, 'mail' AS type, {CATEGORY_SQL.format(n='n')} AS category, subject, id || '.msg' AS path FROM q""",
 )
 def e2e1(spark, sf):
@@ -124,7 +124,7 @@ def _place(spark, sf):
 
 @query(
     "e2e3_categorise_and_refine",
-    f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars, least(length('id: ' || doc_id || chr(10) || text), 20000) AS n FROM documents
+    f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars, {PROMPT_WEIGHT_SQL} AS n FROM documents
                    WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
         f AS (SELECT *, {CATEGORY_SQL.format(n='n_chars')} AS first FROM p)
         SELECT id, CASE WHEN first IN ('unknown', 'other') THEN {CATEGORY_SQL.format(n='n')} ELSE first END AS category FROM f""",
@@ -165,7 +165,7 @@ _CHECK_SQL = """'id: ' || doc_id || chr(10) || 'Check the document below and sug
 
 @query(
     "e2e6_self_check",
-    f"""WITH q AS (SELECT doc_id, least(length({_CHECK_SQL}), 20000) + {INSTRUCTIONS_SIZE} AS n FROM documents WHERE lang <> 'fr')
+    f"""WITH q AS (SELECT doc_id, {weight_sql('(' + _CHECK_SQL + ')')} + {INSTRUCTIONS_SIZE} AS n FROM documents WHERE lang <> 'fr')
         SELECT doc_id, {CATEGORY_SQL.format(n='n')} AS category FROM q""",
 )
 def e2e6(spark, sf):

@@ -198,7 +198,7 @@ def j4(spark, sf):
 
 @query(
     "j5_children_in_order",
-    f"""WITH {ITEMS_SQL} SELECT o_orderkey AS analysis_id, CAST(0 AS BIGINT) AS chunk,
+    f"""WITH {ITEMS_SQL} SELECT o_orderkey AS analysis_id,
         coalesce(string_agg(title, ',' ORDER BY action_number), '') AS titles
         FROM orders LEFT JOIN items ON analysis_id = o_orderkey GROUP BY o_orderkey""",
 )
@@ -319,14 +319,14 @@ def a1(spark, sf):
 
 @query(
     "a2_to_list",
-    f"""WITH {ITEMS_SQL} SELECT analysis_id, CAST(0 AS BIGINT) AS chunk,
+    f"""WITH {ITEMS_SQL} SELECT analysis_id,
         string_agg(l_linenumber || ':' || l_suppkey, ' ' ORDER BY action_number) AS edits
         FROM items GROUP BY analysis_id""",
 )
 def a2(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "analysis_id")
     item = F.concat_ws(":", "l_linenumber", "l_suppkey")
-    out = ordering.chunked_lists(li, ["analysis_id"], [F.col(c) for c in inputs.LINE_ORDER], item, name="edits")
+    out = ordering.ordered_lists(li, ["analysis_id"], [F.col(c) for c in inputs.LINE_ORDER], item, name="edits")
     return out.withColumn("edits", F.array_join("edits", " "))
 
 

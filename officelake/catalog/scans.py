@@ -31,12 +31,12 @@ def s2(spark, sf):
 @query(
     "s3_search_expand",
     f"""WITH {MAIL_SQL}, ids AS (
-        SELECT id FROM mail WHERE contains(body, 'the') ORDER BY received_date DESC, id LIMIT 500)
+        SELECT id FROM mail WHERE contains(body, 'the'))
         SELECT m.id, m.senders, m.subject, m.received_date, m.body FROM ids JOIN mail m ON m.id = ids.id""",
 )
 def s3(spark, sf):
     mail = inputs.mail(spark, sf)
-    ids = mailbox.fetch_ids(mail, F.col("body").contains("the"), _newest_first())
+    ids = mailbox.generate_ids(mail, F.col("body").contains("the"))
     return mailbox.search_expand(ids, mail.select("id", "senders", "subject", "received_date", "body"))
 
 
@@ -248,7 +248,7 @@ def s15(spark, sf):
         level, heading_id, text FROM elements""",
 )
 def s16(spark, sf):
-    from officelake.operators.ordering import chunked_lists
+    from officelake.operators.ordering import ordered_lists
 
     e = inputs.elements(spark, sf)
     item = F.struct(
@@ -256,7 +256,7 @@ def s16(spark, sf):
         F.col("end_index").alias("endIndex"),
         F.struct(F.col("level").alias("namedStyleType"), F.col("heading_id").alias("headingId"), "text").alias("paragraph"),
     )
-    docs = chunked_lists(e, ["doc_id"], [F.col("pos")], item, 1 << 30, "content")
+    docs = ordered_lists(e, ["doc_id"], [F.col("pos")], item, "content")
     json = docs.select(
         F.to_json(
             F.struct(F.col("doc_id").cast("string").alias("documentId"), F.struct("content").alias("body"))

@@ -348,7 +348,7 @@ def k17(spark, sf):
 
 @query(
     "k19_digest",
-    f"""WITH {CATEGORIES_SQL} SELECT category, count(*) AS items, CAST(0 AS BIGINT) AS chunk,
+    f"""WITH {CATEGORIES_SQL} SELECT category, count(*) AS items,
         string_agg(id || ' ' || split_part(text, chr(10), 1), chr(10) ORDER BY id) AS summary
         FROM categories JOIN documents ON doc_id = id GROUP BY category""",
 )

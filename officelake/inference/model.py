@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from officelake.functions.html import VALUE_OR_ERROR
 from officelake.functions.jsons import decode_json, json_text, typed
-from officelake.functions.strings import truncate_prompt
 from officelake.operators.lookups import match_back
 
 ATTEMPTS, FIRST_DELAY, FACTOR = 3, 10.0, 2.0  # fixed values: retries of a failing call
@@ -23,14 +22,22 @@ class RetryableError(RuntimeError):
     """A failure of the model service that may pass."""
 
 
+def whole(text: Column) -> Column:
+    """The text as it is."""
+    return text
+
+
 @dataclass(frozen=True)
 class ModelSpec:
-    """A model by name. ``factory`` makes the client, once per task and in the task."""
+    """A model by name. ``factory`` makes the client, once per task and in the task.
+
+    Models see whole texts; pass ``truncate_prompt`` or another ``preprocess`` to have prompts cut.
+    """
 
     name: str
     factory: Callable[[], Callable[[str], str]]
     kind: str = "Model"
-    preprocess: Callable[[Column], Column] = truncate_prompt
+    preprocess: Callable[[Column], Column] = whole
 
     @property
     def cache_key(self) -> str:
@@ -72,7 +79,7 @@ def generate_text(
 
 
 def joined_prompt(model: ModelSpec, *parts: Column) -> Column:
-    """Prompt parts, each cut to the model's limit, in one text."""
+    """Prompt parts, each as the model wants them, in one text."""
     return F.concat_ws(" ", *[model.preprocess(p) for p in parts])
 
 

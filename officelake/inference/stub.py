@@ -10,6 +10,11 @@ from officelake.inference.model import REPAIR_INTRO, RULE, ModelSpec
 CATEGORIES = ["useful", "unknown", "other", "news", "spam"]
 
 
+def weight(prompt: str) -> int:
+    """What answers depend on: the length of a prompt and how often it has an e."""
+    return len(prompt) + 31 * prompt.count("e")
+
+
 def dress(answer: str, size: int) -> str:
     """Fence or break an answer, depending on the size of its prompt."""
     if size % 7 == 0:
@@ -36,8 +41,8 @@ def classify_one() -> "callable":
         if prompt.startswith(REPAIR_INTRO):
             return repair(prompt)
         found = re.search(r"^id: (\S+)$", prompt, re.M)
-        answer = json.dumps({"id": found.group(1) if found else None, "category": CATEGORIES[len(prompt) % 5]})
-        return dress(answer, len(prompt))
+        answer = json.dumps({"id": found.group(1) if found else None, "category": CATEGORIES[weight(prompt) % 5]})
+        return dress(answer, weight(prompt))
 
     return ask
 

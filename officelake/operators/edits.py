@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.functions.strings import utf16_len
-from officelake.operators.ordering import HOT_ROWS, ordinal, running_total
+from officelake.operators.ordering import running_total
 
 SLACK = 3  # fixed value: how far outside the document an offset may lie to be corrected
 DELETE_FIRST = {"insert": 0, "delete": 1}  # fixed values: at one index a delete comes before an insert
@@ -75,36 +75,23 @@ def _meet(rising: Column, units: Column) -> Column:
     return F.exists(F.transform(rising, inside), lambda x: x) | outside
 
 
-def apply_edits(
-    documents: DataFrame, edits: DataFrame, per_round: int = 10_000, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Documents (doc_id, text) with all their edits applied in order.
+def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with all their edits applied in order, highest index first.
 
-    The edits of a document are applied in rounds of ``per_round``, highest index first, which is the same as
-    one long sequence; so no task ever holds more than one round of a document's edits. Edits that do not meet
-    each other are one concatenation; only documents where they do fold them over the text one by one.
+    A document's text is one value, and its edits meet there in one list. Edits that do not meet each other are one
+    concatenation; only documents where they do fold them over the text one by one.
     """
-    placed = ordinal(edits, ["doc_id"], edit_order(), "_pos", hot_rows).withColumn(
-        "_round", F.expr(f"_pos div {int(per_round)}")
-    )
-    rounds = placed.agg(F.max("_round")).first()[0]
-    if rounds is None:
-        return documents
-    item = F.struct("_pos", "kind", "index", "end", "content")
-    folded = placed.groupBy("doc_id", "_round").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rising"))
-    out = documents
-    for r in range(rounds + 1):
-        mine = folded.where(F.col("_round") == r).select("doc_id", "_rising")
-        # The text's units are a column of their own: inside the functions over the edits they would be
-        # encoded anew for every edit.
-        units = F.when(F.col("_rising").isNotNull(), F.encode("text", "UTF-16LE"))
-        both = out.join(mine, "doc_id", "left").withColumn("_units", units)
-        rising, units = F.col("_rising"), F.col("_units")
-        one_by_one = F.decode(F.aggregate(F.reverse(rising), units, _splice), "UTF-16LE")
-        after = F.when(_meet(rising, units), one_by_one).otherwise(_in_one_pass(rising, units))
-        out = both.withColumn("text", F.when(rising.isNotNull(), after).otherwise(F.col("text")))
-        out = out.drop("_rising", "_units")
-    return out
+    first = F.struct((-F.col("index")).alias("_back"), (F.col("kind") != "delete").alias("_late"), F.col("seq").alias("_seq"))
+    item = F.struct(first.alias("_first"), "kind", "index", "end", "content")
+    folded = edits.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rising"))
+    # The text's units are a column of their own: inside the functions over the edits they would be encoded anew for
+    # every edit.
+    units = F.when(F.col("_rising").isNotNull(), F.encode("text", "UTF-16LE"))
+    both = documents.join(folded, "doc_id", "left").withColumn("_units", units)
+    rising, units = F.col("_rising"), F.col("_units")
+    one_by_one = F.decode(F.aggregate(F.reverse(rising), units, _splice), "UTF-16LE")
+    after = F.when(_meet(rising, units), one_by_one).otherwise(_in_one_pass(rising, units))
+    return both.withColumn("text", F.when(rising.isNotNull(), after).otherwise(F.col("text"))).drop("_rising", "_units")
 
 
 def executed_ids(edits: DataFrame) -> DataFrame:
@@ -112,7 +99,7 @@ def executed_ids(edits: DataFrame) -> DataFrame:
     return edits.select("doc_id", F.explode("origin_ids").alias("origin_id")).distinct()
 
 
-def sequential_inserts(contents: DataFrame, index: Column, forward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sequential_inserts(contents: DataFrame, index: Column, forward: bool, bounded: bool = False) -> DataFrame:
     """Insert contents one after the other at an index and report the index each left behind.
 
     Without ``forward`` the index stays, which leaves the contents in reverse order in the text; with it the
@@ -121,7 +108,7 @@ def sequential_inserts(contents: DataFrame, index: Column, forward: bool, hot_ro
     if not forward:
         return contents.withColumn("insert_at", index).withColumn("next_index", index)
     size = utf16_len(F.col("content"))
-    moved = running_total(contents, ["doc_id"], [F.col("seq")], size, "next_index", hot_rows)
+    moved = running_total(contents, ["doc_id"], [F.col("seq")], size, "next_index", bounded)
     return moved.withColumn("next_index", index + F.col("next_index")).withColumn(
         "insert_at", F.col("next_index") - size
     )

@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from officelake.operators.ordering import HOT_ROWS, chunked_lists
+from officelake.operators.ordering import ordered_lists
 
 
 def match_back(answers: DataFrame, batch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -24,15 +24,11 @@ def attach_children(
     order: list[Column],
     item: Column,
     name: str = "children",
-    size: int = 1000,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Parents with the ordered list of their children (``chunk`` 0; further chunks for huge families)."""
-    lists = chunked_lists(children, [key], order, item, size, name, hot_rows)
+    """Each parent, once, with the ordered list of its children."""
+    lists = ordered_lists(children, [key], order, item, name)
     out = parents.join(lists, key, "left")
-    return out.withColumn("chunk", F.coalesce("chunk", F.lit(0))).withColumn(
-        name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))
-    )
+    return out.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 
 def subtype(base: DataFrame, sub: DataFrame, discriminator: str, value: str, key: str = "id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Positions, batches and top-n that stay exact when one key holds most of the rows.
 
-A plain ``row_number`` window puts each key into one task. That is fine for ordinary keys, so it is what
-ordinary keys get. Keys with more than ``hot_rows`` rows are instead sorted by range over all tasks: each
-sorted piece numbers its own rows, and the counts of the earlier pieces are added.
+Rows are sorted by range over all tasks: each sorted piece numbers its own rows, and the counts of the earlier pieces
+are added, so no key has to fit a task. A caller who knows that no key is large (lines of an order) says so with
+``bounded`` and gets a plain window instead, without the sort. Nothing is counted to choose between them.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from officelake.session import ensure_checkpoints
 
-HOT_ROWS = 1_000_000
-MAX_HOT = 10_000  # keys that come to the driver
 _ROW_BITS = 33  # monotonically_increasing_id: task number above, row in the task below
 
 
@@ -56,34 +54,18 @@ def _split_ordinal(df: DataFrame, keys: list[str], order: list[Column], name: st
     return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys above ``hot_rows`` rows; by counting there are at most total/hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-
-
-def ordinal(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "ordinal", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[Column], name: str = "ordinal", bounded: bool = False) -> DataFrame:
     """0-based position of every row within its key. ``order`` must be total within a key."""
-    plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1
-    found = hot_keys(df, keys, hot_rows).limit(MAX_HOT + 1).collect()
-    while len(found) > MAX_HOT:  # on huge tables only the hottest keys are worth splitting
-        hot_rows *= 4
-        found = hot_keys(df, keys, hot_rows).limit(MAX_HOT + 1).collect()
-    if not found:
-        return df.withColumn(name, plain)
-    hot = df.sparkSession.createDataFrame(found, df.select(*keys).schema)
-    hot = F.broadcast(hot)  # at most MAX_HOT rows
-    cold_rows = _join(df, hot, keys, "left_anti").withColumn(name, plain)
-    hot_part = _join(df, hot, keys, "left_semi")
-    return cold_rows.unionByName(_split_ordinal(hot_part, keys, order, name))
+    if bounded:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    return _split_ordinal(df, keys, order, name)
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, bounded: bool = False
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key up to and including each row."""
-    if not hot_keys(df, keys, hot_rows).take(1):
+    if bounded:
         upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(name, F.sum(value).over(upto))
     pieces = _sorted_pieces(df, [F.col(k) for k in keys] + order).withColumn("_v", value)
@@ -119,27 +101,15 @@ def batches(df: DataFrame, order: list[Column], size: int, name: str = "batch")
     )
 
 
-def chunked_lists(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    item: Column,
-    size: int = 1000,
-    name: str = "items",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Ordered lists per key, cut into rows of at most ``size`` items (``chunk`` counts from 0).
+def ordered_lists(df: DataFrame, keys: list[str], order: list[Column], item: Column, name: str = "items") -> DataFrame:
+    """One row per key with the list of its items in ``order``, which must be total within a key.
 
-    An ordinary key has one row. A key with millions of children gets many rows instead of one row that
-    no executor could hold; concatenating its chunks gives the whole list.
+    A list is one value of one row, so its key's items meet in one task; where only positions are wanted, ``ordinal``
+    gives one row per item instead.
     """
-    numbered = ordinal(df.withColumn("_item", item), keys, order, "_pos", hot_rows)
-    return (
-        numbered.withColumn("chunk", F.expr(f"_pos div {int(size)}"))
-        .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias(name))
-        .withColumn(name, F.transform(name, lambda i: i["_item"]))
-    )
+    place = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("_o"), item.alias("_item")))).alias(name))
+    return lists.withColumn(name, F.transform(name, lambda i: i["_item"]))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: int = 64) -> DataFrame:
@@ -162,13 +132,11 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread:
     )
 
 
-def every_nth(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def every_nth(df: DataFrame, keys: list[str], order: list[Column], n: int, bounded: bool = False) -> DataFrame:
     """Each n-th row of every key; n = 0 emits nothing."""
     if n <= 0:
         return df.where(F.lit(False))
-    return ordinal(df, keys, order, "_pos", hot_rows).where((F.col("_pos") + 1) % n == 0).drop("_pos")
+    return ordinal(df, keys, order, "_pos", bounded).where((F.col("_pos") + 1) % n == 0).drop("_pos")
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column] | Column) -> DataFrame:

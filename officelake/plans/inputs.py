@@ -117,7 +117,7 @@ def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     from officelake.operators.ordering import ordinal
 
     rows = ordinal(
-        table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col(c) for c in LINE_ORDER], "action_number"
+        table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col(c) for c in LINE_ORDER], "action_number", bounded=True
     )
     return rows.select(
         F.col("l_orderkey").alias("analysis_id"),

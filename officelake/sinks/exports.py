@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.functions.strings import extension_from_mime
-from officelake.operators.ordering import HOT_ROWS, chunked_lists
+from officelake.operators.ordering import ordered_lists
 from officelake.sources.mailbox import path_exists
 
 LIST_FIELDS = ["id", "name", "fileExtension", "mimeType", "description", "md5Checksum", "modifiedTime"]  # fixed
@@ -23,15 +23,19 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
 def save_index(index: DataFrame, path: str, order: list[Column]) -> bool:
     """Write the index sorted, unless the saved one has the same content. Returns whether it wrote.
 
-    The sort is by range over all tasks: read in file order the files give the whole order.
+    The sort is by range over all tasks: read in file order the files give the whole order. One mark tells what is
+    saved now; it is taken away before the index is written anew, so a run that breaks off is repeated.
     """
     spark = index.sparkSession
-    digest = content_digest(index, index.columns).first()
-    mark = f"{path}.digest-{'-'.join(str(v) for v in digest)}"
+    digest = str(tuple(content_digest(index, index.columns).first()))
+    mark = f"{path}.digest"
     if path_exists(spark, mark) and path_exists(spark, path):
-        return False
+        current = spark.read.schema("digest string").json(mark).first()
+        if current is not None and current["digest"] == digest:
+            return False
+    spark.createDataFrame([("none",)], "digest string").write.mode("overwrite").json(mark)
     index.orderBy(*order).write.mode("overwrite").json(path)
-    spark.createDataFrame([(str(tuple(digest)),)], "digest string").write.mode("overwrite").json(mark)
+    spark.createDataFrame([(digest,)], "digest string").write.mode("overwrite").json(mark)
     return True
 
 
@@ -111,8 +115,7 @@ def task_lines(tasks: DataFrame) -> DataFrame:
     return tasks.select(F.concat_ws("\t", *shown).alias("line"))
 
 
-def digest(items: DataFrame, category: str, order: list[Column], line: Column, size: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """A summary per category: how many items, and their lines in order (in chunks of ``size`` lines)."""
-    counts = items.groupBy(category).agg(F.count("*").alias("items"))
-    lines = chunked_lists(items, [category], order, line, size, "lines", hot_rows)
-    return lines.join(counts, category).select(category, "items", "chunk", F.array_join("lines", "\n").alias("summary"))
+def digest(items: DataFrame, category: str, order: list[Column], line: Column) -> DataFrame:
+    """A summary per category: how many items, and their lines in order."""
+    lines = ordered_lists(items, [category], order, line, "lines")
+    return lines.select(category, F.size("lines").cast("long").alias("items"), F.array_join("lines", "\n").alias("summary"))

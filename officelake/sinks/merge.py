@@ -40,13 +40,19 @@ def insert(store: TableStore, name: str, rows: DataFrame, key: list[str]) -> Dat
     return rows
 
 
+def one_per_key(rows: DataFrame, key: list[str], order: list[Column] | None) -> DataFrame:
+    """The last of the rows of each key, so that no key is ever stored twice."""
+    return last_wins(rows, key, order or [F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})])
+
+
 def merged(stored: DataFrame, rows: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
     """Stored rows with ``rows`` merged in by key.
 
     A column the incoming rows have overwrites the stored one, null included; a column they do not have
-    keeps its value. ``order`` says which of several incoming rows with one key comes last.
+    keeps its value. ``order`` says which of several incoming rows with one key comes last; without it, the one
+    that is greatest as text.
     """
-    src = last_wins(rows, key, order) if order else rows
+    src = one_per_key(rows, key, order)
     have = [c for c in src.columns if c not in key]
     if set(src.columns) == set(stored.columns):
         return stored.join(src.select(*key), key, "left_anti").unionByName(src)
@@ -80,7 +86,7 @@ def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str]
     answers, have to be pinned before.
     """
     if not store.exists(name):
-        txn.replace(name, last_wins(rows, key, order) if order else rows, key)
+        txn.replace(name, one_per_key(rows, key, order), key)
         return None
     touched = store.buckets_of(name, rows)
     txn.replace_buckets(name, merged(store.read(name, touched), rows, key, order), touched)

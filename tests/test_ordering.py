@@ -23,17 +23,17 @@ def brute(data):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [10, 500, 10**6])
-def test_ordinal(rows, hot_rows):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_ordinal(rows, bounded):
     data, df = rows
-    got = ordering.ordinal(df, ["k"], [F.col("v"), F.col("i")], "n", hot_rows)
+    got = ordering.ordinal(df, ["k"], [F.col("v"), F.col("i")], "n", bounded)
     assert {r["i"]: r["n"] for r in got.collect()} == brute(data)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**6])
-def test_running_total(rows, hot_rows):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_running_total(rows, bounded):
     data, df = rows
-    got = ordering.running_total(df, ["k"], [F.col("v"), F.col("i")], F.col("v"), "t", hot_rows)
+    got = ordering.running_total(df, ["k"], [F.col("v"), F.col("i")], F.col("v"), "t", bounded)
     want, sums = {}, {}
     for k, v, i in sorted(data):
         want[i] = sums[k] = sums.get(k, 0) + v
@@ -42,7 +42,7 @@ def test_running_total(rows, hot_rows):
 
 def test_ordinal_null_key(spark):
     df = spark.createDataFrame([(None, i) for i in range(40)] + [("a", 1)], "k string, i long")
-    got = ordering.ordinal(df, ["k"], [F.col("i")], "n", 10).collect()
+    got = ordering.ordinal(df, ["k"], [F.col("i")], "n").collect()
     assert sorted((r["k"] or "", r["i"], r["n"]) for r in got) == sorted([("", i, i) for i in range(40)] + [("a", 1, 0)])
 
 
@@ -60,15 +60,11 @@ def test_batches_last_one_short_and_empty(spark):
     assert ordering.batches(df.limit(0), [F.col("i")], 20).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**6])
-def test_chunked_lists_are_whole(rows, hot_rows):
+def test_ordered_lists_have_one_row_per_key(rows):
     data, df = rows
-    got = ordering.chunked_lists(df, ["k"], [F.col("i")], F.col("i"), 100, hot_rows=hot_rows).collect()
-    assert max(len(r["items"]) for r in got) == 100
-    lists = {}
-    for r in sorted(got, key=lambda r: (r["k"], r["chunk"])):
-        lists.setdefault(r["k"], []).extend(r["items"])
-    assert lists == {k: [i for kk, _, i in data if kk == k] for k in {d[0] for d in data}}
+    got = ordering.ordered_lists(df, ["k"], [F.col("i")], F.col("i")).collect()
+    assert len(got) == len({d[0] for d in data})
+    assert {r["k"]: r["items"] for r in got} == {k: [i for kk, _, i in data if kk == k] for k in {d[0] for d in data}}
 
 
 def test_newest_and_every_nth(rows):
@@ -79,7 +75,7 @@ def test_newest_and_every_nth(rows):
     for r in got:
         have.setdefault(r["k"], []).append(r["i"])
     assert {k: sorted(v, reverse=True) for k, v in have.items()} == want
-    nth = ordering.every_nth(df, ["k"], [F.col("i")], 100, hot_rows=10).where("k = 'hot'").collect()
+    nth = ordering.every_nth(df, ["k"], [F.col("i")], 100).where("k = 'hot'").collect()
     hot = [i for k, _, i in data if k == "hot"]
     assert sorted(r["i"] for r in nth) == hot[99::100]
     assert ordering.every_nth(df, ["k"], [F.col("i")], 0).count() == 0
