@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from officelake.catalog import query
 from officelake.catalog.bus_and_rules import LOG_SQL, log
 from officelake.catalog.functions import TODO_SQL, TRIAGE_SETTINGS, _triage_sql
+from officelake.catalog.texts import MARKDOWN_SQL
 from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, PROMPT_WEIGHT_SQL, classify_prompt, weight_sql
 from officelake.functions.jsons import decode_json
 from officelake.functions.template import Template
@@ -152,7 +153,43 @@ def e2e4(spark, sf):
     return saved.join(files, "path")
 
 
-@query("e2e5_todos_to_tasks")
+@query(
+    "e2e4_export_twice",
+    f"""WITH {MAIL_SQL} SELECT thread_id || '/' || id || '.msg' AS path, md5(body) AS digest, CAST(1 AS BIGINT) AS written, CAST(1 AS BIGINT) AS indexed FROM mail""",
+)
+def e2e4_twice(spark, sf):
+    """A first export of some mails, one of all, and one more: every mail is written and indexed once."""
+    root, index, mail = work_dir(spark, "export"), work_dir(spark, "index"), inputs.mail(spark, sf)
+    for part in (mail.where("role = 'user'"), mail, mail):
+        rows = jobs.export_mail(part, root, index, _by_date())
+    saved = spark.read.schema(rows.schema).json(index).groupBy("id").agg(F.count("*").alias("indexed"))
+    saved = saved.join(mail.select("id", F.concat("thread_id", F.lit("/"), "id", F.lit(".msg")).alias("path")), "id").drop("id")
+    files = spark.read.parquet(root).groupBy("path").agg(F.first(F.md5("content")).alias("digest"), F.count("*").alias("written"))
+    return files.join(saved, "path")
+
+
+@query(
+    "e2e2_unknown_documents",
+    f"""WITH {E2E2_ITEMS} SELECT CAST(analysis_id AS VARCHAR) AS analysis_id, CAST(action_number AS INT) AS action_number,
+        l_suppkey % 2 = 0 AS placed FROM todo""",
+)
+def e2e2_unknown(spark, sf):
+    """Only every other document is there: to-dos of the others are left for later."""
+    store = _store(spark)
+    todos = _todos(spark, sf).withColumn("analysis_id", F.col("analysis_id").cast("string")).withColumn("action_number", F.col("action_number").cast("int"))
+    texts = table(spark, sf, "documents").select("doc_id", "text").where("doc_id % 2 = 0")
+    url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
+    jobs.place_todos(store, todos, texts, url, F.lit(1), [F.col("seq")], priority="high|critical", limit=None)
+    done, left = (store.read(n).select("analysis_id", "action_number", F.lit(n == "placement").alias("placed")) for n in ("placement", "unplaced"))
+    return done.unionByName(left)
+
+
+@query(
+    "e2e5_todos_to_tasks",
+    f"""WITH q AS (SELECT page_id, {weight_sql("('id: ' || page_id || chr(10) || " + MARKDOWN_SQL + ")")} AS n FROM pages)
+        SELECT 'http://pages/' || page_id AS id_url, 'Read: ' || {CATEGORY_SQL.format(n='n')} AS title,
+        '@default' AS tasklist_id, 'create' AS actions FROM q""",
+)
 def e2e5(spark, sf):
     stored = inputs.tasks(spark, sf).withColumn("tasklist_id", F.col("tasklist_id").cast("string"))
     pages = inputs.texts(spark, sf, "pages")

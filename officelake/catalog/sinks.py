@@ -77,6 +77,19 @@ def _nested(spark, sf):
     )
 
 
+@query(
+    "k2_upsert_repeated_keys",
+    "SELECT o_custkey, max(o_orderkey) AS o_orderkey, count(*) * 0 + 1 AS stored FROM orders GROUP BY 1",
+)
+def k2_repeated(spark, sf):
+    """Orders keyed by customer: every customer is stored once, with the latest order, in two upserts."""
+    store = TableStore(spark, work_dir(spark, "store"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    for part in (o.where("o_orderkey % 2 = 0"), o):
+        merge.upsert(store, "latest", part, ["o_custkey"], [F.col("o_orderkey")])
+    return store.read("latest").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.count("*").alias("stored"))
+
+
 @query(
     "k3_cascade_upsert",
     """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE WHEN lang = 'en' THEN string_split(text, chr(10))[1:1]
@@ -125,6 +138,7 @@ def k4(spark, sf):
         FROM j""",
 )
 def k5(spark, sf):
+    """Saved twice: the second time there is nothing to do."""
     path = work_dir(spark, "index")
     index = inputs.mail(spark, sf).select("id", "subject", "received_date")
     order = [F.col("received_date"), F.col("id")]
@@ -133,6 +147,18 @@ def k5(spark, sf):
     return exports.content_digest(saved, saved.columns).withColumns({"first": F.lit(first), "second": F.lit(second)})
 
 
+@query(
+    "k5_save_index_changes",
+    f"WITH {MAIL_SQL} SELECT id, subject, 'true,true,true,false' AS wrote FROM mail",
+)
+def k5_changes(spark, sf):
+    """All, some, all again and the same once more: what is saved is what came last."""
+    path, index = work_dir(spark, "index"), inputs.mail(spark, sf).select("id", "subject")
+    some = index.where(F.col("id").endswith("0"))
+    wrote = [exports.save_index(df, path, [F.col("id")]) for df in (index, some, index, index)]
+    return spark.read.schema(index.schema).json(path).withColumn("wrote", F.lit(",".join(str(w).lower() for w in wrote)))
+
+
 @query("k6_save_results", f"WITH {CATEGORIES_SQL} SELECT id, category FROM categories")
 def k6(spark, sf):
     path = work_dir(spark, "results")

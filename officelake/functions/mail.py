@@ -68,12 +68,13 @@ def parse_mail(raw: Column) -> Column:
     parts = message_parts(text)
     of = lambda kind: F.get(F.filter(parts, lambda p: (p["mime_type"] == kind) & ~p["attached"]), F.lit(0))
     body = F.coalesce(of("text/html"), of("text/plain"))
-    return F.struct(
+    parsed = F.struct(
         header_fields(F.split(text, BLANK_LINE, 2)[0]).alias("headers"),
         body["mime_type"].alias("body_type"),
         F.when(F.size(parts) == 0, F.lit("")).otherwise(body["content"]).alias("body"),
         F.when((F.size(parts) > 0) & body.isNull(), "only attachments").alias("error"),
     )
+    return F.when(raw.isNotNull(), parsed)
 
 
 def mail_content(raw: Column, output: str = "raw") -> Column:

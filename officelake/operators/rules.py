@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 NO_DESCRIPTION = "No description provided"
-MAX_RULES = 16  # a core looks at distinct sets of broken rules, of which there are at most 2 ** rules
 
 
 @dataclass(frozen=True)
@@ -72,24 +71,21 @@ def solutions(assignments: DataFrame, keys: list[str], variables: list[str], rul
 def conflict_core(assignments: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
     """Per group labels that cannot hold together, none of which can be left out; empty when consistent.
 
-    An assignment is reduced to the set of rules it breaks, as bits. Rules conflict when every assignment
-    breaks one of them; a rule is dropped from the core when the rest still conflicts.
+    An assignment is reduced to the list of rules it breaks. Rules conflict when every assignment breaks one of
+    them; a rule is dropped from the core when the rest still conflicts.
     """
-    if len(checked(rules)) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    bits = [F.when(r.holds(), 0).otherwise(1 << i) for i, r in enumerate(rules)]
-    mask = reduce(lambda a, b: a + b, bits)
-    masks = assignments.groupBy(*keys).agg(F.collect_set(mask).alias("_masks"))
-    everything = (1 << len(rules)) - 1
+    checked(rules)
+    numbers = F.array(*[F.lit(i) for i in range(len(rules))])
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(r.holds(), F.lit(False)), F.lit(i)) for i, r in enumerate(rules)]))
+    sets = assignments.groupBy(*keys).agg(F.collect_set(broken).alias("_sets"))
 
     def conflicts(core: Column) -> Column:
-        return F.forall("_masks", lambda m: m.bitwiseAND(core) != 0)
+        return F.forall("_sets", lambda m: F.arrays_overlap(m, core))
 
-    def shrink(core: Column, bit: Column) -> Column:
-        rest = core.bitwiseAND(F.bitwise_not(bit))
+    def shrink(core: Column, number: Column) -> Column:
+        rest = F.filter(core, lambda x: x != number)
         return F.when(conflicts(rest), rest).otherwise(core)
 
-    core = F.aggregate(F.array(*[F.lit(1 << i) for i in range(len(rules))]), F.lit(everything), shrink)
-    kept = F.when(conflicts(F.lit(everything)), core).otherwise(0)
-    labels = [F.when(F.col("_core").bitwiseAND(1 << i) != 0, F.lit(r.label)) for i, r in enumerate(rules)]
-    return masks.withColumn("_core", kept).select(*keys, F.array_compact(F.array(*labels)).alias("core"))
+    kept = F.when(conflicts(numbers), F.aggregate(numbers, numbers, shrink)).otherwise(F.array().cast("array<int>"))
+    labels = F.array(*[F.lit(r.label) for r in rules])
+    return sets.withColumn("_core", kept).select(*keys, F.transform("_core", lambda i: F.get(labels, i)).alias("core"))

@@ -204,7 +204,6 @@ FILLERS = {
     "chip": "\U0006ffff",
     "run": "\U0007ffff",
 }
-MAX_NESTING = 8
 
 
 def _filler(kind: Column) -> Column:
@@ -218,8 +217,9 @@ def render_text(parts: DataFrame) -> DataFrame:
     ``parts`` are nested ranges ``(doc_id, start_index, end_index, depth, kind, content)``. Each index belongs
     to the innermost range around it: runs give their content and a filler for what it lacks, the others
     their filler. Between two neighbouring range borders the innermost range is the latest one begun per
-    depth that has not ended.
+    depth that has not ended. Depths are looked up first, so nesting has no limit.
     """
+    deepest = parts.agg(F.max("depth")).first()[0]
     p = parts.where(F.col("end_index") > F.col("start_index"))
     cover = F.struct("start_index", "end_index", "kind", "content")
     starts = p.select("doc_id", F.col("start_index").alias("at"), "depth", cover.alias("c"))
@@ -228,7 +228,7 @@ def render_text(parts: DataFrame) -> DataFrame:
     zero = p.select("doc_id", F.lit(0).cast("long").alias("at"), F.lit(-1).alias("depth"), none.alias("c")).distinct()
     points = starts.unionByName(ends).unionByName(zero)
     upto_rows = W.partitionBy("doc_id").orderBy("at", "depth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    latest = [F.last(F.when(F.col("depth") == d, F.col("c")), ignorenulls=True).over(upto_rows) for d in range(MAX_NESTING)]
+    latest = [F.last(F.when(F.col("depth") == d, F.col("c")), ignorenulls=True).over(upto_rows) for d in range((deepest or 0) + 1)]
     inner = F.coalesce(*[F.when(c["end_index"] > F.col("at"), c) for c in reversed(latest)])
     following = F.lead("at").over(W.partitionBy("doc_id").orderBy("at", "depth"))
     pieces = points.select("doc_id", "at", inner.alias("c"), following.alias("to")).where(F.col("to") > F.col("at"))

@@ -26,7 +26,7 @@ from officelake.operators.lookups import match_back
 from officelake.operators.ordering import batches
 from officelake.schemas import LINKS
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
-from officelake.sinks.merge import cascade_upsert, upsert
+from officelake.sinks.merge import cascade_upsert, upsert, upsert_in
 from officelake.sinks.store import TableStore
 from officelake.sinks.sync import upsert_managed
 
@@ -136,7 +136,9 @@ def place_todos(
 ) -> DataFrame:
     """Insert to-dos not placed yet into their documents (``doc_id`` of an item) and record the placements.
 
-    Returns the edited documents. ``container`` gives the document's URL from ``doc_id``.
+    Returns the edited documents, which are stored in the table ``edited`` in the same publication as the placements.
+    To-dos of documents that are not there are no placements: they are left in the table ``unplaced`` and tried again
+    next time. ``container`` gives the document's URL from ``doc_id``.
     """
     items = items.withColumn("placement_container_url", container).where(F.col("analysis_id").isNotNull())
     key = ["analysis_id", "action_number", "placement_container_url"]
@@ -146,11 +148,18 @@ def place_todos(
         fresh = fresh.join(done.select(*key), key, "left_anti")
     if limit is not None:
         fresh = fresh.orderBy(*order).limit(limit)
-    edits = item_edits(render_todos(fresh, template), index, F.col("markdown"), F.col("seq"))
-    edited = apply_edits(documents, edits)
+    fresh = pin(fresh)
+    known = fresh.join(documents.select("doc_id"), "doc_id", "left_semi")
+    edits = item_edits(render_todos(known, template), index, F.col("markdown"), F.col("seq"))
+    edited = pin(apply_edits(documents, edits))
     placed = executed_ids(edits).select(container.alias("placement_container_url"), split_modification_id(F.col("origin_id")).alias("p"))
     rows = placed.where(F.col("p").isNotNull()).select("p.analysis_id", "p.action_number", "placement_container_url", "p.placement_id")
-    upsert(store, "placement", rows, [*key, "placement_id"])
+    txn = store.begin()
+    upsert_in(txn, store, "placement", rows, [*key, "placement_id"])
+    upsert_in(txn, store, "edited", edited.join(known.select("doc_id"), "doc_id", "left_semi"), ["doc_id"])
+    lost = fresh.join(documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", *key)
+    txn.replace("unplaced", lost)
+    txn.commit()
     return edited
 
 
@@ -186,10 +195,20 @@ def categorise(
 
 
 def export_mail(messages: DataFrame, root: str, index_path: str, order: list[Column]) -> DataFrame:
-    """Write mails and their index; returns the index rows."""
-    plan = mail_export_plan(messages)
+    """Write the mails that aren't exported yet and save the index of all that are; returns its rows.
+
+    What exists is read from the folder itself, so an export that broke off before its index goes on where it
+    stopped, and a second one writes nothing.
+    """
+    from officelake.sources.mailbox import path_exists
+
+    spark = messages.sparkSession
+    existing = spark.read.schema("path string, content string").parquet(root).select("path") if path_exists(spark, root) else None
+    # pinned: the plan reads the folder that it is then written to
+    plan = pin(mail_export_plan(messages, existing))
     write_messages(plan, root)
-    index = mail_metadata(plan)
+    written = spark.read.schema("path string, content string").parquet(root).select("path")
+    index = mail_metadata(mail_export_plan(messages).join(written, "path", "left_semi"))
     save_index(index, index_path, order)
     return index
 
@@ -269,16 +288,20 @@ def model_edits(grouped: DataFrame, prompt: Column, model: ModelSpec, end: Colum
 def categorise_and_store(
     store: TableStore, documents: DataFrame, done: DataFrame, model: ModelSpec, limit: int | None = None
 ) -> DataFrame:
-    """The smallest whole job: scan, anti-join, prompt, model, decode, last-wins, merge."""
+    """The smallest whole job: scan, anti-join, prompt, model, decode, last-wins, merge.
+
+    Rows without a usable answer are in the table ``failures`` and stay fresh for the next run.
+    """
     fresh = unprocessed(documents, done)
     if limit is not None:
         fresh = fresh.orderBy("id").limit(limit)
     prompt = Template("id: {{ id }}\n{{ text }}").render(id=F.col("id"), text=F.col("text"))
-    answered = generate_json(fresh, joined_prompt(model, prompt), model)
+    answered = pin(generate_json(fresh, joined_prompt(model, prompt), model).select("id", "result"))  # asked once
     rows = answered.select(
         F.get_json_object("result.json", "$.id").alias("id"), F.get_json_object("result.json", "$.category").alias("category")
     )
     matched, _ = match_back(rows.where(F.col("id").isNotNull()), fresh.select("id"))
-    matched = pin(matched)  # used for the buckets, the merge and the way back; the model is asked once
     upsert(store, "results", matched, ["id"], [F.col("category")])
+    failed = fresh.select("id").join(matched.select("id"), "id", "left_anti")
+    store.replace("failures", failed.join(answered.select("id", F.col("result.error").alias("error")), "id", "left"))
     return store.read("results")

@@ -42,11 +42,14 @@ def upcoming(events: DataFrame, reference: Column, days: int = HORIZON_DAYS) ->
     return fetch_events(events, time_min=reference, time_max=until)
 
 
-def single_events(events: DataFrame, rule: str = "recurrence", max_instances: int = 100_000) -> DataFrame:
+INSTANCES = 10_000  # instances of one event made from one row
+
+
+def single_events(events: DataFrame, rule: str = "recurrence") -> DataFrame:
     """Instances of recurring events (DAILY and WEEKLY with INTERVAL and COUNT or UNTIL).
 
-    Events without a rule pass through as their own instance 0; rules this does not know, and rules without
-    an end or with more than ``max_instances`` instances, give one row with ``error`` set.
+    Events without a rule pass through as their own instance 0; rules this does not know, and rules without an end,
+    give one row with ``error`` set. Instances are made in blocks, so that a long rule is never one list.
     """
     text = F.coalesce(F.col(rule), F.lit(""))
 
@@ -64,14 +67,15 @@ def single_events(events: DataFrame, rule: str = "recurrence", max_instances: in
     by_until = F.floor((until - F.col("start_us")) / step) + 1
     known = text.rlike(r"^RRULE:(?:(?:FREQ|INTERVAL|COUNT|UNTIL)=[^;]+;?)+$") & (step > 0)
     n = F.when(text == "", F.lit(1)).when(known, F.coalesce(by_count, by_until))
-    ok = n.isNotNull() & (n <= max_instances)
+    ok = n.isNotNull()
     counted = events.withColumn("_step", F.coalesce(step, F.lit(0))).withColumn(
         "_n", F.when(ok, F.greatest(n, F.lit(0)))
     )
-    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).when(
-        F.col("_n").isNull(), F.array(F.lit(0).cast("long"))
-    )
-    out = counted.withColumn("instance", F.explode(places))
+    zero = F.lit(0).cast("long")
+    blocks = F.when(F.col("_n") > 0, F.sequence(zero, F.expr(f"(_n - 1) div {INSTANCES}"))).when(F.col("_n").isNull(), F.array(zero))
+    first = F.col("_block") * INSTANCES
+    places = F.when(F.col("_n").isNull(), F.array(zero)).otherwise(F.sequence(first, F.least(first + (INSTANCES - 1), F.col("_n") - 1)))
+    out = counted.withColumn("_block", F.explode(blocks)).withColumn("instance", F.explode(places))
     return out.select(
         *[c for c in events.columns if c not in ("start_us", "end_us")],
         "instance",

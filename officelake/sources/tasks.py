@@ -25,7 +25,7 @@ def generate_tasks(
     if tasklist_id is not None:
         out = out.where(F.col("tasklist_id") == tasklist_id)
     if not show_completed:
-        out = out.where(F.col("status") != "completed")
+        out = out.where(~F.col("status").eqNullSafe("completed"))
     if not show_deleted:
         out = out.where(~F.coalesce("deleted", F.lit(False)))
     if not show_hidden:

@@ -33,8 +33,9 @@ class PolledJob:
     """Runs ``process`` on the items of a stream that have no result yet.
 
     ``process`` takes the new items and returns rows with ``value`` (a struct of the result) and ``error``.
-    Every run re-reads which keys are done, so a run repeated after a failure does nothing twice. Results
-    and failures of one run are published together.
+    Every run re-reads which keys are done, so a run repeated after a failure does nothing twice. Items beyond
+    ``limit`` and items that failed stay in a table of pending ones and are taken up by the next run. Results,
+    failures and pending items of one run are published together.
     """
 
     store: TableStore
@@ -46,17 +47,24 @@ class PolledJob:
     force_all: bool = False
     limit: int | None = None
     failures: str = "failures"
+    pending: str = "pending"
+    failed: list[str] = field(default_factory=list)
+    ran: int = 0
     runs: list[dict[str, Any]] = field(default_factory=list)
 
     def run_once(self, items: DataFrame) -> None:
-        """One run over a batch of items."""
+        """One run over a batch of items and all pending ones."""
+        self.ran += 1
+        if self.store.exists(self.pending):
+            items = items.unionByName(self.store.read(self.pending).select(items.columns))
         latest = last_wins(items, [self.key], self.order)
         if self.store.exists(self.results):
             done = self.store.read(self.results, self.store.buckets_of(self.results, latest))
             latest = unprocessed(latest, done, self.key, self.force_all)
-        if self.limit is not None:
-            latest = latest.orderBy(self.key).limit(self.limit)
-        outcome = self.process(latest)
+        # pinned: what is left over must be the complement of what was taken
+        latest = pinned(latest)
+        taken = latest if self.limit is None else latest.orderBy(self.key).limit(self.limit)
+        outcome = self.process(taken)
         txn = self.store.begin()
         # Written once, then read for both tables: a model behind ``process`` is not asked again.
         staged = work_dir(items.sparkSession, "run")
@@ -65,8 +73,11 @@ class PolledJob:
         good = outcome.where(F.col("error").isNull()).select(self.key, "value.*")
         upsert_in(txn, self.store, self.results, good, [self.key])
         bad = outcome.where(F.col("error").isNotNull()).select(self.key, "error")
-        txn.append(self.failures, bad)
+        txn.replace(self.failures, bad)
+        txn.replace(self.pending, latest.join(good.select(self.key), self.key, "left_anti"))
         txn.commit()
+        first = bad.first()
+        self.failed = [] if first is None else [first["error"]]
 
     def start(self, stream: DataFrame, checkpoint: str, interval: float = 0):
         """Start the query: once over what is there (0), or again every ``interval`` seconds."""
@@ -75,14 +86,25 @@ class PolledJob:
         trigger = {"processingTime": f"{interval} seconds"} if interval > 0 else {"availableNow": True}
         return writer.trigger(**trigger).start()
 
-    def finish(self, query) -> None:
-        """Wait for a run-once query; with ``strict`` failed items make it fail at the end."""
+    def finish(self, query, schema: T.StructType | None = None) -> None:
+        """Wait for a run-once query; with ``strict`` items that failed in its last run make it fail at the end.
+
+        With the items' ``schema``, a poll that saw nothing new still takes up pending items.
+        """
+        before = self.ran
         query.awaitTermination()
+        if schema is not None and self.ran == before and self.store.exists(self.pending):
+            self.run_once(self.store.spark.createDataFrame([], schema))
         self.runs += [p["observedMetrics"] if isinstance(p, dict) else p.observedMetrics for p in query.recentProgress]
-        if self.strict and self.store.exists(self.failures):
-            first = self.store.read(self.failures).first()
-            if first is not None:
-                raise FailedItems(first["error"])
+        if self.strict and self.failed:
+            raise FailedItems(self.failed[0])
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = work_dir(df.sparkSession, "items")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def deduplicated(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:

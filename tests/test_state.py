@@ -261,6 +261,80 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, store):
         job.finish(job.start(stream_jobs.file_stream(spark, path, df.schema), work_dir(spark, "progress")))
 
 
+def test_polls_take_up_what_was_left_or_failed(spark, store):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "id long, v string")
+    path, progress = work_dir(spark, "arrivals"), work_dir(spark, "progress")
+    df.repartition(2).write.parquet(path)
+    broken = {3, 7}
+
+    def process(new):
+        bad = F.col("id").isin(*broken) if broken else F.lit(False)
+        return new.select("id", F.when(~bad, F.struct("v")).alias("value"), F.when(bad, "broken").alias("error"))
+
+    job = stream_jobs.PolledJob(store, "out", "id", [F.col("v")], process, limit=5)
+
+    def poll():
+        job.finish(job.start(stream_jobs.file_stream(spark, path, df.schema), progress), df.schema)
+
+    poll()
+    assert store.read("out").count() == 4 and job.failed == ["broken"]
+    for _ in range(6):
+        poll()
+    assert {r["id"] for r in store.read("pending").collect()} == broken
+    broken.clear()
+    poll()
+    assert rows(store.read("out"), "id") == [(i,) for i in range(20)] and store.read("pending").count() == 0
+    job.strict = True
+    poll()  # failures of earlier runs are over
+
+
+def test_saved_index_follows_every_change(spark):
+    a = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, subject string")
+    b = a.where("id = '1'")
+    path = work_dir(spark, "index")
+    wrote = [exports.save_index(df, path, [F.col("id")]) for df in (a, a, b, a)]
+    assert wrote == [True, False, True, True]
+    assert rows(spark.read.schema(a.schema).json(path), "id") == [("1",), ("2",)]
+
+
+def test_repeated_keys_are_stored_once(spark, store):
+    twice = spark.createDataFrame([("i", "a", 1), ("i", "b", 1), ("j", None, 2)], "id string, v string, n int")
+    merge.upsert(store, "t", twice, ["id"])
+    assert rows(store.read("t"), "id", "n") == [("i", 1), ("j", 2)]
+    merge.upsert(store, "t", twice, ["id"])
+    merge.upsert(store, "t", twice.select("id", "v"), ["id"], [F.ascii("v")])
+    assert [(r["id"], r["v"]) for r in store.read("t").orderBy("id").collect()] == [("i", "b"), ("j", None)]
+
+
+def test_export_twice_writes_once(spark):
+    root, index = work_dir(spark, "export"), work_dir(spark, "index")
+    mail = messages(spark).withColumn("thread_id", F.lit("t")).withColumnRenamed("content", "body")
+    jobs.export_mail(mail.limit(3), root, index, [F.col("id")])
+    for _ in range(2):
+        jobs.export_mail(mail, root, index, [F.col("id")])
+    assert spark.read.parquet(root).count() == 7 and spark.read.json(index).count() == 7
+
+
+def test_todos_of_unknown_documents_wait(spark, store):
+    items = spark.createDataFrame([("d1", 1, "High", "A", 1, 1), ("d2", 1, "High", "B", 2, 9)], "analysis_id string, action_number int, priority string, title string, seq int, doc_id int").withColumns(
+        {"due_date": F.lit(None).cast("string"), "notes": F.lit(None).cast("string"), "links": F.lit(None).cast("array<struct<title:string,url:string>>")}
+    )
+    docs = spark.createDataFrame([(1, "one")], "doc_id int, text string")
+    url = F.col("doc_id").cast("string")
+    jobs.place_todos(store, items, docs, url, F.lit(1), [F.col("seq")])
+    assert rows(store.read("placement"), "analysis_id") == [("d1",)] and rows(store.read("unplaced"), "doc_id") == [(9,)]
+    assert " A [" in store.read("edited").first()["text"]
+    more = docs.unionByName(spark.createDataFrame([(9, "nine")], docs.schema))
+    jobs.place_todos(store, items, more, url, F.lit(1), [F.col("seq")])
+    assert rows(store.read("placement"), "analysis_id") == [("d1",), ("d2",)] and store.read("unplaced").count() == 0
+
+
+def test_long_recurrences_have_all_instances(spark):
+    e = spark.createDataFrame([("a", 0, 10, "RRULE:FREQ=DAILY;COUNT=250000")], "id string, start_us long, end_us long, recurrence string")
+    got = calendar.single_events(e).agg(F.count("*").alias("n"), F.count_distinct("start_us").alias("d"), F.max("instance").alias("m")).first()
+    assert (got["n"], got["d"], got["m"]) == (250000, 250000, 249999)
+
+
 def test_deliveries_and_timeout(spark):
     import time
 

@@ -165,6 +165,13 @@ def test_render_table(spark):
     assert sections.misaligned(df, spark.createDataFrame([(1, text.replace("b", "q"))], "doc_id int, text string")).count() == 1
 
 
+def test_render_any_depth(spark):
+    deep = [(1, d, 40 - d, d, "cell", None) for d in range(1, 13)] + [(1, 13, 16, 13, "run", "abc")]
+    df = spark.createDataFrame(deep, "doc_id int, start_index long, end_index long, depth int, kind string, content string")
+    text = sections.render_text(df).first()["text"]
+    assert text[13:16] == "abc" and sections.misaligned(df, spark.createDataFrame([(1, text)], "doc_id int, text string")).count() == 0
+
+
 def apply_slow(text, ops):
     units = text.encode("utf-16-le")
     for kind, index, end, content, _ in sorted(ops, key=lambda o: (-o[1], 0 if o[0] == "delete" else 1, o[4])):
