@@ -79,13 +79,13 @@ class Template:
     def add_filter(self, name: str, fn: Callable[..., Any]) -> None:
         """Register a ``Column -> Column`` filter under a new name."""
         if name in self.filters:
-            raise TemplateError(f"filter named {name!r} already defined.")
+            raise TemplateError(f"there is a filter {name!r} already")
         self.filters[name] = fn
 
     def add_global(self, name: str, value: Any) -> None:
         """Set a value seen by every row under a new name."""
         if name in self.globals:
-            raise TemplateError(f"global named {name!r} already defined.")
+            raise TemplateError(f"there is a global {name!r} already")
         self.globals[name] = value
 
     def render(self, **values: Any) -> Column:
@@ -252,7 +252,7 @@ class _Run:
                 raise TemplateError("only a fixed text can be rendered as a template")
             return self.block(self.parse(v), env)
         if name == "req":
-            message = "value is not set" + (f": {args[0]}" if args else "")
+            message = "no value for " + (args[0] if args else "a required name")
             if v is MISSING:
                 raise TemplateError(message)
             if isinstance(v, Column):
@@ -289,21 +289,42 @@ def _builtin_filters() -> dict[str, Callable[..., Any]]:
     }
 
 
-# Fixed value: the text a to-do is inserted as.
-TODO_TEMPLATE = (
-    "\n{{ item.priority | prio_emoji }} {{ item.title }} [\U0001f4e7]({{ item.source_url }})"
-    "{% if item.due_date %}\n\n. \U0001f4c5 {{ item.due_date }}\n\n{% endif %}"
-    "{% if item.notes %}\n\n\n. {{ item.notes }}\n\n{% endif %}"
-    "{% if item.links and item.links | length > 0 %}\n. **Links**:"
-    "{% for link in item.links %}\n.. \U0001f517 [{{ link.title or 'link' }}]({{ link.url | link_escape }})"
-    "{% endfor %}{% endif %}\n\n\n&nbsp;\n\n\n\n\n"
-)
-
-
-def todo_markdown(item: Column, template: str = TODO_TEMPLATE, **parameters: Any) -> Column:
-    """The markdown of an action item."""
-    t = Template(template, parameters, {"prio_emoji": priority_symbol, "link_escape": escape_link})
-    return t.render(item=item)
+def _part(before: str, value: Column, after: str) -> Column:
+    """A value with what surrounds it, or nothing without a value."""
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value, F.lit(after))).otherwise("")
+
+
+def todo_markdown(item: Column, template: str | None = None, **parameters: Any) -> Column:
+    """The markdown of an action item, or what another template makes of it.
+
+    The signs, marks and blank lines of the text are fixed values: readers of documents find to-dos by them.
+    """
+    if template is not None:
+        own = Template(template, parameters, {"symbol": priority_symbol, "escaped": escape_link})
+        return own.render(item=item)
+    lines = F.transform(
+        item["links"],
+        lambda x: F.concat(
+            F.lit("\n.. \U0001f517 ["),
+            F.when(F.coalesce(x["title"], F.lit("")) != "", x["title"]).otherwise("link"),
+            F.lit("]("),
+            F.coalesce(escape_link(x["url"]), F.lit("")),
+            F.lit(")"),
+        ),
+    )
+    return F.concat(
+        F.lit("\n"),
+        priority_symbol(item["priority"]),
+        F.lit(" "),
+        F.coalesce(item["title"], F.lit("")),
+        F.lit(" [\U0001f4e7]("),
+        F.coalesce(item["source_url"], F.lit("")),
+        F.lit(")"),
+        _part("\n\n. \U0001f4c5 ", item["due_date"].cast("string"), "\n\n"),
+        _part("\n\n\n. ", item["notes"], "\n\n"),
+        F.when(F.size(F.coalesce(item["links"], F.array())) > 0, F.concat(F.lit("\n. **Links**:"), F.array_join(lines, ""))).otherwise(""),
+        F.lit("\n\n\n&nbsp;" + "\n" * 4),
+    )
 
 
 TRIAGE_TEMPLATE = """\

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from officelake.functions.html import document_markdown
 from officelake.functions.strings import split_modification_id
-from officelake.functions.template import TODO_TEMPLATE, Template, todo_markdown, triage_prompt
+from officelake.functions.template import Template, todo_markdown, triage_prompt
 from officelake.inference.model import (
     ANSWER_ROW,
     BATCH_SIZE,
@@ -41,7 +41,7 @@ def mail_metadata(messages: DataFrame) -> DataFrame:
     return messages.select("id", path.alias("path"), "subject", "received_date", "senders", *have)
 
 
-def render_todos(items: DataFrame, template: str = TODO_TEMPLATE, url: Column | None = None) -> DataFrame:
+def render_todos(items: DataFrame, template: str | None = None, url: Column | None = None) -> DataFrame:
     """Action items with their markdown."""
     source_url = numbered_url(F.col("analysis_id"), F.col("action_number")) if url is None else url
     item = F.struct("priority", "title", source_url.alias("source_url"), "due_date", "notes", "links")
@@ -132,7 +132,7 @@ def place_todos(
     order: list[Column],
     priority: str = ".*",
     limit: int | None = 5,
-    template: str = TODO_TEMPLATE,
+    template: str | None = None,
 ) -> DataFrame:
     """Insert to-dos not placed yet into their documents (``doc_id`` of an item) and record the placements.
 

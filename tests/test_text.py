@@ -207,7 +207,7 @@ def test_template(spark):
     with pytest.raises(TemplateError):
         Template("x", filters={"length": lambda c: c})
     checked = Template("{{ opt | req('opt') }}").render_checked(opt=F.col("opt"))
-    assert [r[0]["error"] for r in df.select(checked).collect()] == ["value is not set: opt", None]
+    assert [r[0]["error"] for r in df.select(checked).collect()] == ["no value for opt", None]
     outer = Template("{{ part | render }}!", {"part": "for {{ who }}"})
     assert spark.range(1).select(outer.render(who=F.lit("me"))).first()[0] == "for me!"
 
