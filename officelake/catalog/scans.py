@@ -254,7 +254,10 @@ def s16(spark, sf):
     item = F.struct(
         F.col("start_index").alias("startIndex"),
         F.col("end_index").alias("endIndex"),
-        F.struct(F.col("level").alias("namedStyleType"), F.col("heading_id").alias("headingId"), "text").alias("paragraph"),
+        F.struct(
+            F.array(F.struct(F.col("start_index").alias("startIndex"), F.col("end_index").alias("endIndex"), F.struct(F.col("text").alias("content")).alias("textRun"))).alias("elements"),
+            F.struct(F.col("level").alias("namedStyleType"), F.col("heading_id").alias("headingId")).alias("paragraphStyle"),
+        ).alias("paragraph"),
     )
     docs = ordered_lists(e, ["doc_id"], [F.col("pos")], item, "content")
     json = docs.select(

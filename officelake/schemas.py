@@ -111,40 +111,6 @@ SPREADSHEET = T.StructType(
     ]
 )
 
-DOCUMENT = T.StructType(
-    [
-        T.StructField("documentId", T.StringType()),
-        T.StructField(
-            "body",
-            T.StructType(
-                [
-                    T.StructField(
-                        "content",
-                        T.ArrayType(
-                            T.StructType(
-                                [
-                                    T.StructField("startIndex", T.LongType()),
-                                    T.StructField("endIndex", T.LongType()),
-                                    T.StructField(
-                                        "paragraph",
-                                        T.StructType(
-                                            [
-                                                T.StructField("namedStyleType", T.StringType()),
-                                                T.StructField("headingId", T.StringType()),
-                                                T.StructField("text", T.StringType()),
-                                            ]
-                                        ),
-                                    ),
-                                ]
-                            )
-                        ),
-                    )
-                ]
-            ),
-        ),
-    ]
-)
-
 CACHED_CALL = T.StructType(
     [
         *_strings("reg_key", "args_hash", "serialized_args", "value"),

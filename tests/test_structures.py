@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from officelake.sources import documents
 from officelake.operators import bus, edits, grid, rules, sections
 from officelake.schemas import CELL_VALUE
 
@@ -165,6 +166,35 @@ def test_render_table(spark):
     assert sections.misaligned(df, spark.createDataFrame([(1, text.replace("b", "q"))], "doc_id int, text string")).count() == 1
 
 
+def run(start, text):
+    return {"startIndex": start, "endIndex": start + len(text), "textRun": {"content": text}}
+
+
+def paragraph(start, text, style="NORMAL_TEXT"):
+    return {"startIndex": start, "endIndex": start + len(text), "paragraph": {"elements": [run(start, text)], "paragraphStyle": {"namedStyleType": style}}}
+
+
+def test_document_json_has_all_its_ranges(spark):
+    import json
+
+    inner = {"startIndex": 12, "endIndex": 20, "table": {"tableRows": [{"startIndex": 13, "endIndex": 19, "tableCells": [{"startIndex": 14, "endIndex": 19, "content": [paragraph(15, "deep")]}]}]}}
+    outer = {"startIndex": 7, "endIndex": 22, "table": {"tableRows": [{"startIndex": 8, "endIndex": 21, "tableCells": [{"startIndex": 9, "endIndex": 21, "content": [paragraph(10, "a\n"), inner]}]}]}}
+    body = [{"endIndex": 1, "sectionBreak": {}}, paragraph(1, "Title\n", "HEADING_1"), outer, {"startIndex": 22, "endIndex": 24, "strange": {}}]
+    body.append({"startIndex": 24, "endIndex": 30, "tableOfContents": {"content": [paragraph(25, "Title")]}})
+    texts = [(json.dumps({"documentId": "d", "body": {"content": body}}),), ("no json",), (None,)]
+    df = spark.createDataFrame(texts, "json string")
+    got = documents.document_ranges(df, "json").collect()
+    runs = sorted((r["start_index"], r["depth"], r["content"]) for r in got if r["kind"] == "run")
+    assert runs == [(1, 2, "Title\n"), (10, 5, "a\n"), (15, 8, "deep"), (25, 3, "Title")]
+    assert sorted(r["kind"] for r in got if r["kind"] and r["kind"] not in ("run", "paragraph")) == ["cell", "cell", "contents", "row", "row", "section_break", "table", "table", "unknown"]
+    assert sum(r["error"] is not None for r in got) == 2
+    top = documents.parse_documents(df.where("json LIKE '{%'"), "json").orderBy("pos").collect()
+    assert [(r["level"], r["text"]) for r in top] == [("NORMAL_TEXT", None), ("HEADING_1", "Title\n"), ("NORMAL_TEXT", None), ("NORMAL_TEXT", None), ("NORMAL_TEXT", None)]
+    ranges = documents.document_ranges(df.where("json LIKE '{%'"), "json").where("error IS NULL")
+    text = sections.render_text(ranges).first()["text"]
+    assert text[1:7] == "Title\n" and text[10:12] == "a\n" and text[15:19] == "deep" and text[7] == sections.FILLERS["table"]
+
+
 def test_render_any_depth(spark):
     deep = [(1, d, 40 - d, d, "cell", None) for d in range(1, 13)] + [(1, 13, 16, 13, "run", "abc")]
     df = spark.createDataFrame(deep, "doc_id int, start_index long, end_index long, depth int, kind string, content string")
