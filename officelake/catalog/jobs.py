@@ -12,7 +12,7 @@ from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, PROMPT
 from officelake.functions.jsons import decode_json
 from officelake.functions.template import Template
 from officelake.inference import model
-from officelake.inference.stub import EDITS, LISTS, SINGLE, weight
+from officelake.inference.stub import EDITS, LISTS, SINGLE, TRIAGE, weight
 from officelake.operators.ordering import batches
 from officelake.plans import inputs, jobs
 from officelake.plans.inputs import ITEMS_SQL, MAIL_SQL, table
@@ -67,18 +67,40 @@ def _by_date():
     return [F.col("received_date"), F.col("id")]
 
 
+TRIAGE_SQL = f"""{MAIL_SQL}, q AS (SELECT id, subject, {weight_sql('(' + _triage_sql('(' + TRIAGE_HEAD_SQL + ')', 'body') + ')')} + {ANALYSIS_INSTRUCTIONS} AS n FROM mail)"""
+
+
+def _triaged(spark, sf):
+    store, mail = _store(spark), _messages(spark, sf)
+    # A first run takes one page of mails, the second all others.
+    jobs.mail_triage(store, mail, TRIAGE, TRIAGE_SETTINGS, _by_date(), _now())
+    jobs.mail_triage(store, mail, TRIAGE, TRIAGE_SETTINGS, _by_date(), _now(), limit=None)
+    return store
+
+
 @query(
     "e2e1_mail_triage",
-    f"""WITH {MAIL_SQL}, q AS (SELECT id, subject, {weight_sql('(' + _triage_sql('(' + TRIAGE_HEAD_SQL + ')', 'body') + ')')} + {ANALYSIS_INSTRUCTIONS} AS n FROM mail)
-        SELECT id, 'mail' AS type, {CATEGORY_SQL.format(n='n')} AS category, subject, id || '.msg' AS path FROM q""",
+    f"""WITH {TRIAGE_SQL}
+        SELECT id, 'mail' AS type, {CATEGORY_SQL.format(n='n')} AS category, subject, id || '.msg' AS path, 'P' || n % 11 AS person FROM q""",
 )
 def e2e1(spark, sf):
-    store, mail = _store(spark), _messages(spark, sf)
-    # A first run takes one page of mails, the second all others.
-    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, _by_date(), _now())
-    jobs.mail_triage(store, mail, SINGLE, TRIAGE_SETTINGS, _by_date(), _now(), limit=None)
+    store = _triaged(spark, sf)
     out = store.read("source").join(store.read("analysis"), "id").join(store.read("mail_metadata"), "id")
-    return out.select("id", "type", "category", "subject", "path")
+    return out.select("id", "type", "category", "subject", "path", F.col("people")[0]["name"].alias("person"))
+
+
+@query(
+    "e2e1_stored_todos",
+    f"""WITH {TRIAGE_SQL}, t AS (SELECT id, n, unnest(range(n % 3)) AS i FROM q)
+        SELECT id AS analysis_id, CAST(i AS INT) AS action_number, 'Do ' || (n + i) AS title, id AS message_id FROM t""",
+)
+def e2e1_todos(spark, sf):
+    """To-dos of all mails with the message they lead back to, over all tables of the cascade."""
+    store = _triaged(spark, sf)
+    way = store.read("mail_source").join(store.read("mail_metadata").withColumnRenamed("id", "mail_metadata_id"), "mail_metadata_id")
+    way = way.select("id", "mail_data_id").join(store.read("gmail_message").select(F.col("id").alias("mail_data_id")), "mail_data_id")
+    items = store.read("action_item").select("analysis_id", "action_number", "title")
+    return items.join(way.select(F.col("id").alias("analysis_id"), F.col("mail_data_id").alias("message_id")), "analysis_id")
 
 
 def _todos(spark, sf):

@@ -47,6 +47,20 @@ def classify_one() -> "callable":
     return ask
 
 
+def triage_one() -> "callable":
+    """Answers an analysis with up to two to-dos and a person for a prompt with an ``id: …`` line."""
+
+    def ask(prompt: str) -> str:
+        if prompt.startswith(REPAIR_INTRO):
+            return repair(prompt)
+        n = weight(prompt)
+        items = [{"title": f"Do {n + i}", "priority": "high"} for i in range(n % 3)]
+        answer = {"category": CATEGORIES[n % 5], "action_items": items, "people": [{"name": f"P{n % 11}", "role": "sender"}]}
+        return dress(json.dumps(answer), n)
+
+    return ask
+
+
 def classify_list() -> "callable":
     """Answers a list for a prompt that holds a JSON array of rows with ``id`` and ``n_chars``."""
 
@@ -81,5 +95,6 @@ def edit_list() -> "callable":
 
 
 SINGLE = ModelSpec("single", classify_one, "Stub")
+TRIAGE = ModelSpec("triage", triage_one, "Stub")
 LISTS = ModelSpec("lists", classify_list, "Stub")
 EDITS = ModelSpec("edits", edit_list, "Stub")

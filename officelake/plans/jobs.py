@@ -24,7 +24,7 @@ from officelake.operators.edits import apply_edits, clamp, executed_ids, item_ed
 from officelake.operators.filters import header_lines, matches_priority, numbered_url, route, unprocessed
 from officelake.operators.lookups import match_back
 from officelake.operators.ordering import batches
-from officelake.schemas import LINKS
+from officelake.schemas import ANALYSIS, LINKS
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
 from officelake.sinks.merge import cascade_upsert, upsert, upsert_in
 from officelake.sinks.store import TableStore
@@ -71,6 +71,8 @@ ANALYSIS_ANSWER = T.StructType(
         T.StructField("category", T.StringType()),
         T.StructField("noteworthy_details", T.ArrayType(T.StringType())),
         T.StructField("action_items", T.ArrayType(ACTION)),
+        T.StructField("people", ANALYSIS["people"].dataType),
+        T.StructField("identifiers", ANALYSIS["identifiers"].dataType),
     ]
 )
 
@@ -88,6 +90,8 @@ def analyse(messages: DataFrame, model: ModelSpec, settings: dict[str, Any]) ->
         F.col("result.value.category").alias("category"),
         F.col("result.value.noteworthy_details").alias("noteworthy_details"),
         F.coalesce("result.value.action_items", no_items).alias("action_items"),
+        F.col("result.value.people").alias("people"),
+        F.col("result.value.identifiers").alias("identifiers"),
     )
     return asked.select(
         "id",
@@ -106,7 +110,7 @@ def mail_triage(
     limit: int | None = 30,
     force_all: bool = False,
 ) -> DataFrame:
-    """Analyse mails that have no metadata yet and store source, analysis, items and metadata.
+    """Analyse mails that have no metadata yet and store source, analysis, items, metadata and message at once.
 
     The anti-join and the limit come before anything that reads bodies or calls the model. Returns the
     failures; the model's answers are pinned, so storing them asks for none again.
@@ -118,8 +122,10 @@ def mail_triage(
         fresh = fresh.orderBy(*order).limit(limit)
     answered = pin(analyse(fresh, model, settings))
     good = answered.where(F.col("error").isNull())
-    cascade_upsert(store, good.select("id", F.lit("mail").alias("type"), now.alias("created_time"), "analysis"))
-    upsert(store, "mail_metadata", mail_metadata(fresh.join(good.select("id"), "id", "left_semi")), ["id"])
+    facts = mail_metadata(fresh).select("id", F.struct("*").alias("mail_metadata"))
+    data = fresh.select("id", F.struct("id", F.col("content").alias("raw")).alias("mail_data"))
+    nested = good.select("id", F.lit("mail").alias("type"), now.alias("created_time"), "analysis")
+    cascade_upsert(store, pin(nested.join(facts, "id").join(data, "id")))
     return answered.where(F.col("error").isNotNull()).select("id", "error")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.operators.ordering import last_wins
+from officelake.schemas import ANALYSIS
 from officelake.sinks.store import TableStore
 
 
@@ -100,14 +101,29 @@ def merge_into(target: str, rows: DataFrame, key: list[str]) -> None:
 
 
 def cascade(nested: DataFrame) -> dict[str, DataFrame]:
-    """A nested source (id, type, created_time, analysis struct with items) as one frame per table."""
+    """A nested source (id, type, created_time, analysis struct with items) as one frame per table.
+
+    Mail sources may bring ``mail_metadata`` and ``mail_data`` structs (each with an id), analyses may bring people
+    and identifiers.
+    """
     a = nested.where(F.col("analysis").isNotNull())
+    held = nested.schema["analysis"].dataType
+    lists = {name: ANALYSIS[name].dataType for name in ("people", "identifiers")}
+    extra = [F.col(f"analysis.{n}") if n in held.fieldNames() else F.lit(None).cast(t).alias(n) for n, t in lists.items()]
     items = a.select("id", F.posexplode("analysis.action_items").alias("action_number", "item"))
-    return {
+    parts = {
         "source": nested.select("id", "type", "created_time"),
-        "analysis": a.select("id", F.col("analysis.category").alias("category"), "analysis.noteworthy_details"),
+        "analysis": a.select("id", F.col("analysis.category").alias("category"), "analysis.noteworthy_details", *extra),
         "action_item": items.select(F.col("id").alias("analysis_id"), "action_number", "item.*"),
     }
+    if "mail_metadata" in nested.columns:
+        known = nested.where(F.col("mail_metadata").isNotNull())
+        data_id = F.col("mail_data.id") if "mail_data" in nested.columns else F.lit(None).cast("string")
+        parts["mail_source"] = known.select("id", F.col("mail_metadata.id").alias("mail_metadata_id"))
+        parts["mail_metadata"] = known.select("mail_metadata.*", data_id.alias("mail_data_id"))
+    if "mail_data" in nested.columns:
+        parts["gmail_message"] = nested.where(F.col("mail_data").isNotNull()).select("mail_data.*")
+    return parts
 
 
 def cascade_upsert(store: TableStore, nested: DataFrame) -> None:
@@ -118,7 +134,9 @@ def cascade_upsert(store: TableStore, nested: DataFrame) -> None:
     parts = cascade(nested)
     rewritten = nested.select("id")
     txn = store.begin()
-    upsert_in(txn, store, "source", parts["source"], ["id"])
+    for name in ("source", "mail_source", "mail_metadata", "gmail_message"):
+        if name in parts:
+            upsert_in(txn, store, name, parts[name], ["id"])
     # Items are bucketed by their analysis, so that a source's items are found by its id.
     for name, owner in (("analysis", "id"), ("action_item", "analysis_id")):
         rows = parts[name]
