@@ -49,6 +49,18 @@ def template(tokens: Column) -> Column:
     return F.when(joined.rlike(f"[{NUMBER}{NAME}{UNIT}]"), F.split(bare, " ")).otherwise(tokens)
 
 
+def variants(tokens: Column) -> Column:
+    """The templates of a text: names as placeholders and, where there are any, names as words too.
+
+    What begins a sentence in one copy of a text may not in another, and capitals may be lost: with both forms on both
+    sides, copies that differ in such things still meet.
+    """
+    joined = F.array_join(tokens, " ")
+    words = F.regexp_replace(F.regexp_replace(joined, NAME, ""), rf"([{NUMBER}{UNIT}])[^ ]*", "$1")
+    typed = template(tokens)
+    return F.when(F.contains(joined, F.lit(NAME)), F.array(typed, F.split(words, " "))).otherwise(F.array(typed))
+
+
 def window_hashes(tmpl: Column, size: Column | int) -> Column:
     """A hash of each window of ``size`` template tokens; none for a shorter text."""
     width = F.lit(size) if isinstance(size, int) else size
@@ -62,7 +74,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     An item of fewer than ``WINDOW`` tokens is one window of its own length, with LITERALS literals or all of them.
     """
     rows = items.select("item_id", marked(F.col("text")).alias("raw")).where("raw[0] <> ''")
-    rows = rows.withColumn("tmpl", template(F.col("raw")))
+    rows = rows.withColumn("tmpl", F.explode(variants(F.col("raw"))))
     rows = rows.withColumn("width", F.least(F.size("tmpl"), F.lit(WINDOW)))
     rows = rows.select("item_id", "raw", "tmpl", "width", F.posexplode(window_hashes(F.col("tmpl"), F.col("width"))).alias("at", "window"))
     rows = rows.select(
@@ -71,12 +83,20 @@ def item_windows(items: DataFrame) -> DataFrame:
         "width",
         "window",
         F.slice("raw", F.col("at") + 1, F.col("width")).alias("values"),
+        F.slice("tmpl", F.col("at") + 1, F.col("width")).alias("kinds"),
         F.size(F.filter(F.slice("tmpl", F.col("at") + 1, F.col("width")), lambda t: t > INNER)).alias("literals"),
-    ).where(f"literals >= least({LITERALS}, width)")
+    ).where(f"literals >= least({LITERALS}, width)").dropDuplicates(["item_id", "item_pos", "window"])
     counts = rows.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
     return rows.drop("literals").join(counts, "item_id")
 
 
+def _slots(theirs: Column, kinds: Column, own: Column) -> Column:
+    """The values that stand in a window's placeholders on either side, as struct(theirs, own)."""
+    pairs = F.zip_with(theirs, own, lambda i, d: F.struct(i.alias("theirs"), d.alias("own")))
+    typed = F.zip_with(pairs, kinds, lambda p, k: F.when(k < INNER, p))
+    return F.array_compact(typed)
+
+
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, exact): documents that hold an item, word for word or re-parameterised.
 
@@ -92,7 +112,7 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Da
     widths = sorted(r["width"] for r in theirs.select("width").distinct().collect())  # at most WINDOW values
     known = small_side(theirs, 200_000)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), marked(F.col("text")).alias("raw"))
-    rows = rows.withColumn("tmpl", template(F.col("raw")))
+    rows = rows.withColumn("tmpl", F.explode(variants(F.col("raw"))))
     every = None
     for width in widths or [WINDOW]:
         own = rows.select("doc_id", "raw", F.posexplode(window_hashes(F.col("tmpl"), width)).alias("at", "window"))
@@ -102,10 +122,7 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Da
             "n_windows",
             "item_pos",
             (F.col("at") + 1 - F.col("item_pos")).alias("shift"),
-            F.filter(
-                F.zip_with("values", F.slice("raw", F.col("at") + 1, F.lit(width)), lambda i, d: F.struct(i.alias("theirs"), d.alias("own"))),
-                lambda p: p["theirs"] < INNER,
-            ).alias("slots"),
+            _slots(F.col("values"), F.col("kinds"), F.slice("raw", F.col("at") + 1, F.lit(width))).alias("slots"),
         )
         every = found if every is None else every.unionByName(found)
     aligned = every.groupBy("doc_id", "item_id", "n_windows", "shift").agg(

@@ -273,6 +273,15 @@ def test_templates_catch_new_values(spark, odd, empty):
     assert decontamination.without_matches(odd, items.limit(0)).count() == odd.count()
 
 
+def test_copies_without_capitals_or_stops_are_caught(spark):
+    item = "The old mill stands by the river. Every spring Martha Green opens its doors. Visitors come from all over to see it turn."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    copies = [item.lower(), item.upper(), item.replace(".", ""), item.title(), "x " + item.replace("Martha Green", "Susan Brown")]
+    docs = spark.createDataFrame(list(enumerate(copies)) + [(9, prose(60, 77))], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontamination.matches(docs, items).collect()} >= {0, 1, 2, 4}
+    assert 9 not in {r["doc_id"] for r in decontamination.matches(docs, items).collect()}
+
+
 def test_both_join_forms_agree(spark, odd, monkeypatch):
     items = spark.createDataFrame([(1, SHARED), (2, prose(60, 1))], "item_id long, text string")
     want = rows_of(decontamination.matches(odd, items))
