@@ -284,16 +284,22 @@ def t1(spark, sf):
     return _run(job, spark, _files(spark, e), e.schema).store.read("doubled")
 
 
-@query("t2_incremental_state", "SELECT event_type, min(event_id) - min(event_id) AS seen_before, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("t2_incremental_state", "SELECT event_type, CAST(0 AS BIGINT) AS seen_before, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def t2(spark, sf):
     e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("id"), "event_type", "user_id")
 
+    store = _store(spark)
+
     def process(df):
-        return df.select("id", F.struct("event_type", "user_id").alias("value"), F.lit(None).cast("string").alias("error"))
+        """Each new id with whether an earlier run has stored it (none should be handed on twice)."""
+        stored = store.read("pairs").select("id") if store.exists("pairs") else df.select("id").limit(0)
+        df = df.join(stored.withColumn("seen", F.lit(1)), "id", "left")
+        value = F.struct("event_type", "user_id", F.coalesce("seen", F.lit(0)).alias("seen"))
+        return df.select("id", value.alias("value"), F.lit(None).cast("string").alias("error"))
 
-    job = stream_jobs.PolledJob(_store(spark), "pairs", "id", [F.col("user_id")], process)
+    job = stream_jobs.PolledJob(store, "pairs", "id", [F.col("user_id")], process)
     rows = _run(job, spark, _files(spark, e), e.schema).store.read("pairs")
-    return rows.groupBy("event_type").agg(F.lit(0).cast("long").alias("seen_before"), F.count("*").alias("users"))
+    return rows.groupBy("event_type").agg(F.sum("seen").alias("seen_before"), F.count("*").alias("users"))
 
 
 @query(
@@ -383,10 +389,10 @@ def t9(spark, sf):
     fed = stream_jobs.with_feed(stream, "feed", "event_id", F.col("value") > 100, F.col("event_type"))
     sink = work_dir(spark, "sink")
     q = fed.writeStream.format("parquet").option("path", sink).option("checkpointLocation", work_dir(spark, "progress"))
-    q = q.trigger(availableNow=True).start()
-    q.awaitTermination()
-    feeds = [p["observedMetrics"].get("feed") if isinstance(p, dict) else p.observedMetrics.get("feed") for p in q.recentProgress]
-    rows = [(f["items"], f["errors"], f["last"]["event_id"]) for f in feeds if f and f["items"]]
+    feeds = stream_jobs.Feeds("feed")
+    spark.streams.addListener(feeds)
+    found = feeds.collected(spark, q.trigger(availableNow=True).start())
+    rows = [(f["items"], f["errors"], f["last"]["event_id"]) for f in found]
     per_batch = spark.createDataFrame(rows, "items long, errors long, last_id long")
     return per_batch.agg(F.sum("items").alias("items"), F.sum("errors").alias("errors"), F.max("last_id").alias("last_id"))
 

@@ -63,11 +63,16 @@ def cached_call(
         {"reg_key": key, "args_hash": F.md5("_call")}
     )
     misses = keyed.select(*KEY, "_call", "_prompt").dropDuplicates(KEY)
+    touched = None
     if store.exists(table):
-        stored = store.read(table)
+        # only the buckets these calls fall into are read or rewritten
+        touched = store.buckets_of(table, keyed)
+        stored = store.read(table, touched)
         if touch_on_hit:
-            store.replace(table, touch(stored, keyed, now), KEY)
-            stored = store.read(table)
+            txn = store.begin()
+            txn.replace_buckets(table, touch(stored, keyed, now), touched)
+            txn.commit()
+            stored = store.read(table, touched)
         misses = misses.join(stored.select(*KEY), KEY, "left_anti")
     asked = misses.withColumn("_answer", generate_text(F.col("_prompt"), model))
     calls = asked.where(F.col("_answer.value").isNotNull()).select(
@@ -81,7 +86,7 @@ def cached_call(
         store.append(table, calls)
     else:
         store.replace(table, calls, KEY)
-    return get(store.read(table), keyed.drop("_prompt", "_call"))
+    return get(store.read(table, touched), keyed.drop("_prompt", "_call"))
 
 
 def with_prefix(calls: DataFrame, prefix: str) -> DataFrame:

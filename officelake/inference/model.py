@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
@@ -16,6 +17,7 @@ from officelake.operators.lookups import match_back
 
 ATTEMPTS, FIRST_DELAY, FACTOR = 3, 10.0, 2.0  # fixed values: retries of a failing call
 BATCH_SIZE = 20  # fixed value: rows in one classification prompt
+PARALLEL = 5  # fixed value: calls under way
 
 
 class RetryableError(RuntimeError):
@@ -59,11 +61,17 @@ def _ask(client: Callable[[str], str], prompt: str, attempts: int, delay: float,
 
 
 def generate_text(
-    prompt: Column, model: ModelSpec, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY, factor: float = FACTOR
+    prompt: Column,
+    model: ModelSpec,
+    attempts: int = ATTEMPTS,
+    delay: float = FIRST_DELAY,
+    factor: float = FACTOR,
+    parallel: int = PARALLEL,
 ) -> Column:
     """struct<value, error> of one call per row; only the prompt column travels to Python.
 
-    Null prompts make no call. The function counts as nondeterministic, so that no rewrite of the plan
+    A task has up to ``parallel`` calls under way, so a call that waits to be tried again holds up none of the others;
+    a client has to stand being called from several threads. Null prompts make no call. The function counts as nondeterministic, so that no rewrite of the plan
     repeats a call.
     """
     factory = model.factory
@@ -71,9 +79,10 @@ def generate_text(
     @F.pandas_udf(VALUE_OR_ERROR)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = factory()
-        for prompts in batches:
-            rows = [(None, None) if p is None else _ask(client, p, attempts, delay, factor) for p in prompts]
-            yield pd.DataFrame(rows, columns=["value", "error"])
+        one = lambda p: (None, None) if p is None else _ask(client, p, attempts, delay, factor)
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            for prompts in batches:
+                yield pd.DataFrame(list(pool.map(one, prompts)), columns=["value", "error"])
 
     return call.asNondeterministic()(prompt)
 

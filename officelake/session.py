@@ -33,6 +33,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     # A union that claims the partitioning of its branches is wrong once AQE has coalesced a branch's
     # repartition on its own: equal keys then lie in different partitions (seen with Spark 4.1.2).
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # Processors with state of their own need a store that keeps several kinds of it.
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     return spark
 
 

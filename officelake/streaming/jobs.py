@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Any, Callable
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from officelake.operators.filters import unprocessed
 from officelake.operators.ordering import last_wins
@@ -50,7 +51,6 @@ class PolledJob:
     pending: str = "pending"
     failed: list[str] = field(default_factory=list)
     ran: int = 0
-    runs: list[dict[str, Any]] = field(default_factory=list)
 
     def run_once(self, items: DataFrame) -> None:
         """One run over a batch of items and all pending ones."""
@@ -95,7 +95,6 @@ class PolledJob:
         query.awaitTermination()
         if schema is not None and self.ran == before and self.store.exists(self.pending):
             self.run_once(self.store.spark.createDataFrame([], schema))
-        self.runs += [p["observedMetrics"] if isinstance(p, dict) else p.observedMetrics for p in query.recentProgress]
         if self.strict and self.failed:
             raise FailedItems(self.failed[0])
 
@@ -124,6 +123,34 @@ def with_feed(df: DataFrame, name: str, key: str, failed: Column, sample: Column
     )
 
 
+class Feeds(StreamingQueryListener):
+    """Keeps one metric of every batch of the streams started while it listens, however many there are."""
+
+    def __init__(self, name: str):
+        self.name, self.rows = name, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None and found["items"]:
+            self.rows.append(found)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def collected(self, spark: SparkSession, query) -> list:
+        """The metrics of a query, once it has ended and its last report has come in."""
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.streams.removeListener(self)
+        return self.rows
+
+
 def append_log(stream: DataFrame, store: TableStore, table: str, order: list[Column], checkpoint: str):
     """Publish a stream of messages to a log with rising ids, each batch exactly once.
 

@@ -17,7 +17,6 @@ DELIVERY = T.StructType(
         T.StructField("message", T.StringType()),
     ]
 )
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Receiver(StatefulProcessor):
@@ -64,7 +63,6 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame, timeout_ms: int =
     Every delivery is a row, so this is for topics with few listeners, such as inboxes. For topics that many
     agents listen to, ``bus.receive`` looks up the one next message of each agent and fans nothing out.
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     routed = messages.join(subscriptions, "topic").select("agent", "topic", "id", "message")
     return routed.groupBy("agent").transformWithStateInPandas(
         statefulProcessor=Receiver(timeout_ms),
