@@ -92,12 +92,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b), both ways.
 
-    Each round gives every node the smallest label around it and then the label of that label. Rounds are
-    checkpointed in the shared folder; their number follows the logarithm of the longest chain.
+    First every node's neighbours are hung on the smallest of them, which leaves few more links than nodes where many
+    nodes share neighbours. Then each round gives every node the smallest label around it and the label of that
+    label. Rounds are checkpointed in the shared folder; their number follows the logarithm of the longest chain.
     """
     ensure_checkpoints(edges.sparkSession)
-    pairs = edges.select("a", "b").where("a <> b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    hung = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+    both = hung.unionByName(hung.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
     for _ in range(max_rounds):
         near = (
