@@ -69,11 +69,10 @@ def n7(spark, sf):
 )
 def w6(spark, sf):
     rows = _grid(spark, sf)
-    plain = grid.used_rows(rows, ["grid"], accepted=1)
-    empty = grid.used_rows(rows, ["grid"], accepted=1, include_empty=True)
-    return plain.select("grid", "row_num", F.lit("plain").alias("mode")).unionByName(
-        empty.select("grid", "row_num", F.lit("empty").alias("mode"))
-    )
+    used = grid.used_rows(rows, ["grid"], accepted=1, include_empty=True, bounded=True)
+    # without the empty ones, what is left is the same rows but these
+    modes = F.when(grid.row_is_empty(F.col("values")), F.array(F.lit("empty"))).otherwise(F.array(F.lit("plain"), F.lit("empty")))
+    return used.select("grid", "row_num", F.explode(modes).alias("mode"))
 
 
 @query(

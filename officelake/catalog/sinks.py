@@ -277,21 +277,17 @@ def k13(spark, sf):
 
 @query(
     "k14_event_changes",
-    f"""WITH {CALENDAR_SQL} SELECT CASE WHEN summary <> 'signup' THEN id END AS id,
-        CASE summary WHEN 'signup' THEN 'create' WHEN 'error' THEN 'error' ELSE 'update' END AS action,
-        '{{"id":' || id || ',"summary":"' || summary || '"' || CASE WHEN end_us - start_us > 3600000000 THEN ',"location":"' || location || '"' ELSE '' END || '}}' AS body
-        FROM calendar""",
+    f"""WITH {CALENDAR_SQL}, e AS (SELECT *, CASE WHEN summary <> 'signup' THEN id END AS own FROM calendar)
+        SELECT own AS id, CASE summary WHEN 'signup' THEN 'create' WHEN 'error' THEN 'error' ELSE 'update' END AS action,
+        '{{' || CASE WHEN own IS NOT NULL THEN '"id":' || own || ',' ELSE '' END || '"summary":"' || summary || '"'
+             || CASE WHEN end_us - start_us > 3600000000 THEN ',"location":"' || location || '"' ELSE '' END || '}}' AS body
+        FROM e""",
 )
 def k14(spark, sf):
-    from officelake.operators.filters import payload
-
     e = inputs.calendar(spark, sf)
-    rows = e.select("id", "summary", F.when(F.col("end_us") - F.col("start_us") > 3_600_000_000, F.col("location")).alias("location"))
-    stored = e.where(F.col("summary") != "error").select("id")
-    body = rows.withColumn("body", payload(rows)).withColumn("id", F.when(F.col("summary") != "signup", F.col("id")))
-    known = stored.withColumn("_known", F.lit(True))
-    action = F.when(F.col("id").isNull(), "create").when(F.col("_known"), "update").otherwise("error")
-    return body.join(known, "id", "left").select("id", action.alias("action"), "body")
+    location = F.when(F.col("end_us") - F.col("start_us") > 3_600_000_000, F.col("location"))
+    asked = e.select(F.when(F.col("summary") != "signup", F.col("id")).alias("id"), "summary", location.alias("location"))
+    return sync.event_changes(asked, e.where(F.col("summary") != "error"))
 
 
 def _changes(stored):

@@ -62,12 +62,24 @@ def used_rows(
     first_row: int | None = None,
     is_empty: Callable[[Column], Column] = row_is_empty,
     block: int = BLOCK,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Rows before the first run of more than ``accepted`` empty rows; empty ones only on request."""
+    """Rows before the first run of more than ``accepted`` empty rows; empty ones only on request.
+
+    Grids of any length are worked on in blocks; a caller whose grids came in as one row each says ``bounded`` and
+    gets one sort per grid instead.
+    """
     if first_row is not None:
         rows = rows.where(F.col("row_num") >= first_row)
-    rows = rows.withColumn("_empty", is_empty(F.col("values"))).withColumn("_block", F.expr(f"row_num div {block}"))
+    rows = rows.withColumn("_empty", is_empty(F.col("values")))
     filled = F.when(~F.col("_empty"), F.col("row_num"))
+    if bounded:
+        so_far = W.partitionBy(*keys).orderBy("row_num").rowsBetween(W.unboundedPreceding, W.currentRow)
+        before_all = F.first("row_num").over(so_far) - 1
+        run = rows.withColumn("_run", F.col("row_num") - F.coalesce(F.max(filled).over(so_far), before_all))
+        out = run.withColumn("_over", F.max(F.col("_run") > accepted).over(so_far)).where(~F.col("_over"))
+        return (out if include_empty else out.where(~F.col("_empty"))).drop("_empty", "_run", "_over")
+    rows = rows.withColumn("_block", F.expr(f"row_num div {block}"))
     # The last filled row before a block comes from one summary row per block.
     summary = rows.groupBy(*keys, "_block").agg(F.max(filled).alias("_last"), F.min("row_num").alias("_lo"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

@@ -58,7 +58,8 @@ def sheet_extract(
     keys = [*keys, "sheet", "grid"]
     rows = grid_rows(parse_spreadsheets(books, text))
     wide = grid.normalise(rows, keys, F.col("width"))
-    named = grid.to_fields(grid.used_rows(wide, keys, accepted), keys, fields, row_number)
+    # a book is one JSON text, so its grids are no longer than what came in as one row
+    named = grid.to_fields(grid.used_rows(wide, keys, accepted, bounded=True), keys, fields, row_number)
     return named.select(F.to_json(F.struct(*([row_number] if row_number else []), *[f for f in fields if f])).alias("json"))
 
 

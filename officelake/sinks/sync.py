@@ -78,3 +78,16 @@ def upsert_managed(
     return j.select(
         "id_url", F.col("_old.id").alias("id"), place.alias("tasklist_id"), *patched, actions.alias("actions")
     )
+
+
+def event_changes(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """What to send for calendar events: (id, action, body), the body without what an event does not set.
+
+    An event without an id is created, one whose id is stored is updated, any other id is an error.
+    """
+    from officelake.operators.filters import payload
+
+    asked = events.select("id", payload(events).alias("body"))
+    known = stored.select("id", F.lit(True).alias("_known")).distinct()
+    action = F.when(F.col("id").isNull(), "create").when(F.col("_known"), "update").otherwise("error")
+    return asked.join(known, "id", "left").select("id", action.alias("action"), "body")

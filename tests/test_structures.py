@@ -40,14 +40,15 @@ def used(rows, accepted, include):
     return out
 
 
+@pytest.mark.parametrize("bounded", [True, False])
 @pytest.mark.parametrize("accepted, include", [(0, False), (1, False), (1, True), (2, True)])
-def test_used_rows(spark, accepted, include):
+def test_used_rows(spark, accepted, include, bounded):
     rng = random.Random(accepted)
     grids = {g: [[rng.choice([None, "", "v", 3]) if rng.random() < 0.6 else "", None] for _ in range(rng.randrange(40))] for g in range(60)}
     data = [(g, 5, n + 5, [cell(v) for v in row]) for g, rows in grids.items() for n, row in enumerate(rows)]
     df = spark.createDataFrame(data, f"g int, start_row int, row_num long, values array<{CELL}>")
     got = {}
-    for r in grid.used_rows(df, ["g"], accepted, include, block=8).collect():  # small blocks: runs cross their borders
+    for r in grid.used_rows(df, ["g"], accepted, include, block=8, bounded=bounded).collect():  # small blocks: runs cross their borders
         got.setdefault(r["g"], []).append(r["row_num"] - 5)
     want = {g: used(rows, accepted, include) for g, rows in grids.items()}
     assert {g: sorted(v) for g, v in got.items()} == {g: v for g, v in want.items() if v}
