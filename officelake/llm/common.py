@@ -16,7 +16,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Arrow batches end at this many bytes, so that very long texts cannot pile up in a task.
-BATCH_BYTES = "33554432"
+BATCH_BYTES = "8388608"
 #: Rows up to which a side of a join is handed to every task; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
