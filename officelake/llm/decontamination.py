@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from officelake.llm.common import small_side
+from officelake.llm.common import pinned, small_side
 
 #: Tokens in a template window.
 WINDOW = 8
@@ -145,5 +145,6 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Da
 
 def without_matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are (rows with a null id stay)."""
-    held = matches(docs, items, coverage).select(F.col("doc_id").alias("held_id")).distinct()
+    # pinned: counting it before the join would look for matches twice
+    held = pinned(matches(docs, items, coverage).select(F.col("doc_id").alias("held_id")).distinct(), "held")
     return docs.join(small_side(held), F.col("doc_id").cast("long") == F.col("held_id"), "left_anti")
