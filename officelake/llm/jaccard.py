@@ -9,7 +9,11 @@ spared is indexed by what such a change must leave equal:
 * one deletion: the part and each part with one shingle taken out (spares 1).
 
 Which of the three a band uses is decided by cost: signatures to shuffle against sets that would meet by chance, from
-the number and size of the sets in the band. Sets that share a signature form families (connected candidates); within a
+the number and size of the sets in the band. Below ``PARTS_FROM`` per cent parts hold so few shingles that unrelated sets
+meet in empty ones; there a set is indexed by its prefix instead: its first n - ceil(t n) + 1 shingles in an order that
+all sets share, of which linked sets have one in common. Any order is exact; shingles common in a sample come last.
+
+Sets that share a signature form families (connected candidates); within a
 family every pair that is not yet linked is verified exactly, by shingle sets.
 """
 
@@ -35,6 +39,10 @@ CHANCE_COST = 50.0
 #: Shingles of the sets verified together in one task; larger families are verified block against block.
 BLOCK = 2_000_000
 FORMS = ("exact", "subsets", "deletion")
+#: Links of fewer per cent are found by prefixes.
+PARTS_FROM = 85
+#: Sets whose shingles are counted for the order of prefixes, at most; decides what is compared, not what is found.
+ORDER_SETS = 20_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -164,6 +172,45 @@ def signatures(tokens: np.ndarray, b: int, how: Allocation) -> np.ndarray:
     return np.concatenate(out)
 
 
+@dataclass(frozen=True)
+class Order:
+    """Shingles seen in several sets of the sample, sorted, and in how many."""
+
+    codes: np.ndarray
+    seen: np.ndarray
+
+    def prefix(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """The shingles of a set of which one at least is in the prefix of every set linked with it."""
+        place = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D))
+        rank = np.zeros(len(tokens), np.int64)
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, tokens), len(self.codes) - 1)
+            rank = np.where(self.codes[at] == tokens, self.seen[at], 0)
+        keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
+        return tokens[np.lexsort((place, rank))[:keep]]
+
+
+def sampled_order(docs: DataFrame, groups: DataFrame, size: int) -> Order:
+    """The order of prefixes, from the shingles of at most about ``ORDER_SETS`` different sets."""
+    import pyarrow as pa
+
+    share = min(1.0, ORDER_SETS / max(1, groups.count()))
+    chosen = groups.where(F.pmod(F.xxhash64(F.lit("order"), "code"), F.lit(1 << 31)) < int((1 << 31) * share)).select(F.col("first").alias("doc_id")).distinct()
+
+    def run(batches):
+        for b in batches:
+            known: dict[str, int] = {}
+            sets = [shingles(t, size, known) for t in b.column("text").to_pylist()]
+            codes, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(seen.astype(np.int64))], ["code", "seen"])
+
+    counted = texts(docs).join(small_side(chosen), "doc_id", "left_semi").select("text").mapInArrow(run, "code long, seen long")
+    common = counted.groupBy("code").agg(F.sum("seen").alias("seen")).where("seen > 1").toArrow()
+    codes, seen = common.column("code").to_numpy().view(np.uint64), common.column("seen").to_numpy()
+    order = np.argsort(codes)
+    return Order(codes[order], seen[order])
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, code): the set of every row in brief."""
     import pyarrow as pa
@@ -180,14 +227,23 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, code long")
 
 
-def _met(docs: DataFrame, size: int, percent: int, plan: dict[int, Allocation]) -> DataFrame:
-    """(key, code, pivot) of every signature; sets of one batch that share one have met, and only one of them goes on.
+def _met(docs: DataFrame, size: int, percent: int, plan: dict[int, Allocation], order: Order | None = None) -> DataFrame:
+    """(key, code, pivot) of every signature (with ``order``, of every shingle of a prefix, by band); sets of one batch that share one have met, and only one of them goes on.
 
     A set that met another within its batch is sent once, under a key of its own, with that other as ``pivot``, so a
     signature that very many sets share reaches the shuffle once per batch.
     """
     import pyarrow as pa
 
+    handed = docs.sparkSession.sparkContext.broadcast(order)
+
+    def keys(s: np.ndarray) -> list[np.ndarray]:
+        held = [k for k in bands(len(s), percent) if k in plan]
+        if handed.value is None:
+            return [signatures(s, k, plan[k]) for k in held]
+        first = handed.value.prefix(s, percent) if held else s
+        return [mixed(first + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in held]
+
     def run(batches):
         for b in batches:
             known: dict[str, int] = {}
@@ -198,7 +254,7 @@ def _met(docs: DataFrame, size: int, percent: int, plan: dict[int, Allocation])
                 if len(s):
                     code = set_code(s)
                     if code not in seen:
-                        seen[code] = np.concatenate([none, *(signatures(s, k, plan[k]) for k in bands(len(s), percent) if k in plan)])
+                        seen[code] = np.concatenate([none, *keys(s)])
             if not seen:
                 continue
             owners = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(v) for v in seen.values()])
@@ -291,7 +347,8 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             inhabited[b] = inhabited.get(b, 0) + row["count"]
     plan = {b: allocate(b, k, percent) for b, k in inhabited.items() if k > 1 and differences(b, percent) > 0}
     least = F.min("pivot").over(Window.partitionBy("key"))
-    met = _met(docs.where("doc_id IS NOT NULL"), size, percent, plan).withColumn("least", least)
+    whole = docs.where("doc_id IS NOT NULL")
+    met = _met(whole, size, percent, plan, sampled_order(whole, groups, size) if percent < PARTS_FROM else None).withColumn("least", least)
     edges = pinned(met.where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b")).distinct(), "met")
     families = pinned(components(edges), "families")
     links = pinned(_links(docs, groups, families, size, percent), "links")

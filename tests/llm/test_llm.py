@@ -475,6 +475,33 @@ def test_allocation_follows_the_cost():
     assert jaccard.allocate(20, 10**9, 90).form != "exact"
 
 
+def test_components_at_five_words_and_80_percent(copies, empty):
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.linked(copies, 5, 80).collect())
+    assert got == plain_components(given(copies), 5, 80)
+    assert jaccard.linked(empty, 5, 80).count() == 0
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        known = np.unique(rng.choice(np.union1d(a, b), 20))
+        order = jaccard.Order(known, rng.integers(2, 9, len(known)))
+        assert np.intersect1d(order.prefix(a, 80), order.prefix(b, 80)).size
+
+
+def test_stage_takes_one_of_near_copies_at_80_percent(spark, folder):
+    page = " ".join(f"w{i}" for i in range(1000))
+    rows = [(1, page), (2, page + " " + " ".join(f"n{i}" for i in range(150))), (3, " ".join(f"o{i}" for i in range(1000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, folder).collect()) == [1, 3]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(500, 900), (900, 700)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
