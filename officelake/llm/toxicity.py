@@ -1,6 +1,6 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary text, over shared backoff counts.
 
-Counts come from every labelled training document (Spark counts the distinct pairs); the model keeps the words and
+Counts come from every labelled training document but the bounded sample the curve is fitted on (Spark counts the distinct pairs); the model keeps the words and
 pairs seen most, up to a stated number, and pools all others as one rare word. A document's evidence is its
 length-normalised log-likelihood ratio, over the whole text and over its strongest passages; a logistic curve
 fitted on labelled rows that gave no counts turns it into a probability.
@@ -164,14 +164,13 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     """Train on the labelled rows of ``docs`` outside ``held_out`` (a column of doc_id); see the module.
 
-    Every fifth training row (by crc32) gives no counts and is kept for the curve. Without labelled rows of both
+    At most ``CURVE_ROWS`` of every fifth training row (by crc32) are kept for the curve; all others give counts. Without labelled rows of both
     kinds all scores are the share of toxic rows.
     """
     known = known_labels(labels, "toxic")
     if held_out is not None:
         known = known.where(~F.coalesce(held_out, F.lit(False)))
     rest = F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % 5 == 0
-    known = known.withColumn("curve", rest)
     sides = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     positive, total = sum(n for v, n in sides.items() if v), sum(sides.values())
     base = positive / total if total else 0.0
@@ -179,8 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     empty = ToxicityModel(none.astype(np.uint64), none, none, 0.0, none.astype(np.uint64), none, np.array([0.0] * FEATURES + [-30.0]), 0.0)
     if not positive or positive == total:
         return empty
-    rows = texts(docs).join(small_side(known), "doc_id")
-    pairs = rows.where("NOT curve").select("text", "label").mapInArrow(_count_pairs, "pair long, c0 long, c1 long")
+    sample = pinned(bounded_sample(known.where(rest), CURVE_ROWS), "toxic-curve")
+    counting = known.join(small_side(sample.select("doc_id")), "doc_id", "left_anti")
+    rows = texts(docs).join(small_side(counting), "doc_id")
+    pairs = rows.select("text", "label").mapInArrow(_count_pairs, "pair long, c0 long, c1 long")
     counted = pairs.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     schema = "kind int, key long, " + ", ".join(f"{c} long" for c in COUNT_COLUMNS)
     counts = pinned(
@@ -188,7 +189,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     )
     model = _smoothed(counts, empty)
     model.base = base
-    sample = bounded_sample(known.where("curve"), CURVE_ROWS)
     curve = texts(docs).join(small_side(sample), "doc_id").select("doc_id", "text", "label")
     seen = _evidence(curve, model).select("doc_id", "label", "evidence").toPandas().sort_values("doc_id")
     x, y = np.array(seen["evidence"].tolist(), dtype=np.float64).reshape(-1, FEATURES), seen["label"].to_numpy(dtype=np.float64)

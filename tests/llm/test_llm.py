@@ -397,6 +397,20 @@ def test_toxic_words_are_learnt(spark, odd, labels, empty):
     assert toxicity.fit(odd, known.limit(0)).base == 0.0
 
 
+def test_rows_beyond_the_curve_give_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 20)
+    read = []
+    monkeypatch.setattr(toxicity, "pinned", lambda df, purpose, f=toxicity.pinned: read.append((purpose, out := f(df, purpose))) or out)
+    docs = spark.createDataFrame([(i, f"{prose(20, i)} only{i}") for i in range(300)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    toxicity.fit(docs, known)
+    curve = {r["doc_id"] for r in dict(read)["toxic-curve"].collect()}
+    assert len(curve) == 20
+    seen = {r["key"] & 0xFFFFFFFF for r in dict(read)["toxic-counts"].where("kind = 0").collect()}
+    word = lambda i: int(toxicity.hashed(f"only{i}", {})[0])
+    assert {i for i in range(300) if word(i) in seen} == set(range(300)) - curve
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
