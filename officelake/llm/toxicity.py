@@ -1,9 +1,11 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary text, over shared backoff counts.
 
-Counts come from every labelled training document but the bounded sample the curve is fitted on (Spark counts the distinct pairs); the model keeps the words and
-pairs seen most, up to a stated number, and pools all others as one rare word. A document's evidence is its
-length-normalised log-likelihood ratio, over the whole text and over its strongest passages; a logistic curve
-fitted on labelled rows that gave no counts turns it into a probability.
+Counts come from every labelled training document but the bounded sample the curve is fitted on (Spark counts the
+distinct pairs). Every seen word and every seen pair has an entry of its own in a table; only unseen words share one
+ratio. Tables counted to be small are handed to the tasks whole, larger ones are joined with the distinct words and
+pairs of chunks of texts; both give the same scores. A document's evidence is its length-normalised log-likelihood
+ratio, over the whole text and over its strongest passages; a logistic curve fitted on labelled rows that gave no
+counts turns it into a probability.
 """
 
 from __future__ import annotations
@@ -20,19 +22,19 @@ from officelake.llm.common import bounded_sample, known_labels, logistic, pinned
 
 TOKEN = re.compile(r"\w+")
 DISCOUNT = 0.75
-#: Entries the model holds at most: words, and pairs of words. Bounds what every task is handed.
-MODEL_WORDS = 1 << 19
-MODEL_PAIRS = 1 << 18
+#: Entries up to which tasks are handed the tables whole; beyond, documents are joined with them.
+HANDED_ENTRIES = 1 << 22
+#: Characters of different texts whose words and pairs are looked up together in that join.
+CHUNK_CHARS = 4_000_000
 #: Labelled rows the curve is fitted on at most.
 CURVE_ROWS = 20_000
 #: Rows of either kind a curve needs at least.
 FEWEST = 5
-#: A word with fewer distinct words before it, in all training text, is pooled as rare: copies of one text give many
-#: counts of its odd words but few contexts.
-MIN_CONTEXTS = 5
 WINDOW = 5
 FEATURES = 4
-COUNT_COLUMNS = ("c0", "c1", "t0", "t1", "t")
+#: Kinds of entries.
+WORD_ENTRY, PAIR_ENTRY = 0, 1
+EVIDENCE = "array<double>"
 
 
 def hashed(text: str, known: dict[str, int]) -> np.ndarray:
@@ -72,61 +74,23 @@ def _count_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(counts[0]), pa.array(counts[1])], ["pair", "c0", "c1"])
 
 
-def _fold_counts(batches):
-    """From counted pairs: per word, the distinct words before it (kind 0) and its followers (kind 1); pairs seen twice (kind 2)."""
-    import pyarrow as pa
-
-    for b in batches:
-        pair = b.column("pair").to_numpy().view(np.uint64)
-        c0, c1 = b.column("c0").to_numpy(), b.column("c1").to_numpy()
-        kinds, keys, values = [], [], []
-        for kind, key in ((0, pair & np.uint64(0xFFFFFFFF)), (1, pair >> np.uint64(32))):
-            k, at = np.unique(key, return_inverse=True)
-            cols = [np.bincount(at, w, len(k)).astype(np.int64) for w in (c0, c1, c0 > 0, c1 > 0, np.ones(len(at)))]
-            kinds.append(np.full(len(k), kind, np.int32))
-            keys.append(k)
-            values.append(cols)
-        twice = c0 + c1 >= 2
-        kinds.append(np.full(int(twice.sum()), 2, np.int32))
-        keys.append(pair[twice])
-        one = np.ones(int(twice.sum()), np.int64)
-        values.append([c0[twice], c1[twice], (c0[twice] > 0).astype(np.int64), (c1[twice] > 0).astype(np.int64), one])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate([v[i] for v in values])) for i in range(5))],
-            ["kind", "key", *COUNT_COLUMNS],
-        )
-
-
-def _kept(counts: DataFrame, kind: int, size: int, seen, least_seen: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The entries of a kind seen ``least_seen`` times, or as often as ``size`` asks for, and the sums of the others."""
-    own = counts.where(F.col("kind") == kind).withColumn("seen", seen)
-    level = F.when(F.col("seen") >= least_seen, F.floor(F.log2(F.col("seen").cast("double")) * 4).cast("int")).otherwise(-1)
-    steps = own.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
-    least, total = 1 << 30, 0
-    for row in steps:  # a quarter of an octave per step: some hundred rows at most
-        if row["level"] < 0 or total + row["count"] > size:
-            break
-        total, least = total + row["count"], row["level"]
-    kept = own.where(level >= least).select("key", *COUNT_COLUMNS).toArrow()
-    rest = own.where(level < least).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS]).first()
-    cols = {n: kept.column(n).to_numpy() for n in kept.column_names}
-    order = np.argsort(cols["key"].view(np.uint64), kind="stable")
-    cols = {n: v[order] for n, v in cols.items()}
-    return cols, np.array([rest[c] for c in COUNT_COLUMNS], dtype=np.float64)
-
-
 @dataclass
-class ToxicityModel:
-    """Log-ratios by word and by pair, and the curve; arrays are sorted by key and bounded in length."""
+class Ratios:
+    """Log-ratios by word and by pair, sorted by key, and what an unseen word has."""
 
     words: np.ndarray
     word_ratio: np.ndarray
     context_ratio: np.ndarray
-    rare_ratio: float
     pairs: np.ndarray
     pair_ratio: np.ndarray
-    curve: np.ndarray
-    base: float
+    unseen: float
+
+    @staticmethod
+    def of(kind: np.ndarray, key: np.ndarray, ratio: np.ndarray, context: np.ndarray, unseen: float) -> Ratios:
+        """From entries in any order."""
+        order = np.argsort(key.view(np.uint64), kind="stable")
+        w, p = order[kind[order] == WORD_ENTRY], order[kind[order] == PAIR_ENTRY]
+        return Ratios(key[w].view(np.uint64), ratio[w], context[w], key[p].view(np.uint64), ratio[p], unseen)
 
     def evidence(self, text: str, known: dict[str, int]) -> np.ndarray:
         """Mean log-ratio of the text, of its best window, of its best three words, and the share of strong words."""
@@ -140,19 +104,28 @@ class ToxicityModel:
 
     def ratios(self, words: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary) for each word."""
-        if not len(self.words):
-            return np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        hit = self.words[at] == words
-        ratio = np.where(hit, self.word_ratio[at], self.rare_ratio)
-        ratio[1:] += np.where(hit[:-1], self.context_ratio[at[:-1]], 0.0)
-        if len(self.pairs):
-            both = np.flatnonzero(hit)
-            pair = pairs_of(words)[both]
-            p = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            known = self.pairs[p] == pair
-            ratio[both[known]] = self.pair_ratio[p[known]]
-        return ratio
+        ratio = _looked_up(self.words, self.word_ratio, words, self.unseen)
+        ratio = ratio + _looked_up(self.words, self.context_ratio, np.concatenate([np.zeros(1, np.uint64), words[:-1]]), 0.0)
+        return _looked_up(self.pairs, self.pair_ratio, pairs_of(words), ratio)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other) -> np.ndarray:
+    """The values of the wanted keys, ``other`` where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted)) + other
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+@dataclass
+class ToxicityModel:
+    """Entries (kind, key, ratio, context) of every seen word and pair, the same as arrays if they are few, and the curve."""
+
+    entries: DataFrame | None
+    handed: Ratios | None
+    unseen: float
+    curve: np.ndarray
+    base: float
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         """The curve; a text without words gets the share of toxic rows, at most 0.05."""
@@ -175,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     positive, total = sum(n for v, n in sides.items() if v), sum(sides.values())
     base = positive / total if total else 0.0
     none = np.zeros(0)
-    empty = ToxicityModel(none.astype(np.uint64), none, none, 0.0, none.astype(np.uint64), none, np.array([0.0] * FEATURES + [-30.0]), 0.0)
+    nothing = Ratios(none.astype(np.uint64), none, none, none.astype(np.uint64), none, 0.0)
+    empty = ToxicityModel(None, nothing, 0.0, np.array([0.0] * FEATURES + [-30.0]), 0.0)
     if not positive or positive == total:
         return empty
     sample = pinned(bounded_sample(known.where(rest), CURVE_ROWS), "toxic-curve")
@@ -183,11 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     rows = texts(docs).join(small_side(counting), "doc_id")
     pairs = rows.select("text", "label").mapInArrow(_count_pairs, "pair long, c0 long, c1 long")
     counted = pairs.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    schema = "kind int, key long, " + ", ".join(f"{c} long" for c in COUNT_COLUMNS)
-    counts = pinned(
-        counted.mapInArrow(_fold_counts, schema).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS]), "toxic-counts"
-    )
-    model = _smoothed(counts, empty)
+    model = _smoothed(pinned(counted, "toxic-counts"), empty)
     model.base = base
     curve = texts(docs).join(small_side(sample), "doc_id").select("doc_id", "text", "label")
     seen = _evidence(curve, model).select("doc_id", "label", "evidence").toPandas().sort_values("doc_id")
@@ -214,67 +184,116 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _smoothed(counts: DataFrame, empty: ToxicityModel) -> ToxicityModel:
     """Kneser-Ney with absolute discount: pair, then distinct contexts of the class, then those of both classes."""
-    # a word counts as seen by its distinct contexts, a context by its followers: both orders share one vocabulary
-    left, rare = _kept(counts, 0, MODEL_WORDS, F.col("t"), MIN_CONTEXTS)
-    if not len(left["key"]):
+    low = F.lit(0xFFFFFFFF)
+    seen = [F.when(F.col(c) > 0, 1).otherwise(0) for c in ("c0", "c1")]
+    as_word = counts.groupBy(F.col("pair").bitwiseAND(low).alias("word")).agg(
+        F.sum(seen[0]).alias("t0"), F.sum(seen[1]).alias("t1"), F.count(F.lit(1)).alias("t")
+    )
+    as_context = counts.groupBy(F.shiftrightunsigned("pair", 32).alias("word")).agg(
+        F.sum(seen[0]).alias("n0"), F.sum(seen[1]).alias("n1"), F.sum("c0").alias("s0"), F.sum("c1").alias("s1")
+    )
+    # 0 stands before the first word: a context, no word
+    words = pinned(as_word.join(as_context, "word", "full").na.fill(0), "toxic-words")
+    total = words.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t0", "t1", "t")],
+        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"kinds_{c}") for c in ("t0", "t1", "t")],
+    ).first()
+    if not total["t"]:
         return empty
-    words = left["key"].view(np.uint64)
-    follow, _ = _kept(counts, 1, MODEL_WORDS, F.col("t"), 1)
-    pair, _ = _kept(counts, 2, MODEL_PAIRS, F.col("c0") + F.col("c1"), 2)
-    shared = left["t"].astype(float)
-    all_shared = shared.sum() + rare[4]
-    backoff = (shared + 0.5) / (all_shared + 0.5 * (len(words) + 1))
-    rare_backoff = (rare[4] + 0.5) / (all_shared + 0.5 * (len(words) + 1))
-    logs, lam, rare_logs = [], [], []
-    for k, (n, c) in enumerate((("t0", "c0"), ("t1", "c1"))):
-        seen = left[n].astype(float)
-        # the rare words count as one kind, whose mass is not discounted
-        total = max(1.0, seen.sum() + rare[2 + k])
-        free = max(DISCOUNT * (seen > 0).sum(), 0.5) / total
-        logs.append(np.log(np.maximum(seen - DISCOUNT, 0) / total + free * backoff))
-        rare_logs.append(float(np.log(rare[2 + k] / total + free * rare_backoff)))
+    logs, weights, frees = [], [], []
+    unit = total["t"] + 0.5 * (total["kinds_t"] + 1)
+    for k in "01":
+        mass = max(1.0, float(total[f"t{k}"]))
+        free = max(DISCOUNT * total[f"kinds_t{k}"], 0.5) / mass
+        frees.append(free)
+        own = F.greatest(F.col(f"t{k}") - DISCOUNT, F.lit(0.0)) / mass
+        logs.append(F.log(own + F.lit(free) * (F.col("t") + 0.5) / unit))
         # the weight a known context leaves to the backoff
-        at = np.searchsorted(words, follow["key"].view(np.uint64))
-        inside = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == follow["key"].view(np.uint64))
-        weight = np.zeros(len(words))
-        has = follow[c] > 0
-        weight[at[inside & has]] = np.log(DISCOUNT * follow[n][inside & has] / follow[c][inside & has])
-        lam.append(weight)
-    out = ToxicityModel(words, logs[1] - logs[0], lam[1] - lam[0], rare_logs[1] - rare_logs[0], empty.pairs, empty.pair_ratio, empty.curve, 0.0)
-    if len(pair["key"]):
-        keys = pair["key"].view(np.uint64)
-        v, u = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
-        at_v, at_u = (np.minimum(np.searchsorted(words, x), len(words) - 1) for x in (v, u))
-        good = (words[at_v] == v) & (words[at_u] == u)
-        order = np.argsort(follow["key"].view(np.uint64))
-        fk = follow["key"].view(np.uint64)[order]
-        f = np.minimum(np.searchsorted(fk, u), max(0, len(fk) - 1))
-        good &= fk[f] == u
-        ratio = np.zeros(len(keys))
-        for sign, k in ((-1, 0), (1, 1)):
-            total = follow["c01"[0] + str(k)][order][f].astype(float)
-            own = pair[f"c{k}"].astype(float)
-            p = np.where(total > 0, np.maximum(own - DISCOUNT, 0) / np.maximum(total, 1), 0) + np.exp(lam[k][at_u] + logs[k][at_v])
-            ratio += sign * np.log(p)
-        out.pairs, out.pair_ratio = keys[good], ratio[good]
-    return out
+        weights.append(F.when(F.col(f"s{k}") > 0, F.log(DISCOUNT * F.col(f"n{k}") / F.col(f"s{k}"))).otherwise(0.0))
+    unseen = float(np.log(frees[1] / frees[0]))
+    rated = words.select("word", "t", "s0", "s1", *[c.alias(f"l{k}") for k, c in enumerate(logs)], *[c.alias(f"a{k}") for k, c in enumerate(weights)])
+    by_word = rated.select(
+        F.lit(WORD_ENTRY).alias("kind"),
+        F.col("word").alias("key"),
+        F.when(F.col("t") > 0, F.col("l1") - F.col("l0")).otherwise(unseen).alias("ratio"),
+        (F.col("a1") - F.col("a0")).alias("context"),
+    )
+    sides = small_side(rated)
+    both = (
+        counts.select("pair", "c0", "c1", F.col("pair").bitwiseAND(low).alias("v"), F.shiftrightunsigned("pair", 32).alias("u"))
+        .join(sides.select(F.col("word").alias("u"), "s0", "s1", "a0", "a1"), "u")
+        .join(sides.select(F.col("word").alias("v"), "l0", "l1"), "v")
+    )
+    p = [
+        F.when(F.col(f"s{k}") > 0, F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{k}")).otherwise(0.0)
+        + F.exp(F.col(f"a{k}") + F.col(f"l{k}"))
+        for k in "01"
+    ]
+    by_pair = both.select(F.lit(PAIR_ENTRY).alias("kind"), F.col("pair").alias("key"), (F.log(p[1]) - F.log(p[0])).alias("ratio"), F.lit(0.0).alias("context"))
+    entries = pinned(by_word.unionByName(by_pair), "toxic-entries")
+    handed = None
+    if entries.limit(HANDED_ENTRIES + 1).count() <= HANDED_ENTRIES:
+        t = entries.toArrow()
+        handed = Ratios.of(*(t.column(c).to_numpy() for c in ("kind", "key", "ratio", "context")), unseen)
+    return ToxicityModel(entries, handed, unseen, empty.curve, 0.0)
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``rows`` (with a text) and their evidence."""
+    """``rows`` with their evidence in place of their text."""
     import pyarrow as pa
 
-    handed = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [n for n in rows.columns if n != "text"]
+    if model.handed is None:
+        of_text = [F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit("b"), "text").alias("text_b")]
+        return rows.select(*kept, *of_text).join(_joined(rows.select(*of_text, "text"), model), ["text_a", "text_b"]).select(*kept, "evidence")
+    handed = rows.sparkSession.sparkContext.broadcast(model.handed)
 
     def run(batches):
         for b in batches:
             known: dict[str, int] = {}
-            found = [handed.value.evidence(t or "", known).tolist() for t in b.column("text").to_pylist()]
-            kept = [n for n in b.schema.names if n != "text"]
+            found = [handed.value.evidence(t, known).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(found, pa.list_(pa.float64()))], [*kept, "evidence"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(run, f"{fields}, evidence array<double>")
+    from pyspark.sql import types as T
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[n] for n in kept), T.StructField("evidence", T.ArrayType(T.DoubleType()))]))
+
+
+def _joined(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(text_a, text_b, evidence) of every different text, by joining the words and pairs of chunks with the entries.
+
+    A chunk asks for each of its words and pairs once, so that a word all texts have is asked for once per chunk.
+    """
+    import pyarrow as pa
+
+    texts_ = pinned(rows.groupBy("text_a", "text_b").agg(F.first("text").alias("text")), "toxic-texts")
+    chars = texts_.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    dealt = texts_.withColumn("chunk", F.pmod("text_a", F.lit(chars // CHUNK_CHARS + 1)))
+
+    def asked(batches):
+        for b in batches:
+            known: dict[str, int] = {}
+            by_chunk: dict[int, list[np.ndarray]] = {}
+            for chunk, text in zip(b.column("chunk").to_pylist(), b.column("text").to_pylist()):
+                by_chunk.setdefault(chunk, []).append(hashed(text, known))
+            for chunk, found in by_chunk.items():
+                words = np.unique(np.concatenate([np.zeros(1, np.uint64), *found]))
+                pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs_of(w) for w in found if len(w))]))
+                kind = np.repeat(np.array([WORD_ENTRY, PAIR_ENTRY], np.int32), [len(words), len(pairs)])
+                key = np.concatenate([words, pairs]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk, np.int64)), pa.array(kind), pa.array(key)], ["chunk", "kind", "key"])
+
+    keys = dealt.select("chunk", "text").mapInArrow(asked, "chunk long, kind int, key long").distinct()
+    found = keys.join(model.entries, ["kind", "key"]).select("chunk", "kind", "key", "ratio", "context")
+    unseen = model.unseen
+
+    def rated(ours: pa.Table, entries: pa.Table) -> pa.Table:
+        ratios = Ratios.of(*(entries.column(c).to_numpy() for c in ("kind", "key", "ratio", "context")), unseen)
+        known: dict[str, int] = {}
+        out = [ratios.evidence(t, known).tolist() for t in ours.column("text").to_pylist()]
+        return pa.table({"text_a": ours.column("text_a"), "text_b": ours.column("text_b"), "evidence": pa.array(out, pa.list_(pa.float64()))})
+
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rated, f"text_a long, text_b long, evidence {EVIDENCE}")
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -286,14 +305,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    handed = docs.sparkSession.sparkContext.broadcast(model)
-    nested = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    nested = _evidence(docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")), model)
+    curve = ToxicityModel(None, None, model.unseen, model.curve, model.base)
 
     def run(batches):
         for b in batches:
-            known: dict[str, int] = {}
-            found = np.array([handed.value.evidence(t, known) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(handed.value.probability(found))], ["row", "score"])
+            found = np.array(b.column("evidence").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(curve.probability(found))], ["row", "score"])
 
     return nested.mapInArrow(run, T.StructType([nested.schema["row"], T.StructField("score", T.DoubleType())]))
 

@@ -397,6 +397,30 @@ def test_toxic_words_are_learnt(spark, odd, labels, empty):
     assert toxicity.fit(odd, known.limit(0)).base == 0.0
 
 
+def test_every_seen_word_and_pair_counts_in_both_forms(spark, odd, monkeypatch):
+    texts_ = [prose(30, i) + (f" once{i} slur{i}" if i % 3 == 0 else f" plain{i}") for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    curve = {i for i in range(120) if toxicity.zlib.crc32(str(i).encode()) // 4 % 5 == 0}
+    words, pairs = set(), set()
+    for i in set(range(120)) - curve:
+        h = toxicity.hashed(texts_[i], {})
+        words |= set(h.tolist())
+        pairs |= set(toxicity.pairs_of(h).tolist())
+    assert set(model.handed.words.tolist()) - {0} == words and set(model.handed.pairs.tolist()) == pairs
+    i = next(i for i in range(0, 120, 3) if i not in curve)
+    single = model.handed.ratios(toxicity.hashed(f"once{i} slur{i} plain1x never", {}))
+    assert single[1] > 3 and single[1] > single[3]
+    some = odd.select("doc_id", "text").unionByName(docs)
+    want = sorted((str(r["row"]["doc_id"]), round(r["score"], 9)) for r in toxicity.score(some, model).collect())
+    monkeypatch.setattr(toxicity, "HANDED_ENTRIES", 10)
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 5_000)
+    joined = toxicity.fit(docs, known)
+    assert joined.handed is None
+    assert sorted((str(r["row"]["doc_id"]), round(r["score"], 9)) for r in toxicity.score(some, joined).collect()) == want
+
+
 def test_rows_beyond_the_curve_give_counts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CURVE_ROWS", 20)
     read = []
@@ -406,7 +430,7 @@ def test_rows_beyond_the_curve_give_counts(spark, monkeypatch):
     toxicity.fit(docs, known)
     curve = {r["doc_id"] for r in dict(read)["toxic-curve"].collect()}
     assert len(curve) == 20
-    seen = {r["key"] & 0xFFFFFFFF for r in dict(read)["toxic-counts"].where("kind = 0").collect()}
+    seen = {r["pair"] & 0xFFFFFFFF for r in dict(read)["toxic-counts"].collect()}
     word = lambda i: int(toxicity.hashed(f"only{i}", {})[0])
     assert {i for i in range(300) if word(i) in seen} == set(range(300)) - curve
 
