@@ -23,7 +23,7 @@ from officelake.llm.common import bounded_sample, known_labels, logistic, pinned
 TOKEN = re.compile(r"\w+")
 DISCOUNT = 0.75
 #: Entries up to which tasks are handed the tables whole; beyond, documents are joined with them.
-HANDED_ENTRIES = 1 << 22
+HANDED_ENTRIES = 1 << 21
 #: Characters of different texts whose words and pairs are looked up together in that join.
 CHUNK_CHARS = 4_000_000
 #: Labelled rows the curve is fitted on at most.
@@ -270,20 +270,16 @@ def _joined(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     chars = texts_.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     dealt = texts_.withColumn("chunk", F.pmod("text_a", F.lit(chars // CHUNK_CHARS + 1)))
 
-    def asked(batches):
-        for b in batches:
-            known: dict[str, int] = {}
-            by_chunk: dict[int, list[np.ndarray]] = {}
-            for chunk, text in zip(b.column("chunk").to_pylist(), b.column("text").to_pylist()):
-                by_chunk.setdefault(chunk, []).append(hashed(text, known))
-            for chunk, found in by_chunk.items():
-                words = np.unique(np.concatenate([np.zeros(1, np.uint64), *found]))
-                pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs_of(w) for w in found if len(w))]))
-                kind = np.repeat(np.array([WORD_ENTRY, PAIR_ENTRY], np.int32), [len(words), len(pairs)])
-                key = np.concatenate([words, pairs]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk, np.int64)), pa.array(kind), pa.array(key)], ["chunk", "kind", "key"])
-
-    keys = dealt.select("chunk", "text").mapInArrow(asked, "chunk long, kind int, key long").distinct()
+    def asked(ours: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        said = [hashed(t, known) for t in ours.column("text").to_pylist()]
+        words = np.unique(np.concatenate([np.zeros(1, np.uint64), *said]))
+        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs_of(w) for w in said if len(w))]))
+        kind = np.repeat(np.array([WORD_ENTRY, PAIR_ENTRY], np.int32), [len(words), len(pairs)])
+        chunk = np.full(len(kind), ours.column("chunk")[0].as_py(), np.int64)
+        return pa.table({"chunk": pa.array(chunk), "kind": pa.array(kind), "key": pa.array(np.concatenate([words, pairs]).view(np.int64))})
+
+    keys = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(asked, "chunk long, kind int, key long")
     found = keys.join(model.entries, ["kind", "key"]).select("chunk", "kind", "key", "ratio", "context")
     unseen = model.unseen
 
