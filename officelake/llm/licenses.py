@@ -20,7 +20,7 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases that are always counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label | keyword(s) | pattern of the full name | pattern of the short form, as words
+#: label | keyword of the full name (a/b: either) | pattern of the full name | pattern of the short form, as words
 LICENSES = r"""
 apache-2.0 | apache | apache (?:software )?license(?: version)? 2(?: 0)? | apache 2(?: 0)?
 apache-1.1 | apache | apache (?:software )?license(?: version)? 1 1 | apache 1 1
@@ -37,18 +37,18 @@ bsd | bsd | bsd (?:style )?(?:license|licence) | bsd
 agpl-3.0 | affero | (?:gnu )?affero general public (?:license|licence)(?: version)? 3(?: 0)? | agpl ?v?3(?: 0)?
 agpl-1.0 | affero | affero general public (?:license|licence)(?: version)? 1(?: 0)? | agpl ?v?1(?: 0)?
 agpl | affero | (?:gnu )?affero general public (?:license|licence) | agpl
-lgpl-2.0 | gnu | (?:gnu )?library general public (?:license|licence)(?: version)? 2(?: 0)? | lgpl ?v?2 0
-lgpl-2.1 | gnu | (?:gnu )?lesser general public (?:license|licence)(?: version)? 2 1 | lgpl ?v?2 1
-lgpl-3.0 | gnu | (?:gnu )?lesser general public (?:license|licence)(?: version)? 3(?: 0)? | lgpl ?v?3(?: 0)?
-lgpl | gnu | (?:gnu )?(?:lesser|library) general public (?:license|licence) | lgpl
+lgpl-2.0 | library | (?:gnu )?library general public (?:license|licence)(?: version)? 2(?: 0)? | lgpl ?v?2 0
+lgpl-2.1 | lesser | (?:gnu )?lesser general public (?:license|licence)(?: version)? 2 1 | lgpl ?v?2 1
+lgpl-3.0 | lesser | (?:gnu )?lesser general public (?:license|licence)(?: version)? 3(?: 0)? | lgpl ?v?3(?: 0)?
+lgpl | lesser/library | (?:gnu )?(?:lesser|library) general public (?:license|licence) | lgpl
 gpl-1.0 | gnu | gnu general public (?:license|licence)(?: version)? 1(?: 0)? | gpl ?v?1(?: 0)?
 gpl-2.0 | gnu | gnu general public (?:license|licence)(?: version)? 2(?: 0)? | gpl ?v?2(?: 0)?
 gpl-3.0 | gnu | gnu general public (?:license|licence)(?: version)? 3(?: 0)? | gpl ?v?3(?: 0)?
 gpl | gnu | gnu (?:general public )?(?:license|licence) | gpl
-gfdl-1.1 | gnu | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 1 | gfdl 1 1
-gfdl-1.2 | gnu | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 2 | gfdl 1 2
-gfdl-1.3 | gnu | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 3 | gfdl 1 3
-gfdl | gnu | (?:gnu )?free documentation (?:license|licence) | gfdl
+gfdl-1.1 | documentation | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 1 | gfdl 1 1
+gfdl-1.2 | documentation | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 2 | gfdl 1 2
+gfdl-1.3 | documentation | (?:gnu )?free documentation (?:license|licence)(?: version)? 1 3 | gfdl 1 3
+gfdl | documentation | (?:gnu )?free documentation (?:license|licence) | gfdl
 mpl-1.0 | mozilla | mozilla public (?:license|licence)(?: version)? 1 0 | mpl 1 0
 mpl-1.1 | mozilla | mozilla public (?:license|licence)(?: version)? 1 1 | mpl 1 1
 mpl-2.0 | mozilla | mozilla public (?:license|licence)(?: version)? 2(?: 0)? | mpl 2(?: 0)?
@@ -124,7 +124,7 @@ FORMS = r"""
 spdx | spdx identifier | 90 | 1.0 | spdx license identifier {short}(?: (?:only|or later))?
 grant | | 80 | 0.95 | (?:licensed|released|distributed|published|available|covered|provided|made available) (?:under|by) (?:the )?(?:terms of )?(?:the )?{name}
 granted short | | 70 | 0.9 | (?:licensed|released|distributed|published|available) (?:under|by) (?:the )?{short}(?: (?:license|licence))?
-declared | license | 60 | 0.85 | (?:license|licence) {short}
+declared | license/licence | 60 | 0.85 | (?:license|licence) {short}
 named | | 50 | 0.75 | {name}
 """
 
@@ -151,13 +151,13 @@ copyright | copyright | 30 | 0.4 | (?:c|©) copyright
 ANCHORS = frozenset(
     "license licence lizenz licensed released distributed published available covered provided made identifier commons cc cc0 clause "
     "bsd unlicense openrail attribution domain permission permitted prohibited commercial noncommercial confidential redistribute "
-    "redistribution compliance copyright want".split()
+    "redistribution compliance copyright want license1 licence1 license2 licence2 license3 licence3".split()
 )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: tried where all keywords are among the words."""
+    """A signature: tried where all keywords are among the words; every match has them. One of "a/b" is enough."""
 
     label: str
     keywords: frozenset[str]
@@ -170,13 +170,21 @@ def _rows(table: str) -> list[list[str]]:
     return [[c.strip() for c in line.split(" | ")] for line in table.replace(" | | ", " |  | ").strip().splitlines()]
 
 
+def _first_word(short: str) -> str:
+    """The first word of a short form, "a/b/c" where its version may be written to it: gpl 3, gpl3, gplv3."""
+    joined = re.match(r"([a-z]+) \?v\?([0-9])", short)
+    if joined:
+        return f"{joined[1]}/{joined[1]}{joined[2]}/{joined[1]}v{joined[2]}"
+    own = re.match("[a-z0-9]+(?= |$|\\(\\?: )", short)
+    return own[0] if own else ""
+
+
 def rules() -> list[Rule]:
     """Every rule, highest priority first; between equals in the order of the tables."""
     out = []
     for label, keyword, name, short in _rows(LICENSES):
         for form, more, priority, score, pattern in _rows(FORMS):
-            own = keyword if "{name}" in pattern else short.split(" ")[0].rstrip("?")
-            own = own if re.fullmatch("[a-z0-9]+", own) else ""
+            own = keyword if "{name}" in pattern else _first_word(short)
             if form == "granted short" and short == name:
                 continue
             filled = pattern.replace("{name}", f"(?:{name})").replace("{short}", f"(?:{short})")
@@ -192,8 +200,9 @@ class Scanner:
 
     def __init__(self, given: list[Rule] | None = None):
         self.rules = rules() if given is None else given
-        self.gates = [r.keywords for r in self.rules]
-        self.every = frozenset().union(*self.gates)
+        self.gates = [frozenset(k for k in r.keywords if "/" not in k) for r in self.rules]
+        self.either = [[frozenset(k.split("/")) for k in r.keywords if "/" in k] for r in self.rules]
+        self.every = frozenset().union(*self.gates, *(e for more in self.either for e in more))
         self.compiled: dict[int, re.Pattern] = {}
         self.bases = [(p.split(" "), label) for p, label in PHRASES.items()]
         self.base_words = {w[0] for w, _ in self.bases}
@@ -220,7 +229,9 @@ class Scanner:
         if ANCHORS.isdisjoint(seen):
             return []
         present = self.every & seen
-        tried = [k for k, gate in enumerate(self.gates) if gate <= present]
+        tried = [
+            k for k, gate in enumerate(self.gates) if gate <= present and not any(e.isdisjoint(present) for e in self.either[k])
+        ]
         if not tried:
             return []
         text = " ".join(words)

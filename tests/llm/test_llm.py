@@ -204,6 +204,54 @@ def test_every_license_is_found_by_its_rules():
             assert scanner.detections(sample, set(sample)), rule
 
 
+def forms_of(pattern):
+    """Every text a pattern of the tables matches; a repeated part none or one time."""
+
+    def of(tree):
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+            elif op == "BRANCH":
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif op == "SUBPATTERN":
+                more = of(arg[3])
+            else:
+                assert op == "MAX_REPEAT"
+                more = of(arg[2]) + [""] * (arg[0] == 0)
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_form_of_a_rule_passes_its_gate():
+    scanner = licenses.Scanner()
+    for rule, gate, either in zip(scanner.rules, scanner.gates, scanner.either):
+        for text in forms_of(rule.pattern):
+            words = set(text.split(" "))
+            assert gate <= words and not any(e.isdisjoint(words) for e in either), (rule, text)
+            assert not licenses.ANCHORS.isdisjoint(words), (rule, text)
+
+
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        ("Licensed under the GPLv3", "gpl-3.0"),
+        ("License: AGPLv3", "agpl-3.0"),
+        ("Licence: LGPLv2.1", "lgpl-2.1"),
+        ("Lesser General Public License version 2.1", "lgpl-2.1"),
+        ("Free Documentation License 1.3", "gfdl-1.3"),
+    ],
+)
+def test_optional_forms_are_tried(text, label):
+    words = licenses.WORDS.findall(text.lower())
+    assert [x[2] for x in licenses.Scanner().detections(words, set(words))] == [label]
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------
 
 
