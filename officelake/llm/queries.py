@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from officelake.llm import decontamination, jaccard, licenses, mixing, pii, quality, secrets, substrings, toxicity
+from officelake.llm import codes, decontamination, jaccard, lexical, licenses, mixing, pii, quality, secrets, sharding, substrings, toxicity
 from officelake.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors and their errors."""
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it, by equal counts along the curve."""
+    found = sharding.placed(table(spark, sf_dir, "documents"), 8, "rows")
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_licenses": op2_licenses,
@@ -130,9 +148,14 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sharding": op13_sharding,
 }
 
 SQL: dict[str, str] = {
     "op4_mixing": f"WITH {mixing.MIX_SQL.format(docs='documents')} "
     "SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken",
+    "op11_lexical_search": lexical.SEARCH_SQL,
+    "op12_vector_codes": codes.codes_sql(),
 }
