@@ -1,125 +1,129 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary text, over shared backoff counts.
 
-Counts come from every labelled training document but the bounded sample the curve is fitted on (Spark counts the
-distinct pairs). Every seen word and every seen pair has an entry of its own in a table; only unseen words share one
-ratio. Tables counted to be small are handed to the tasks whole, larger ones are joined with the distinct words and
-pairs of chunks of texts; both give the same scores. A document's evidence is its length-normalised log-likelihood
-ratio, over the whole text and over its strongest passages; a logistic curve fitted on labelled rows that gave no
-counts turns it into a probability.
+Both models predict words by Kneser-Ney counts: in how many different contexts (words before it) a class has a word.
+These counts are discounted, with a discount from each class's counts of counts, and what that frees goes to the
+counts of both classes together, which are discounted likewise in favour of unseen words. So a word that one class has
+in a single context says little, and a word that neither has says next to nothing.
+
+Counts come from every labelled training document but the bounded sample the curve is fitted on. Every seen word has an
+entry of its own in a table; only unseen words share one ratio. A table counted to be small is handed to the tasks
+whole, a larger one is joined with the distinct words of chunks of texts; both give the same scores. A document's
+evidence is its length-normalised log-likelihood ratio, over the whole text and over its strongest passages; a logistic
+curve fitted on labelled rows that gave no counts turns it into a probability.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from officelake.llm.common import bounded_sample, known_labels, logistic, pinned, small_side, texts
 
 TOKEN = re.compile(r"\w+")
+#: Discount where a class has too few counts to derive one.
 DISCOUNT = 0.75
-#: Entries up to which tasks are handed the tables whole; beyond, documents are joined with them.
-HANDED_ENTRIES = 1 << 21
-#: Characters of different texts whose words and pairs are looked up together in that join.
+#: Entries up to which tasks are handed the table whole (16 bytes each); beyond, documents are joined with it.
+HANDED_ENTRIES = 1 << 22
+#: Characters of different texts whose words are looked up together in that join.
 CHUNK_CHARS = 4_000_000
 #: Labelled rows the curve is fitted on at most.
 CURVE_ROWS = 20_000
 #: Rows of either kind a curve needs at least.
 FEWEST = 5
 WINDOW = 5
+#: Ratio of a word that counts as strong, in nats.
+STRONG = 2.0
 FEATURES = 4
-#: Kinds of entries.
-WORD_ENTRY, PAIR_ENTRY = 0, 1
 EVIDENCE = "array<double>"
+#: Stands before the first word of a text.
+START = 0
 
 
-def hashed(text: str, known: dict[str, int]) -> np.ndarray:
-    """crc32 of each lower-cased word."""
-    out = []
-    for w in TOKEN.findall(text.lower()):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of the whole text."""
+    return TOKEN.findall(text.lower())
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """(word before << 32) | word, for every word; 0 stands before the first."""
-    before = np.concatenate([np.zeros(1, np.uint64), words[:-1]])
-    return (before << np.uint64(32)) | words
+def key_of(word: str) -> int:
+    """64 bits of a word."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def _count_pairs(batches):
+def hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Keys of all words; ``known`` keeps those of words met before."""
+    for w in set(words) - known.keys():
+        known[w] = key_of(w)
+    return np.array([known[w] for w in words], dtype=np.uint64)
+
+
+def _contexts(batches):
+    """(word, before, classes): the different contexts of a batch's words; bit 0 of classes is ordinary, bit 1 toxic."""
     import pyarrow as pa
 
     for b in batches:
         known: dict[str, int] = {}
-        found: list[list[np.ndarray]] = [[], []]
+        pairs: list[list[np.ndarray]] = [[], []]
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-            words = hashed(text, known)
+            words = hashed(words_of(text), known)
             if len(words):
-                found[1 if label else 0].append(pairs_of(words))
-        keys = [np.unique(np.concatenate(f), return_counts=True) if f else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for f in found]
-        every = np.union1d(keys[0][0], keys[1][0])
-        counts = []
-        for k, c in keys:
-            at = np.zeros(len(every), np.int64)
-            at[np.searchsorted(every, k)] = c
-            counts.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(counts[0]), pa.array(counts[1])], ["pair", "c0", "c1"])
+                pairs[1 if label else 0].append(np.column_stack([words, np.append(np.uint64(START), words[:-1])]))
+        for k, found in enumerate(pairs):
+            if found:
+                every = np.concatenate(found)
+                every = every[np.lexsort((every[:, 1], every[:, 0]))]
+                every = every[np.append(True, (every[1:] != every[:-1]).any(axis=1))].view(np.int64)
+                columns = [pa.array(every[:, 0]), pa.array(every[:, 1]), pa.array(np.full(len(every), k + 1, np.int8))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "before", "classes"])
 
 
 @dataclass
 class Ratios:
-    """Log-ratios by word and by pair, sorted by key, and what an unseen word has."""
+    """Log-ratios by word, sorted by key, and what an unseen word has."""
 
     words: np.ndarray
-    word_ratio: np.ndarray
-    context_ratio: np.ndarray
-    pairs: np.ndarray
-    pair_ratio: np.ndarray
+    ratio: np.ndarray
     unseen: float
 
     @staticmethod
-    def of(kind: np.ndarray, key: np.ndarray, ratio: np.ndarray, context: np.ndarray, unseen: float) -> Ratios:
+    def of(key: np.ndarray, ratio: np.ndarray, unseen: float) -> Ratios:
         """From entries in any order."""
-        order = np.argsort(key.view(np.uint64), kind="stable")
-        w, p = order[kind[order] == WORD_ENTRY], order[kind[order] == PAIR_ENTRY]
-        return Ratios(key[w].view(np.uint64), ratio[w], context[w], key[p].view(np.uint64), ratio[p], unseen)
-
-    def evidence(self, text: str, known: dict[str, int]) -> np.ndarray:
+        key = key.view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        return Ratios(key[order], ratio[order], unseen)
+
+    def of_keys(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(wanted), self.unseen)
+        at = np.minimum(np.searchsorted(self.words, wanted), len(self.words) - 1)
+        return np.where(self.words[at] == wanted, self.ratio[at], self.unseen)
+
+    def ratios(self, words: list[str], known: dict[str, float]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) for each word; ``known`` keeps those of words met before."""
+        new = list(set(words) - known.keys())
+        known.update(zip(new, self.of_keys(np.array([key_of(w) for w in new], dtype=np.uint64)).tolist()))
+        return np.array([known[w] for w in words], dtype=np.float64)
+
+    def evidence(self, text: str, known: dict[str, float]) -> np.ndarray:
         """Mean log-ratio of the text, of its best window, of its best three words, and the share of strong words."""
-        words = hashed(text, known)
-        if not len(words):
+        words = words_of(text)
+        if not words:
             return np.zeros(FEATURES)
-        ratio = self.ratios(words)
-        sums = np.convolve(ratio, np.ones(min(WINDOW, len(ratio))), "valid") / WINDOW
+        ratio = self.ratios(words, known)
+        width = min(WINDOW, len(ratio))
+        upto = np.append(0.0, np.cumsum(ratio))
+        best = (upto[width:] - upto[:-width]).max() / WINDOW
         top = np.partition(ratio, -3)[-3:] if len(ratio) > 3 else ratio
-        return np.array([ratio.mean(), sums.max(), np.maximum(top, 0).sum() / 3, (ratio > 3).mean()])
-
-    def ratios(self, words: np.ndarray) -> np.ndarray:
-        """log P(word | before, toxic) - log P(word | before, ordinary) for each word."""
-        ratio = _looked_up(self.words, self.word_ratio, words, self.unseen)
-        ratio = ratio + _looked_up(self.words, self.context_ratio, np.concatenate([np.zeros(1, np.uint64), words[:-1]]), 0.0)
-        return _looked_up(self.pairs, self.pair_ratio, pairs_of(words), ratio)
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other) -> np.ndarray:
-    """The values of the wanted keys, ``other`` where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted)) + other
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], other)
+        return np.array([ratio.mean(), best, np.maximum(top, 0).sum() / 3, (ratio > STRONG).mean()])
 
 
 @dataclass
 class ToxicityModel:
-    """Entries (kind, key, ratio, context) of every seen word and pair, the same as arrays if they are few, and the curve."""
+    """Entries (key, ratio) of every seen word, the same as arrays if they are few, and the curve."""
 
     entries: DataFrame | None
     handed: Ratios | None
@@ -148,16 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     positive, total = sum(n for v, n in sides.items() if v), sum(sides.values())
     base = positive / total if total else 0.0
     none = np.zeros(0)
-    nothing = Ratios(none.astype(np.uint64), none, none, none.astype(np.uint64), none, 0.0)
+    nothing = Ratios(none.astype(np.uint64), none, 0.0)
     empty = ToxicityModel(None, nothing, 0.0, np.array([0.0] * FEATURES + [-30.0]), 0.0)
     if not positive or positive == total:
         return empty
     sample = pinned(bounded_sample(known.where(rest), CURVE_ROWS), "toxic-curve")
     counting = known.join(small_side(sample.select("doc_id")), "doc_id", "left_anti")
     rows = texts(docs).join(small_side(counting), "doc_id")
-    pairs = rows.select("text", "label").mapInArrow(_count_pairs, "pair long, c0 long, c1 long")
-    counted = pairs.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    model = _smoothed(pinned(counted, "toxic-counts"), empty)
+    pairs = rows.select("text", "label").mapInArrow(_contexts, "word long, before long, classes byte")
+    counted = pairs.groupBy("word", "before").agg(F.bit_or("classes").alias("classes")).groupBy("word").agg(*_counts())
+    model = _smoothed(pinned(counted, "toxic-words"), empty)
     model.base = base
     curve = texts(docs).join(small_side(sample), "doc_id").select("doc_id", "text", "label")
     seen = _evidence(curve, model).select("doc_id", "label", "evidence").toPandas().sort_values("doc_id")
@@ -182,59 +186,44 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return full
 
 
-def _smoothed(counts: DataFrame, empty: ToxicityModel) -> ToxicityModel:
-    """Kneser-Ney with absolute discount: pair, then distinct contexts of the class, then those of both classes."""
-    low = F.lit(0xFFFFFFFF)
-    seen = [F.when(F.col(c) > 0, 1).otherwise(0) for c in ("c0", "c1")]
-    as_word = counts.groupBy(F.col("pair").bitwiseAND(low).alias("word")).agg(
-        F.sum(seen[0]).alias("t0"), F.sum(seen[1]).alias("t1"), F.count(F.lit(1)).alias("t")
-    )
-    as_context = counts.groupBy(F.shiftrightunsigned("pair", 32).alias("word")).agg(
-        F.sum(seen[0]).alias("n0"), F.sum(seen[1]).alias("n1"), F.sum("c0").alias("s0"), F.sum("c1").alias("s1")
-    )
-    # 0 stands before the first word: a context, no word
-    words = pinned(as_word.join(as_context, "word", "full").na.fill(0), "toxic-words")
+def _counts() -> list:
+    """Contexts of a word in ordinary, toxic and all texts."""
+    has = lambda bit: F.count(F.when(F.col("classes").bitwiseAND(bit) > 0, 1))
+    return [has(1).alias("t0"), has(2).alias("t1"), F.count(F.lit(1)).alias("t")]
+
+
+def _smoothed(words: DataFrame, empty: ToxicityModel) -> ToxicityModel:
+    """Kneser-Ney with absolute discounts from (word, t0, t1, t): a class's contexts, then those of both, then unseen words."""
+    levels = ("t0", "t1", "t")
     total = words.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t0", "t1", "t")],
-        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"kinds_{c}") for c in ("t0", "t1", "t")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in levels],
+        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"kinds_{c}") for c in levels],
+        *[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}") for c in levels for n in (1, 2)],
     ).first()
     if not total["t"]:
         return empty
-    logs, weights, frees = [], [], []
-    unit = total["t"] + 0.5 * (total["kinds_t"] + 1)
-    for k in "01":
-        mass = max(1.0, float(total[f"t{k}"]))
-        free = max(DISCOUNT * total[f"kinds_t{k}"], 0.5) / mass
-        frees.append(free)
-        own = F.greatest(F.col(f"t{k}") - DISCOUNT, F.lit(0.0)) / mass
-        logs.append(F.log(own + F.lit(free) * (F.col("t") + 0.5) / unit))
-        # the weight a known context leaves to the backoff
-        weights.append(F.when(F.col(f"s{k}") > 0, F.log(DISCOUNT * F.col(f"n{k}") / F.col(f"s{k}"))).otherwise(0.0))
+
+    def level(c: str) -> tuple[float, float, float]:
+        """Discount, sum of the counts, and the share the discount frees."""
+        once, twice = total[f"{c}_1"], total[f"{c}_2"]
+        discount = once / (once + 2 * twice) if once and twice else DISCOUNT
+        mass = max(1, total[c])
+        return discount, mass, discount * total[f"kinds_{c}"] / mass if total[c] else 1.0
+
+    discount, mass, free = level("t")
+    unseen_share = free / (total["kinds_t"] + 1)
+    shared = (F.col("t") - F.lit(discount)) / mass + F.lit(unseen_share)
+    frees, logs = [], []
+    for c in levels[:2]:
+        d, m, f = level(c)
+        frees.append(f)
+        logs.append(F.log(F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / m + F.lit(f) * shared))
     unseen = float(np.log(frees[1] / frees[0]))
-    rated = words.select("word", "t", "s0", "s1", *[c.alias(f"l{k}") for k, c in enumerate(logs)], *[c.alias(f"a{k}") for k, c in enumerate(weights)])
-    by_word = rated.select(
-        F.lit(WORD_ENTRY).alias("kind"),
-        F.col("word").alias("key"),
-        F.when(F.col("t") > 0, F.col("l1") - F.col("l0")).otherwise(unseen).alias("ratio"),
-        (F.col("a1") - F.col("a0")).alias("context"),
-    )
-    sides = small_side(rated)
-    both = (
-        counts.select("pair", "c0", "c1", F.col("pair").bitwiseAND(low).alias("v"), F.shiftrightunsigned("pair", 32).alias("u"))
-        .join(sides.select(F.col("word").alias("u"), "s0", "s1", "a0", "a1"), "u")
-        .join(sides.select(F.col("word").alias("v"), "l0", "l1"), "v")
-    )
-    p = [
-        F.when(F.col(f"s{k}") > 0, F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{k}")).otherwise(0.0)
-        + F.exp(F.col(f"a{k}") + F.col(f"l{k}"))
-        for k in "01"
-    ]
-    by_pair = both.select(F.lit(PAIR_ENTRY).alias("kind"), F.col("pair").alias("key"), (F.log(p[1]) - F.log(p[0])).alias("ratio"), F.lit(0.0).alias("context"))
-    entries = pinned(by_word.unionByName(by_pair), "toxic-entries")
+    entries = pinned(words.select(F.col("word").alias("key"), (logs[1] - logs[0]).alias("ratio")), "toxic-entries")
     handed = None
     if entries.limit(HANDED_ENTRIES + 1).count() <= HANDED_ENTRIES:
         t = entries.toArrow()
-        handed = Ratios.of(*(t.column(c).to_numpy() for c in ("kind", "key", "ratio", "context")), unseen)
+        handed = Ratios.of(t.column("key").to_numpy(), t.column("ratio").to_numpy(), unseen)
     return ToxicityModel(entries, handed, unseen, empty.curve, 0.0)
 
 
@@ -250,7 +239,7 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            known: dict[str, int] = {}
+            known: dict[str, float] = {}
             found = [handed.value.evidence(t, known).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(found, pa.list_(pa.float64()))], [*kept, "evidence"])
 
@@ -260,9 +249,9 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def _joined(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(text_a, text_b, evidence) of every different text, by joining the words and pairs of chunks with the entries.
+    """(text_a, text_b, evidence) of every different text, by joining the words of chunks with the entries.
 
-    A chunk asks for each of its words and pairs once, so that a word all texts have is asked for once per chunk.
+    A chunk asks for each of its words once, so that a word all texts have is asked for once per chunk.
     """
     import pyarrow as pa
 
@@ -271,21 +260,17 @@ def _joined(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     dealt = texts_.withColumn("chunk", F.pmod("text_a", F.lit(chars // CHUNK_CHARS + 1)))
 
     def asked(ours: pa.Table) -> pa.Table:
-        known: dict[str, int] = {}
-        said = [hashed(t, known) for t in ours.column("text").to_pylist()]
-        words = np.unique(np.concatenate([np.zeros(1, np.uint64), *said]))
-        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs_of(w) for w in said if len(w))]))
-        kind = np.repeat(np.array([WORD_ENTRY, PAIR_ENTRY], np.int32), [len(words), len(pairs)])
-        chunk = np.full(len(kind), ours.column("chunk")[0].as_py(), np.int64)
-        return pa.table({"chunk": pa.array(chunk), "kind": pa.array(kind), "key": pa.array(np.concatenate([words, pairs]).view(np.int64))})
-
-    keys = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(asked, "chunk long, kind int, key long")
-    found = keys.join(model.entries, ["kind", "key"]).select("chunk", "kind", "key", "ratio", "context")
+        words = {w for t in ours.column("text").to_pylist() for w in words_of(t)}
+        keys = np.array(sorted({key_of(w) for w in words}), dtype=np.uint64)
+        return pa.table({"chunk": pa.array(np.full(len(keys), ours.column("chunk")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+
+    keys = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(asked, "chunk long, key long")
+    found = keys.join(model.entries, "key").select("chunk", "key", "ratio")
     unseen = model.unseen
 
     def rated(ours: pa.Table, entries: pa.Table) -> pa.Table:
-        ratios = Ratios.of(*(entries.column(c).to_numpy() for c in ("kind", "key", "ratio", "context")), unseen)
-        known: dict[str, int] = {}
+        ratios = Ratios.of(*(entries.column(c).to_numpy() for c in ("key", "ratio")), unseen)
+        known: dict[str, float] = {}
         out = [ratios.evidence(t, known).tolist() for t in ours.column("text").to_pylist()]
         return pa.table({"text_a": ours.column("text_a"), "text_b": ours.column("text_b"), "evidence": pa.array(out, pa.list_(pa.float64()))})
 
