@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -402,7 +403,7 @@ def test_secrets_base_and_redaction(spark, odd, empty):
     for row in secrets.scan(docs, model).collect():
         assert [tuple(s) for s in row["base"]] == plain_secrets(texts[str(row["doc_id"])]), texts[str(row["doc_id"])]
         assert [s for s in row["spans"] if s["rank"] < 3] == row["base"]
-    assert secrets.scan(empty, model).count() == 0 and len(secrets.fit(empty)) == len(secrets.ALPHABET) ** 2
+    assert secrets.scan(empty, model).count() == 0 and len(secrets.fit(empty).pairs) == len(secrets.ALPHABET) ** 2
     clean = secrets.redacted(odd, model)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     got = {str(r["doc_id"]): r for r in clean.collect()}
@@ -420,6 +421,72 @@ def test_markov_models_tell_random_strings(spark):
     assert [s["rank"] for s in got[1]] == [3] and not got[2]
 
 
+def plain_model(texts):
+    """Both Markov models and the calibrated ratio, from all texts."""
+    run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+    random_, ordinary = [], []
+    for t in texts:
+        base = plain_secrets(t)
+        random_ += [m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= 6] + [v for _, k, _, v in base if k]
+        ordinary += [m[0] for m in run.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+    logs = []
+    for side in (random_, ordinary):
+        seen = Counter(v[i : i + 2] for v in side for i in range(len(v) - 1))
+        rows = {a: sum(seen[a + b] + 0.5 for b in secrets.ALPHABET) for a in secrets.ALPHABET}
+        logs.append({a + b: math.log((seen[a + b] + 0.5) / rows[a]) for a in secrets.ALPHABET for b in secrets.ALPHABET})
+    pairs = {p: round(logs[0][p] - logs[1][p], 3) for p in logs[0]}
+    ratio = lambda v: sum(pairs.get(v[i : i + 2], 0) for i in range(len(v) - 1)) / (len(v) - 1)
+    at = lambda v: math.floor(ratio(v) / secrets.BIN + 1e-9)
+    shares = [[at(v) for v in side if len(v) > 1] for side in (random_, ordinary)]
+    lead = lambda k: sum(x >= k for x in shares[0]) / len(shares[0]) - sum(x >= k for x in shares[1]) / len(shares[1])
+    lowest = round(secrets.LEAST_RATIO / secrets.BIN)
+    best = max(sorted({x for side in shares for x in side if x >= lowest}), key=lambda k: round(lead(k), 12))
+    return pairs, ratio, best * secrets.BIN, run
+
+
+def test_random_spans_agree_with_plain_models(spark):
+    r = random.Random(12)
+    made = lambda n: "".join(r.choice("abcdefghjkmnpqXYZ23456789") for _ in range(n))
+    parts = [lambda: r.choice(VOCABULARY), lambda: "password=" + made(r.randint(3, 20)), lambda: made(r.randint(10, 40)), lambda: "_".join(r.choice(VOCABULARY) for _ in range(6))]
+    parts += [lambda: made(3) + "0123456789abcdef01234567" + made(4), lambda: "\U0001f642é"]
+    texts_ = [r.choice(" \n").join(r.choices(parts, [9, 6, 0.4, 8, 0.3, 1])[0]() for _ in range(r.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    model = secrets.fit(docs)
+    pairs, ratio, least, run = plain_model(texts_)
+    assert np.allclose(model.pairs, [pairs[a + b] for a in secrets.ALPHABET for b in secrets.ALPHABET], atol=6e-4)
+    assert math.isclose(model.least, least, abs_tol=1e-6)
+    found = 0
+    for row in secrets.scan(docs, model).collect():
+        base = plain_secrets(texts_[row["doc_id"]])
+        want = [(m.start(), 3, m.end(), m[0]) for m in run.finditer(texts_[row["doc_id"]]) if ratio(m[0]) >= least and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+        assert [tuple(s) for s in row["spans"]] == sorted(base + want)
+        found += len(want)
+    assert found > 20
+    spans_of = {row["doc_id"]: row["spans"] for row in secrets.scan(docs, model).collect()}
+    for row in secrets.redacted(docs, model).collect():
+        text, at, out = texts_[row["doc_id"]], 0, ""
+        for a, _, b, _ in spans_of[row["doc_id"]]:
+            if a >= at:
+                out += text[at:a] + "[secret]"
+            at = max(at, b)
+        assert row["text"] == out + text[at:]
+
+
+@pytest.mark.parametrize("text", ["see " + "aB3xZ9kQ7m" * 100_000 + " end", " ".join(f"password=k{i:08d} x" for i in range(100_000))])
+def test_secret_scans_take_very_long_runs_and_many_matches(spark, text):
+    docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
+    model = secrets.fit(docs)
+    long_ = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = secrets.scan(long_, model).select(F.size("base").alias("n")).first()
+    assert got["n"] == text.count("password") and time.time() - began < 10
+    began = time.time()
+    assert len(secrets.redacted(long_, model).first()["text"]) == len(text) - 10 * got["n"] and time.time() - began < 10
+    began = time.time()
+    secrets.fit(long_)
+    assert time.time() - began < 20
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------
 
 
