@@ -447,7 +447,8 @@ def plain_model(texts):
 def test_random_spans_agree_with_plain_models(spark):
     r = random.Random(12)
     made = lambda n: "".join(r.choice("abcdefghjkmnpqXYZ23456789") for _ in range(n))
-    parts = [lambda: r.choice(VOCABULARY), lambda: "password=" + made(r.randint(3, 20)), lambda: made(r.randint(10, 40)), lambda: "_".join(r.choice(VOCABULARY) for _ in range(6))]
+    syllable = lambda: r.choice("bcdfghjkmnpqXYZ") + r.choice("aeiou")
+    parts = [lambda: r.choice(VOCABULARY), lambda: "password=" + made(r.randint(3, 20)), lambda: made(r.randint(10, 40)), lambda: "_".join(syllable() + syllable() + r.choice(["", "2024"]) for _ in range(5))]
     parts += [lambda: made(3) + "0123456789abcdef01234567" + made(4), lambda: "\U0001f642é"]
     texts_ = [r.choice(" \n").join(r.choices(parts, [9, 6, 0.4, 8, 0.3, 1])[0]() for _ in range(r.randint(0, 40))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
