@@ -74,8 +74,8 @@ def _classes(df: DataFrame, name: str) -> tuple[Column, Column]:
     return F.lit(None).cast("long"), F.col(name).cast("string")
 
 
-def quantised(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> DataFrame:
-    """``df`` with a column ``at``: for every dimension the 2^bits-tile of its rows that holds the row's value.
+def quantised(df: DataFrame, dimensions: Sequence[str], bits: int = BITS, name: str = "at") -> DataFrame:
+    """``df`` with an array ``name``: for every dimension the 2^bits-tile of its rows that holds the row's value.
 
     Equal values share a tile, which is the one of the middle row among them; nulls come last. Value counts combine
     map-side and are summed up over a range sort, so a dimension may have any number of values.
@@ -96,7 +96,7 @@ def quantised(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> Dat
         tiles = upto.where(F.col("dim") == i).select(F.col("number").alias(f"nx{i}"), F.col("value").alias(f"nt{i}"), F.col("tile").alias(f"at{i}"))
         same = F.col(f"x{i}").eqNullSafe(F.col(f"nx{i}")) & F.col(f"t{i}").eqNullSafe(F.col(f"nt{i}"))
         out = out.join(small_side(tiles), same)
-    return out.select("row.*", F.array(*[F.col(f"at{i}") for i in range(len(dimensions))]).alias("at"))
+    return out.select("row.*", F.array(*[F.col(f"at{i}") for i in range(len(dimensions))]).alias(name))
 
 
 def placed(
