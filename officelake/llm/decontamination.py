@@ -1,5 +1,6 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows of the templates
-are joined by hash, and the values in the placeholders must change consistently. DataFrame functions only.
+are joined by hash, and the values in the placeholders must change consistently. Items too rich in values for a
+template are looked for word by word. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from officelake.llm.common import pinned, small_side
 WINDOW = 8
 #: Literal (not placeholder) tokens a window needs to count.
 LITERALS = 4
+#: Item windows up to which they are handed to every task.
+HANDED_WINDOWS = 200_000
 #: Share of an item's windows that must be found in one document.
 COVERAGE = 0.5
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
@@ -61,6 +64,11 @@ def variants(tokens: Column) -> Column:
     return F.when(F.contains(joined, F.lit(NAME)), F.array(typed, F.split(words, " "))).otherwise(F.array(typed))
 
 
+def plain_words(tokens: Column) -> Column:
+    """Tokens without their markers."""
+    return F.split(F.regexp_replace(F.array_join(tokens, " "), f"[{NUMBER}{NAME}{UNIT}]", ""), " ")
+
+
 def window_hashes(tmpl: Column, size: Column | int) -> Column:
     """A hash of each window of ``size`` template tokens; none for a shorter text."""
     width = F.lit(size) if isinstance(size, int) else size
@@ -68,74 +76,112 @@ def window_hashes(tmpl: Column, size: Column | int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tmpl, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _forms(rows: DataFrame, word_by_word: bool) -> DataFrame:
+    """``rows`` (with ``raw``) once for each form of their texts: ``tmpl``, and ``typed``, the values of its placeholders in their places.
+
+    The word-by-word form has no placeholders.
+    """
+    forms = variants(F.col("raw"))
+    if word_by_word:
+        forms = F.array(plain_words(F.col("raw")))
+    rows = rows.withColumn("tmpl", F.explode(forms))
+    # names count as words where the template has them as words
+    return rows.withColumn("typed", F.zip_with("raw", "tmpl", lambda r, t: F.when(t < INNER, r)))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, item_pos, width, window, values, n_windows): the windows of each item that have enough literals.
+    """(item_id, item_pos, width, word_by_word, window, own, n_windows): the windows by which each item is found.
 
-    An item of fewer than ``WINDOW`` tokens is one window of its own length, with LITERALS literals or all of them.
+    These are its template windows with enough literals: ``LITERALS``, or all of them in an item of fewer than ``WINDOW``
+    tokens, which is one window. An item that has no such window is found by its own words and values instead, all
+    windows of them.
     """
     rows = items.select("item_id", marked(F.col("text")).alias("raw")).where("raw[0] <> ''")
-    rows = rows.withColumn("tmpl", F.explode(variants(F.col("raw"))))
-    rows = rows.withColumn("width", F.least(F.size("tmpl"), F.lit(WINDOW)))
-    rows = rows.select("item_id", "raw", "tmpl", "width", F.posexplode(window_hashes(F.col("tmpl"), F.col("width"))).alias("at", "window"))
-    rows = rows.select(
-        "item_id",
-        (F.col("at") + 1).alias("item_pos"),
-        "width",
-        "window",
-        F.slice("raw", F.col("at") + 1, F.col("width")).alias("values"),
-        F.slice("tmpl", F.col("at") + 1, F.col("width")).alias("kinds"),
-        F.size(F.filter(F.slice("tmpl", F.col("at") + 1, F.col("width")), lambda t: t > INNER)).alias("literals"),
-    ).where(f"literals >= least({LITERALS}, width)").dropDuplicates(["item_id", "item_pos", "window"])
-    counts = rows.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
-    return rows.drop("literals").join(counts, "item_id")
-
-
-def _slots(theirs: Column, kinds: Column, own: Column) -> Column:
-    """The values that stand in a window's placeholders on either side, as struct(theirs, own)."""
-    pairs = F.zip_with(theirs, own, lambda i, d: F.struct(i.alias("theirs"), d.alias("own")))
-    typed = F.zip_with(pairs, kinds, lambda p, k: F.when(k < INNER, p))
-    return F.array_compact(typed)
+    rows = pinned(rows, "benchmark-tokens")
+
+    def windows(rows: DataFrame, word_by_word: bool) -> DataFrame:
+        rows = _forms(rows, word_by_word).withColumn("width", F.least(F.size("tmpl"), F.lit(WINDOW)))
+        rows = rows.select("item_id", "tmpl", "typed", "width", F.posexplode(window_hashes(F.col("tmpl"), F.col("width"))).alias("at", "window"))
+        of = lambda c: F.slice(c, F.col("at") + 1, F.col("width"))
+        return rows.select(
+            "item_id",
+            (F.col("at") + 1).alias("item_pos"),
+            "width",
+            F.lit(word_by_word).alias("word_by_word"),
+            "window",
+            F.array_compact(of("typed")).alias("own"),
+            F.size(F.filter(of("tmpl"), lambda t: t > INNER)).alias("literals"),
+        ).dropDuplicates(["item_id", "item_pos", "window", "own"])
+
+    typed = windows(rows, False).where(f"literals >= least({LITERALS}, width)")
+    other = windows(rows.join(typed.select("item_id"), "item_id", "left_anti"), True)
+    every = pinned(typed.unionByName(other).drop("literals"), "benchmark-windows")
+    counts = every.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
+    return every.join(counts, "item_id")
+
+
+def _consistent(windows: Column, slots: Column) -> Column:
+    """The windows whose values can be those of the same question with other values.
+
+    In a window, equal values of the item must have become equal values. Different ones may have become equal by a new
+    draw, but if what they became is itself a value of the item, roles were mixed up: windows with such a slot don't count.
+    """
+    mixed_up = F.filter(
+        slots,
+        lambda p: F.exists(slots, lambda q: (q["own"] == p["own"]) & (q["theirs"] != p["theirs"])) & F.exists(slots, lambda q: q["theirs"] == p["own"]),
+    )
+    agree = lambda w: ~F.exists(w["slots"], lambda p: F.exists(w["slots"], lambda q: (q["theirs"] == p["theirs"]) & (q["own"] != p["own"])))
+    return F.filter(windows, lambda w: agree(w) & ~F.arrays_overlap(w["slots"], mixed_up))
 
 
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, exact): documents that hold an item, word for word or re-parameterised.
 
     A document holds an item if, at places where one alignment puts them, windows of the item's template stand in
-    its own template, the values in their placeholders map one to one, and these windows make up ``coverage`` of the
-    item. ``exact``: all values are the item's own. Null and empty texts hold nothing and are held by nothing; equal
-    items are all reported; repeated rows of a document count once; rows with a null id are left out.
-
-    The item windows are broadcast if counted to be few, else joined by a shuffle on the window; documents are
-    exploded with nothing but their window and values, so either way each text is read once.
+    its own template with consistent values, and these windows make up ``coverage`` of the item. ``exact``: all
+    their values are the item's own. Null and empty texts hold nothing and are held by nothing; equal items are all
+    reported, texts of items with one id are one item; repeated rows of a document, and rows of one id, count as one
+    document; rows with a null id are left out.
+
+    The item windows are broadcast if counted to be few, else joined by a shuffle on the window. In that join a
+    document's rows have a window's hash and the few values in it, never the text; either way each text is read once
+    for each form and width of windows.
     """
-    theirs = item_windows(items.where("item_id IS NOT NULL"))
-    widths = sorted(r["width"] for r in theirs.select("width").distinct().collect())  # at most WINDOW values
-    known = small_side(theirs, 200_000)
+    theirs = pinned(item_windows(items.where("item_id IS NOT NULL")), "benchmark-index")
+    kinds = sorted((r["word_by_word"], r["width"]) for r in theirs.select("word_by_word", "width").distinct().collect())  # at most 2 * WINDOW
+    few = theirs.limit(HANDED_WINDOWS + 1).count() <= HANDED_WINDOWS
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), marked(F.col("text")).alias("raw"))
-    rows = rows.withColumn("tmpl", F.explode(variants(F.col("raw"))))
     every = None
-    for width in widths or [WINDOW]:
-        own = rows.select("doc_id", "raw", F.posexplode(window_hashes(F.col("tmpl"), width)).alias("at", "window"))
-        found = own.join(known.where(F.col("width") == width), "window").select(
+    for word_by_word, width in kinds or [(False, WINDOW)]:
+        of = _forms(rows, word_by_word)
+        known = theirs.where((F.col("width") == width) & (F.col("word_by_word") == word_by_word))
+        values = lambda at: F.array_compact(F.slice("typed", at + 1, F.lit(width)))
+        hashes = window_hashes(F.col("tmpl"), width)
+        if few:
+            own = of.select("doc_id", "typed", F.posexplode(hashes).alias("at", "window")).join(F.broadcast(known), "window")
+            own = own.withColumn("here", values(F.col("at")))
+        else:
+            placed = F.transform(hashes, lambda h, at: F.struct(at.alias("at"), h.alias("window"), values(at).alias("here")))
+            own = of.select("doc_id", F.explode(placed).alias("w")).select("doc_id", "w.*").join(known, "window")
+        found = own.select(
             "doc_id",
             "item_id",
             "n_windows",
-            "item_pos",
             (F.col("at") + 1 - F.col("item_pos")).alias("shift"),
-            _slots(F.col("values"), F.col("kinds"), F.slice("raw", F.col("at") + 1, F.lit(width))).alias("slots"),
+            F.struct(
+                "item_pos", F.zip_with("own", "here", lambda i, d: F.struct(i.alias("theirs"), d.alias("own"))).alias("slots")
+            ).alias("found"),
         )
         every = found if every is None else every.unionByName(found)
-    aligned = every.groupBy("doc_id", "item_id", "n_windows", "shift").agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
-    kinds = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    consistent = (kinds("theirs") == F.size("slots")) & (kinds("own") == F.size("slots"))
-    exact = ~F.exists("slots", lambda p: p["theirs"] != p["own"])
+    aligned = every.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("found").alias("windows"))
+    aligned = aligned.withColumn("slots", F.array_distinct(F.flatten(F.col("windows.slots"))))
+    aligned = aligned.withColumn("windows", _consistent(F.col("windows"), F.col("slots")))
+    exact = ~F.exists("windows", lambda w: F.exists(w["slots"], lambda p: p["theirs"] != p["own"]))
     whole = (
-        aligned.where(consistent)
+        aligned.where(F.size("windows") > 0)
         .withColumn("exact", exact)
         .groupBy("doc_id", "item_id", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("found"), F.min("exact").alias("exact"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows.item_pos")))).alias("found"), F.min("exact").alias("exact"))
     )
     share = F.col("found") / F.col("n_windows")
     return whole.where(share >= coverage).select(
@@ -146,5 +192,6 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Da
 def without_matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are (rows with a null id stay)."""
     # pinned: counting it before the join would look for matches twice
-    held = pinned(matches(docs, items, coverage).select(F.col("doc_id").alias("held_id")).distinct(), "held")
-    return docs.join(small_side(held), F.col("doc_id").cast("long") == F.col("held_id"), "left_anti")
+    held = pinned(matches(docs, items, coverage).select("doc_id").distinct(), "held")
+    nested = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return nested.join(small_side(held), "doc_id", "left_anti").select("row.*")

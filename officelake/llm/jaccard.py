@@ -412,6 +412,11 @@ def _links(docs: DataFrame, groups: DataFrame, families: DataFrame, size: int, p
 
 
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without words or id stay, all columns do."""
-    alone = linked(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(small_side(alone), F.col("doc_id").cast("long") == F.col("other_id"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its component, with all columns, whatever their names.
+
+    Rows with null or empty texts, or without an id, stay; repeated rows stay or go together; texts of any length are
+    compared whole.
+    """
+    alone = linked(docs, size, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    nested = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return nested.join(small_side(alone), "doc_id", "left_anti").select("row.*")

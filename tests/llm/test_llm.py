@@ -1,6 +1,7 @@
 """The dealt operators against brute force on small tables with odd rows, and the pipeline's stages."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -18,7 +19,7 @@ from officelake.llm import decontamination, jaccard, licenses, mixing, pii, qual
 from officelake.llm.common import components, fold
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, kept boolean, size long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, kept boolean, size long, other_id long, held_id long, raw string, own string"
 RNG = random.Random(5)
 VOCABULARY = ["".join(RNG.choice("aeioulnrst") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
 
@@ -48,14 +49,15 @@ TEXTS = [
     "Licensed under CC BY-NC 4.0. All rights reserved. GNU General Public License",
     "a " * 5000,
     prose(60, 1) + " tail",
+    prose(170_000, 13),
 ]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, repeated rows, equal texts, a null id, and columns named like the operators' own."""
-    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None if t is None else len(t), 1.0, "x", True, 7) for i, t in enumerate(TEXTS)]
-    rows += [rows[6], rows[9], (None, prose(60, 1), None, None, None, None, None, None, None)]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None if t is None else len(t), 1.0, "x", True, 7, i, i, "r", "o") for i, t in enumerate(TEXTS)]
+    rows += [rows[6], rows[9], (None, prose(60, 1), *[None] * 11)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -332,9 +334,105 @@ def test_copies_without_capitals_or_stops_are_caught(spark):
     assert 9 not in {r["doc_id"] for r in decontamination.matches(docs, items).collect()}
 
 
+@pytest.mark.parametrize(
+    "item,copies,others",
+    [
+        ("Calculate 12 plus 34 times 5", ["now calculate 12 plus 34 times 5, please", "Calculate 12 Plus 34 Times 5."], ["calculate 12 plus 34 times 6", "12 34 5"]),
+        ("Solve 3x + 5 = 20", ["To do: solve 3x + 5 = 20!"], ["solve 4x + 5 = 20", "solve 3x"]),
+        ("take the sum of 2 and 3 and then some more of it", ["we take the sum of 4 and 4 and then some more of it"], ["we take the sum"]),
+        ("he had 5 apples then gave away 5 pears to his friend", ["she said he had 7 apples then gave away 7 pears to his friend"], []),
+    ],
+)
+def test_items_of_few_words_and_coinciding_draws(spark, item, copies, others):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(copies + others)), "doc_id long, text string")
+    assert {r["doc_id"] for r in decontamination.matches(docs, items).collect()} == set(range(len(copies)))
+
+
+def plain_matches(docs, items):
+    """Brute force over the marked tokens of (id, tokens) pairs."""
+    marks = "\1\2\3"
+    bare = lambda tokens: [t.strip(marks) for t in tokens]
+
+    def forms(raw):
+        out = [[t[0] if t[:1] and t[0] in marks else t for t in raw]]
+        if any("\2" in t for t in raw):
+            out.append([t[0] if t[:1] and t[0] in "\1\3" else t.replace("\2", "") for t in raw])
+        return [list(zip(tmpl, raw)) for tmpl in out]
+
+    def windows(form, width):
+        for k in range(len(form) - width + 1):
+            part = form[k : k + width]
+            yield k, tuple(t for t, _ in part), tuple(r for t, r in part if t in tuple(marks))
+
+    wanted = {}
+    for item, raw in items:
+        found = set()
+        for form in forms(raw):
+            width = min(len(form), 8)
+            found |= {(k, width, False, w, v) for k, w, v in windows(form, width) if sum(t > "\4" for t in w) >= min(4, width)}
+        wanted.setdefault(item, set()).update(found)
+    for item, raw in items:
+        if not wanted[item] or all(x[2] for x in wanted[item]):
+            form = [(t, t) for t in bare(raw)]
+            wanted[item] |= {(k, min(len(form), 8), True, w, ()) for k, w, _ in windows(form, min(len(form), 8))}
+    out = []
+    for (doc, raw), (item, want) in itertools.product(docs, wanted.items()):
+        aligned = {}
+        for k, width, by_word, w, own in want:
+            for form in [[(t, t) for t in bare(raw)]] if by_word else forms(raw):
+                for at, here, values in windows(form, width):
+                    if here == w:
+                        aligned.setdefault(at - k, set()).add((k, tuple(zip(own, values))))
+        places, exact = set(), True
+        for found in aligned.values():
+            pairs = {p for _, s in found for p in s}
+            bad = {p for p in pairs if any(q[1] == p[1] and q[0] != p[0] for q in pairs) and any(q[0] == p[1] for q in pairs)}
+            good = [(k, s) for k, s in found if not bad & set(s) and len({a for a, _ in s}) == len(set(s))]
+            places |= {k for k, _ in good}
+            exact &= all(a == b for _, s in good for a, b in s)
+        total = len({x[0] for x in want})
+        if places and len(places) / total >= 0.5:
+            out.append((doc, item, len(places), round(len(places) / total, 9), exact))
+    return sorted(out)
+
+
+def test_matches_agree_with_brute_force(spark, monkeypatch):
+    r = random.Random(31)
+    words = VOCABULARY[:40]
+    names = ["Alice", "Bob", "Carol"]
+
+    def question(n):
+        return " ".join(r.choice([r.choice(words), r.choice(words), r.choice(words), str(r.randint(1, 5)), r.choice(names), f"{r.randint(1, 4)} km"]) for _ in range(n))
+
+    def redrawn(text):
+        return " ".join(str(r.randint(1, 6)) if t.isdigit() else r.choice(names) if t in names and r.random() < 0.5 else t for t in text.split(" "))
+
+    items = [(i, question(r.choice([1, 3, 5, 8, 12, 25]))) for i in range(40)]
+    docs = [(i, f"{question(r.randint(0, 20))} {redrawn(r.choice(items)[1])} {question(5)} {r.choice(items)[1]}") for i in range(150)]
+    docs.append((900, " ".join(r.choice(words) for _ in range(20_000)) + " " + items[5][1]))
+    frames = [spark.createDataFrame(x, f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id"))]
+    tokens = [[(row[0], row["raw"]) for row in f.select(f.columns[0], decontamination.marked(F.col("text")).alias("raw")).collect()] for f in frames]
+    want = plain_matches(*tokens)
+    assert len(want) > 150 and any(x[0] == 900 for x in want) and not all(x[4] for x in want)
+    shape = lambda df: sorted((x["doc_id"], x["item_id"], x["n_windows"], round(x["coverage"], 9), x["exact"]) for x in df.collect())
+    assert shape(decontamination.matches(*frames)) == want
+    monkeypatch.setattr(decontamination, "HANDED_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "small_side", lambda df, rows=0: df.hint("shuffle_hash"))
+    assert shape(decontamination.matches(*frames)) == want
+
+
+def test_equal_ids_with_different_texts(spark):
+    items = spark.createDataFrame([(1, ITEM), (1, "a quite different question about the green hill and its old tower here")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "nothing"), (5, ITEM), (5, ITEM + " a quite different question about the green hill and its old tower here")], "doc_id long, text string")
+    got = decontamination.matches(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(5, 1)]
+
+
 def test_both_join_forms_agree(spark, odd, monkeypatch):
     items = spark.createDataFrame([(1, SHARED), (2, prose(60, 1))], "item_id long, text string")
     want = rows_of(decontamination.matches(odd, items))
+    monkeypatch.setattr(decontamination, "HANDED_WINDOWS", 0)
     monkeypatch.setattr(decontamination, "small_side", lambda df, rows=0: df.hint("shuffle_hash"))
     assert rows_of(decontamination.matches(odd, items)) == want and len(want) >= 5
 
@@ -717,7 +815,7 @@ def test_query_agrees_with_its_sql(spark, name):
 def folder(spark, tmp_path_factory, odd, labels):
     """Tables with the odd rows, for the stages."""
     path = str(tmp_path_factory.mktemp("tables"))
-    odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
+    odd.select("doc_id", "text", "lang", "source", "n_chars", "other_id", "held_id", "row", "score").write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, SHARED), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
