@@ -83,7 +83,7 @@ def segments(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
                 if not found:
                     continue
                 counts = Counter(found)
-                for t in counts if handed is None else counts.keys() & handed.value:
+                for t in counts if handed is None else [t for t in counts if t in handed.value]:
                     term.append(t)
                     at.append(len(ids))
                     tf.append(counts[t])
@@ -136,24 +136,26 @@ def indexed(docs: DataFrame, vocabulary: DataFrame | None = None) -> Index:
 class Part:
     """The strata of one part: documents by normaliser, postings by (stratum, term, tf)."""
 
-    def __init__(self, rows: list[dict], place: dict[str, int], weights: np.ndarray, documents: int, terms: int):
-        ids, known, lengths, term, at, tf = [], [], [], [], [], []
-        seen = 0
-        for r in rows:
-            number = np.array([place.get(t, -1) for t in r["term"]], np.int64)
-            mine = number >= 0
-            term.append(number[mine])
-            at.append(np.array(r["at"], np.int64)[mine] + seen)
-            tf.append(np.array(r["tf"], np.int64)[mine])
-            ids += [0 if i is None else i for i in r["id"]]
-            known += [i is not None for i in r["id"]]
-            lengths += r["n"]
-            seen = len(ids)
-        term, at, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, at, tf))
-        m = normaliser(np.array(lengths, np.int64), documents, terms)
+    def __init__(self, held, place: dict[str, int], weights: np.ndarray, documents: int, terms: int):
+        """From the packed rows of the part as an Arrow table; ``place`` numbers the terms asked for."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = lambda name: held.column(name).combine_chunks().flatten()
+        sizes = lambda name: pc.list_value_length(held.column(name)).to_numpy().astype(np.int64)
+        number = pc.index_in(flat("term"), value_set=pa.array(list(place), pa.string()))
+        mine = pc.is_valid(number).to_numpy(zero_copy_only=False)
+        term = number.filter(pc.is_valid(number)).to_numpy().astype(np.int64)
+        seen = np.cumsum(sizes("id")) - sizes("id")
+        at = (flat("at").to_numpy() + np.repeat(seen, sizes("at")))[mine]
+        tf = flat("tf").to_numpy().astype(np.int64)[mine]
+        ids, lengths = flat("id"), flat("n").to_numpy()
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        m = normaliser(lengths, documents, terms)
         # documents in the order of their strata
         order = np.argsort(m, kind="stable")
-        self.ids, self.known = np.array(ids, np.int64)[order], np.array(known, bool)[order]
+        self.ids, self.known = ids[order], known[order]
         self.normal, self.starts = np.unique(m[order], return_index=True)
         self.starts = np.append(self.starts, len(order))
         rank = np.empty(len(order), np.int64)
@@ -291,7 +293,7 @@ def _searched(index: Index, parts, block: list, floor: dict[int, int], top: int)
 
     def run(held: pa.Table) -> pa.Table:
         place, weights, queries, least, names = handed.value
-        hits = best_of(Part(held.to_pylist(), place, weights, documents, terms), queries, least, top)
+        hits = best_of(Part(held, place, weights, documents, terms), queries, least, top)
         q, i, known, score = zip(*hits) if hits else ((), (), (), ())
         return pa.table(
             {"query": pa.array([names[x] for x in q], pa.int64()), "doc_id": pa.array(i, pa.int64()), "known": pa.array(known, pa.bool_()), "score": pa.array(score, pa.int64())}
