@@ -145,6 +145,45 @@ def _place(spark, sf):
     return store, edited
 
 
+@query(
+    "e2e2_second_run",
+    f"""WITH {E2E2_ITEMS}, t AS (SELECT l_suppkey AS doc_id, string_agg(markdown, '' ORDER BY priority ILIKE 'critical%', analysis_id DESC, action_number DESC) AS added FROM todo GROUP BY 1)
+        SELECT d.doc_id, md5(t.added || d.text) AS digest FROM documents d JOIN t ON t.doc_id = d.doc_id""",
+)
+def e2e2_second_run(spark, sf):
+    """Critical to-dos first, then all urgent ones with the documents handed in as they were: both runs' texts stay."""
+    store = _store(spark)
+    todos = _todos(spark, sf).withColumn("analysis_id", F.col("analysis_id").cast("string")).withColumn("action_number", F.col("action_number").cast("int"))
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
+    for priority in ("critical", "high|critical"):
+        jobs.place_todos(store, todos, texts, url, F.lit(1), [F.col("seq")], priority=priority, limit=None)
+    return store.read("edited").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(
+    "e2e2_model_edits",
+    f"""WITH {ITEMS_SQL}, i AS (SELECT l_suppkey AS doc_id, analysis_id, action_number, title, action_number * 7 - 3 AS wanted
+            FROM items WHERE priority ILIKE 'critical%' AND action_number <= 3),
+        o AS (SELECT doc_id, string_agg(title, '' ORDER BY analysis_id DESC) AS added FROM i WHERE action_number = 0 GROUP BY 1),
+        c AS (SELECT d.doc_id, coalesce(o.added, '') || d.text AS text, o.added IS NOT NULL AS touched FROM documents d LEFT JOIN o USING (doc_id)),
+        p AS (SELECT i.*, c.text, greatest(least(wanted, length(c.text)), 1) AS spot FROM i JOIN c USING (doc_id) WHERE action_number > 0 AND wanted <= length(c.text) + 4),
+        g AS (SELECT doc_id, text, spot, string_agg(title, '' ORDER BY analysis_id DESC, action_number DESC) AS added FROM p GROUP BY ALL),
+        w AS (SELECT *, lag(spot, 1, 1) OVER (PARTITION BY doc_id ORDER BY spot) AS start FROM g),
+        f AS (SELECT doc_id, string_agg(substr(text, start, spot - start) || added, '' ORDER BY spot) || substr(any_value(text), max(spot)) AS text FROM w GROUP BY doc_id)
+        SELECT doc_id, md5(coalesce(f.text, c.text)) AS digest FROM c LEFT JOIN f USING (doc_id) WHERE touched OR f.text IS NOT NULL""",
+)
+def e2e2_model_edits(spark, sf):
+    """A model says where critical to-dos go, in two runs: the second one sees what the first one has written."""
+    store = _store(spark)
+    todos = _todos(spark, sf).withColumn("analysis_id", F.col("analysis_id").cast("string")).withColumn("action_number", F.col("action_number").cast("int"))
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
+    for part in (todos.where("action_number = 0"), todos.where("action_number <= 3")):
+        jobs.place_todos(store, part, texts, url, F.lit(1), [F.col("seq")], priority="critical", limit=None, model=EDITS)
+    return store.read("edited").select("doc_id", F.md5("text").alias("digest"))
+
+
 @query(
     "e2e3_categorise_and_refine",
     f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars, {PROMPT_WEIGHT_SQL} AS n FROM documents
@@ -284,6 +323,29 @@ def t1(spark, sf):
     return _run(job, spark, _files(spark, e), e.schema).store.read("doubled")
 
 
+@query(
+    "t1_failures_do_not_block",
+    """SELECT event_type, count(*) FILTER (event_id % 1000 > 0) AS stored, count(*) FILTER (event_id % 1000 = 0) AS pending FROM events GROUP BY 1""",
+)
+def t1_failures(spark, sf):
+    """Every thousandth event fails each time, and a run takes a third of them: two more runs and the rest is stored."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    # failing events have the smallest keys
+    e = e.withColumn("rank", F.col("event_id") + F.when(F.col("event_id") % 1000 == 0, F.lit(-(10**12))).otherwise(0))
+
+    def process(df):
+        failing = F.col("event_id") % 1000 == 0
+        return df.select("rank", F.when(~failing, F.struct("event_type")).alias("value"), F.when(failing, "broken").alias("error"))
+
+    store, path, progress = _store(spark), _files(spark, e, 1), work_dir(spark, "progress")
+    job = stream_jobs.PolledJob(store, "kept", "rank", [F.col("event_type")], process, limit=e.count() // 2)
+    for _ in range(3):
+        job.finish(job.start(stream_jobs.file_stream(spark, path, e.schema), progress), e.schema)
+    kept = store.read("kept").groupBy("event_type").agg(F.count("*").alias("stored"))
+    left = store.read("pending").groupBy("event_type").agg(F.count("*").alias("n"))
+    return kept.join(left, "event_type", "left").select("event_type", "stored", F.coalesce("n", F.lit(0)).alias("pending"))
+
+
 @query("t2_incremental_state", "SELECT event_type, CAST(0 AS BIGINT) AS seen_before, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def t2(spark, sf):
     e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("id"), "event_type", "user_id")

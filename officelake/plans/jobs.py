@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from officelake.functions.html import document_markdown
-from officelake.functions.strings import split_modification_id
+from officelake.functions.strings import split_modification_id, utf16_len
 from officelake.functions.template import Template, todo_markdown, triage_prompt
 from officelake.inference.model import (
     ANSWER_ROW,
@@ -23,7 +23,7 @@ from officelake.inference.model import (
 from officelake.operators.edits import apply_edits, clamp, executed_ids, item_edits
 from officelake.operators.filters import header_lines, matches_priority, numbered_url, route, unprocessed
 from officelake.operators.lookups import match_back
-from officelake.operators.ordering import batches
+from officelake.operators.ordering import batches, ordinal
 from officelake.schemas import ANALYSIS, LINKS
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
 from officelake.sinks.merge import cascade_upsert, upsert, upsert_in
@@ -31,6 +31,10 @@ from officelake.sinks.store import TableStore
 from officelake.sinks.sync import upsert_managed
 
 
+ITEMS_PER_EDIT_CALL = 5  # fixed value: items of one call for edits
+PLACE_INSTRUCTIONS = "Say where in the document below these items belong, as JSON with inserts and deletes."
+
+
 def mail_metadata(messages: DataFrame) -> DataFrame:
     """Metadata rows of messages; ``path`` defaults to the id with ``.msg``."""
     optional = ["snippet", "recipients", "cc", "bcc"]
@@ -113,21 +117,36 @@ def mail_triage(
 ) -> DataFrame:
     """Analyse mails that have no metadata yet and store source, analysis, items, metadata and message at once.
 
-    The anti-join and the limit come before anything that reads bodies or calls the model. Returns the
-    failures; the model's answers are pinned, so storing them asks for none again.
+    The anti-join and the limit come before anything that reads bodies or calls the model. Mails that failed come
+    after all others at the next run, the less often failed ones first. Returns the failures; the model's answers are
+    pinned, so storing them asks for none again.
     """
     fresh = messages
     if store.exists("mail_metadata"):
         fresh = unprocessed(messages, store.read("mail_metadata"), "id", force_all)
+    before = store.read("triage_attempts") if store.exists("triage_attempts") else None
     if limit is not None:
-        fresh = fresh.orderBy(*order).limit(limit)
+        if before is not None:
+            fresh = fresh.join(before, "id", "left")
+            fresh = fresh.orderBy(F.coalesce("attempts", F.lit(0)), *order).limit(limit).drop("attempts")
+        else:
+            fresh = fresh.orderBy(*order).limit(limit)
+        # pinned: the page must be the same wherever it is read
+        fresh = pin(fresh)
     answered = pin(analyse(fresh, model, settings))
     good = answered.where(F.col("error").isNull())
     facts = mail_metadata(fresh).select("id", F.struct("*").alias("mail_metadata"))
     data = fresh.select("id", F.struct("id", F.col("content").alias("raw")).alias("mail_data"))
     nested = good.select("id", F.lit("mail").alias("type"), now.alias("created_time"), "analysis")
-    cascade_upsert(store, pin(nested.join(facts, "id").join(data, "id")))
-    return answered.where(F.col("error").isNotNull()).select("id", "error")
+    failed = answered.where(F.col("error").isNotNull()).select("id", "error")
+    txn = store.begin()
+    cascade_upsert(store, pin(nested.join(facts, "id").join(data, "id")), txn)
+    tries = failed.select("id", F.lit(1).alias("attempts"))
+    if before is not None:
+        tries = before.join(good.select("id"), "id", "left_anti").unionByName(tries).groupBy("id").agg(F.sum("attempts").cast("int").alias("attempts"))
+    txn.replace("triage_attempts", tries)
+    txn.commit()
+    return failed
 
 
 def place_todos(
@@ -140,12 +159,18 @@ def place_todos(
     priority: str = ".*",
     limit: int | None = 5,
     template: str | None = None,
+    model: ModelSpec | None = None,
+    instructions: str = PLACE_INSTRUCTIONS,
 ) -> DataFrame:
     """Insert to-dos not placed yet into their documents (``doc_id`` of an item) and record the placements.
 
-    Returns the edited documents, which are stored in the table ``edited`` in the same publication as the placements.
-    To-dos of documents that are not there are no placements: they are left in the table ``unplaced`` and tried again
-    next time. ``container`` gives the document's URL from ``doc_id``.
+    To-dos go to ``index``, or, with a ``model``, to where it says, which may also delete ranges. Returns the documents
+    as given, those edited in this run with all their edits; these are stored in the table ``edited`` in the same
+    publication as the placements. A document handed in as it was when it was first edited is taken as stored, so that
+    a later run adds to what an earlier one has written; one handed in with another text is newer and taken as it is.
+
+    To-dos of documents that are not there, and those a model gave no usable edit for, are no placements: they are left
+    in the table ``unplaced`` and tried again next time. ``container`` gives the document's URL from ``doc_id``.
     """
     items = items.withColumn("placement_container_url", container).where(F.col("analysis_id").isNotNull())
     key = ["analysis_id", "action_number", "placement_container_url"]
@@ -157,19 +182,49 @@ def place_todos(
         fresh = fresh.orderBy(*order).limit(limit)
     fresh = pin(fresh)
     known = fresh.join(documents.select("doc_id"), "doc_id", "left_semi")
-    edits = item_edits(render_todos(known, template), index, F.col("markdown"), F.col("seq"))
-    edited = pin(apply_edits(documents, edits))
+    current = _as_stored(store, documents, known)
+    todos = render_todos(known, template)
+    edits = item_edits(todos, index, F.col("markdown"), F.col("seq")) if model is None else _model_item_edits(todos, current, instructions, model)
+    edited = pin(apply_edits(current, edits))
     placed = executed_ids(edits).select(container.alias("placement_container_url"), split_modification_id(F.col("origin_id")).alias("p"))
     rows = placed.where(F.col("p").isNotNull()).select("p.analysis_id", "p.action_number", "placement_container_url", "p.placement_id")
+    if model is not None:  # it may name items that nobody asked for
+        rows = pin(rows.join(known.select(*key), key, "left_semi"))
     txn = store.begin()
     upsert_in(txn, store, "placement", rows, [*key, "placement_id"])
-    upsert_in(txn, store, "edited", edited.join(known.select("doc_id"), "doc_id", "left_semi"), ["doc_id"])
-    lost = fresh.join(documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", *key)
-    txn.replace("unplaced", lost)
+    written = edited.join(edits.select("doc_id"), "doc_id", "left_semi")
+    upsert_in(txn, store, "edited", written.join(documents.select("doc_id", F.md5("text").alias("base_hash")), "doc_id"), ["doc_id"])
+    lost = fresh.join(documents.select("doc_id"), "doc_id", "left_anti") if model is None else fresh.join(rows.select(*key), key, "left_anti")
+    txn.replace("unplaced", lost.select("doc_id", *key))
     txn.commit()
     return edited
 
 
+def _as_stored(store: TableStore, documents: DataFrame, known: DataFrame) -> DataFrame:
+    """``documents`` with the stored text of those that have to-dos now and were handed in before with the same text."""
+    if not store.exists("edited"):
+        return documents
+    saved = store.read("edited", store.buckets_of("edited", known)).join(known.select("doc_id"), "doc_id", "left_semi")
+    saved = saved.select("doc_id", F.col("text").alias("_saved"), "base_hash")
+    text = F.when(F.col("base_hash") == F.md5("text"), F.col("_saved")).otherwise(F.col("text"))
+    return documents.join(saved, "doc_id", "left").withColumn("text", text).select(*documents.columns)
+
+
+def _model_item_edits(items: DataFrame, documents: DataFrame, instructions: str, model: ModelSpec, size: int = ITEMS_PER_EDIT_CALL) -> DataFrame:
+    """Edits a model proposes for a document's items, ``size`` of them a call, all calls on the same text."""
+    origin = F.concat_ws("|", F.col("analysis_id").cast("string"), F.col("action_number").cast("string"))
+    numbered = ordinal(items.withColumn("origin_id", origin), ["doc_id"], [F.col("seq")], "_n")
+    item = F.struct("_n", "origin_id", "action_number", "title", "markdown")
+    grouped = numbered.groupBy("doc_id", F.expr(f"_n div {size}").alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = grouped.join(documents.select("doc_id", "text"), "doc_id")
+    batch = F.struct("doc_id", "part", (utf16_len(F.col("text")) + 1).cast("long").alias("end"))
+    asked = F.transform("items", lambda i: i.dropFields("_n"))
+    prompt = F.concat(F.lit(instructions + "\n"), F.to_json(asked), F.lit("\nDocument:\n"), F.col("text"))
+    edits, _ = model_edits(grouped.withColumn("batch", batch), prompt, model, F.col("batch.end"))
+    seq = F.struct("batch.part", "at", "kind")
+    return pin(edits.where(F.col("error").isNull()).select("batch.doc_id", seq.alias("seq"), "kind", "index", "end", "content", "origin_ids"))
+
+
 def categorise(
     index: DataFrame,
     done: DataFrame,
@@ -282,11 +337,11 @@ def model_edits(grouped: DataFrame, prompt: Column, model: ModelSpec, end: Colum
     asked = pin(generate_object(grouped, prompt, model, UPDATE, []).select("batch", "result"))
     error = F.coalesce("result.error", "result.value.error")
     good = asked.where(error.isNull())
-    deletes = good.select("batch", F.explode("result.value.deletes").alias("e")).select(
-        "batch", F.lit("delete").alias("kind"), F.col("e.start").alias("index"), "e.end", "e.origin_ids"
+    deletes = good.select("batch", F.posexplode("result.value.deletes").alias("at", "e")).select(
+        "batch", "at", F.lit("delete").alias("kind"), F.col("e.start").alias("index"), "e.end", "e.origin_ids"
     )
-    inserts = good.select("batch", F.explode("result.value.inserts").alias("e")).select(
-        "batch", F.lit("insert").alias("kind"), "e.index", F.lit(None).cast("long").alias("end"), "e.origin_ids", "e.content"
+    inserts = good.select("batch", F.posexplode("result.value.inserts").alias("at", "e")).select(
+        "batch", "at", F.lit("insert").alias("kind"), "e.index", F.lit(None).cast("long").alias("end"), "e.origin_ids", "e.content"
     )
     edits = clamp(deletes.unionByName(inserts, allowMissingColumns=True), end)
     return edits, asked.where(error.isNotNull()).select("batch", error.alias("error"))

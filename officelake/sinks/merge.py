@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.operators.ordering import last_wins
 from officelake.schemas import ANALYSIS
-from officelake.sinks.store import TableStore
+from officelake.sinks.store import TableStore, Transaction
 
 
 class DuplicateKey(ValueError):
@@ -126,14 +126,14 @@ def cascade(nested: DataFrame) -> dict[str, DataFrame]:
     return parts
 
 
-def cascade_upsert(store: TableStore, nested: DataFrame) -> None:
-    """Upsert a nested source into its tables as one publication.
+def cascade_upsert(store: TableStore, nested: DataFrame, txn: Transaction | None = None) -> None:
+    """Upsert a nested source into its tables as one publication, or as part of the caller's ``txn``.
 
     Analyses and items of a rewritten source that the new version no longer has are removed.
     """
     parts = cascade(nested)
     rewritten = nested.select("id")
-    txn = store.begin()
+    own, txn = txn is None, txn or store.begin()
     for name in ("source", "mail_source", "mail_metadata", "gmail_message"):
         if name in parts:
             upsert_in(txn, store, name, parts[name], ["id"])
@@ -147,7 +147,8 @@ def cascade_upsert(store: TableStore, nested: DataFrame) -> None:
         orphan_of = rewritten.withColumnRenamed("id", owner)
         kept = store.read(name, touched).join(orphan_of, owner, "left_anti")
         txn.replace_buckets(name, kept.unionByName(rows, allowMissingColumns=True), touched)
-    txn.commit()
+    if own:
+        txn.commit()
 
 
 def classify_update(requests: DataFrame, existing: DataFrame, key: str) -> DataFrame:

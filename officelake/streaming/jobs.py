@@ -15,6 +15,7 @@ from officelake.sinks.merge import upsert_in
 from officelake.sinks.store import TableStore
 
 POLL_SECONDS = 60  # fixed value: pause between two runs
+ATTEMPTS = "_attempts"
 
 
 class FailedItems(RuntimeError):
@@ -35,8 +36,9 @@ class PolledJob:
 
     ``process`` takes the new items and returns rows with ``value`` (a struct of the result) and ``error``.
     Every run re-reads which keys are done, so a run repeated after a failure does nothing twice. Items beyond
-    ``limit`` and items that failed stay in a table of pending ones and are taken up by the next run. Results,
-    failures and pending items of one run are published together.
+    ``limit`` and items that failed stay in a table of pending ones and are taken up by the next run, those that failed
+    less often first, so that failing items never keep others waiting. Results, failures and pending items of one run
+    are published together.
     """
 
     store: TableStore
@@ -55,16 +57,21 @@ class PolledJob:
     def run_once(self, items: DataFrame) -> None:
         """One run over a batch of items and all pending ones."""
         self.ran += 1
-        if self.store.exists(self.pending):
-            items = items.unionByName(self.store.read(self.pending).select(items.columns))
+        waiting = self.store.read(self.pending) if self.store.exists(self.pending) else None
+        if waiting is not None:
+            items = items.unionByName(waiting.select(items.columns))
         latest = last_wins(items, [self.key], self.order)
         if self.store.exists(self.results):
             done = self.store.read(self.results, self.store.buckets_of(self.results, latest))
             latest = unprocessed(latest, done, self.key, self.force_all)
+        if waiting is not None:
+            latest = latest.join(waiting.select(self.key, ATTEMPTS), self.key, "left")
+        else:
+            latest = latest.withColumn(ATTEMPTS, F.lit(None).cast("int"))
         # pinned: what is left over must be the complement of what was taken
-        latest = pinned(latest)
-        taken = latest if self.limit is None else latest.orderBy(self.key).limit(self.limit)
-        outcome = self.process(taken)
+        latest = pinned(latest.withColumn(ATTEMPTS, F.coalesce(ATTEMPTS, F.lit(0))))
+        taken = latest if self.limit is None else latest.orderBy(ATTEMPTS, self.key).limit(self.limit)
+        outcome = self.process(taken.drop(ATTEMPTS))
         txn = self.store.begin()
         # Written once, then read for both tables: a model behind ``process`` is not asked again.
         staged = work_dir(items.sparkSession, "run")
@@ -74,7 +81,10 @@ class PolledJob:
         upsert_in(txn, self.store, self.results, good, [self.key])
         bad = outcome.where(F.col("error").isNotNull()).select(self.key, "error")
         txn.replace(self.failures, bad)
-        txn.replace(self.pending, latest.join(good.select(self.key), self.key, "left_anti"))
+        left = latest.join(good.select(self.key), self.key, "left_anti")
+        missed = bad.select(self.key, F.lit(1).alias("_missed")).distinct()
+        left = left.join(missed, self.key, "left").withColumn(ATTEMPTS, F.col(ATTEMPTS) + F.coalesce("_missed", F.lit(0)))
+        txn.replace(self.pending, left.drop("_missed"))
         txn.commit()
         first = bad.first()
         self.failed = [] if first is None else [first["error"]]
@@ -154,14 +164,22 @@ class Feeds(StreamingQueryListener):
 def append_log(stream: DataFrame, store: TableStore, table: str, order: list[Column], checkpoint: str):
     """Publish a stream of messages to a log with rising ids, each batch exactly once.
 
-    The batch number is stored with its rows, so a batch repeated after a failure is recognised.
+    The table ``<table>_head`` has one row, the last batch and its highest id, published with the batch's rows: so a
+    batch repeated after a failure is recognised, and no batch reads the log.
     """
     from officelake.operators.bus import publish
 
+    head = f"{table}_head"
+
     def put(batch: DataFrame, number: int) -> None:
-        log = store.read(table) if store.exists(table) else None
-        if log is not None and log.where(F.col("batch") == number).take(1):
+        last, high = store.read(head).first() if store.exists(head) else (-1, 0)
+        if number <= last:
             return
-        store.append(table, publish(log, batch, order).withColumn("batch", F.lit(number).cast("long")))
+        rows = publish(None, batch, order).withColumn("id", F.col("id") + high).withColumn("batch", F.lit(number).cast("long"))
+        newest = rows.agg(F.max("id")).first()[0] or high  # the numbered rows are checkpointed
+        txn = store.begin()
+        txn.append(table, rows)
+        txn.replace(head, store.spark.createDataFrame([(number, newest)], "batch long, id long"))
+        txn.commit()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

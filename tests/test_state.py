@@ -1,5 +1,6 @@
 """Keyed state: merges, sync, cache, exports, jobs run twice, streams."""
 
+import json
 import uuid
 
 import pytest
@@ -241,6 +242,98 @@ def test_placement_twice_places_once(spark, store):
     assert " B [" in place(".*")
 
 
+def todos_of(spark, rows):
+    links = {c: F.lit(None).cast("string") for c in ("due_date", "notes")} | {"links": F.lit(None).cast("array<struct<title:string,url:string>>")}
+    return spark.createDataFrame(rows, "analysis_id string, action_number int, priority string, title string, seq int, doc_id int").withColumns(links)
+
+
+def test_second_placement_keeps_the_first_ones_text(spark, store):
+    items = todos_of(spark, [("d1", 1, "high", "A", 1, 1), ("d2", 2, "low", "B", 2, 1), ("d3", 1, "high", "C", 3, 2)])
+    docs = spark.createDataFrame([(1, "body"), (2, "other")], "doc_id int, text string")
+    place = lambda d, p: jobs.place_todos(store, items, d, F.lit("doc"), F.lit(1), [F.col("seq")], p)
+    place(docs, "high")
+    place(docs, ".*")
+    text = {r["doc_id"]: r["text"] for r in store.read("edited").collect()}
+    assert " A [" in text[1] and " B [" in text[1] and text[1].endswith("body") and text[2].count(" C [") == 1
+    # a document handed in with another text is newer than what is stored
+    more = items.unionByName(todos_of(spark, [("d4", 1, "high", "D", 4, 1)]))
+    newer = docs.withColumn("text", F.when(F.col("doc_id") == 1, "rewritten").otherwise(F.col("text")))
+    jobs.place_todos(store, more, newer, F.lit("doc"), F.lit(1), [F.col("seq")])
+    assert store.read("edited").where("doc_id = 1").first()["text"].endswith(")\nrewritten") or " A [" not in store.read("edited").where("doc_id = 1").first()["text"]
+
+
+def test_a_model_places_what_it_can(spark, store):
+    def places():
+        def ask(prompt):
+            rows = json.JSONDecoder().raw_decode(prompt, prompt.index("[{"))[0]
+            inserts = [{"index": 3 if r["title"] != "far" else 900, "content": r["title"], "origin_ids": [r["origin_id"]]} for r in rows if r["title"] != "left out"]
+            inserts.append({"index": 1, "content": "?", "origin_ids": ["nobody|1"]})
+            return json.dumps({"error": None, "inserts": inserts, "deletes": [{"start": 4, "end": 5, "origin_ids": ["d0|1"]}]})
+
+        return ask
+
+    rows = [(f"d{i}", 1, "high", t, i, 1) for i, t in enumerate(["A", "B", "far", "left out", "C", "D"])] + [("x", 1, "high", "E", 9, 7)]
+    docs = spark.createDataFrame([(1, "1234567"), (2, "none")], "doc_id int, text string")
+    run = lambda: jobs.place_todos(store, todos_of(spark, rows), docs, F.lit("doc"), F.lit(1), [F.col("seq")], limit=None, model=ModelSpec("places", places, "Stub"))
+    out = {r["doc_id"]: r["text"] for r in run().collect()}
+    # six items are two calls on the same text, each of which deletes the same character
+    assert out[2] == "none" and out[1].startswith("??12DCBA3") and set(rows_of_ids(store, "placement")) == {"d0", "d1", "d4", "d5"}
+    assert set(rows_of_ids(store, "unplaced")) == {"d2", "d3", "x"}
+    run()
+    assert set(rows_of_ids(store, "unplaced")) == {"d2", "d3", "x"} and store.read("placement").count() == 4
+
+
+def rows_of_ids(store, name):
+    return [r["analysis_id"] for r in store.read(name).collect()]
+
+
+def test_failing_items_never_block_a_limit(spark, store):
+    df = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    path, progress = work_dir(spark, "arrivals"), work_dir(spark, "progress")
+    df.write.parquet(path)
+
+    def process(new):
+        bad = F.col("id") < 2
+        return new.select("id", F.when(~bad, F.struct(F.col("id").alias("v"))).alias("value"), F.when(bad, "broken").alias("error"))
+
+    job = stream_jobs.PolledJob(store, "out", "id", [F.col("id")], process, limit=2)
+    tried = []
+    for _ in range(4):
+        job.finish(job.start(stream_jobs.file_stream(spark, path, df.schema), progress), df.schema)
+        tried.append({r["id"] for r in store.read("out").collect()})
+    assert tried == [set(), {2, 3}, {2, 3, 4, 5}, {2, 3, 4, 5}]
+    assert {(r["id"], r["_attempts"]) for r in store.read("pending").collect()} == {(0, 2), (1, 2)}
+
+
+def test_failing_mails_never_block_a_page(spark, store):
+    def picky():
+        def ask(prompt):
+            if "id: m1\n" in prompt or "id: m2\n" in prompt:
+                raise ValueError("no answer")
+            return '{"category": "news", "action_items": []}'
+
+        return ask
+
+    run = lambda: jobs.mail_triage(store, messages(spark), ModelSpec("picky", picky, "Stub"), SETTINGS, [F.col("received_date")], at(), limit=2)
+    assert {r["id"] for r in run().collect()} == {"m1", "m2"}
+    for _ in range(3):
+        run()
+    assert store.read("mail_metadata").count() == 5
+    assert {r["id"]: r["attempts"] for r in store.read("triage_attempts").collect()}.keys() == {"m1", "m2"}
+
+
+def test_log_batches_go_on_from_the_head(spark, store):
+    path = work_dir(spark, "arrivals")
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).selectExpr("'t' AS topic", "cast(id AS string) AS message", "id AS event").coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    for _ in range(2):  # the second time from the start: its batches have been published
+        stream = stream_jobs.file_stream(spark, path, schema, 1)
+        stream_jobs.append_log(stream, store, "log", [F.col("event")], work_dir(spark, "progress")).awaitTermination()
+    assert sorted(r["id"] for r in store.read("log").collect()) == list(range(1, 31))
+    assert tuple(store.read("log_head").first()) == (2, 30)
+
+
 def test_stream_equals_batch_and_repeats_are_harmless(spark, store):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "id long, v string")
     path = work_dir(spark, "arrivals")
