@@ -147,6 +147,44 @@ def test_forest_sets_outliers_apart(odd, labels, empty):
     assert quality.fit_forest(quality.measured(empty), labels) is None
 
 
+def test_every_rule_statistic_can_set_a_page_apart(spark):
+    """Pages of repeated lines, of digits, of overlong words and of shouting, labelled bad in training, others like them held out."""
+    r = random.Random(41)
+
+    def bad(i):
+        if i % 4 == 0:
+            return "\n".join("buy it now" if k % 2 else prose(3, 1000 * i + k) for k in range(100))
+        if i % 4 == 1:
+            return "\n".join(" ".join(str(r.randint(100, 99999)) for _ in range(12)) for _ in range(25))
+        if i % 4 == 2:
+            return "\n".join(" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(18, 40))) for _ in range(8)) for _ in range(30))
+        return prose(250, i).upper()
+
+    def good(i):
+        return "\n".join(prose(r.randint(8, 14), 7000 + 40 * i + k) for k in range(25))
+
+    rows = [(i, bad(i) if i % 10 == 0 else good(i), int(i % 10 > 0)) for i in range(800)] + [(1000 + i, bad(10 * i), 0) for i in range(40)] + [(2000 + i, good(900 + i), 1) for i in range(100)]
+    stats = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    labels_ = spark.createDataFrame([(i, q) for i, _, q in rows if i < 1000], "doc_id long, quality int")
+    kept = {x["doc_id"]: x["kept"] for x in quality.judged(stats, quality.fit_forest(stats, labels_)).where("doc_id >= 1000").collect()}
+    for kind in range(4):
+        dropped = [not kept[1000 + i] for i in range(40) if (10 * i) % 4 == kind]
+        assert not dropped or sum(dropped) >= 0.9 * len(dropped), kind
+    assert sum(kept[2000 + i] for i in range(100)) >= 97
+
+
+def test_scores_at_the_threshold(spark):
+    stats = quality.measured(spark.createDataFrame([(i, prose(80, i % 3)) for i in range(9)], "doc_id long, text string"))
+    forest = quality.fit_forest(stats, spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int"))
+    got = quality.judged(stats, forest).collect()
+    assert max(r["anomaly"] for r in got) == forest.threshold and all(r["kept"] for r in got)
+    model = quality.fit_quality(stats, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(9)], "doc_id long, quality int"))
+    scores = {}
+    for r in quality.quality_scores(stats, model).collect():
+        scores.setdefault(r["doc_id"] % 3, set()).add(r["score"])
+    assert all(len(v) == 1 for v in scores.values())
+
+
 def test_positive_unlabelled_learning_finds_the_negatives():
     rng = np.random.default_rng(1)
     k = len(quality.SHAPE)
@@ -295,6 +333,24 @@ def test_repeated_substrings_of_odd_rows(odd, empty, limit):
     assert substrings.deduplicated(empty).count() == 0
 
 
+def test_planted_passages_are_found(spark):
+    """Passages of 400 bytes and more that two documents share are cut from both, shorter ones and clean documents stay."""
+    r = random.Random(51)
+    rows, planted, short = [], set(), set()
+    for i in range(120):
+        text = prose(r.randint(50, 300), 5000 + i)
+        if i % 3 == 0:
+            passage = prose(r.randint(90, 160), 9000 + i // 6)
+            assert len(passage.encode()) >= 400
+            text, planted = text + " " + passage, planted | {i}
+        elif i % 3 == 1:
+            text, short = text + " " + prose(55, 9900 + i // 6)[:390], short | {i}
+        rows.append((i, text))
+    got = {x["doc_id"]: x["spans"] for x in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, s in got.items() if s} == planted
+    assert all(sum(s["end"] - s["start"] for s in got[i]) >= 400 for i in planted)
+
+
 def test_long_texts_go_in_steps(monkeypatch):
     monkeypatch.setattr(substrings, "STEP", 64)
     raw = prose(100, 8).encode()
@@ -482,6 +538,32 @@ def test_skip_edges_carry_a_label_to_its_repetition(spark):
     assert (with_skip > pii.marginals(field, model)[[j for _, j in skips], 3]).all()
 
 
+def test_marginals_agree_with_enumeration():
+    """Message passing is exact on trees of chain and skip edges, and near the truth where they close a loop."""
+    rng = np.random.default_rng(5)
+    model = pii.PiiModel(rng.normal(0, 1, (sum(pii.RADIX) + 1, pii.LABELS)), np.array([rng.normal(0, 0.6, (pii.LABELS,) * 2) for _ in range(2)]))
+    model.pairwise[pii.SKIP] = (model.pairwise[pii.SKIP] + model.pairwise[pii.SKIP].T) / 2
+    trees = [[(0, 1, pii.CHAIN), (1, 2, pii.CHAIN), (0, 3, pii.SKIP)], [(0, 2, pii.SKIP), (1, 2, pii.CHAIN), (2, 4, pii.SKIP), (3, 4, pii.CHAIN)], []]
+    loops = [[(0, 1, pii.CHAIN), (1, 2, pii.CHAIN), (0, 2, pii.SKIP)], [(0, 1, pii.CHAIN), (1, 2, pii.CHAIN), (2, 3, pii.CHAIN), (0, 3, pii.SKIP), (1, 3, pii.SKIP)]]
+    for edges in trees + loops:
+        n = 5
+        codes = [int(c) for c in rng.integers(0, int(np.prod(pii.RADIX)), n)]
+        given = [pii.OTHER] * n
+        given[1] = 2  # a pattern's own finding is held
+        field = pii.Field([(i, i + 1) for i in range(n)], codes, given, edges)
+        unary = model.unary(codes)
+        want = np.zeros((n, pii.LABELS))
+        for labels_ in itertools.product(range(pii.LABELS), repeat=n):
+            if labels_[1] != 2:
+                continue
+            score = sum(unary[i, k] for i, k in enumerate(labels_) if i != 1) + sum(model.pairwise[k][labels_[i], labels_[j]] for i, j, k in edges)
+            for i, k in enumerate(labels_):
+                want[i, k] += np.exp(score)
+        want /= want.sum(axis=1, keepdims=True)
+        near = np.abs(pii.marginals(field, model) - want).max()
+        assert near < (5e-3 if edges in trees else 0.08), (edges, near)
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
