@@ -106,10 +106,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows whose crc32 is 2 modulo 4 are held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) == 2)
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select(
-        "row.doc_id",
-        F.coalesce(fold(F.col("row.doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+    return toxicity.scores(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )

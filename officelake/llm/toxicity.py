@@ -31,6 +31,8 @@ DISCOUNT = 0.75
 HANDED_ENTRIES = 1 << 22
 #: Characters of different texts whose words are looked up together in that join.
 CHUNK_CHARS = 4_000_000
+#: Words whose ratios a task keeps at hand.
+KNOWN_WORDS = 1 << 17
 #: Labelled rows the curve is fitted on at most.
 CURVE_ROWS = 20_000
 #: Rows of either kind a curve needs at least.
@@ -56,8 +58,9 @@ def key_of(word: str) -> int:
 
 def hashed(words: list[str], known: dict[str, int]) -> np.ndarray:
     """Keys of all words; ``known`` keeps those of words met before."""
-    for w in set(words) - known.keys():
-        known[w] = key_of(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = key_of(w)
     return np.array([known[w] for w in words], dtype=np.uint64)
 
 
@@ -104,7 +107,7 @@ class Ratios:
 
     def ratios(self, words: list[str], known: dict[str, float]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word; ``known`` keeps those of words met before."""
-        new = list(set(words) - known.keys())
+        new = [w for w in set(words) if w not in known]
         known.update(zip(new, self.of_keys(np.array([key_of(w) for w in new], dtype=np.uint64)).tolist()))
         return np.array([known[w] for w in words], dtype=np.float64)
 
@@ -131,12 +134,6 @@ class ToxicityModel:
     curve: np.ndarray
     base: float
 
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        """The curve; a text without words gets the share of toxic rows, at most 0.05."""
-        z = evidence @ self.curve[:-1] + self.curve[-1]
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return np.where((evidence == 0).all(axis=1), min(self.base, 0.05), score)
-
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
     """Train on the labelled rows of ``docs`` outside ``held_out`` (a column of doc_id); see the module.
@@ -228,23 +225,28 @@ def _smoothed(words: DataFrame, empty: ToxicityModel) -> ToxicityModel:
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``rows`` with their evidence in place of their text."""
+    """``rows`` with their evidence in place of their column ``text``; without one it is the text within ``row``."""
     import pyarrow as pa
+    from pyspark.sql import types as T
 
     kept = [n for n in rows.columns if n != "text"]
     if model.handed is None:
-        of_text = [F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit("b"), "text").alias("text_b")]
-        return rows.select(*kept, *of_text).join(_joined(rows.select(*of_text, "text"), model), ["text_a", "text_b"]).select(*kept, "evidence")
+        text = F.coalesce(F.col("text" if "text" in rows.columns else "row.text"), F.lit(""))
+        of_text = [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit("b"), text).alias("text_b")]
+        found = _joined(rows.select(*of_text, text.alias("text")), model)
+        return rows.select(*kept, *of_text).join(found, ["text_a", "text_b"]).select(*kept, "evidence")
     handed = rows.sparkSession.sparkContext.broadcast(model.handed)
 
     def run(batches):
         for b in batches:
             known: dict[str, float] = {}
-            found = [handed.value.evidence(t, known).tolist() for t in b.column("text").to_pylist()]
+            found = []
+            for t in b.column("text") if "text" in b.schema.names else b.column("row").field("text"):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                found.append(handed.value.evidence(t.as_py() or "", known).tolist())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(found, pa.list_(pa.float64()))], [*kept, "evidence"])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(run, T.StructType([*(rows.schema[n] for n in kept), T.StructField("evidence", T.ArrayType(T.DoubleType()))]))
 
 
@@ -277,24 +279,24 @@ def _joined(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rated, f"text_a long, text_b long, evidence {EVIDENCE}")
 
 
+def scores(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``rows`` with ``score``, the probability of being toxic, in place of their column ``text``."""
+    found = _evidence(rows, model)
+    z = F.lit(float(model.curve[-1]))
+    for k, w in enumerate(model.curve[:-1]):
+        z = z + F.get("evidence", F.lit(k)) * float(w)
+    curve = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    nothing = F.forall("evidence", lambda x: x == 0)
+    return found.withColumn("score", F.when(nothing, F.lit(min(model.base, 0.05))).otherwise(curve)).drop("evidence")
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(row, score): every row of ``docs`` as a struct, with its probability of being toxic.
 
-    Null and empty texts and texts without words get a low fixed score; repeated rows score alike; columns of
-    ``docs`` keep their names inside ``row``.
+    Null and empty texts and texts without words get a low fixed score; repeated rows score alike; texts of any length
+    are scored whole; columns of ``docs`` keep their names inside ``row``.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    nested = _evidence(docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")), model)
-    curve = ToxicityModel(None, None, model.unseen, model.curve, model.base)
-
-    def run(batches):
-        for b in batches:
-            found = np.array(b.column("evidence").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(curve.probability(found))], ["row", "score"])
-
-    return nested.mapInArrow(run, T.StructType([nested.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scores(docs.select(F.struct("*").alias("row")), model)
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.3) -> DataFrame:
