@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from officelake.catalog import query
-from officelake.operators import bus, rules
+from officelake.operators import bus, domains, rules
 from officelake.plans.inputs import table
 
 
@@ -137,6 +137,44 @@ def r2(spark, sf):
     return rules.consistency(table(spark, sf, "lineitem"), ["l_partkey"], RULES)
 
 
+DOMAIN_RULES = [
+    domains.Holds("large", "quantity > 20", ("quantity",)),
+    domains.Equal("remainder", "quantity", "quantity % 11", "discount", "discount"),
+    domains.Within("close", "discount", "discount - 1", "discount + 1", "tax", "tax"),
+    domains.Holds("sum", "quantity + discount + tax <> 50", ("quantity", "discount", "tax")),
+]
+DOMAIN_SQL = """q AS (SELECT DISTINCT l_partkey, CAST(l_quantity AS INT) AS quantity FROM lineitem),
+    d AS (SELECT DISTINCT l_partkey, CAST(round(l_discount * 100) AS INT) AS discount FROM lineitem),
+    t AS (SELECT DISTINCT l_partkey, CAST(round(l_tax * 100) AS INT) AS tax FROM lineitem),
+    good AS (SELECT * FROM q JOIN d USING (l_partkey) JOIN t USING (l_partkey)
+      WHERE quantity > 20 AND quantity % 11 = discount AND tax BETWEEN discount - 1 AND discount + 1 AND quantity + discount + tax <> 50),
+    n AS (SELECT l_partkey, count(*) AS n, min(struct_pack(quantity := quantity, discount := discount, tax := tax)) AS m FROM good GROUP BY 1)"""
+
+
+def _domains(spark, sf):
+    """Per part the quantities, discounts and taxes its lines have, each on its own."""
+    lines = table(spark, sf, "lineitem")
+    of = {"quantity": F.col("l_quantity").cast("int"), "discount": F.round(F.col("l_discount") * 100).cast("int"), "tax": F.round(F.col("l_tax") * 100).cast("int")}
+    return {name: lines.select("l_partkey", value.alias(name)) for name, value in of.items()}
+
+
+@query(
+    "r2_domains",
+    f"WITH {DOMAIN_SQL} SELECT l_partkey, CASE WHEN n IS NULL THEN 'UNSAT' ELSE 'SAT' END AS status FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN n USING (l_partkey)",
+)
+def r2_domains(spark, sf):
+    return domains.consistency(_domains(spark, sf), ["l_partkey"], DOMAIN_RULES)
+
+
+@query(
+    "r3_domains",
+    f"""WITH {DOMAIN_SQL} SELECT l_partkey, CASE WHEN n IS NULL THEN 'UNSAT' WHEN n = 1 THEN 'SAT' ELSE 'AMBIGUOUS' END AS status,
+        m.quantity AS quantity, m.discount AS discount, m.tax AS tax FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN n USING (l_partkey)""",
+)
+def r3_domains(spark, sf):
+    return domains.solutions(_domains(spark, sf), ["l_partkey"], DOMAIN_RULES).select("l_partkey", "status", "model.quantity", "model.discount", "model.tax")
+
+
 @query(
     "r3_solutions",
     """WITH d AS (SELECT DISTINCT l_partkey, l_quantity, l_discount FROM lineitem),

@@ -257,6 +257,19 @@ def j8(spark, sf):
     return out.select("c_custkey", "o_orderkey")
 
 
+@query(
+    "j8_overlap",
+    """WITH e AS (SELECT event_id, epoch_us(ts) AS start, epoch_us(ts) + CAST(floor(value * 2000000) AS BIGINT) AS stop FROM events)
+       SELECT a.event_id, count(*) AS met, max(b.event_id) AS last FROM e a JOIN e b ON a.start <= b.stop AND b.start <= a.stop GROUP BY 1""",
+)
+def j8_overlap(spark, sf):
+    """Events last as long as their value says: how many others each one meets."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf, "events").select("event_id", start.alias("start"), (start + F.floor(F.col("value") * 2_000_000)).alias("stop"))
+    met = lookups.interval_join(e, e, ("start", "stop"), ("start", "stop"), width=1_000_000)
+    return met.groupBy("left.event_id").agg(F.count("*").alias("met"), F.max("right.event_id").alias("last"))
+
+
 @query(
     "j9_first_match",
     """SELECT o_orderpriority AS ext, arg_min(o_orderkey, (o_custkey, o_orderkey)) AS id, min(o_custkey) AS tasklist_id

@@ -78,3 +78,41 @@ def overlay_maps(base: Column, top: Column) -> Column:
     """Two parameter maps in one, the entries of ``top`` winning."""
     kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
     return F.map_concat(kept, top)
+
+
+def interval_join(
+    left: DataFrame, right: DataFrame, mine: tuple[str, str], theirs: tuple[str, str], keys: list[str] | None = None, width: int = 1
+) -> DataFrame:
+    """(left, right): all pairs of rows, as structs, whose closed intervals of whole numbers overlap, with equal ``keys``.
+
+    ``mine`` and ``theirs`` name start and end. An interval lies in one or two bins of its own length, rounded up to a
+    power of two times ``width``, and of each larger length; two intervals meet in a bin as large as the longer one, the
+    first they share. So this is an equality join whatever the lengths, and a row has at most two entries per power.
+    Intervals with a null, or that end before they start, meet nothing.
+    """
+    keys = keys or []
+
+    def sized(df: DataFrame, ends: tuple[str, str], name: str) -> DataFrame:
+        start, end = (F.col(c).cast("long") for c in ends)
+        rows = df.where(start <= end).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct("*").alias(name), start.alias(f"_s_{name}"), end.alias(f"_e_{name}"))
+        level = F.ceil(F.log2((F.col(f"_e_{name}") - F.col(f"_s_{name}") + 1) / width))
+        return rows.withColumn(f"_l_{name}", F.greatest(level, F.lit(0)).cast("int"))
+
+    a, b = sized(left, mine, "left"), sized(right, theirs, "right")
+    tops = [df.agg(F.max(f"_l_{n}")).first()[0] for df, n in ((a, "left"), (b, "right"))]
+    top = max([t for t in tops if t is not None], default=0)
+
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        every = df.withColumn("_level", F.explode(F.sequence(F.col(f"_l_{name}"), F.lit(top))))
+        size = F.lit(width) * F.pow(F.lit(2), F.col("_level")).cast("long")
+        first, last = (F.floor(F.col(f"_{c}_{name}") / size) for c in "se")
+        return every.withColumn(f"_f_{name}", first).withColumn("_bin", F.explode(F.sequence(first, last)))
+
+    both = binned(a, "left").join(binned(b, "right"), [*[f"_k{i}" for i in range(len(keys))], "_level", "_bin"])
+    met = (
+        (F.col("_level") == F.greatest("_l_left", "_l_right"))
+        & (F.col("_bin") == F.greatest("_f_left", "_f_right"))
+        & (F.col("_s_left") <= F.col("_e_right"))
+        & (F.col("_s_right") <= F.col("_e_left"))
+    )
+    return both.where(met).select("left", "right")
