@@ -298,15 +298,16 @@ def m7(spark, sf):
     return edits.select(F.col("origin_ids")[0].alias("origin"), "kind", "index", "end", "content", "error")
 
 
-def _files(spark, rows, parts=3):
-    """Rows as files that arrive one after the other."""
+def _files(spark, rows, arrivals=3):
+    """(folder, files of an arrival): rows as files that arrive in three lots, written by as many tasks as read them."""
     path = work_dir(spark, "arrivals")
-    rows.repartition(parts).write.parquet(path)
-    return path
+    each = -(-rows.rdd.getNumPartitions() // arrivals)
+    rows.repartition(each * arrivals).write.parquet(path)
+    return path, each
 
 
-def _run(job, spark, path, schema, files_per_run=1):
-    stream = stream_jobs.file_stream(spark, path, schema, files_per_run)
+def _run(job, spark, arrivals, schema):
+    stream = stream_jobs.file_stream(spark, arrivals[0], schema, arrivals[1])
     job.finish(job.start(stream, work_dir(spark, "progress")))
     return job
 
@@ -337,7 +338,7 @@ def t1_failures(spark, sf):
         failing = F.col("event_id") % 1000 == 0
         return df.select("rank", F.when(~failing, F.struct("event_type")).alias("value"), F.when(failing, "broken").alias("error"))
 
-    store, path, progress = _store(spark), _files(spark, e, 1), work_dir(spark, "progress")
+    store, (path, _), progress = _store(spark), _files(spark, e), work_dir(spark, "progress")
     job = stream_jobs.PolledJob(store, "kept", "rank", [F.col("event_type")], process, limit=e.count() // 2)
     for _ in range(3):
         job.finish(job.start(stream_jobs.file_stream(spark, path, e.schema), progress), e.schema)
@@ -390,7 +391,8 @@ def t3(spark, sf):
 def t5_stream(spark, sf):
     rows = log(spark, sf).select("topic", "message", "sender", F.col("id").alias("event"))
     store = _store(spark)
-    stream = stream_jobs.file_stream(spark, _files(spark, rows), rows.schema, 1)
+    path, each = _files(spark, rows)
+    stream = stream_jobs.file_stream(spark, path, rows.schema, each)
     stream_jobs.append_log(stream, store, "log", [F.col("event")], work_dir(spark, "progress")).awaitTermination()
     out = store.read("log")
     return out.groupBy("topic").agg(F.count("*").alias("messages"), F.countDistinct("id").alias("ids"))
@@ -408,7 +410,8 @@ def _inboxes(spark, sf):
 )
 def t6_stream(spark, sf):
     rows, known = _inboxes(spark, sf)
-    stream = stream_jobs.file_stream(spark, _files(spark, rows.orderBy("id"), 1), rows.schema)
+    path, each = _files(spark, rows)  # ids come in no order: later lots have ids between those of earlier ones
+    stream = stream_jobs.file_stream(spark, path, rows.schema, each)
     target = work_dir(spark, "deliveries")
     out = deliveries(stream, known).writeStream.format("parquet").option("checkpointLocation", work_dir(spark, "progress"))
     out.option("path", target).trigger(availableNow=True).start().awaitTermination()
@@ -418,36 +421,39 @@ def t6_stream(spark, sf):
 
 @query(
     "t7_receive_timeout",
-    f"WITH {LOG_SQL} SELECT DISTINCT sender AS agent, 'timeout' AS status FROM log",
+    f"WITH {LOG_SQL} SELECT DISTINCT sender AS agent, 'timeout' AS status FROM log UNION ALL SELECT DISTINCT 'silent-' || topic, 'timeout' FROM log",
 )
 def t7(spark, sf):
-    """After the last message every agent is told once that nothing more has come."""
+    """After the last message every agent is told once that nothing more has come, also those that never had one."""
     import time
 
     rows, known = _inboxes(spark, sf)
-    agents = known.select("agent").distinct().count()
+    silent = log(spark, sf).select(F.concat(F.lit("silent-"), "topic").alias("agent")).distinct()
+    registered = known.select("agent").unionByName(silent)
+    agents = registered.distinct().count()
     target = work_dir(spark, "deliveries")
-    stream = stream_jobs.file_stream(spark, _files(spark, rows, 1), rows.schema)
-    out = deliveries(stream, known, timeout_ms=1000).writeStream.format("parquet").option("path", target)
+    stream = stream_jobs.file_stream(spark, _files(spark, rows)[0], rows.schema)
+    out = deliveries(stream, known, timeout_ms=1000, registered=registered).writeStream.format("parquet").option("path", target)
     running = out.option("checkpointLocation", work_dir(spark, "progress")).trigger(processingTime="1 second").start()
-    told = None
     try:
-        deadline = time.time() + 300
-        while time.time() < deadline and running.isActive:
+        deadline = time.time() + 600
+        while True:
             if any(p["numInputRows"] > 0 for p in running.recentProgress):
                 told = spark.read.parquet(target).where("status = 'timeout'").select("agent", "status").distinct()
                 if told.count() >= agents:
-                    break
+                    return told
+            if time.time() > deadline or not running.isActive:
+                raise TimeoutError("not every agent has been told")
             time.sleep(0.5)
     finally:
         running.stop()
-    return told
 
 
 @query("t9_live_metrics", "SELECT count(*) AS items, count(*) FILTER (value > 100) AS errors, max(event_id) AS last_id FROM events")
 def t9(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value")
-    stream = stream_jobs.file_stream(spark, _files(spark, e), e.schema, 1)
+    path, each = _files(spark, e)
+    stream = stream_jobs.file_stream(spark, path, e.schema, each)
     fed = stream_jobs.with_feed(stream, "feed", "event_id", F.col("value") > 100, F.col("event_type"))
     sink = work_dir(spark, "sink")
     q = fed.writeStream.format("parquet").option("path", sink).option("checkpointLocation", work_dir(spark, "progress"))
@@ -470,3 +476,21 @@ def k18(spark, sf):
     job = stream_jobs.PolledJob(store, "saved", "id", [F.col("category")], process)
     _run(job, spark, _files(spark, rows), rows.schema)
     return store.read("saved").withColumn("saves", F.lit(store._latest()[0]).cast("int"))
+
+
+@query(
+    "k18_saves_by_rows",
+    """SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'other' WHEN quality = 1 THEN 'useful' ELSE 'unknown' END AS category,
+       CAST((SELECT ceil(count(*) / 100.0) FROM labels) AS INT) AS saves FROM labels""",
+)
+def k18_rows(spark, sf):
+    """All rows arrive at once; they are saved by hundreds."""
+    rows = inputs.categories(spark, sf)
+    store = _store(spark)
+
+    def process(df):
+        return df.select("id", F.struct("category").alias("value"), F.lit(None).cast("string").alias("error"))
+
+    job = stream_jobs.PolledJob(store, "saved", "id", [F.col("category")], process, save_every=100)
+    job.finish(job.start(stream_jobs.file_stream(spark, _files(spark, rows)[0], rows.schema), work_dir(spark, "progress")))
+    return store.read("saved").withColumn("saves", F.lit(job.saves).cast("int"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from officelake.operators.filters import unprocessed
-from officelake.operators.ordering import last_wins
+from officelake.operators.ordering import global_index, last_wins
 from officelake.session import work_dir
 from officelake.sinks.merge import upsert_in
 from officelake.sinks.store import TableStore
@@ -38,7 +39,8 @@ class PolledJob:
     Every run re-reads which keys are done, so a run repeated after a failure does nothing twice. Items beyond
     ``limit`` and items that failed stay in a table of pending ones and are taken up by the next run, those that failed
     less often first, so that failing items never keep others waiting. Results, failures and pending items of one run
-    are published together.
+    are published together; with ``save_every`` results are published before that, so many items at a time, however the
+    stream's files are cut, and a run that breaks off keeps what has been saved.
     """
 
     store: TableStore
@@ -49,10 +51,12 @@ class PolledJob:
     strict: bool = False
     force_all: bool = False
     limit: int | None = None
+    save_every: int | None = None
     failures: str = "failures"
     pending: str = "pending"
     failed: list[str] = field(default_factory=list)
     ran: int = 0
+    saves: int = 0
 
     def run_once(self, items: DataFrame) -> None:
         """One run over a batch of items and all pending ones."""
@@ -71,14 +75,12 @@ class PolledJob:
         # pinned: what is left over must be the complement of what was taken
         latest = pinned(latest.withColumn(ATTEMPTS, F.coalesce(ATTEMPTS, F.lit(0))))
         taken = latest if self.limit is None else latest.orderBy(ATTEMPTS, self.key).limit(self.limit)
-        outcome = self.process(taken.drop(ATTEMPTS))
+        taken = taken.drop(ATTEMPTS)
+        outcome = self._answered(taken) if self.save_every is None else self._saved_in_parts(taken)
         txn = self.store.begin()
-        # Written once, then read for both tables: a model behind ``process`` is not asked again.
-        staged = work_dir(items.sparkSession, "run")
-        outcome.write.parquet(staged)
-        outcome = items.sparkSession.read.schema(outcome.schema).parquet(staged)
         good = outcome.where(F.col("error").isNull()).select(self.key, "value.*")
-        upsert_in(txn, self.store, self.results, good, [self.key])
+        if self.save_every is None:
+            upsert_in(txn, self.store, self.results, good, [self.key])
         bad = outcome.where(F.col("error").isNotNull()).select(self.key, "error")
         txn.replace(self.failures, bad)
         left = latest.join(good.select(self.key), self.key, "left_anti")
@@ -89,6 +91,24 @@ class PolledJob:
         first = bad.first()
         self.failed = [] if first is None else [first["error"]]
 
+    def _answered(self, taken: DataFrame) -> DataFrame:
+        """What ``process`` makes of the items, written once: a model behind it is not asked again by later reads."""
+        return pinned(self.process(taken))
+
+    def _saved_in_parts(self, taken: DataFrame) -> DataFrame:
+        """The same, with the results of every ``save_every`` items published before the next ones are begun."""
+        numbered = pinned(global_index(taken, [F.col(self.key)], "_place"))
+        parts = []
+        for start in range(0, max(1, numbered.count()), self.save_every):
+            part = numbered.where((F.col("_place") >= start) & (F.col("_place") < start + self.save_every)).drop("_place")
+            outcome = self._answered(part)
+            txn = self.store.begin()
+            upsert_in(txn, self.store, self.results, outcome.where(F.col("error").isNull()).select(self.key, "value.*"), [self.key])
+            txn.commit()
+            self.saves += 1
+            parts.append(outcome)
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
     def start(self, stream: DataFrame, checkpoint: str, interval: float = 0):
         """Start the query: once over what is there (0), or again every ``interval`` seconds."""
         writer = stream.writeStream.foreachBatch(lambda df, _: self.run_once(df))

@@ -3,6 +3,7 @@
 import json
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from officelake.sinks import exports, merge, sync
 from officelake.sinks.store import CommitConflict, TableStore
 from officelake.sources import calendar, mailbox, tasks
 from officelake.streaming import jobs as stream_jobs
-from officelake.streaming.receive import deliveries
+from officelake.streaming.receive import deliveries, unseen, with_ids
 
 def at():
     return F.lit("2024-01-01").cast("timestamp")
@@ -428,6 +429,50 @@ def test_long_recurrences_have_all_instances(spark):
     assert (got["n"], got["d"], got["m"]) == (250000, 250000, 249999)
 
 
+def test_late_ids_are_delivered_once(spark):
+    """Ids 5, 7 and 100, then 6 (and 7 again), then 1: each comes once, whenever it comes."""
+    subs = spark.createDataFrame([("a", "t"), ("a", "u")], "agent string, topic string")
+    schema = "topic string, id long, message string"
+    path, target, progress = work_dir(spark, "arrivals"), work_dir(spark, "out"), work_dir(spark, "progress")
+    seen = []
+    for lot in ([("t", 7, "m7"), ("t", 5, "m5"), ("u", 100, "n"), ("t", 5, "again")], [("t", 6, "m6"), ("t", 7, "again")], [("t", 1, "m1"), ("t", 6, "again"), ("u", 99, "o")]):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(path)
+        out = deliveries(stream_jobs.file_stream(spark, path, spark.createDataFrame([], schema).schema), subs).writeStream.format("parquet").option("path", target)
+        out.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted((r["topic"], r["id"]) for r in spark.read.parquet(target).collect()))
+    assert seen == [
+        [("t", 5), ("t", 7), ("u", 100)],
+        [("t", 5), ("t", 6), ("t", 7), ("u", 100)],
+        [("t", 1), ("t", 5), ("t", 6), ("t", 7), ("u", 99), ("u", 100)],
+    ]
+
+
+def test_intervals_of_ids():
+    rng = np.random.default_rng(3)
+    had, low, high = set(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _ in range(200):
+        ids = np.unique(rng.integers(0, 300, 6))
+        assert unseen(ids, low, high).tolist() == [int(i) not in had for i in ids]
+        low, high = with_ids(ids, low, high)
+        had |= set(ids.tolist())
+        assert sorted(had) == [x for a, b in zip(low, high) for x in range(a, b + 1)] and (low[1:] > high[:-1] + 1).all()
+
+
+def test_saves_by_rows(spark, store):
+    path = work_dir(spark, "arrivals")
+    spark.range(25).selectExpr("id", "cast(id AS string) AS v").repartition(3).write.parquet(path)
+
+    def process(df):
+        bad = F.col("id") == 13
+        return df.select("id", F.when(~bad, F.struct("v")).alias("value"), F.when(bad, "unlucky").alias("error"))
+
+    job = stream_jobs.PolledJob(store, "out", "id", [F.col("v")], process, save_every=10)
+    stream = stream_jobs.file_stream(spark, path, spark.read.parquet(path).schema)
+    job.finish(job.start(stream, work_dir(spark, "progress")))
+    assert job.saves == 3 and store.read("out").count() == 24
+    assert [r["id"] for r in store.read("pending").collect()] == [13] == [r["id"] for r in store.read("failures").collect()]
+
+
 def test_deliveries_and_timeout(spark):
     import time
 
@@ -436,7 +481,8 @@ def test_deliveries_and_timeout(spark):
     path, target = work_dir(spark, "arrivals"), work_dir(spark, "out")
     msgs.repartition(1).write.parquet(path)
     stream = stream_jobs.file_stream(spark, path, msgs.schema)
-    out = deliveries(stream, subs, timeout_ms=500).writeStream.format("parquet").option("path", target)
+    known = spark.createDataFrame([("a",), ("silent",)], "agent string")
+    out = deliveries(stream, subs, timeout_ms=500, registered=known).writeStream.format("parquet").option("path", target)
     query = out.option("checkpointLocation", work_dir(spark, "progress")).trigger(processingTime="500 milliseconds").start()
     try:
         for _ in range(60):
@@ -445,9 +491,9 @@ def test_deliveries_and_timeout(spark):
                 got = spark.read.parquet(target).collect()
             except Exception:  # nothing written yet
                 continue
-            if {r["agent"] for r in got if r["status"] == "timeout"} == {"a", "b"}:
+            if {r["agent"] for r in got if r["status"] == "timeout"} == {"a", "b", "silent"}:
                 break
     finally:
         query.stop()
     assert sorted((r["agent"], r["id"]) for r in got if r["status"] == "message") == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
-    assert sorted(r["agent"] for r in got if r["status"] == "timeout") == ["a", "b"]
+    assert sorted(r["agent"] for r in got if r["status"] == "timeout") == ["a", "b", "silent"]
