@@ -268,6 +268,49 @@ def s16(spark, sf):
     return documents.parse_documents(json, "json").withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(
+    "s16_ranges",
+    f"""WITH {ELEMENTS_SQL}, e AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(pos AS BIGINT) AS pos, start_index, end_index, text, CASE WHEN pos % 2 = 1 THEN 3 ELSE 0 END AS down FROM elements)
+        SELECT doc_id, start_index, end_index, CAST(depth + down AS INT) AS depth, kind, content FROM (
+          SELECT doc_id, start_index, end_index, down, 1 AS depth, 'paragraph' AS kind, NULL AS content FROM e
+          UNION ALL SELECT doc_id, start_index, end_index, down, 2, 'run', text FROM e
+          UNION ALL SELECT doc_id, start_index, end_index, 0, 1, 'table', NULL FROM e WHERE down > 0
+          UNION ALL SELECT doc_id, start_index, end_index, 0, 2, 'row', NULL FROM e WHERE down > 0
+          UNION ALL SELECT doc_id, start_index, end_index, 0, 3, 'cell', NULL FROM e WHERE down > 0)""",
+)
+def s16_ranges(spark, sf):
+    """Every other paragraph lies in a table cell: all ranges at all depths."""
+    return documents.document_ranges(_nested_documents(spark, sf), "json").select("doc_id", "start_index", "end_index", "depth", "kind", "content")
+
+
+def _nested_documents(spark, sf):
+    from officelake.operators.ordering import ordered_lists
+
+    e = inputs.elements(spark, sf)
+    bounds = [F.col("start_index").alias("startIndex"), F.col("end_index").alias("endIndex")]
+    run = F.struct(*bounds, F.struct(F.col("text").alias("content")).alias("textRun"))
+    paragraph = F.struct(*bounds, F.struct(F.array(run).alias("elements")).alias("paragraph"))
+    cell = F.struct(*bounds, F.array(paragraph).alias("content"))
+    row = F.struct(*bounds, F.array(cell).alias("tableCells"))
+    element = F.when(F.col("pos") % 2 == 1, F.to_json(F.struct(*bounds, F.struct(F.array(row).alias("tableRows")).alias("table")))).otherwise(F.to_json(paragraph))
+    docs = ordered_lists(e, ["doc_id"], [F.col("pos")], element, "content")
+    body = F.concat(F.lit('{"documentId":"'), F.col("doc_id").cast("string"), F.lit('","body":{"content":['), F.array_join("content", ","), F.lit("]}}"))
+    return docs.select(body.alias("json"))
+
+
+@query(
+    "s16_rendered",
+    f"""WITH {ELEMENTS_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(max(end_index) AS BIGINT) AS length,
+        string_agg(regexp_replace(text, '[^A-Za-z]', '', 'g'), '' ORDER BY pos) AS letters FROM elements GROUP BY 1""",
+)
+def s16_rendered(spark, sf):
+    """The texts of these documents put together from their ranges."""
+    from officelake.operators import sections
+
+    text = sections.render_text(documents.document_ranges(_nested_documents(spark, sf), "json"))
+    return text.select("doc_id", F.length("text").cast("long").alias("length"), F.regexp_replace("text", "[^A-Za-z]", "").alias("letters"))
+
+
 @query(
     "s17_query_source",
     "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000",

@@ -378,3 +378,16 @@ def k19(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("subject"))
     items = inputs.categories(spark, sf).join(d, "id")
     return exports.digest(items, "category", [F.col("id")], F.concat_ws(" ", "id", "subject"))
+
+
+@query(
+    "k19_digest_lines",
+    f"""WITH {CATEGORIES_SQL} SELECT category, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS position,
+        count(*) OVER (PARTITION BY category) AS items, id || ' ' || split_part(text, chr(10), 1) AS line
+        FROM categories JOIN documents ON doc_id = id""",
+)
+def k19_lines(spark, sf):
+    """Every line of the summaries with its place, as the written files have them."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("subject"))
+    items = inputs.categories(spark, sf).join(d, "id")
+    return exports.digest_lines(items, "category", [F.col("id")], F.concat_ws(" ", "id", "subject"))

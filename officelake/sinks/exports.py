@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.functions.strings import extension_from_mime
-from officelake.operators.ordering import ordered_lists
+from officelake.operators.ordering import ordered_lists, ordinal
 from officelake.sources.mailbox import path_exists
 
 LIST_FIELDS = ["id", "name", "fileExtension", "mimeType", "description", "md5Checksum", "modifiedTime"]  # fixed
@@ -119,3 +119,19 @@ def digest(items: DataFrame, category: str, order: list[Column], line: Column) -
     """A summary per category: how many items, and their lines in order."""
     lines = ordered_lists(items, [category], order, line, "lines")
     return lines.select(category, F.size("lines").cast("long").alias("items"), F.array_join("lines", "\n").alias("summary"))
+
+
+def digest_lines(items: DataFrame, category: str, order: list[Column], line: Column) -> DataFrame:
+    """The lines of a summary per category, one row each: category, position in it from 0, how many it has, and the line.
+
+    No category is ever one value or one task: positions come from a range sort, and counts combine map-side.
+    """
+    placed = ordinal(items.withColumn("line", line), [category], order, "position")
+    counts = items.groupBy(F.col(category).alias("_of")).agg(F.count(F.lit(1)).alias("items"))
+    return placed.join(counts, F.col(category).eqNullSafe(F.col("_of"))).select(category, "position", "items", "line")
+
+
+def write_digest(lines: DataFrame, category: str, path: str) -> None:
+    """Write the summaries as text, a folder per category, whose files read in order are its lines in order."""
+    out = lines.repartitionByRange(category, "position").sortWithinPartitions(category, "position")
+    out.select(category, F.col("line").alias("value")).write.partitionBy(category).text(path)
