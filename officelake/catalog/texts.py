@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from officelake.catalog import query
 from officelake.functions import html, mail, markdown
+from officelake.operators import elements
 from officelake.plans import inputs
 from officelake.plans.inputs import MAIL_SQL, table
 
@@ -67,8 +68,47 @@ def x3(spark, sf):
     return out.select("id", "c.value", "c.error")
 
 
-@query("x4_html_clean", f"SELECT page_id, {CLEAN_SQL} AS html FROM pages")
+#: A stack of open tags is carried along each page, one token a step; what an element holds follows from where it is open.
+PAGES_SQL = """WITH RECURSIVE tokens AS MATERIALIZED (
+  SELECT page_id, i, t, CASE WHEN t LIKE '<!--%' OR t ILIKE '<script%' OR t ILIKE '<style%' THEN 'gone' WHEN t LIKE '<!%' THEN 'mark'
+      WHEN t LIKE '</%' THEN 'close' WHEN regexp_matches(t, '^<(br|meta|img|hr)[ />]') THEN 'void' WHEN t LIKE '<_%' THEN 'open' ELSE 'text' END AS kind,
+    regexp_extract(t, '^</?([a-z][a-z0-9]*)', 1) AS name
+  FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (
+    SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>|[^<]+|<') AS l FROM pages))),
+walk AS (
+  SELECT page_id, 0::BIGINT AS i, []::STRUCT(name VARCHAR, start BIGINT)[] AS stack FROM pages
+  UNION ALL
+  SELECT w.page_id, t.i, CASE WHEN kind = 'open' THEN list_append(stack, {'name': t.name, 'start': t.i})
+      WHEN kind = 'close' AND list_contains(list_transform(stack, lambda s: s.name), t.name)
+        THEN stack[1 : len(stack) - list_position(list_reverse(list_transform(stack, lambda s: s.name)), t.name)]
+      ELSE stack END
+  FROM walk w JOIN tokens t ON t.page_id = w.page_id AND t.i = w.i + 1),
+inside AS MATERIALIZED (SELECT w.page_id, w.i, unnest(w.stack).start AS start FROM walk w),
+spans AS (
+  SELECT e.page_id, e.start, max(e.i) AS last, any_value(o.name) AS name, count(*) FILTER (t.kind = 'text' AND regexp_matches(t.t, '[A-Za-z0-9]')) AS texts
+  FROM inside e JOIN tokens t ON t.page_id = e.page_id AND t.i = e.i JOIN tokens o ON o.page_id = e.page_id AND o.i = e.start GROUP BY e.page_id, e.start),
+ends AS MATERIALIZED (
+  SELECT s.*, coalesce(c.kind = 'close' AND c.name = s.name AND s.start = (
+      SELECT max(x.start) FROM spans x WHERE x.page_id = s.page_id AND x.name = s.name AND x.last = s.last), false) AS closed,
+    texts = 0 AND s.name NOT IN ('head', 'body') AS dropped
+  FROM spans s LEFT JOIN tokens c ON c.page_id = s.page_id AND c.i = s.last + 1),
+gone AS (SELECT page_id, start, last + closed::INT AS last FROM ends WHERE dropped),
+shown AS (
+  SELECT page_id, i, 1 AS own, 0 AS back, regexp_replace(t, ' class="[^"]*"', '') AS t FROM tokens k
+  WHERE kind IN ('text', 'open', 'mark') OR kind = 'close' AND EXISTS (SELECT 1 FROM ends e WHERE e.page_id = k.page_id AND e.last + 1 = k.i AND e.closed)
+  UNION ALL SELECT page_id, last + 1, 0, -start, '</' || name || '>' FROM ends WHERE NOT closed AND NOT dropped),
+kept AS (SELECT * FROM shown s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.page_id = s.page_id AND g.start <= s.i AND s.i <= g.last)),
+clean AS (SELECT page_id, string_agg(t, '' ORDER BY i, own, back) AS html FROM kept GROUP BY page_id)"""
+
+
+@query("x4_html_clean", f"{PAGES_SQL} SELECT page_id, coalesce(clean.html, '') AS html FROM pages LEFT JOIN clean USING (page_id)")
 def x4(spark, sf):
+    return elements.clean_pages(inputs.texts(spark, sf, "pages"), "page_id", "html", "html")
+
+
+@query("x4_html_stripped", f"SELECT page_id, {CLEAN_SQL} AS html FROM pages")
+def x4_stripped(spark, sf):
+    """Only comments, scripts, styles and layout attributes taken out, as a column."""
     return inputs.texts(spark, sf, "pages").select("page_id", html.clean(F.col("html")).alias("html"))
 
 
