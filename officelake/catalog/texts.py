@@ -165,6 +165,30 @@ def x10(spark, sf):
     return out.select("doc_id", "block_no", "kind", "level", "text", F.array_join(spans, ";").alias("spans"))
 
 
+@query(
+    "x10_markdown_marks",
+    r"""WITH l AS (SELECT doc_id, i, regexp_extract_all(string_split(text, chr(10))[i + 1], '[A-Za-z]+') AS w
+            FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+        t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, w[1] AS a, w[2] AS b FROM l WHERE len(w) > 1)
+        SELECT doc_id, CAST(n AS INT) AS block_no, 'list_item' AS kind, CAST(n % 3 AS INT) AS level, a || ' ' || b AS text,
+          CASE WHEN n % 2 = 0 THEN '0-' || (length(a) + 1 + length(b)) || ' strong;' || (length(a) + 1) || '-' || (length(a) + 1 + length(b)) || ' em'
+               ELSE '0-' || length(a) || ' code;' || (length(a) + 1) || '-' || (length(a) + 1 + length(b)) || ' strike' END AS spans FROM t""",
+)
+def x10_marks(spark, sf):
+    """Lines of documents as items of three depths, their first two words marked within and beside each other."""
+    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit("([A-Za-z]+)"), 1))
+    d = inputs.texts(spark, sf, "documents").select("doc_id", F.filter(words, lambda w: F.size(w) > 1).alias("lines"))
+
+    def dressed(w, n):
+        nested = F.concat(F.lit("**"), w[0], F.lit(" *"), w[1], F.lit("***"))
+        beside = F.concat(F.lit("`"), w[0], F.lit("` ~~"), w[1], F.lit("~~"))
+        return F.concat(F.repeat(F.lit("    "), n % 3), F.lit("- "), F.when(n % 2 == 0, nested).otherwise(beside))
+
+    out = markdown.block_rows(d.select("doc_id", F.array_join(F.transform("lines", dressed), "\n").alias("md")), "md")
+    spans = F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["style"]))
+    return out.select("doc_id", "block_no", "kind", "level", "text", F.array_join(spans, ";").alias("spans"))
+
+
 @query(
     "f1_decode_header",
     """SELECT conv_id, turn, nullif(CASE WHEN role = 'user' THEN 'Re: ' || text WHEN role = 'system' THEN '' ELSE text END, '') AS subject FROM conversations""",

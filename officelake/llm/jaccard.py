@@ -36,7 +36,7 @@ CUTS = 3
 GROWTH = 1.25
 #: What a set that meets another by chance costs, in signatures.
 CHANCE_COST = 50.0
-#: Shingles of the sets verified together in one task; larger families are verified block against block.
+#: Shingles of the sets verified together in one task; larger families are verified by ranges of size, and blocks of them.
 BLOCK = 2_000_000
 FORMS = ("exact", "subsets", "deletion")
 #: Links of fewer per cent are found by prefixes.
@@ -369,30 +369,43 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 def _links(docs: DataFrame, groups: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of linked sets by code, joining all that are linked within each family.
 
-    Families are dealt over tasks; one with more than ``BLOCK`` shingles is cut in blocks by code, and each pair of
-    blocks is a task's work, so that what a task holds doesn't grow with a family.
+    Families are dealt over tasks. One with more than ``BLOCK`` shingles is cut by size, into ranges so wide that linked
+    sets lie in the same or in neighbouring ones: each range is a task's work together with the one below it, and if that
+    is still too much it is cut in blocks by code, each pair of blocks a task's work. So what a task holds doesn't
+    grow with a family, and a text goes to two ranges at most.
     """
     import pyarrow as pa
 
     members = families.join(groups, families["node"] == groups["code"]).select("code", "first", "n", F.col("root").alias("family"))
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = pinned(members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")), "members")
-    held = texts(docs).join(small_side(members), F.col("doc_id") == F.col("first")).select("family", "block", "blocks", "code", "text")
+    large = members.groupBy("family").agg((F.sum("n") > BLOCK).alias("large"))
+    wide = math.log(100 / percent) + 0.02
+    range_ = F.when(F.col("large"), F.floor(F.log(F.col("n")) / wide)).otherwise(0).cast("int")
+    members = pinned(members.join(large, "family").withColumn("range", range_), "members")
+    own = members.groupBy("family", "range").agg(F.sum("n").alias("s"))
+    below = own.select("family", (F.col("range") + 1).alias("range"), F.col("s").alias("below"))
+    blocks = F.ceil((F.col("s") + F.coalesce("below", F.lit(0))) / F.lit(BLOCK)).cast("int")
+    work = own.join(below, ["family", "range"], "left").select("family", "range", blocks.alias("blocks"))
+    placed = members.select("code", "first", "family", "range").unionByName(
+        members.where("large").select("code", "first", "family", (F.col("range") + 1).alias("range"))
+    )
+    placed = placed.join(small_side(work), ["family", "range"]).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    placed = pinned(placed, "placed")
+    held = texts(docs).join(small_side(placed), F.col("doc_id") == F.col("first")).select("family", "range", "block", "blocks", "code", "text")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = held.select("family", "block", "code", "text", F.explode(other).alias("other"))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code", "text")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    dealt = held.select("family", "range", "block", "code", "text", F.explode(other).alias("other"))
+    dealt = dealt.select("family", "range", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code", "text")
+    dealt = dealt.repartition("family", "range", "i", "j").sortWithinPartitions("family", "range", "i", "j")
 
     def rows(batches):
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "block", "code", "text")))
+            yield from zip(*(b.column(c).to_pylist() for c in ("family", "range", "i", "j", "block", "code", "text")))
 
     def run(batches):
         out: list[tuple[int, int]] = []
         known: dict[str, int] = {}
-        for (_, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
+        for (_, _, i, j), group in groupby(rows(batches), key=lambda r: r[:4]):
             sets: dict[int, tuple[np.ndarray, int]] = {}
-            for _, _, _, block, code, text in group:
+            for *_, block, code, text in group:
                 if code not in sets:
                     s = shingles(text, size, known)
                     if set_code(s) == code:  # rows that share an id may differ in text

@@ -119,6 +119,31 @@ def test_markdown_spans(spark):
     assert [tuple(s) for s in r["spans"]] == [(3, 7, "strong", None), (12, 15, "link", "http://o/1"), (16, 19, "strong", None)]
 
 
+@pytest.mark.parametrize(
+    "source, text, spans",
+    [
+        ("*a* and _b_", "a and b", [(0, 1, "em"), (6, 7, "em")]),
+        ("~~old~~ `x*y*` **b**", "old x*y* b", [(0, 3, "strike"), (4, 8, "code"), (9, 10, "strong")]),
+        ("**bold with `code` and *more***", "bold with code and more", [(0, 23, "strong"), (10, 14, "code"), (19, 23, "em")]),
+        ("***both***", "both", [(0, 4, "strong"), (0, 4, "em")]),
+        ("2 * 3 * 4 and a_b_c", "2 * 3 * 4 and a_b_c", []),
+        ("open **mark and \\*no\\*", "open **mark and *no*", []),
+        ("**[l](http://u/a_b)** x", "l x", [(0, 1, "strong"), (0, 1, "link")]),
+        ("\U0001f9c2 __w__ [t]", "\U0001f9c2 w [t]", [(3, 4, "strong")]),
+        ("*a **b* c**", "a b c", [(0, 3, "em"), (2, 5, "strong")]),
+    ],
+)
+def test_markdown_marks(spark, source, text, spans):
+    r = block_rows(spark.createDataFrame([(1, source)], "doc_id int, md string"), "md").first()
+    assert r["text"] == text and sorted((s["start"], s["end"], s["style"]) for s in r["spans"]) == sorted(spans)
+
+
+def test_items_lie_in_items_that_are_indented_less(spark):
+    source = "- a\n    - b\n        - c\n    - d\n- e\n\nplain\n\n   * f\n     1. g\n   * h"
+    rows = block_rows(spark.createDataFrame([(1, source)], "doc_id int, md string"), "md").orderBy("block_no").collect()
+    assert [(r["text"], r["level"]) for r in rows] == [("a", 0), ("b", 1), ("c", 2), ("d", 1), ("e", 0), ("plain", 0), ("f", 0), ("g", 1), ("h", 0)]
+
+
 def column(spark, value, kind="string"):
     return spark.createDataFrame([(value,)], f"c {kind}")
 
