@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from officelake.catalog import query
 from officelake.functions import html, mail, markdown
-from officelake.operators import elements
+from officelake.operators import elements, rendering
 from officelake.plans import inputs
 from officelake.plans.inputs import MAIL_SQL, table
 
@@ -112,8 +112,37 @@ def x4_stripped(spark, sf):
     return inputs.texts(spark, sf, "pages").select("page_id", html.clean(F.col("html")).alias("html"))
 
 
-@query("x5_html_to_markdown", f"SELECT page_id, {MARKDOWN_SQL} AS value, CAST(NULL AS VARCHAR) AS error FROM pages")
+#: The cleaned page cut at its block tags, which in these pages never lie in inline ones; texts and inline tags by turns.
+RENDERED_SQL = f"""{PAGES_SQL},
+pieces AS (
+  SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (
+    SELECT page_id, regexp_extract_all(html, '</?(?:html|head|title|body|nav|ul|li|div|article|h1|p|footer)\\b[^>]*>(?:[^<]|</?[ab]\\b[^>]*>)*') AS l FROM clean)),
+cut AS (
+  SELECT page_id, i, regexp_extract(p, '^<(/?[a-z0-9]+)', 1) AS tag, regexp_replace(p, '^<[^>]*>', '') AS c FROM pieces),
+inline AS (
+  SELECT page_id, i, tag, list_transform(string_split_regex(c, '<[^>]*>'), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\r\\n\\f]+', ' ', 'g'), '([*_])', '\\\\\\1', 'g')) AS texts,
+    list_transform(regexp_extract_all(c, '<[^>]*>'), lambda x: CASE WHEN x LIKE '<a %' THEN '[' WHEN x = '</a>' THEN '](' || regexp_extract(c, 'href="([^"]*)"', 1) || ')' ELSE '**' END) AS marks FROM cut),
+blocks AS (
+  SELECT page_id, i, tag, trim(regexp_replace(replace(replace(replace(replace(replace(
+    list_reduce(list_transform(list_zip(texts, marks), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), lambda a, b: a || b),
+    '&lt;', '<'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' {{2,}}', ' ', 'g')) AS t FROM inline),
+full_ AS (SELECT *, CASE tag WHEN 'li' THEN '* ' WHEN 'h1' THEN '# ' ELSE '' END || t AS line FROM blocks WHERE t <> ''),
+parted AS (SELECT *, lag(tag) OVER (PARTITION BY page_id ORDER BY i) AS before FROM full_),
+rendered AS (SELECT page_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before = 'li' AND tag = 'li' THEN chr(10) ELSE chr(10) || chr(10) END || line, '' ORDER BY i) || chr(10) AS value
+  FROM parted GROUP BY page_id)"""
+
+
+@query(
+    "x5_html_to_markdown",
+    f"{RENDERED_SQL} SELECT page_id, value, CASE WHEN value IS NULL THEN 'the page has no text' END AS error FROM pages LEFT JOIN rendered USING (page_id)",
+)
 def x5(spark, sf):
+    return rendering.markdown_pages(inputs.texts(spark, sf, "pages"), "page_id", "html")
+
+
+@query("x5_markdown_column", f"SELECT page_id, {MARKDOWN_SQL} AS value, CAST(NULL AS VARCHAR) AS error FROM pages")
+def x5_column(spark, sf):
+    """The same by string steps, as a column: without nesting, and with what cleaning would take out."""
     out = inputs.texts(spark, sf, "pages").select("page_id", html.document_markdown(F.col("html")).alias("m"))
     return out.select("page_id", "m.value", "m.error")
 

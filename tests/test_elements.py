@@ -88,3 +88,26 @@ def test_random_pages_agree_with_a_stack(spark):
     pages = [page(4) for _ in range(150)]
     # a missing closing tag of a name makes a later one close an inner element instead: a stack says the same
     assert cleaned(spark, *pages) == [by_stack(p) for p in pages]
+
+
+@pytest.mark.parametrize(
+    "page,wanted",
+    [
+        ("<h2>Soup</h2><p>Boil <b>three</b> <i>eggs</i>.</p><p>Serve\n warm</p>", "## Soup\n\nBoil **three** *eggs*.\n\nServe warm\n"),
+        ("<ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ul>after", "* a\n  + b\n    - c\n* d\n\nafter\n"),
+        ("<ol><li>one</li><li><p>two</p><p>more</p></li><li>three<ul><li>x</li></ul></li></ol>", "1. one\n2. two\n   more\n3. three\n   + x\n"),
+        ("<p>see</p><blockquote><p>one</p><p>two</p><blockquote>deep</blockquote></blockquote><p>end</p>", "see\n\n> one\n>\n> two\n>\n> > deep\n\nend\n"),
+        ("<pre>x = 1\n  *y* &lt; z\n</pre><p>use <code>a_b*c</code></p>", "```\nx = 1\n  *y* < z\n```\n\nuse `a_b*c`\n"),
+        ("<table><tr><th>k</th><th>n</th></tr><tr><td>egg</td><td><p>3</p></td></tr></table>", "| k | n |\n| --- | --- |\n| egg | 3 |\n"),
+        ("<p>5 * 3_a &amp;amp; <a href='/u_1'>li_nk</a> <a>none</a></p>", "5 \\* 3\\_a &amp; [li\\_nk](/u_1) none\n"),
+        ('<div>a<p style="display:none">no</p></div><p> </p>b', "a\n\nb\n"),
+        ("<p>open <b>end", "open **end**\n"),
+        ("<ul><li> </li></ul>", None),
+        (None, None),
+    ],
+)
+def test_pages_as_markdown(spark, page, wanted):
+    from officelake.operators import rendering
+
+    r = rendering.markdown_pages(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html").first()
+    assert (r["value"], r["error"]) == (wanted, None if wanted else "the page has no text")
