@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from officelake.catalog import query
 from officelake.catalog.bus_and_rules import LOG_SQL, log
 from officelake.catalog.functions import TODO_SQL, TRIAGE_SETTINGS, _triage_sql
-from officelake.catalog.texts import MARKDOWN_SQL
+from officelake.catalog.texts import RENDERED_SQL
 from officelake.catalog.inference import CATEGORY_SQL, INSTRUCTIONS_SIZE, PROMPT_WEIGHT_SQL, classify_prompt, weight_sql
 from officelake.functions.jsons import decode_json
 from officelake.functions.template import Template
@@ -247,13 +247,16 @@ def e2e2_unknown(spark, sf):
 
 @query(
     "e2e5_todos_to_tasks",
-    f"""WITH q AS (SELECT page_id, {weight_sql("('id: ' || page_id || chr(10) || " + MARKDOWN_SQL + ")")} AS n FROM pages)
+    f"""{RENDERED_SQL}, q AS (SELECT page_id, {weight_sql("('id: ' || page_id || chr(10) || value)")} AS n FROM rendered)
         SELECT 'http://pages/' || page_id AS id_url, 'Read: ' || {CATEGORY_SQL.format(n='n')} AS title,
-        '@default' AS tasklist_id, 'create' AS actions FROM q""",
+        '@default' AS tasklist_id, 'create' AS actions FROM q
+        UNION ALL SELECT 'http://pages/-1', NULL, NULL, 'error' FROM (SELECT count(*) FROM pages)""",
 )
 def e2e5(spark, sf):
     stored = inputs.tasks(spark, sf).withColumn("tasklist_id", F.col("tasklist_id").cast("string"))
-    pages = inputs.texts(spark, sf, "pages")
+    pages = inputs.texts(spark, sf, "pages").select("page_id", "html")
+    # one more page, without anything to read
+    pages = pages.unionByName(pages.agg(F.lit(-1).cast("long").alias("page_id"), F.lit("<p><br></p>").alias("html")))
     out = jobs.todos_to_tasks(pages, "html", "page_id", SINGLE, stored, [F.col("tasklist_id"), F.col("id")])
     return out.select("id_url", "title", "tasklist_id", F.array_join("actions", ",").alias("actions"))
 

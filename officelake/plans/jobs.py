@@ -6,7 +6,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from officelake.functions.html import document_markdown
 from officelake.functions.strings import split_modification_id, utf16_len
 from officelake.functions.template import Template, todo_markdown, triage_prompt
 from officelake.inference.model import (
@@ -24,6 +23,7 @@ from officelake.operators.edits import apply_edits, clamp, executed_ids, item_ed
 from officelake.operators.filters import header_lines, matches_priority, numbered_url, route, unprocessed
 from officelake.operators.lookups import match_back
 from officelake.operators.ordering import batches, ordinal
+from officelake.operators.rendering import markdown_pages
 from officelake.schemas import ANALYSIS, LINKS
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
 from officelake.sinks.merge import cascade_upsert, upsert, upsert_in
@@ -278,19 +278,25 @@ def export_mail(messages: DataFrame, root: str, index_path: str, order: list[Col
 def todos_to_tasks(
     pages: DataFrame, html: str, key: str, model: ModelSpec, stored: DataFrame, order: list[Column]
 ) -> DataFrame:
-    """To-dos a model finds in HTML documents, synced as managed tasks."""
-    text = document_markdown(F.col(html))
-    asked = pages.select(key, text.alias("m"))
-    prompt = F.concat(F.lit("id: "), F.col(key).cast("string"), F.lit("\n"), F.col("m.value"))
-    answered = generate_json(asked, joined_prompt(model, prompt), model)
+    """To-dos a model finds in HTML documents, synced as managed tasks.
+
+    Pages without text, and those a model gave no usable answer for, are rows with the action ``error`` and an ``error``.
+    """
+    read = markdown_pages(pages, key, html)
+    prompt = F.concat(F.lit("id: "), F.col(key).cast("string"), F.lit("\n"), F.col("value"))
+    answered = pin(generate_json(read.where(F.col("error").isNull()).drop("error"), joined_prompt(model, prompt), model).select(key, "result"))
+    url = F.concat(F.lit("http://pages/"), F.col(key).cast("string"))
     tasks = answered.where(F.col("result.error").isNull()).select(
-        F.concat(F.lit("http://pages/"), F.col(key).cast("string")).alias("id_url"),
+        url.alias("id_url"),
         F.concat(F.lit("Read: "), F.get_json_object("result.json", "$.category")).alias("title"),
         F.lit(None).cast("string").alias("tasklist_id"),
         F.lit(None).cast("string").alias("notes"),
         F.lit("needsAction").alias("status"),
     )
-    return upsert_managed(tasks, stored, order)
+    failed = answered.where(F.col("result.error").isNotNull()).select(key, F.col("result.error").alias("error"))
+    failed = failed.unionByName(read.where(F.col("error").isNotNull()).select(key, "error"))
+    synced = upsert_managed(tasks, stored, order).withColumn("error", F.lit(None).cast("string"))
+    return synced.unionByName(failed.select(url.alias("id_url"), F.array(F.lit("error")).alias("actions"), "error"), allowMissingColumns=True)
 
 
 CHECK_TEMPLATE = """\
