@@ -211,6 +211,26 @@ def s14(spark, sf):
     )
 
 
+@query(
+    "s14_written_containers",
+    """SELECT role, 'text/plain' AS mime_type, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, 'e', ''))) AS BIGINT) AS letters, true AS dated
+       FROM conversations GROUP BY role""",
+)
+def s14_written(spark, sf):
+    """Messages written as text files, a folder per role, and read as containers: sizes, types, times and content."""
+    from officelake.session import work_dir
+
+    root = work_dir(spark, "containers")
+    table(spark, sf, "conversations").select("role", F.col("text").alias("value")).write.partitionBy("role").text(root)
+    found = files.containers(spark, root, glob="*.txt")
+    role = F.regexp_extract("path", "role=([^/]*)/", 1)
+    text = F.decode("content", "UTF-8")
+    letters = F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("")))
+    return found.groupBy(role.alias("role"), "mime_type").agg(
+        F.sum("length").alias("bytes"), F.sum(letters).cast("long").alias("letters"), F.min(F.col("modified_us") > 0).alias("dated")
+    )
+
+
 def _book(spark, sf):
     """A spreadsheet per document: a grid row per line, a cell per word."""
     line_cells = F.transform(

@@ -43,6 +43,24 @@ def touch(calls: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("accessed", F.when(F.col("_hit"), now).otherwise(F.col("accessed"))).drop("_hit")
 
 
+#: Folders a bucket of the cache may have before it is written anew.
+CROWDED = 8
+
+
+def compacted(store: TableStore, table: str, buckets: list[int] | None, most: int = CROWDED) -> None:
+    """Write those of the buckets anew, as one folder each, that calls have been added to more than ``most`` times.
+
+    So a lookup opens a bounded number of folders however long the cache has been in use, and a call that was added
+    is rewritten once in so many calls.
+    """
+    folders = store._latest()[1][table]["dirs"]
+    crowded = [int(b) for b, held in folders.items() if len(held) > most and (buckets is None or int(b) in set(buckets))]
+    if crowded:
+        txn = store.begin()
+        txn.replace_buckets(table, store.read(table, crowded), crowded)
+        txn.commit()
+
+
 def cached_call(
     store: TableStore,
     table: str,
@@ -67,6 +85,7 @@ def cached_call(
     if store.exists(table):
         # only the buckets these calls fall into are read or rewritten
         touched = store.buckets_of(table, keyed)
+        compacted(store, table, touched)
         stored = store.read(table, touched)
         if touch_on_hit:
             txn = store.begin()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from officelake.functions.strings import extension_from_mime
 from officelake.operators.ordering import ordered_lists, ordinal
@@ -23,8 +25,9 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
 def save_index(index: DataFrame, path: str, order: list[Column]) -> bool:
     """Write the index sorted, unless the saved one has the same content. Returns whether it wrote.
 
-    The sort is by range over all tasks: read in file order the files give the whole order. One mark tells what is
-    saved now; it is taken away before the index is written anew, so a run that breaks off is repeated.
+    The sort is by range over all tasks: read in file order the files give the whole order. The new index is written
+    beside the saved one and then takes its place by two renames, so readers see one of them at (nearly) any time and
+    never a part. One mark tells what is saved now; it is taken away before that, so a run that breaks off is repeated.
     """
     spark = index.sparkSession
     digest = str(tuple(content_digest(index, index.columns).first()))
@@ -33,12 +36,25 @@ def save_index(index: DataFrame, path: str, order: list[Column]) -> bool:
         current = spark.read.schema("digest string").json(mark).first()
         if current is not None and current["digest"] == digest:
             return False
+    staged = f"{path}.{uuid.uuid4().hex}"
+    index.orderBy(*order).write.json(staged)
     spark.createDataFrame([("none",)], "digest string").write.mode("overwrite").json(mark)
-    index.orderBy(*order).write.mode("overwrite").json(path)
+    put_in_place(spark, staged, path)
     spark.createDataFrame([(digest,)], "digest string").write.mode("overwrite").json(mark)
     return True
 
 
+def put_in_place(spark: SparkSession, staged: str, path: str) -> None:
+    """Let a written folder take the place of another, which goes."""
+    new, target, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{staged}.old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(new, target):
+        raise OSError(f"{staged} can't become {path}")
+    fs.delete(old, True)
+
+
 def mail_export_plan(
     messages: DataFrame,
     existing: DataFrame | None = None,

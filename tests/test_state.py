@@ -189,6 +189,46 @@ def test_model_is_called_once_per_prompt_and_retried(spark, store, tmp_path):
     assert [tuple(r) for r in got] == [("FLAKY", None), (None, None)]
 
 
+def test_crowded_buckets_of_the_cache_are_written_anew(spark, store):
+    prompts = lambda n: spark.createDataFrame([(f"id: p{n}\n",), ("id: same\n",)], "p string")
+    for n in range(cache.CROWDED + 4):
+        cache.cached_call(store, "calls", prompts(n), F.col("p"), SINGLE, at()).collect()
+    folders = store._latest()[1]["calls"]["dirs"].values()
+    assert max(map(len, folders)) <= cache.CROWDED + 1
+    assert store.read("calls").count() == cache.CROWDED + 5
+
+
+def test_readers_never_see_an_index_in_between(spark):
+    path = work_dir(spark, "index")
+    first = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    exports.save_index(first, path, [F.col("id")])
+    seen = []
+    put = exports.put_in_place
+
+    def watched(spark, staged, target):
+        seen.append(spark.read.json(target).count())  # the new one has been written, the old one is still there
+        put(spark, staged, target)
+
+    exports.put_in_place = watched
+    try:
+        exports.save_index(first.where("id < 20"), path, [F.col("id")])
+    finally:
+        exports.put_in_place = put
+    assert seen == [50] and spark.read.json(path).count() == 20
+
+
+def test_stream_without_repetitions(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(30)], "k long, v long").withColumn("at", F.timestamp_seconds(F.col("v")))
+    path = work_dir(spark, "arrivals")
+    rows.repartition(3).write.parquet(path)
+    for event_time in (None, "at"):
+        target = work_dir(spark, "out")
+        stream = stream_jobs.deduplicated(stream_jobs.file_stream(spark, path, rows.schema, 1), "k", event_time)
+        out = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", work_dir(spark, "progress"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == list(range(7))
+
+
 def test_json_repair_takes_two_calls(spark, tmp_path):
     log = tmp_path / "calls"
     log.mkdir()
