@@ -283,6 +283,29 @@ LINES_SQL = f"""{ITEMS_SQL}, l AS (SELECT analysis_id, string_agg(chr(10) || '-
             '' ORDER BY action_number) AS lines FROM items GROUP BY 1)"""
 
 
+@query(
+    "x7_templates_in_rows",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open ' || o_orderkey || chr(10) || 'Terms: pay soon.' WHEN 'F' THEN 'done: ' || lower(o_orderpriority) END AS value,
+       CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'no filter named ' || chr(39) || 'nonsense' || chr(39) END AS error FROM orders""",
+)
+def x7_each(spark, sf):
+    """Every order is rendered by the template of its status; one of them includes a file, another one is broken."""
+    from officelake.functions.template import render_each, template_files
+    from officelake.session import work_dir
+
+    folder = work_dir(spark, "templates")
+    table(spark, sf, "region").limit(1).select(F.lit("Terms: pay soon.").alias("value")).coalesce(1).write.text(folder)
+    files = {"terms.txt": text.rstrip("\n") for text in template_files(spark, folder).values()}
+    template = (
+        F.when(F.col("o_orderstatus") == "O", 'open {{ o_orderkey }}\n{{ include_file("terms.txt") }}')
+        .when(F.col("o_orderstatus") == "F", "done: {{ o_orderpriority | lower }}")
+        .otherwise("{{ o_orderkey | nonsense }}")
+    )
+    orders = table(spark, sf, "orders").select(F.struct("*").alias("order"), template.alias("template"))
+    out = render_each(orders, "template", "order", files=files)
+    return out.select("order.o_orderkey", "text.value", "text.error")
+
+
 @query(
     "x7_template",
     f"""WITH {LINES_SQL} SELECT o_orderkey, 'Order ' || o_orderkey || ' (' || lower(o_orderpriority) || ')' ||

@@ -1,8 +1,8 @@
 """Templates compiled to column expressions.
 
 Supported: ``{{ expr }}``, ``{% if/elif/else/endif %}``, ``{% for x in list %}``, comments, ``-`` whitespace
-control; expressions of names, attributes, literals, ``or/and/not``, comparisons and filters. Anything else is
-rejected when the template is compiled. Expressions are read with Python's own grammar, where ``a | f(x)``
+control; expressions of names, attributes, literals, ``or/and/not``, comparisons, filters and ``include_file("name")``,
+which puts the text of a file there as it is. Anything else is rejected when the template is compiled. Expressions are read with Python's own grammar, where ``a | f(x)``
 already parses as wanted.
 """
 
@@ -12,7 +12,7 @@ import ast
 import re
 from typing import Any, Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from officelake.functions.strings import escape_link, priority_symbol
 
@@ -66,7 +66,9 @@ class Template:
         globals_: dict[str, Any] | None = None,
         filters: dict[str, Callable[..., Any]] | None = None,
         required: list[str] | None = None,
+        files: dict[str, str] | None = None,
     ):
+        self.files = files or {}
         self.globals: dict[str, Any] = {}
         self.filters: dict[str, Callable[..., Any]] = dict(_builtin_filters())
         self.required = set(required or [])
@@ -236,6 +238,11 @@ class _Run:
         if isinstance(e, ast.Compare) and len(e.ops) == 1 and type(e.ops[0]) in _COMPARE:
             left, right = self.value(e.left, env), self.value(e.comparators[0], env)
             return F.coalesce(_COMPARE[type(e.ops[0])](_column(left), _column(right)), F.lit(False))
+        if isinstance(e, ast.Call) and isinstance(e.func, ast.Name) and e.func.id == "include_file" and len(e.args) == 1 and not e.keywords:
+            name = self.value(e.args[0], env)
+            if not isinstance(name, str) or name not in self.t.files:
+                raise TemplateError(f"no file named {ast.unparse(e.args[0])}")
+            return self.t.files[name]
         raise TemplateError(f"unsupported expression {ast.unparse(e)!r}")
 
     def _filter(self, left: ast.expr, right: ast.expr, env: dict[str, Any]) -> Any:
@@ -266,6 +273,48 @@ class _Run:
         return self.t.filters[name](_column(v), *args)
 
 
+#: Different templates of a table that are compiled.
+MAX_TEMPLATES = 1000
+
+
+def template_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """The text files of a folder by name, for ``include_file``; templates are few and small, and read by the driver."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    return {r["name"]: r["value"] for r in rows.collect()}
+
+
+def bindings(df: DataFrame, item: str) -> dict[str, Column]:
+    """What a template sees of an item: the fields of a struct by their names, anything else as ``data``."""
+    kind = df.schema[item].dataType
+    if isinstance(kind, T.StructType):
+        return {f.name: F.col(f"{item}.`{f.name}`") for f in kind.fields}
+    return {"data": F.col(item)}
+
+
+def render_each(
+    df: DataFrame, template: str, item: str, name: str = "text", most: int = MAX_TEMPLATES, **settings: Any
+) -> DataFrame:
+    """``df`` with ``name``, a struct<value, error>: each row's item rendered by the template in the row's own column.
+
+    Every different template is compiled once, and each row is rendered by its own branch, all within one pass. A
+    template that can't be compiled, or is null, is its rows' error. More than ``most`` different templates are an
+    error of the table. ``settings`` are those of ``Template``.
+    """
+    found = [r[0] for r in df.select(template).where(F.col(template).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise TemplateError(f"more than {most} different templates")
+    result = lambda value, error: F.struct(value.alias("value"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    out = F.when(F.col(template).isNull(), result(none, F.lit("no template")))
+    for source in sorted(found):
+        try:
+            rendered = Template(source, **settings).render_checked(**bindings(df, item))
+        except TemplateError as e:
+            rendered = result(none, F.lit(str(e)))
+        out = out.when(F.col(template) == source, rendered)
+    return df.withColumn(name, out)
+
+
 def _as_condition(v: Any, source: ast.expr | None) -> Column:
     if isinstance(v, Column) and isinstance(source, (ast.Compare,)):
         return v

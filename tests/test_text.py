@@ -237,6 +237,19 @@ def test_template(spark):
     assert spark.range(1).select(outer.render(who=F.lit("me"))).first()[0] == "for me!"
 
 
+def test_templates_in_rows(spark):
+    from officelake.functions import template
+
+    rows = [("{{ data }}!", "a"), ("{{ data | upper }}", "b"), (None, "c"), ("{% if data %}", "d"), ('{{ include_file("f") }} {{ data }}', None), ('{{ include_file("g") }}', "e")]
+    out = template.render_each(spark.createDataFrame(rows, "t string, item string"), "t", "item", files={"f": "{{ raw }}"}).collect()
+    assert [r["text"]["value"] for r in out] == ["a!", "B", None, None, "{{ raw }} ", None]
+    assert [bool(r["text"]["error"]) for r in out] == [False, False, True, True, False, True]
+    records = spark.createDataFrame([("{{ n }} {{ x.y }}", (1, ("z",)))], "t string, item struct<n: int, x: struct<y: string>>")
+    assert template.render_each(records, "t", "item").first()["text"]["value"] == "1 z"
+    with pytest.raises(template.TemplateError):
+        template.render_each(spark.createDataFrame([(f"t{i}", "x") for i in range(5)], "t string, item string"), "t", "item", most=4)
+
+
 def test_todo_markdown(spark):
     item = F.struct(
         F.lit("HIGH").alias("priority"), F.lit("Do").alias("title"), F.lit("u#1").alias("source_url"), F.lit("2024-01-02").alias("due_date"),
