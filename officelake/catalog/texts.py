@@ -159,6 +159,29 @@ def x6(spark, sf):
     return out.select("page_id", "c.value", "c.error")
 
 
+@query(
+    "x3_mail_rendered",
+    f"""WITH {MAIL_SQL} SELECT id, CASE WHEN role = 'assistant' THEN trim(regexp_replace(regexp_replace(body, '[ \\t\\r\\n\\f]+', ' ', 'g'), '([*_])', '\\\\\\1', 'g')) || chr(10) ELSE body END AS value,
+        CAST(NULL AS VARCHAR) AS error FROM mail""",
+)
+def x3_rendered(spark, sf):
+    """Bodies of mails: html rendered as a page is, plain text as it is."""
+    return rendering.mail_bodies(_raw(spark, sf), "id", "raw")
+
+
+@query(
+    "x6_pages_converted",
+    f"""{RENDERED_SQL} SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN value WHEN url LIKE '%/de/%' THEN coalesce(clean.html, '') END AS value,
+        CASE WHEN url NOT LIKE '%/en/%' AND url NOT LIKE '%/de/%' THEN 'no way from text/html to text/plain' END AS error
+        FROM pages LEFT JOIN rendered USING (page_id) LEFT JOIN clean USING (page_id)""",
+)
+def x6_converted(spark, sf):
+    """Pages rendered, cleaned, or neither, by what their language asks for."""
+    url = F.col("url")
+    target = F.when(url.contains("/en/"), "text/markdown").when(url.contains("/de/"), "text/x-clean-html").otherwise("text/plain")
+    return rendering.convert_pages(inputs.texts(spark, sf, "pages"), "page_id", "html", F.lit("text/html"), target)
+
+
 @query(
     "x10_markdown_blocks",
     r"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line

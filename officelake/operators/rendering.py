@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from officelake.operators.elements import attribute, cleaned_rows
+from officelake.functions.mail import parse_mail
+from officelake.operators.elements import attribute, clean_pages, cleaned_rows
 
 HEADINGS = tuple(f"h{n}" for n in range(1, 7))
 LISTS = ("ul", "ol")
@@ -129,3 +130,25 @@ def markdown_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     out = pages.select(key).join(joined, key, "left")
     error = F.when(F.col("value").isNull(), "the page has no text")
     return out.select(key, F.concat("value", F.lit("\n")).alias("value"), error.alias("error"))
+
+
+def convert_pages(rows: DataFrame, key: str, content: str, source: Column, target: Column) -> DataFrame:
+    """(key, value, error): contents from one media type in another, where there is a way; see ``markdown_pages``."""
+    marked = rows.select(key, content, source.alias("_source"), target.alias("_target"))
+    html = F.col("_source") == "text/html"
+    ways = {"text/markdown": markdown_pages, "text/x-clean-html": lambda p, k, c: clean_pages(p, k, c, "value").withColumn("error", F.lit(None).cast("string"))}
+    same = F.col("_source") == F.col("_target")
+    out = marked.where(same).select(key, F.col(content).alias("value"), F.lit(None).cast("string").alias("error"))
+    for kind, way in ways.items():
+        out = out.unionByName(way(marked.where(html & (F.col("_target") == kind) & ~same), key, content))
+    known = same | (html & F.col("_target").isin(*ways))
+    error = F.concat(F.lit("no way from "), F.col("_source"), F.lit(" to "), F.col("_target"))
+    return out.unionByName(marked.where(~F.coalesce(known, F.lit(False))).select(key, F.lit(None).cast("string").alias("value"), error.alias("error")))
+
+
+def mail_bodies(mails: DataFrame, key: str, raw: str, output: str = "text/markdown") -> DataFrame:
+    """(key, value, error): the main body of raw mails, html converted to ``output``, plain text as it is."""
+    parsed = mails.select(key, parse_mail(F.col(raw)).alias("p")).select(key, "p.body_type", "p.body", "p.error")
+    is_html = F.coalesce(F.col("body_type") == "text/html", F.lit(False))
+    html = convert_pages(parsed.where(is_html), key, "body", F.lit("text/html"), F.lit(output))
+    return html.unionByName(parsed.where(~is_html).select(key, F.col("body").alias("value"), "error"))
