@@ -214,6 +214,18 @@ def e2e4(spark, sf):
     return saved.join(files, "path")
 
 
+@query(
+    "e2e4_saved_in_parts",
+    f"""WITH {MAIL_SQL} SELECT thread_id || '/' || id || '.msg' AS path, subject, md5(body) AS digest FROM mail""",
+)
+def e2e4_parts(spark, sf):
+    """The index is saved after every quarter of the mails."""
+    root, index, mail = work_dir(spark, "export"), work_dir(spark, "index"), inputs.mail(spark, sf)
+    rows = jobs.export_mail(mail, root, index, _by_date(), save_every=mail.count() // 4 + 1)
+    saved = spark.read.schema(rows.schema).json(index).select("path", "subject")
+    return saved.join(spark.read.parquet(root).select("path", F.md5("content").alias("digest")), "path")
+
+
 @query(
     "e2e4_export_twice",
     f"""WITH {MAIL_SQL} SELECT thread_id || '/' || id || '.msg' AS path, md5(body) AS digest, CAST(1 AS BIGINT) AS written, CAST(1 AS BIGINT) AS indexed FROM mail""",

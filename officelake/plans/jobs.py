@@ -22,7 +22,7 @@ from officelake.inference.model import (
 from officelake.operators.edits import apply_edits, clamp, executed_ids, item_edits
 from officelake.operators.filters import header_lines, matches_priority, numbered_url, route, unprocessed
 from officelake.operators.lookups import match_back
-from officelake.operators.ordering import batches, ordinal
+from officelake.operators.ordering import batches, global_index, ordinal
 from officelake.operators.rendering import markdown_pages
 from officelake.schemas import ANALYSIS, LINKS
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
@@ -256,22 +256,35 @@ def categorise(
     return found
 
 
-def export_mail(messages: DataFrame, root: str, index_path: str, order: list[Column]) -> DataFrame:
+def export_mail(messages: DataFrame, root: str, index_path: str, order: list[Column], save_every: int | None = None) -> DataFrame:
     """Write the mails that aren't exported yet and save the index of all that are; returns its rows.
 
-    What exists is read from the folder itself, so an export that broke off before its index goes on where it
-    stopped, and a second one writes nothing.
+    What exists is read from the folder itself (paths only, before anything is written), so an export that broke off
+    before its index goes on where it stopped, and a second one writes nothing. With ``save_every`` the mails are
+    written so many at a time, and the index is saved after each time.
     """
     from officelake.sources.mailbox import path_exists
 
     spark = messages.sparkSession
     existing = spark.read.schema("path string, content string").parquet(root).select("path") if path_exists(spark, root) else None
-    # pinned: the plan reads the folder that it is then written to
-    plan = pin(mail_export_plan(messages, existing))
-    write_messages(plan, root)
-    written = spark.read.schema("path string, content string").parquet(root).select("path")
-    index = mail_metadata(mail_export_plan(messages).join(written, "path", "left_semi"))
-    save_index(index, index_path, order)
+    # pinned: what exists is looked up before the folder is written to
+    existing = pin(existing) if existing is not None else messages.limit(0).select(F.lit("").alias("path"))
+    plan = mail_export_plan(messages, existing)
+    plan = pin(plan if save_every is None else global_index(plan, order, "_place"))
+    whole = mail_export_plan(messages)
+
+    def save(written: DataFrame) -> DataFrame:
+        index = mail_metadata(whole.join(existing.unionByName(written.select("path")), "path", "left_semi"))
+        save_index(index, index_path, order)
+        return index
+
+    if save_every is None:
+        write_messages(plan, root)
+        return save(plan)
+    index = None
+    for start in range(0, max(1, plan.count()), save_every):
+        write_messages(plan.where((F.col("_place") >= start) & (F.col("_place") < start + save_every)), root)
+        index = save(plan.where(F.col("_place") < start + save_every))
     return index
 
 

@@ -449,6 +449,16 @@ def test_export_twice_writes_once(spark):
     assert spark.read.parquet(root).count() == 7 and spark.read.json(index).count() == 7
 
 
+def test_index_is_saved_while_mails_are_written(spark, monkeypatch):
+    root, index = work_dir(spark, "export"), work_dir(spark, "index")
+    mail = messages(spark).withColumn("thread_id", F.lit("t")).withColumnRenamed("content", "body")
+    jobs.export_mail(mail.limit(1), root, index, [F.col("id")])
+    saved = []
+    monkeypatch.setattr(jobs, "save_index", lambda df, path, order, f=jobs.save_index: f(df, path, order) and saved.append(spark.read.json(path).count()))
+    jobs.export_mail(mail, root, index, [F.col("id")], save_every=2)
+    assert saved == [3, 5, 7] and spark.read.parquet(root).count() == 7
+
+
 def test_todos_of_unknown_documents_wait(spark, store):
     items = spark.createDataFrame([("d1", 1, "High", "A", 1, 1), ("d2", 1, "High", "B", 2, 9)], "analysis_id string, action_number int, priority string, title string, seq int, doc_id int").withColumns(
         {"due_date": F.lit(None).cast("string"), "notes": F.lit(None).cast("string"), "links": F.lit(None).cast("array<struct<title:string,url:string>>")}
