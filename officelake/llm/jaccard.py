@@ -41,8 +41,8 @@ BLOCK = 2_000_000
 FORMS = ("exact", "subsets", "deletion")
 #: Links of fewer per cent are found by prefixes.
 PARTS_FROM = 85
-#: Sets whose shingles are counted for the order of prefixes, at most; decides what is compared, not what is found.
-ORDER_SETS = 20_000
+#: Shingles that are counted for the order of prefixes, about; decides what is compared, not what is found.
+ORDER_SHINGLES = 1 << 25
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -174,41 +174,57 @@ def signatures(tokens: np.ndarray, b: int, how: Allocation) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Order:
-    """Shingles seen in several sets of the sample, sorted, and in how many."""
+    """Of the counted shingles (those whose place is below ``upto``) the ones seen in several sets, sorted, and in how many."""
 
     codes: np.ndarray
     seen: np.ndarray
+    upto: int
 
     def prefix(self, tokens: np.ndarray, percent: int) -> np.ndarray:
-        """The shingles of a set of which one at least is in the prefix of every set linked with it."""
-        place = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D))
-        rank = np.zeros(len(tokens), np.int64)
+        """The shingles of a set of which one at least is in the prefix of every set linked with it.
+
+        Shingles known to be in one set only come first, then those that weren't counted, then the others, rare ones first.
+        """
+        place = places(tokens)
+        rank = np.ones(len(tokens), np.int64)
+        counted = np.flatnonzero(place <= np.uint64(self.upto))
         if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, tokens), len(self.codes) - 1)
-            rank = np.where(self.codes[at] == tokens, self.seen[at], 0)
+            at = np.minimum(np.searchsorted(self.codes, tokens[counted]), len(self.codes) - 1)
+            rank[counted] = np.where(self.codes[at] == tokens[counted], self.seen[at], 0)
+        else:
+            rank[counted] = 0
         keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
         return tokens[np.lexsort((place, rank))[:keep]]
 
 
+def places(tokens: np.ndarray) -> np.ndarray:
+    """A place of each shingle that has nothing to do with how common it is."""
+    return mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 def sampled_order(docs: DataFrame, groups: DataFrame, size: int) -> Order:
-    """The order of prefixes, from the shingles of at most about ``ORDER_SETS`` different sets."""
+    """The order of prefixes: about ``ORDER_SHINGLES`` of the shingles of all different sets, chosen by their place, counted."""
     import pyarrow as pa
 
-    share = min(1.0, ORDER_SETS / max(1, groups.count()))
-    chosen = groups.where(F.pmod(F.xxhash64(F.lit("order"), "code"), F.lit(1 << 31)) < int((1 << 31) * share)).select(F.col("first").alias("doc_id")).distinct()
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    upto = (1 << 64) - 1 if total <= ORDER_SHINGLES else int(ORDER_SHINGLES / total * (1 << 64))
 
     def run(batches):
         for b in batches:
             known: dict[str, int] = {}
-            sets = [shingles(t, size, known) for t in b.column("text").to_pylist()]
-            codes, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(seen.astype(np.int64))], ["code", "seen"])
+            sets = [np.zeros(0, np.uint64)]
+            for t in b.column("text").to_pylist():
+                s = shingles(t, size, known)
+                sets.append(s[places(s) <= np.uint64(upto)])
+            codes, seen = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(seen.astype(np.int32))], ["code", "seen"])
 
-    counted = texts(docs).join(small_side(chosen), "doc_id", "left_semi").select("text").mapInArrow(run, "code long, seen long")
-    common = counted.groupBy("code").agg(F.sum("seen").alias("seen")).where("seen > 1").toArrow()
+    firsts = groups.select(F.col("first").alias("doc_id")).distinct()
+    counted = texts(docs).join(small_side(firsts), "doc_id", "left_semi").select("text").mapInArrow(run, "code long, seen int")
+    common = counted.groupBy("code").agg(F.sum("seen").cast("int").alias("seen")).where("seen > 1").toArrow()
     codes, seen = common.column("code").to_numpy().view(np.uint64), common.column("seen").to_numpy()
     order = np.argsort(codes)
-    return Order(codes[order], seen[order])
+    return Order(codes[order], 1 + seen[order], upto)
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:

@@ -862,7 +862,7 @@ def test_prefixes_of_linked_sets_meet():
         if 100 * both < 80 * (len(a) + len(b) - both):
             continue
         known = np.unique(rng.choice(np.union1d(a, b), 20))
-        order = jaccard.Order(known, rng.integers(2, 9, len(known)))
+        order = jaccard.Order(known, rng.integers(3, 9, len(known)), int(rng.integers(0, 2**63)) * 2)
         assert np.intersect1d(order.prefix(a, 80), order.prefix(b, 80)).size
 
 
@@ -886,7 +886,8 @@ def test_components_of_chains(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.SQL[name])
     names = [d[0] for d in want.description]
     shape = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
@@ -926,7 +927,7 @@ def test_pipeline_is_its_stages(spark, folder):
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n not in queries.SQL))
 def test_query_takes_the_smallest_tables(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    if name.startswith("op5_"):
+    if name.startswith(("op5_", "op11_", "op12_")):
         assert out.count() > 0
     else:
         assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
