@@ -42,7 +42,7 @@ FORMS = ("exact", "subsets", "deletion")
 #: Links of fewer per cent are found by prefixes.
 PARTS_FROM = 85
 #: Shingles that are counted for the order of prefixes, about; decides what is compared, not what is found.
-ORDER_SHINGLES = 1 << 25
+ORDER_SHINGLES = 1 << 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
