@@ -94,6 +94,21 @@ def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str]
     return touched
 
 
+def add_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str], folders: int = 16) -> list[int] | None:
+    """Stage an upsert of rows whose keys mostly aren't stored: what its buckets hold is then left as it is.
+
+    A bucket that has ``folders`` folders is written anew with the rows, so that none is in more pieces than that.
+    """
+    if not store.exists(name):
+        return upsert_in(txn, store, name, rows, key)
+    touched = store.buckets_of(name, rows)
+    if touched is None or store.pieces(name, touched) >= folders or conflicts(rows, store.read(name, touched), key).agg(F.count("*")).first()[0]:
+        txn.replace_buckets(name, merged(store.read(name, touched), rows, key), touched)
+    elif touched:
+        txn.append(name, rows)
+    return touched
+
+
 def merge_into(target: str, rows: DataFrame, key: list[str]) -> None:
     """The same upsert by ``MERGE INTO``, for catalogs whose tables support it."""
     on = reduce(lambda a, b: a & b, [F.col(f"{target}.{k}") == F.col(f"src.{k}") for k in key])

@@ -34,26 +34,47 @@ class TableStore:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._seen: tuple[int, str] | None = None  # number and text of the newest complete commit read so far
 
     def _latest(self) -> tuple[int, dict]:
         """Highest commit number and the tables of the newest complete commit.
 
-        A writer lost between creating and filling its commit file has published nothing.
+        A writer lost between creating and filling its commit file has published nothing. Complete commits never
+        change, so only those after the last one seen are looked for.
         """
+        number, known = self._seen or self._listed()
+        top = number
+        while self._fs.exists(self._commit(top + 1)):
+            top += 1
+        for later in range(top, number, -1):
+            text = self._text(later)
+            if text.endswith("}\n"):
+                number, known = later, text
+                break
+        self._seen = number, known
+        return top, json.loads(known)
+
+    def _commit(self, number: int):
+        return self._path(f"{self.root}/_commits/{number:010d}.json")
+
+    def _text(self, number: int) -> str:
+        stream = self._fs.open(self._commit(number))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _listed(self) -> tuple[int, str]:
+        """Number and text of the newest complete commit, from all there are; numbers have no gaps."""
         folder = self._path(f"{self.root}/_commits")
         if not self._fs.exists(folder):
-            return 0, {}
+            return 0, "{}"
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        numbers = sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
-        for number in numbers:
-            stream = self._fs.open(self._path(f"{self.root}/_commits/{number:010d}.json"))
-            try:
-                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
+        for number in sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True):
+            text = self._text(number)
             if text.endswith("}\n"):
-                return numbers[0], json.loads(text)
-        return (numbers[0] if numbers else 0), {}
+                return number, text
+        return 0, "{}"
 
     def exists(self, name: str) -> bool:
         return name in self._latest()[1]
@@ -77,6 +98,16 @@ class TableStore:
         found = rows.select(bucket_of(owner or entry["by"], entry["n"]).alias("b")).distinct().collect()
         return sorted(r["b"] for r in found)
 
+    def buckets(self, name: str) -> int:
+        """How many buckets a keyed table is kept in, or would be if it were stored now."""
+        entry = self._latest()[1].get(name)
+        return entry["n"] if entry else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pieces(self, name: str, buckets: list[int]) -> int:
+        """The most folders that one of these buckets lies in."""
+        dirs = self._latest()[1][name]["dirs"]
+        return max([len(dirs.get(str(b), [])) for b in buckets], default=0)
+
     def begin(self) -> "Transaction":
         """Start a set of writes that is published as one."""
         return Transaction(self, *self._latest())
@@ -146,7 +177,7 @@ class Transaction:
 
     def commit(self) -> None:
         store = self._store
-        target = store._path(f"{store.root}/_commits/{self._number + 1:010d}.json")
+        target = store._commit(self._number + 1)
         text = json.dumps(self._tables) + "\n"
         try:
             out = store._fs.create(target, False)

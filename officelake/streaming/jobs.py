@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,8 +11,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 from officelake.operators.filters import unprocessed
 from officelake.operators.ordering import global_index, last_wins
 from officelake.session import work_dir
-from officelake.sinks.merge import upsert_in
-from officelake.sinks.store import TableStore
+from officelake.sinks.merge import add_in, upsert_in
+from officelake.sinks.store import TableStore, bucket_of
 
 POLL_SECONDS = 60  # fixed value: pause between two runs
 ATTEMPTS = "_attempts"
@@ -96,18 +95,30 @@ class PolledJob:
         return pinned(self.process(taken))
 
     def _saved_in_parts(self, taken: DataFrame) -> DataFrame:
-        """The same, with the results of every ``save_every`` items published before the next ones are begun."""
-        numbered = pinned(global_index(taken, [F.col(self.key)], "_place"))
-        parts = []
-        for start in range(0, max(1, numbered.count()), self.save_every):
-            part = numbered.where((F.col("_place") >= start) & (F.col("_place") < start + self.save_every)).drop("_place")
-            outcome = self._answered(part)
+        """The same, with the results of every ``save_every`` items published before the next ones are begun.
+
+        Items are taken bucket by bucket of the results, and each part is a folder of its own, so that a save reads and
+        writes a bucket or two, however many items there are. The answers of all parts are read back at once.
+        """
+        spark, root = self.store.spark, work_dir(self.store.spark, "parts")
+        order = [bucket_of([self.key], self.store.buckets(self.results)), F.col(self.key)]
+        part = (F.col("_place") / self.save_every).cast("long").alias("_part")
+        numbered = global_index(taken, order, "_place").select(part, *taken.columns)
+        numbered.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{root}/items")
+        numbers = spark.read.schema("_part long").parquet(f"{root}/items").agg(F.max("_part")).first()[0]
+        answers = None
+        for number in range(0, (numbers or 0) + 1):
+            # without items there is one save, of nothing
+            items = taken if numbers is None else spark.read.schema(taken.schema).parquet(f"{root}/items/_part={number}")
+            answer = self.process(items)
+            answer.write.parquet(f"{root}/answers/_part={number}")
+            answers = answer.schema
+            outcome = spark.read.schema(answers).parquet(f"{root}/answers/_part={number}")
             txn = self.store.begin()
-            upsert_in(txn, self.store, self.results, outcome.where(F.col("error").isNull()).select(self.key, "value.*"), [self.key])
+            add_in(txn, self.store, self.results, outcome.where(F.col("error").isNull()).select(self.key, "value.*"), [self.key])
             txn.commit()
             self.saves += 1
-            parts.append(outcome)
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        return spark.read.schema(answers).parquet(*[f"{root}/answers/_part={n}" for n in range(0, (numbers or 0) + 1)])
 
     def start(self, stream: DataFrame, checkpoint: str, interval: float = 0):
         """Start the query: once over what is there (0), or again every ``interval`` seconds."""

@@ -547,3 +547,22 @@ def test_deliveries_and_timeout(spark):
         query.stop()
     assert sorted((r["agent"], r["id"]) for r in got if r["status"] == "message") == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
     assert sorted(r["agent"] for r in got if r["status"] == "timeout") == ["a", "b", "silent"]
+
+
+def test_saves_do_not_rewrite_what_is_saved(spark, store):
+    path = work_dir(spark, "arrivals")
+    spark.range(200).selectExpr("id", "cast(id AS string) AS v").write.parquet(path)
+    job = stream_jobs.PolledJob(store, "out", "id", [F.col("v")], lambda df: df.select("id", F.struct("v").alias("value"), F.lit(None).cast("string").alias("error")), save_every=10)
+    job.finish(job.start(stream_jobs.file_stream(spark, path, spark.read.parquet(path).schema), work_dir(spark, "progress")))
+    assert job.saves == 20 and sorted(r["id"] for r in store.read("out").collect()) == list(range(200))
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/out").count()
+    assert written == 200  # before, every save wrote the buckets of its rows anew
+
+
+def test_rows_added_to_a_stored_table(spark, store):
+    put = lambda rows, folders=16: (lambda txn: (merge.add_in(txn, store, "t", spark.createDataFrame(rows, "k long, v string"), ["k"], folders), txn.commit()))(store.begin())
+    put([(1, "a"), (2, "b"), (2, "c"), (None, "n")])
+    put([(2, "d"), (3, "e")])  # 2 is stored: an upsert
+    put([(4, "f")])
+    put([(5, "g"), (None, "m")], folders=1)  # buckets in one folder already are written anew
+    assert rows(store.read("t"), "v", "k") == [("a", 1), ("d", 2), ("e", 3), ("f", 4), ("g", 5), ("m", None), ("n", None)]
