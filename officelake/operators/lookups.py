@@ -88,9 +88,11 @@ def interval_join(
     ``mine`` and ``theirs`` name start and end. An interval lies in one or two bins of its own length, rounded up to a
     power of two times ``width``, and of each larger length; two intervals meet in a bin as large as the longer one, the
     first they share. So this is an equality join whatever the lengths, and a row has at most two entries per power.
-    Intervals with a null, or that end before they start, meet nothing.
+    Intervals with a null, or that end before they start, meet nothing. Few bytes can make many pairs, so the bins are
+    dealt over a fixed number of tasks rather than as many as their bytes ask for.
     """
     keys = keys or []
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sized(df: DataFrame, ends: tuple[str, str], name: str) -> DataFrame:
         start, end = (F.col(c).cast("long") for c in ends)
@@ -108,7 +110,8 @@ def interval_join(
         first, last = (F.floor(F.col(f"_{c}_{name}") / size) for c in "se")
         return every.withColumn(f"_f_{name}", first).withColumn("_bin", F.explode(F.sequence(first, last)))
 
-    both = binned(a, "left").join(binned(b, "right"), [*[f"_k{i}" for i in range(len(keys))], "_level", "_bin"])
+    on = [*[f"_k{i}" for i in range(len(keys))], "_level", "_bin"]
+    both = binned(a, "left").repartition(tasks, *on).join(binned(b, "right").repartition(tasks, *on), on)
     met = (
         (F.col("_level") == F.greatest("_l_left", "_l_right"))
         & (F.col("_bin") == F.greatest("_f_left", "_f_right"))

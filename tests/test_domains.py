@@ -93,3 +93,11 @@ def test_rules_must_fit_their_domains(spark):
     with pytest.raises(ValueError, match="differ"):
         domains.solutions(numbers, [], [Holds("x", "a > 1", ("a",)), Holds("x", "a > 2", ("a",))])
     assert [(r["status"], r["model"]["a"]) for r in domains.solutions(numbers, [], [Holds("x", "a = 2", ("a",))]).collect()] == [("SAT", 2)]
+
+
+def test_interval_join_is_dealt_over_many_tasks(spark):
+    rows = spark.range(64).selectExpr("id", "id * 10 AS start", "id * 10 + 100 AS stop")
+    out = interval_join(rows, rows, ("start", "stop"), ("start", "stop"), width=16)
+    # before, as few as the bytes of the bins asked for, however many pairs they made
+    assert out.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.count() == sum(abs(a - b) <= 10 for a in range(64) for b in range(64))
