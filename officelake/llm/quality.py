@@ -1,7 +1,8 @@
 """Quality rules (isolation forest over rule statistics) and the quality classifier (positive-unlabelled learning).
 
-Both read the same statistics of a text, computed once per document and pinned; forests, weights and thresholds are
-fitted on bounded samples of labelled rows, whose bounds are the constants below.
+Both read the same statistics of a text, computed once per document and pinned. The forest draws from all labelled rows
+and its threshold comes from counts of all of them; the classifier is fitted on bounded samples, whose bounds are the
+constants below.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from officelake.llm.common import WORD, bounded_sample, known_labels, pinned, small_side, texts
 
-#: Labelled rows a forest, a threshold or a classifier is fitted on at most.
+#: Labelled rows the classifier is fitted on at most.
 SAMPLE_ROWS = 20_000
+#: Trees of the forest, and rows that each draws from all labelled ones.
+TREES, DRAWN = 200, 64
+#: Anomalies of labelled rows are counted in so many steps from 0 to 1 for the threshold.
+STEPS = 1 << 16
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 DIGIT = re.compile(r"[0-9]")
@@ -166,11 +171,20 @@ def grow_forest(x: np.ndarray, trees: int = 200, size: int = 64, seed: int = 7)
     """Random splits of ``size`` sampled rows per tree, down to single points or log2(size) + 4 levels."""
     rng = np.random.default_rng(seed)
     size = min(size, len(x))
+    return _grown([lambda: x[rng.choice(len(x), size, replace=False)]] * trees, size, rng)
+
+
+def forest_of(drawn: list[np.ndarray], seed: int = 7) -> IsolationForest:
+    """The same of rows that have been drawn, a tree for each part."""
+    return _grown([lambda part=part: part for part in drawn], max(len(part) for part in drawn), np.random.default_rng(seed))
+
+
+def _grown(draws: list, size: int, rng: np.random.Generator) -> IsolationForest:
     deepest = int(np.ceil(np.log2(max(2, size)))) + 4
     forest = []
-    for _ in range(trees):
+    for draw in draws:
         column, value, child, length = [], [], [], []
-        todo = [(0, x[rng.choice(len(x), size, replace=False)], 0)]
+        todo = [(0, draw(), 0)]
         for a in (column, value, child, length):
             a.append(0)
         while todo:
@@ -211,20 +225,59 @@ def base_failed(least_words: int = 10, most_repeated: int = 20) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
 
+def _drawn(candidates: DataFrame, trees: int, size: int) -> list[np.ndarray]:
+    """For each tree the shapes of ``size`` rows drawn from all of ``candidates``: those whose ids hash lowest for it."""
+    total = candidates.count()
+    place = F.pmod(F.xxhash64(F.lit("tree"), F.col("tree"), F.col("doc_id")), F.lit(1 << 40))
+    dealt = candidates.select("doc_id").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("place", place)
+    if total > 8 * size:  # thinned first, to far more rows than are drawn
+        dealt = dealt.where(F.col("place") < int((1 << 40) * min(1.0, 4 * size / total)))
+    least = Window.partitionBy("tree").orderBy("place", "doc_id")
+    chosen = dealt.withColumn("at", F.row_number().over(least)).where(F.col("at") <= size).select("tree", "at", "doc_id")
+    shapes = candidates.groupBy("doc_id").agg(F.min("shape").alias("shape"))
+    rows = shapes.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["tree", "at"], kind="stable")
+    return [np.array(part["shape"].tolist(), dtype=np.float64).reshape(-1, len(SHAPE)) for _, part in rows.groupby("tree", sort=True)]
+
+
+def _counted(candidates: DataFrame, forest: IsolationForest) -> pd.DataFrame:
+    """(step, n, good, least, most): all ``candidates`` counted by steps of anomaly, each 1 / ``STEPS`` wide."""
+    handed = candidates.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def anomaly(shape: pd.Series) -> pd.Series:
+        return pd.Series(handed.value.anomaly(np.array(shape.tolist(), dtype=np.float64).reshape(-1, len(SHAPE))))
+
+    scored = candidates.select(anomaly("shape").alias("score"), "label").withColumn("step", F.floor(F.col("score") * STEPS))
+    counts = scored.groupBy("step").agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("good"), F.min("score").alias("least"), F.max("score").alias("most"))
+    return counts.toPandas().sort_values("step", kind="stable")
+
+
+def counted_threshold(counts: pd.DataFrame, keep: float) -> float:
+    """``best_threshold`` of counted scores, between two steps."""
+    good, bad = counts["good"].to_numpy(np.float64), (counts["n"] - counts["good"]).to_numpy(np.float64)
+    least, most = counts["least"].to_numpy(), counts["most"].to_numpy()
+    if not bad.sum():
+        return float(most[-1])
+    kept_good, dropped_bad = np.cumsum(good) / max(1.0, good.sum()), 1 - np.cumsum(bad) / bad.sum()
+    value = np.where(kept_good >= keep, kept_good + dropped_bad, kept_good - 1)
+    at = len(value) - 1 - int(np.argmax(value[::-1]))
+    return float(most[at] + 1e-12 if at + 1 >= len(value) else (most[at] + least[at + 1]) / 2)
+
+
 def fit_forest(stats: DataFrame, labels: DataFrame, keep: float = 0.99) -> IsolationForest | None:
     """A forest over labelled rows of ``stats`` that the base rules pass; None without any (then they decide alone).
 
-    Trees never see the labels, and small samples, so that bad rows of one kind don't hide each other; the threshold
-    is the one that tells bad rows from good ones best while it keeps ``keep`` of the good.
+    Each tree draws its rows, as the method has it few of them so that bad rows of one kind don't hide each other,
+    from all labelled rows, and never sees the labels. The threshold is the one that tells bad rows from good ones best
+    while it keeps ``keep`` of the good; all labelled rows are scored and counted for it.
     """
-    x, y = _sampled(stats.where(~base_failed()), known_labels(labels, "quality"))
-    if len(x) < 8 or not (y > 0).any():
+    known = known_labels(labels, "quality")
+    candidates = pinned(stats.where(~base_failed() & F.col("doc_id").isNotNull() & (F.col("n_words") > 0)).select("doc_id", "shape").join(known, "doc_id"), "labelled-shapes")
+    total, good = candidates.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
+    if total < 8 or not good:
         return None
-    forest = grow_forest(x[:, RULES])
-    if (y > 0).all():
-        forest.threshold = float(forest.anomaly(x).max())
-    else:
-        forest.threshold = best_threshold(forest.anomaly(x), y > 0, keep)
+    forest = forest_of([x[:, RULES] for x in _drawn(candidates, TREES, DRAWN)])
+    forest.threshold = counted_threshold(_counted(candidates, forest), keep)
     return forest
 
 

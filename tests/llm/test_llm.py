@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -931,3 +932,28 @@ def test_query_takes_the_smallest_tables(spark, name):
         assert out.count() > 0
     else:
         assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 8)  # before, a bound on what both were fitted on
+    rng = np.random.default_rng(4)
+    k = len(quality.SHAPE)
+    rows = [(i, 50, 200, 0, 0, 0, rng.normal(9 * (i % 20 == 0), 1, k).tolist()) for i in range(400)]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, shape array<double>")
+    labels = spark.createDataFrame([(i, int(i % 20 > 0)) for i in range(400)], "doc_id long, quality int")
+    forest = quality.fit_forest(stats, labels)
+    assert len(forest.column) == quality.TREES and forest.size == quality.DRAWN
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(stats, forest).collect()}
+    assert not any(kept[i] for i in range(0, 400, 20)) and sum(kept.values()) >= 376
+    again = quality.fit_forest(stats.repartition(7), labels)
+    assert again.threshold == forest.threshold and (again.value == forest.value).all()
+
+
+def test_counted_threshold_is_the_best_one():
+    rng = np.random.default_rng(5)
+    steps, good = rng.integers(20_000, 40_000, 300), rng.random(300) < 0.8
+    steps = steps + 9_000 * ~good
+    score = steps / quality.STEPS
+    counts = pd.DataFrame({"step": steps, "good": good, "score": score}).groupby("step", as_index=False).agg(n=("good", "size"), good=("good", "sum"), least=("score", "min"), most=("score", "max"))
+    got, want = quality.counted_threshold(counts, 0.98), quality.best_threshold(score, good, 0.98)
+    assert ((steps / quality.STEPS <= got) == (steps / quality.STEPS <= want)).all()
