@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from officelake.functions.html import VALUE_OR_ERROR
@@ -70,19 +70,29 @@ def generate_text(
 ) -> Column:
     """struct<value, error> of one call per row; only the prompt column travels to Python.
 
-    A task has up to ``parallel`` calls under way, so a call that waits to be tried again holds up none of the others;
+    A task has up to ``parallel`` calls under way and only their prompts as Python texts, however many rows come at once,
+    so a call that waits to be tried again holds up none of the others;
     a client has to stand being called from several threads. Null prompts make no call. The function counts as nondeterministic, so that no rewrite of the plan
     repeats a call.
     """
     factory = model.factory
 
-    @F.pandas_udf(VALUE_OR_ERROR)
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(VALUE_OR_ERROR)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = factory()
-        one = lambda p: (None, None) if p is None else _ask(client, p, attempts, delay, factor)
+
+        def answer(prompts: pa.Array, places: Iterator[int], value: list, error: list) -> None:
+            for i in places:  # shared by the threads: whoever is free takes the next one
+                prompt = prompts[i].as_py()
+                if prompt is not None:
+                    value[i], error[i] = _ask(client, prompt, attempts, delay, factor)
+
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for prompts in batches:
-                yield pd.DataFrame(list(pool.map(one, prompts)), columns=["value", "error"])
+                value, error, places = [None] * len(prompts), [None] * len(prompts), iter(range(len(prompts)))
+                for done in [pool.submit(answer, prompts, places, value, error) for _ in range(parallel)]:
+                    done.result()
+                yield pa.StructArray.from_arrays([pa.array(value, pa.string()), pa.array(error, pa.string())], ["value", "error"])
 
     return call.asNondeterministic()(prompt)
 

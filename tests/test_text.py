@@ -259,3 +259,18 @@ def test_todo_markdown(spark):
     assert got == (
         "\n\U0001f534 Do [\U0001f4e7](u#1)\n\n. \U0001f4c5 2024-01-02\n\n\n. **Links**:\n.. \U0001f517 [link](a%20b)\n\n\n&nbsp;\n\n\n\n"
     )
+
+
+def test_model_calls_hold_few_prompts(spark):
+    from officelake.inference.model import ModelSpec, generate_text
+
+    def factory():
+        import gc
+        from concurrent.futures import Future
+
+        return lambda p: str(sum(isinstance(o, Future) for o in gc.get_objects())) if p.endswith("00") else p
+
+    rows = spark.range(1000, numPartitions=1).select(F.when(F.col("id") != 7, F.col("id").cast("string")).alias("p"))
+    got = {r["p"]: r["a"] for r in rows.withColumn("a", generate_text(F.col("p"), ModelSpec("m", factory))).collect()}
+    assert got[None]["value"] is None and got["12"]["value"] == "12" and len(got) == 1000
+    assert max(int(a["value"]) for p, a in got.items() if p and p.endswith("00")) <= 10  # before, one for every row of the batch
