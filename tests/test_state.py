@@ -566,3 +566,22 @@ def test_rows_added_to_a_stored_table(spark, store):
     put([(4, "f")])
     put([(5, "g"), (None, "m")], folders=1)  # buckets in one folder already are written anew
     assert rows(store.read("t"), "v", "k") == [("a", 1), ("d", 2), ("e", 3), ("f", 4), ("g", 5), ("m", None), ("n", None)]
+
+
+def test_shuffles_start_with_partitions_to_join(spark):
+    from officelake.session import prepare
+
+    start, n = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, want in (("2", "32"), ("600", "1000"), ("2000", "2000")):  # before, no more than the session's number
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            prepare(spark)
+            assert spark.conf.get(start) == want
+        spark.conf.set(start, "5")  # its owner's
+        prepare(spark)
+        assert spark.conf.get(start) == "5"
+    finally:
+        spark.conf.unset(start)
+        spark.conf.unset("officelake.initialPartitionNum")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        prepare(spark)
