@@ -6,12 +6,15 @@ spared is indexed by what such a change must leave equal:
 
 * exact: one signature, the part itself (spares 0);
 * subsets: the part is cut in ``CUTS`` segments, and each choice of all but one is a signature (spares 1);
-* one deletion: the part and each part with one shingle taken out (spares 1).
+* one deletion: the part and each part with one shingle taken out (spares 1);
+* fullest: there are more parts than needed, and a set is indexed by as many of its fullest ones as need more than its
+  own differences to all change (spares 0). Of P parts linked sets have P - h in common, so in any order that all sets
+  share, here by what parts hold, one of the first h + 1 of either is in both.
 
-Which of the three a band uses is decided by cost: signatures to shuffle against sets that would meet by chance, from
-the number and size of the sets in the band. Below ``PARTS_FROM`` per cent parts hold so few shingles that unrelated sets
-meet in empty ones; there a set is indexed by its prefix instead: its first n - ceil(t n) + 1 shingles in an order that
-all sets share, of which linked sets have one in common. Any order is exact; shingles common in a sample come last.
+Which of them a band uses is decided by cost: signatures to shuffle against sets that would meet by chance, from
+the number and size of the sets in the band. The last one is for links of less than ``PARTS_FROM`` per cent, where parts
+hold so few shingles that unrelated sets meet in empty ones. On request a set is indexed by its prefix instead: its first
+n - ceil(t n) + 1 shingles in an order that all sets share, of which linked sets have one in common; any order is exact.
 
 Sets that share a signature form families (connected candidates); within a
 family every pair that is not yet linked is verified exactly, by shingle sets.
@@ -39,8 +42,10 @@ CHANCE_COST = 50.0
 #: Shingles of the sets verified together in one task; larger families are verified by ranges of size, and blocks of them.
 BLOCK = 2_000_000
 FORMS = ("exact", "subsets", "deletion")
-#: Links of fewer per cent are found by prefixes.
+#: Links of fewer per cent may be found by the fullest parts.
 PARTS_FROM = 85
+#: Parts of the fullest form for each that differences can change.
+SPARE = 1.15
 #: Shingles that are counted for the order of prefixes, about; decides what is compared, not what is found.
 ORDER_SHINGLES = 1 << 26
 
@@ -114,12 +119,19 @@ def differences(b: int, percent: int) -> int:
     return 2 * top * (100 - percent) // (100 + percent)
 
 
+def reach(n: int, b: int, percent: int) -> int:
+    """Most shingles in just one of a set of n and another linked with it, the larger of them in band b."""
+    top = min(EDGES[b + 1] - 1, 100 * n // percent)
+    return (n + top) * (100 - percent) // (100 + percent)
+
+
 @dataclass(frozen=True)
 class Allocation:
-    """How a band is indexed: the form and the number of parts."""
+    """How a band is indexed: the form and the number of parts, and for the fullest form what per cent link."""
 
     form: str
     parts: int
+    percent: int = 0
 
 
 def allocate(b: int, sets: int, percent: int) -> Allocation:
@@ -131,12 +143,14 @@ def allocate(b: int, sets: int, percent: int) -> Allocation:
     h = differences(b, percent)
     n = (EDGES[b] + EDGES[b + 1]) / 2
     best = None
-    for form in FORMS:
-        spared = 1 if form == "exact" else 2
-        parts = h // spared + 1
+    for form in FORMS if percent >= PARTS_FROM else (*FORMS, "fullest"):
+        spared = 1 if form in ("exact", "fullest") else 2
+        parts = h // spared + 1 if form != "fullest" else math.ceil(SPARE * (h + 1)) + 2
         held = n / parts
         if form == "exact":
             rows, cover = parts, held
+        elif form == "fullest":  # an empty part is among the fullest where all but h are empty
+            rows, cover = h + 1, held * (parts - h)
         elif form == "subsets":
             rows, cover = parts * CUTS, held * (CUTS - 1) / CUTS
         else:
@@ -144,7 +158,7 @@ def allocate(b: int, sets: int, percent: int) -> Allocation:
         alone = math.exp(-cover) if parts > 1 or form == "subsets" else 0.0
         cost = rows + CHANCE_COST * rows * min(1.0, sets * alone * alone)
         if best is None or cost < best[0]:
-            best = (cost, Allocation(form, parts))
+            best = (cost, Allocation(form, parts, percent if form == "fullest" else 0))
     return best[1]
 
 
@@ -161,6 +175,9 @@ def signatures(tokens: np.ndarray, b: int, how: Allocation) -> np.ndarray:
     total = running[at[1:]] - running[at[:-1]]
     if how.form == "exact":
         return mixed(total + name)
+    if how.form == "fullest":
+        codes = mixed(total + name)
+        return codes[np.lexsort((codes, -np.diff(at)))[: reach(len(tokens), b, how.percent) + 1]]
     if how.form == "deletion":
         return np.unique(np.concatenate([mixed(total + name), mixed(total[part] - weight + name[part])]))
     cut = ((spread // np.uint64(how.parts)) % np.uint64(CUTS)).astype(np.int64)
@@ -346,12 +363,13 @@ def verified(sets: list[np.ndarray], names: list[int], percent: int, side: list[
     return out
 
 
-def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+def linked(docs: DataFrame, size: int = 3, percent: int = 90, prefixes: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links, its own included.
 
     Two rows link when 100 * |both| >= ``percent`` * |either| for their sets of distinct ``size``-word shingles (a
     shorter text is one shingle). Rows without words have no shingles and are alone; equal sets link; repeated rows of
-    one id count as one document; rows with a null id come back alone, with a null component.
+    one id count as one document; rows with a null id come back alone, with a null component. With ``prefixes`` sets are
+    indexed by those instead of parts of the universe; the links are the same.
     """
     brief = pinned(described(docs, size), "sets")
     found = brief.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -364,7 +382,7 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     plan = {b: allocate(b, k, percent) for b, k in inhabited.items() if k > 1 and differences(b, percent) > 0}
     least = F.min("pivot").over(Window.partitionBy("key"))
     whole = docs.where("doc_id IS NOT NULL")
-    met = _met(whole, size, percent, plan, sampled_order(whole, groups, size) if percent < PARTS_FROM else None).withColumn("least", least)
+    met = _met(whole, size, percent, plan, sampled_order(whole, groups, size) if prefixes else None).withColumn("least", least)
     edges = pinned(met.where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b")).distinct(), "met")
     families = pinned(components(edges), "families")
     links = pinned(_links(docs, groups, families, size, percent), "links")

@@ -867,6 +867,54 @@ def test_prefixes_of_linked_sets_meet():
         assert np.intersect1d(order.prefix(a, 80), order.prefix(b, 80)).size
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_linked_sets_share_one_of_their_fullest_parts(percent):
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(5, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        new = rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 2)), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 5 + 1)) :], new]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        met += 1
+        band = jaccard.bisect_right(jaccard.EDGES, max(len(a), len(b))) - 1
+        assert all(len(a) + len(b) - 2 * both <= jaccard.reach(len(x), band, percent) for x in (a, b))
+        how = jaccard.Allocation("fullest", int(1.15 * (jaccard.differences(band, percent) + 1)) + 3, percent)
+        assert np.intersect1d(jaccard.signatures(a, band, how), jaccard.signatures(b, band, how)).size
+    assert met > 100
+
+
+def test_unlinked_sets_dont_meet_in_empty_parts():
+    rng = np.random.default_rng(6)
+    seen = set()
+    for _ in range(500):
+        s = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        for band in jaccard.bands(len(s), 80):
+            how = jaccard.allocate(band, 100_000, 80)
+            found = set(jaccard.signatures(s, band, how).tolist())
+            assert not found & seen
+            seen |= found
+
+
+def test_stage_deals_the_universe_in_parts(spark, folder, monkeypatch):
+    used = []
+    allocate = jaccard.allocate
+    monkeypatch.setattr(jaccard, "allocate", lambda *a: used.append(allocate(*a)) or used[-1])
+    monkeypatch.setattr(jaccard, "sampled_order", lambda *a: pytest.fail("prefixes instead of parts"))
+    page = " ".join(f"w{i}" for i in range(1000))
+    docs = spark.createDataFrame([(1, page), (2, page + " more"), (3, "other " + page)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, folder).collect()] == [1]
+    assert used
+
+
+def test_prefixes_find_the_same_components(copies):
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(jaccard.linked(copies, 5, 80, prefixes=True)) == rows(jaccard.linked(copies, 5, 80))
+
+
 def test_stage_takes_one_of_near_copies_at_80_percent(spark, folder):
     page = " ".join(f"w{i}" for i in range(1000))
     rows = [(1, page), (2, page + " " + " ".join(f"n{i}" for i in range(150))), (3, " ".join(f"o{i}" for i in range(1000)))]
