@@ -103,7 +103,7 @@ def item_levels(blocks: DataFrame, key: str) -> DataFrame:
     The items of a list are folded with the indents they lie in as a stack: an item leaves those that are not
     indented less. Other blocks begin a new list, unless they are indented too.
     """
-    listed = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "kind", "indent"))).alias("all"))
+    listed = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", "kind", "indent"))).alias("all"))
     start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<block:bigint,level:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -158,7 +158,7 @@ def block_rows(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
         F.min_by("kind", "line_no").alias("kind"),
         F.min_by("level", "line_no").alias("level"),
         F.min_by("indent", "line_no").alias("indent"),
-        F.array_sort(F.collect_list(F.struct("line_no", "bare", "joint"))).alias("lines"),
+        F.sort_array(F.collect_list(F.struct("line_no", "bare", "joint"))).alias("lines"),
     )
     blocks = item_levels(blocks, key)
     whole = F.array_join(F.transform("lines", lambda x: F.concat(x["bare"], x["joint"])), "")

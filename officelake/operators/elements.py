@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from officelake.session import pin_columns
+
 #: Attributes that go, elements that stay without text, and elements that go with their text.
 LAYOUT_ATTRIBUTES = ("class", "align", "border", "cellpadding", "cellspacing", "id", "background", "role", "type", "valign")
 KEPT_EMPTY = ("document", "head", "body")
@@ -94,7 +96,7 @@ def elements(rows: DataFrame, key: str) -> DataFrame:
     whole = rows.groupBy(key).agg(
         (F.max("pos") + 1).alias("beyond"),
         F.max("upto").alias("all"),
-        F.array_sort(F.collect_list(F.when(F.col("kind").isin("open", "close"), F.struct("pos", "name", (F.col("kind") == "open").alias("open"))))).alias("tags"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isin("open", "close"), F.struct("pos", "name", (F.col("kind") == "open").alias("open"))))).alias("tags"),
     )
     ends = whole.where(F.size("tags") > 0).select(key, "beyond", "all", F.explode(ended(F.col("tags"))).alias("e")).select(key, "beyond", "all", F.col("e.pos").alias("pos"), "e.stop", "e.closed")
     there = rows.select(key, F.col("pos").alias("stop"), F.col("upto").alias("there"))
@@ -152,10 +154,11 @@ def cleaned_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     inside; other tags lose layout attributes. Closing tags that match nothing go, missing ones are added where their
     elements end. ``place`` orders a page's rows.
     """
-    rows = page_rows(pages, key, html)
+    # pinned: both are read several times, and taking pages apart is dear
+    rows = pin_columns(page_rows(pages, key, html))
     found = elements(rows, key)
     empty = (F.col("texts") == 0) & ~F.col("name").isin(*KEPT_EMPTY)
-    found = found.withColumn("out", empty | hidden(F.col("token")))
+    found = pin_columns(found.select(key, "start", "stop", "closed", "name", (empty | hidden(F.col("token"))).alias("out")))
     out = found.where("out")
     # an element covers its closing tag, if it has one
     after = F.col("stop") + F.col("closed").cast("int")
@@ -180,5 +183,5 @@ def cleaned_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
 def clean_pages(pages: DataFrame, key: str, html: str, name: str = "clean") -> DataFrame:
     """(key, ``name``): every page without what a reader doesn't see; a page without any text is empty, null stays null."""
     rows = cleaned_rows(pages, key, html)
-    joined = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), "").alias(name))
+    joined = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), "").alias(name))
     return pages.select(key, F.col(html).alias("_page")).join(joined, key, "left").select(key, F.when(F.col("_page").isNotNull(), F.coalesce(name, F.lit(""))).alias(name))

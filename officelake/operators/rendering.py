@@ -79,7 +79,7 @@ def block_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     first = lambda c: F.min_by(c, "n").alias(c)
     is_cell = (F.col("kind") == "open") & F.col("name").isin(*CELLS)
     blocks = rows.where("kind <> 'mark'").groupBy(key, "block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"),
         *[first(c) for c in ("heading", "quote", "pre", "lists", "offset", "list", "item", "number", "table")],
         F.count_if(is_cell).alias("cells"),
         F.count_if(is_cell & (F.col("name") == "th")).alias("headed"),
@@ -125,7 +125,7 @@ def markdown_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     blank = F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), F.coalesce(both, F.lit(0)).cast("int"))), F.lit("\n"))
     parted = F.when(F.lag("block").over(before).isNull(), "").when(same_part, "\n").otherwise(blank)
     joined = blocks.select(key, "block", F.concat(parted, lines).alias("line")).groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "").alias("value")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "").alias("value")
     )
     out = pages.select(key).join(joined, key, "left")
     error = F.when(F.col("value").isNull(), "the page has no text")
