@@ -96,7 +96,7 @@ def batches(df: DataFrame, order: list[Column], size: int, name: str = "batch")
     item = F.struct("_index", *df.columns)
     return (
         indexed.groupBy(name)
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .withColumn("items", F.transform("items", lambda i: i.dropFields("_index")))
     )
 
@@ -108,7 +108,7 @@ def ordered_lists(df: DataFrame, keys: list[str], order: list[Column], item: Col
     gives one row per item instead.
     """
     place = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("_o"), item.alias("_item")))).alias(name))
+    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("_o"), item.alias("_item")))).alias(name))
     return lists.withColumn(name, F.transform(name, lambda i: i["_item"]))
 
 

@@ -78,9 +78,10 @@ def document_ranges(df: DataFrame, text: str) -> DataFrame:
     """
     ensure_checkpoints(df.sparkSession)
     parsed = _parsed(df, text)
-    broken = parsed.where(F.col("error").isNotNull())
-    start = parsed.where(F.col("error").isNull()).select("doc_id", F.posexplode("content").alias("i", "e"))
-    level = start.select("doc_id", F.lit(1).alias("depth"), F.array("i").alias("place"), "e").checkpoint()
+    # parsed once: what is broken and what isn't come from the same rows
+    start = parsed.select("doc_id", "error", F.posexplode_outer("content").alias("i", "e")).where("error IS NOT NULL OR i IS NOT NULL").checkpoint()
+    broken = start.where(F.col("error").isNotNull())
+    level = start.where(F.col("error").isNull()).select("doc_id", F.lit(1).alias("depth"), F.array("i").alias("place"), "e")
     found = [broken.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in zip(RANGE_COLUMNS[1:-1], ("long", "long", "int", "string", "string", "string", "string", "array<int>"))], "error")]
     e = F.col("e")
 

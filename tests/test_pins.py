@@ -1,6 +1,7 @@
 """What is read several times is computed once: kept as columns, and no part of the plans that read it."""
 
-from officelake.operators import rendering
+from officelake.operators import rendering, sections
+from officelake.sources import documents
 
 
 def plan(df) -> str:
@@ -13,3 +14,16 @@ def test_mails_are_parsed_and_taken_apart_once(spark):
     out = rendering.mail_bodies(mails, "id", "raw")
     assert "regexp_extract_all(body" not in plan(out)
     assert {r["id"]: r["value"] for r in out.collect()} == {"a": "one **two**\n\n* three\n", "b": None}
+
+
+def test_documents_are_parsed_and_ranges_found_once(spark):
+    body = '{"documentId":"d","body":{"content":[{"endIndex":4,"paragraph":{"elements":[{"startIndex":0,"endIndex":4,"textRun":{"content":"abc\\n"}}]}}]}}'
+    rows = [(body,), ("{",), (None,), ('{"documentId":"empty","body":{"content":[]}}',), ('{"documentId":"none"}',)]
+    ranges = documents.document_ranges(spark.createDataFrame(rows, "json string"), "json")
+    assert "parse_json" not in plan(ranges)
+    assert sorted((str(r["doc_id"]), str(r["kind"]), str(r["error"])) for r in ranges.collect()) == [
+        ("None", "None", "not a JSON document"), ("d", "paragraph", "None"), ("d", "run", "None"),
+    ]
+    text = sections.render_text(ranges)
+    assert "variant_get" not in plan(text)
+    assert [(r["doc_id"], r["text"]) for r in text.collect()] == [("d", "abc\n")]
