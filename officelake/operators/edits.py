@@ -75,15 +75,16 @@ def _meet(rising: Column, units: Column) -> Column:
     return F.exists(F.transform(rising, inside), lambda x: x) | outside
 
 
-def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(documents: DataFrame, edits: DataFrame, flag: str | None = None) -> DataFrame:
     """Documents (doc_id, text) with all their edits applied in order, highest index first.
 
     A document's text is one value, and its edits meet there in one list. Edits that do not meet each other are one
-    concatenation; only documents where they do fold them over the text one by one.
+    concatenation; only documents where they do fold them over the text one by one. ``flag`` names a column that says
+    whether a document has edits.
     """
     first = F.struct((-F.col("index")).alias("_back"), (F.col("kind") != "delete").alias("_late"), F.col("seq").alias("_seq"))
     item = F.struct(first.alias("_first"), "kind", "index", "end", "content")
-    folded = edits.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rising"))
+    folded = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("_rising"))
     # The text's units are a column of their own: inside the functions over the edits they would be encoded anew for
     # every edit.
     units = F.when(F.col("_rising").isNotNull(), F.encode("text", "UTF-16LE"))
@@ -91,7 +92,8 @@ def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     rising, units = F.col("_rising"), F.col("_units")
     one_by_one = F.decode(F.aggregate(F.reverse(rising), units, _splice), "UTF-16LE")
     after = F.when(_meet(rising, units), one_by_one).otherwise(_in_one_pass(rising, units))
-    return both.withColumn("text", F.when(rising.isNotNull(), after).otherwise(F.col("text"))).drop("_rising", "_units")
+    done = both.withColumn("text", F.when(rising.isNotNull(), after).otherwise(F.col("text")))
+    return (done.withColumn(flag, rising.isNotNull()) if flag else done).drop("_rising", "_units")
 
 
 def executed_ids(edits: DataFrame) -> DataFrame:

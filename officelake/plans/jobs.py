@@ -25,6 +25,7 @@ from officelake.operators.lookups import match_back
 from officelake.operators.ordering import batches, global_index, ordinal
 from officelake.operators.rendering import markdown_pages
 from officelake.schemas import ANALYSIS, LINKS
+from officelake.session import pin_columns
 from officelake.sinks.exports import mail_export_plan, save_index, write_messages
 from officelake.sinks.merge import cascade_upsert, upsert, upsert_in
 from officelake.sinks.store import TableStore
@@ -180,24 +181,28 @@ def place_todos(
         fresh = fresh.join(done.select(*key), key, "left_anti")
     if limit is not None:
         fresh = fresh.orderBy(*order).limit(limit)
-    fresh = pin(fresh)
+    # only what is rendered and recorded, as columns
+    fresh = pin_columns(fresh.select(*dict.fromkeys(["doc_id", *key[:2], "seq", "priority", "title", "due_date", "notes", "links"])))
+    fresh = fresh.withColumn("placement_container_url", container)
     known = fresh.join(documents.select("doc_id"), "doc_id", "left_semi")
     current = _as_stored(store, documents, known)
     todos = render_todos(known, template)
     edits = item_edits(todos, index, F.col("markdown"), F.col("seq")) if model is None else _model_item_edits(todos, current, instructions, model)
-    edited = pin(apply_edits(current, edits))
+    edited = pin_columns(apply_edits(current, edits, "_edited"))
     placed = executed_ids(edits).select(container.alias("placement_container_url"), split_modification_id(F.col("origin_id")).alias("p"))
     rows = placed.where(F.col("p").isNotNull()).select("p.analysis_id", "p.action_number", "placement_container_url", "p.placement_id")
     if model is not None:  # it may name items that nobody asked for
-        rows = pin(rows.join(known.select(*key), key, "left_semi"))
+        rows = rows.join(known.select(*key), key, "left_semi")
+    if model is not None or store.exists("placement"):  # a merge reads them more than once
+        rows = pin_columns(rows)
     txn = store.begin()
     upsert_in(txn, store, "placement", rows, [*key, "placement_id"])
-    written = edited.join(edits.select("doc_id"), "doc_id", "left_semi")
+    written = edited.where("_edited").drop("_edited")
     upsert_in(txn, store, "edited", written.join(documents.select("doc_id", F.md5("text").alias("base_hash")), "doc_id"), ["doc_id"])
     lost = fresh.join(documents.select("doc_id"), "doc_id", "left_anti") if model is None else fresh.join(rows.select(*key), key, "left_anti")
     txn.replace("unplaced", lost.select("doc_id", *key))
     txn.commit()
-    return edited
+    return edited.drop("_edited")
 
 
 def _as_stored(store: TableStore, documents: DataFrame, known: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def _model_item_edits(items: DataFrame, documents: DataFrame, instructions: str,
     origin = F.concat_ws("|", F.col("analysis_id").cast("string"), F.col("action_number").cast("string"))
     numbered = ordinal(items.withColumn("origin_id", origin), ["doc_id"], [F.col("seq")], "_n")
     item = F.struct("_n", "origin_id", "action_number", "title", "markdown")
-    grouped = numbered.groupBy("doc_id", F.expr(f"_n div {size}").alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = numbered.groupBy("doc_id", F.expr(f"_n div {size}").alias("part")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     grouped = grouped.join(documents.select("doc_id", "text"), "doc_id")
     batch = F.struct("doc_id", "part", (utf16_len(F.col("text")) + 1).cast("long").alias("end"))
     asked = F.transform("items", lambda i: i.dropFields("_n"))
