@@ -300,7 +300,7 @@ def todos_to_tasks(
 
     Pages without text, and those a model gave no usable answer for, are rows with the action ``error`` and an ``error``.
     """
-    read = markdown_pages(pages, key, html)
+    read = pin_columns(markdown_pages(pages, key, html))  # read twice
     prompt = F.concat(F.lit("id: "), F.col(key).cast("string"), F.lit("\n"), F.col("value"))
     answered = pin(generate_json(read.where(F.col("error").isNull()).drop("error"), joined_prompt(model, prompt), model).select(key, "result"))
     url = F.concat(F.lit("http://pages/"), F.col(key).cast("string"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from officelake.inference.stub import SINGLE
 from officelake.operators import rendering, sections
 from officelake.operators.edits import apply_edits
 from officelake.plans import jobs
@@ -24,6 +25,14 @@ def test_mails_are_parsed_and_taken_apart_once(spark):
     assert {r["id"]: r["value"] for r in out.collect()} == {"a": "one **two**\n\n* three\n", "b": None}
 
 
+def test_pages_of_todos_are_rendered_once(spark):
+    pages = spark.createDataFrame([(1, "<p>text</p>"), (2, "<p><br></p>"), (3, None)], "page_id long, html string")
+    columns = "id long, tasklist_id string, title string, notes string, status string"
+    out = jobs.todos_to_tasks(pages, "html", "page_id", SINGLE, spark.createDataFrame([], columns), [F.col("id")])
+    assert "collect_list" not in plan(out.where("error IS NOT NULL"))
+    assert sorted((r["id_url"], r["actions"]) for r in out.collect()) == [("http://pages/1", ["create"]), ("http://pages/2", ["error"]), ("http://pages/3", ["error"])]
+
+
 def test_documents_are_parsed_and_ranges_found_once(spark):
     body = '{"documentId":"d","body":{"content":[{"endIndex":4,"paragraph":{"elements":[{"startIndex":0,"endIndex":4,"textRun":{"content":"abc\\n"}}]}}]}}'
     rows = [(body,), ("{",), (None,), ('{"documentId":"empty","body":{"content":[]}}',), ('{"documentId":"none"}',)]
