@@ -27,21 +27,32 @@ def decode_json(answer: Column) -> Column:
     return F.struct(value.alias("value"), F.when(answer.isNotNull(), error).alias("error"))
 
 
-def typed(text: Column, schema: T.StructType, required: list[str] = []) -> Column:
-    """JSON text as a typed struct in struct<value, error>; unknown fields are dropped."""
-    corrupt = "_corrupt"
-    full = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType())])
-    row = F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+_CORRUPT = "_corrupt"
+
+
+def parsed(text: Column, schema: T.StructType) -> Column:
+    """JSON text as a struct of the schema with one more field, which holds a text that does not fit."""
+    full = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+    return F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+
+
+def checked(row: Column, schema: T.StructType, required: list[str] = []) -> Column:
+    """What ``parsed`` gave as struct<value, error>; it uses ``row`` several times."""
     missing = F.array_compact(F.array(*[F.when(row[name].isNull(), F.lit(name)) for name in required]))
     missing = missing.cast("array<string>")
     error = (
-        F.when(row.isNull() | row[corrupt].isNotNull(), F.lit("not an object of the expected type"))
+        F.when(row.isNull() | row[_CORRUPT].isNotNull(), F.lit("not an object of the expected type"))
         .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
     )
     value = F.struct(*[row[f.name].alias(f.name) for f in schema.fields])
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
+def typed(text: Column, schema: T.StructType, required: list[str] = []) -> Column:
+    """JSON text as a typed struct in struct<value, error>; unknown fields are dropped."""
+    return checked(parsed(text, schema), schema, required)
+
+
 def plain(c: Column, kind: T.DataType, as_set: bool = False) -> Column:
     """A value in JSON-able form: times as UTC ``…Z`` text, dates as text, sets as sorted arrays."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

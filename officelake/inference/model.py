@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from officelake.functions.html import VALUE_OR_ERROR
-from officelake.functions.jsons import decode_json, json_text, typed
+from officelake.functions.jsons import checked, decode_json, json_text, parsed, typed
 from officelake.operators.lookups import match_back
 
 ATTEMPTS, FIRST_DELAY, FACTOR = 3, 10.0, 2.0  # fixed values: retries of a failing call
@@ -113,14 +113,17 @@ def repair_prompt(answer: Column) -> Column:
 
 def generate_json(df: DataFrame, prompt: Column, model: ModelSpec, name: str = "result") -> DataFrame:
     """Adds struct<json, error>: the JSON text of the answer, after one repair call where it was none."""
-    first = df.withColumn("_first", generate_text(prompt, model))
-    first = first.withColumn("_ok", decode_json(F.col("_first.value"))["error"].isNull())
-    broken = F.when(F.col("_first.value").isNotNull() & ~F.col("_ok"), model.preprocess(repair_prompt(F.col("_first.value"))))
+    first = df.withColumn("_first", generate_text(prompt, model)).withColumn("_json_text", json_text(F.col("_first.value")))
+    first = first.withColumn("_ok", F.col("_first.value").isNull() | F.try_parse_json("_json_text").isNotNull())
+    broken = F.when(~F.col("_ok"), model.preprocess(repair_prompt(F.col("_first.value"))))
     second = first.withColumn("_second", generate_text(broken, model))
-    answer = F.when(F.col("_ok"), F.col("_first.value")).otherwise(F.col("_second.value"))
-    failure = F.coalesce(F.col("_first.error"), F.col("_second.error"), decode_json(answer)["error"])
-    result = F.struct(F.when(failure.isNull(), json_text(answer)).alias("json"), failure.alias("error"))
-    return second.withColumn(name, result).drop("_first", "_ok", "_second")
+    # a good first answer is not taken apart again; what is used twice is a column of its own, or each use computes it
+    repaired = json_text(F.col("_second.value"))
+    second = second.withColumn("_json_text", F.when(F.col("_ok"), F.col("_json_text")).otherwise(repaired))
+    wrong = F.when(~F.col("_ok"), decode_json(F.col("_second.value"))["error"])
+    second = second.withColumn("_failure", F.coalesce(F.col("_first.error"), F.col("_second.error"), wrong))
+    result = F.struct(F.when(F.col("_failure").isNull(), F.col("_json_text")).alias("json"), F.col("_failure").alias("error"))
+    return second.withColumn(name, result).drop("_first", "_ok", "_second", "_json_text", "_failure")
 
 
 def sample_of(kind: T.DataType):
@@ -147,9 +150,10 @@ def generate_object(
     """Adds struct<value, error>: the answer as a typed object."""
     full = joined_prompt(model, prompt, F.lit(object_instructions(schema)))
     out = generate_json(df, full, model, "_json")
-    obj = typed(F.col("_json.json"), schema, required)
+    out = out.withColumn("_object", parsed(F.col("_json.json"), schema))  # a column of its own is parsed once
+    obj = checked(F.col("_object"), schema, required)
     error = F.coalesce(F.col("_json.error"), obj["error"])
-    return out.withColumn(name, F.struct(obj["value"].alias("value"), error.alias("error"))).drop("_json")
+    return out.withColumn(name, F.struct(obj["value"].alias("value"), error.alias("error"))).drop("_json", "_object")
 
 
 ANSWER_ROW = T.StructType([T.StructField("id", T.StringType()), T.StructField("category", T.StringType())])

@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from officelake.inference import cache, model
 from officelake.inference.model import ModelSpec, RetryableError
@@ -246,6 +246,27 @@ def test_json_repair_takes_two_calls(spark, tmp_path):
     assert len(list(log.iterdir())) == 2
 
 
+def test_answers_are_parsed_once(spark):
+    def factory():
+        def ask(prompt):
+            if prompt.startswith("fails"):
+                raise ValueError("no")
+            if prompt.startswith(model.REPAIR_INTRO):
+                return '{"a": 2}' if "{broken" in prompt else "```json\n{}\n```" if "fenced" in prompt else "still none"
+            return {"good ": '{"a": 1}', "fence": '```json\n{"a": 3}\n```', "broke": "{broken", "empty": "fenced?"}.get(prompt[:5], "none")
+
+        return ask
+
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    df = spark.createDataFrame([("good",), ("fence",), ("broke",), ("empty",), ("other",), ("fails",), (None,)], "p string")
+    out = model.generate_object(df.repartition(2), F.col("p"), ModelSpec("m", factory), schema, ["a"])
+    got = {r["p"]: (r["result"]["value"] and r["result"]["value"]["a"], r["result"]["error"]) for r in out.collect()}
+    assert got["good"] == (1, None) and got["fence"] == (3, None) and got["broke"] == (2, None)
+    assert got["empty"] == (None, "missing: a") and got["other"] == (None, "JSON is not in known format") and got["fails"] == (None, "ValueError: no")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and out.columns == ["p", "result"]
+
+
 def messages(spark):
     return spark.createDataFrame(
         [(f"m{i}", "s", "a@b", f"2024-01-0{i}", "text " * i) for i in range(1, 8)],
