@@ -352,6 +352,44 @@ def test_planted_passages_are_found(spark):
     assert all(sum(s["end"] - s["start"] for s in got[i]) >= 400 for i in planted)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_passages_of_odd_rows(monkeypatch, odd, empty, chunk):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    for words in (3, 20):
+        rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in given(odd)]
+        holders = {}
+        for row, (_, w) in enumerate(rows):
+            for k in range(len(w) - words + 1):
+                holders.setdefault(tuple(w[k : k + words]), set()).add(row)
+        want = []
+        for i, w in rows:
+            cover = {k + j for k in range(len(w) - words + 1) if len(holders[tuple(w[k : k + words])]) > 1 for j in range(words)}
+            want.append((str(i), len(cover)))
+        found = substrings.deduplicated(odd, 40, words=words)
+        assert sorted((str(r["doc_id"]), r["shared_words"]) for r in found.collect()) == sorted(want)
+    assert substrings.deduplicated(empty, words=51).count() == 0
+
+
+def test_short_planted_passages_are_found(spark):
+    """Passages of 51 to 60 words that two documents share are counted, also below 400 bytes; 50 words and repeats within one are not."""
+    rows, want = [], {}
+    for i in range(60):
+        n = 51 + i // 4 % 10
+        passage = " ".join(prose(70, 7000 + i // 4).split()[:n])
+        own = prose(40 + i, 3000 + i)
+        if i % 4 < 2:
+            text, want[i] = f"{own}{' ' if i % 2 else chr(10)}{passage} {own}", n
+        elif i % 4 == 2:
+            text, want[i] = " ".join(passage.split()[:50]) + " " + own, 0
+        else:
+            once = prose(60, 8000 + i)
+            text, want[i] = f"{once} {own} {once}", 0
+        rows.append((i, text))
+    assert all(len(" ".join(prose(70, 7000 + i // 4).split()[:51]).encode()) < 400 for i in range(60))
+    found = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), words=substrings.WORDS)
+    assert {r["doc_id"]: r["shared_words"] for r in found.collect()} == want
+
+
 def test_long_texts_go_in_steps(monkeypatch):
     monkeypatch.setattr(substrings, "STEP", 64)
     raw = prose(100, 8).encode()
