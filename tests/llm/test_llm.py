@@ -390,6 +390,54 @@ def test_short_planted_passages_are_found(spark):
     assert {r["doc_id"]: r["shared_words"] for r in found.collect()} == want
 
 
+def test_shared_windows_of_pieces():
+    r = random.Random(7)
+    for _ in range(100):
+        n = r.randint(1, 12)
+        bucket = sorted(r.randint(-2, 2) for _ in range(n))
+        k1, single = [r.randint(0, 2) for _ in range(n)], [r.random() < 0.8 for _ in range(n)]
+        codes = [[r.randint(0, 5) for _ in range(r.randint(1, 6))] for _ in range(n)]
+        holders = {}
+        for b, k, s, cs in zip(bucket, k1, single, codes):
+            for c in cs:
+                holders.setdefault((b, c), set()).update([k] if s else [k, "another"])
+        want = {(i, j) for i in range(n) if single[i] for j, c in enumerate(codes[i]) if len(holders[bucket[i], c]) > 1}
+        found = substrings.shared_windows(*(np.array(x) for x in (bucket, k1, single, [len(c) for c in codes], [c for cs in codes for c in cs])))
+        got = [(i, j) for i, a, z in zip(*(x.tolist() for x in found)) for j in range(a, z)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("limit", [substrings.LIMIT, 200])
+def test_passages_of_near_copies_are_kept_by_pieces(monkeypatch, spark, limit):
+    """Near copies share most buckets: what is kept has a row per piece, unless a bucket is beyond the limit, and counts stay exact."""
+    rows, kept, real = [], [], substrings.pinned
+    for i in range(30):
+        words = prose(400, 600 + i // 3).split()[:300]
+        for k in range(i % 3 * 10, 300, 65):
+            words[k] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    holders = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(250):
+            holders.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        want[i] = len({k + j for k in range(250) if len(holders[tuple(w[k : k + 51])]) > 1 for j in range(51)})
+
+    def recorded(df, purpose):
+        kept.append((df := real(df, purpose)).count())
+        return df
+
+    monkeypatch.setattr(substrings, "pinned", recorded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.shared_words(docs, substrings.WORDS) if limit == substrings.LIMIT else substrings.shared_words(docs, substrings.WORDS, limit)
+    keys = substrings._keyed(docs).join(found, list(substrings.TEXT_KEY), "left").fillna(0, ["shared_words"])
+    assert {r["doc_id"]: r["shared_words"] for r in keys.collect()} == want and any(want.values())
+    assert limit < substrings.LIMIT or max(kept) < 30 * 250 / 4
+
+
 def test_long_texts_go_in_steps(monkeypatch):
     monkeypatch.setattr(substrings, "STEP", 64)
     raw = prose(100, 8).encode()
