@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from officelake.operators.ordering import last_wins
 from officelake.schemas import ANALYSIS
-from officelake.sinks.store import TableStore, Transaction
+from officelake.sinks.store import Placed, TableStore, Transaction
 
 
 class DuplicateKey(ValueError):
@@ -96,11 +96,22 @@ def upsert_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str]
     return touched
 
 
-def add_in(txn, store: TableStore, name: str, rows: DataFrame, key: list[str], folders: int = 16) -> list[int] | None:
+def add_in(txn, store: TableStore, name: str, rows: DataFrame | Placed, key: list[str], folders: int = 16) -> list[int] | None:
     """Stage an upsert of rows whose keys mostly aren't stored: what its buckets hold is then left as it is.
 
     A bucket that has ``folders`` folders is written anew with the rows, so that none is in more pieces than that.
+    Rows may be ``Placed`` if the caller knows that none of their keys is stored or comes twice: nothing is compared
+    then, and their folders are taken over.
     """
+    if isinstance(rows, Placed):
+        if rows.by == key and store.fits(name, rows):
+            touched = sorted(map(int, rows.dirs))
+            if store.pieces(name, touched) < folders:
+                txn.take_over(name, rows)
+            else:
+                txn.replace_buckets(name, store.read(name, touched).unionByName(store.rows(rows), allowMissingColumns=True), touched)
+            return touched
+        rows = store.rows(rows)
     if not store.exists(name):
         return upsert_in(txn, store, name, rows, key)
     touched = store.buckets_of(name, rows)

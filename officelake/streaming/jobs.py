@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from officelake.operators.filters import unprocessed
 from officelake.operators.ordering import global_index, last_wins
 from officelake.session import work_dir
 from officelake.sinks.merge import add_in, upsert_in
-from officelake.sinks.store import TableStore, bucket_of
+from officelake.sinks.store import Placed, TableStore, bucket_of
 
 POLL_SECONDS = 60  # fixed value: pause between two runs
 ATTEMPTS = "_attempts"
@@ -60,6 +60,7 @@ class PolledJob:
     def run_once(self, items: DataFrame) -> None:
         """One run over a batch of items and all pending ones."""
         self.ran += 1
+        since = self.store.begin().number
         waiting = self.store.read(self.pending) if self.store.exists(self.pending) else None
         if waiting is not None:
             items = items.unionByName(waiting.select(items.columns))
@@ -75,7 +76,7 @@ class PolledJob:
         latest = pinned(latest.withColumn(ATTEMPTS, F.coalesce(ATTEMPTS, F.lit(0))))
         taken = latest if self.limit is None else latest.orderBy(ATTEMPTS, self.key).limit(self.limit)
         taken = taken.drop(ATTEMPTS)
-        outcome = self._answered(taken) if self.save_every is None else self._saved_in_parts(taken)
+        outcome = self._answered(taken) if self.save_every is None else self._saved_in_parts(taken, since)
         txn = self.store.begin()
         good = outcome.where(F.col("error").isNull()).select(self.key, "value.*")
         if self.save_every is None:
@@ -94,31 +95,55 @@ class PolledJob:
         """What ``process`` makes of the items, written once: a model behind it is not asked again by later reads."""
         return pinned(self.process(taken))
 
-    def _saved_in_parts(self, taken: DataFrame) -> DataFrame:
+    def _saved_in_parts(self, taken: DataFrame, since: int) -> DataFrame:
         """The same, with the results of every ``save_every`` items published before the next ones are begun.
 
         Items are taken bucket by bucket of the results, and each part is a folder of its own, so that a save reads and
-        writes a bucket or two, however many items there are. The answers of all parts are read back at once.
+        writes a bucket or two, however many items there are. Answers are written once, into the store by bucket, and a
+        save takes their folders over as they are: items have no result yet, so it is enough that a part answers no key
+        twice and none but its own items'. Where it does, or results were published by others since commit ``since``, or
+        ``force_all`` takes items that have results, the answers are compared with what is stored, there and in the parts
+        that follow. The answers of all parts are read back at once.
         """
-        spark, root = self.store.spark, work_dir(self.store.spark, "parts")
-        order = [bucket_of([self.key], self.store.buckets(self.results)), F.col(self.key)]
-        part = (F.col("_place") / self.save_every).cast("long").alias("_part")
-        numbered = global_index(taken, order, "_place").select(part, *taken.columns)
-        numbered.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{root}/items")
-        numbers = spark.read.schema("_part long").parquet(f"{root}/items").agg(F.max("_part")).first()[0]
-        answers = None
-        for number in range(0, (numbers or 0) + 1):
+        spark, store, name = self.store.spark, self.store, self.results
+        root, folder = work_dir(spark, "parts"), store.new_folder(name)
+        key, n = [self.key], store.buckets(name)
+        bucket = bucket_of(key, n)
+        numbered = global_index(taken, [bucket, F.col(self.key)], "_place")
+        numbered = numbered.select((F.col("_place") / self.save_every).cast("long").alias("_part"), *taken.columns)
+        numbered.write.partitionBy("_part").parquet(f"{root}/items")
+        sums = [F.count("*"), *[F.sum(F.xxhash64(F.lit(i), self.key).cast("decimal(20,0)")) for i in (0, 1)]]
+        sums = [c.alias(f"_{i}") for i, c in enumerate(sums)]  # of keys: equal ones mean the same keys, as often
+        held = spark.read.schema(taken.schema).parquet(f"{root}/items").groupBy("_part").agg(*sums)
+        held = {r["_part"]: r.asDict() for r in held.collect()}  # a row per part
+        error = F.col("error").alias("_error")
+        marked = ["*", F.col("_error").isNotNull().alias("_bad"), bucket.alias("_bucket")]
+        apart = not self.force_all or not store.exists(name)  # so far, no item has a result
+        for number in range(0, max(1, len(held))):
             # without items there is one save, of nothing
-            items = taken if numbers is None else spark.read.schema(taken.schema).parquet(f"{root}/items/_part={number}")
-            answer = self.process(items)
-            answer.write.parquet(f"{root}/answers/_part={number}")
-            answers = answer.schema
-            outcome = spark.read.schema(answers).parquet(f"{root}/answers/_part={number}")
-            txn = self.store.begin()
-            add_in(txn, self.store, self.results, outcome.where(F.col("error").isNull()).select(self.key, "value.*"), [self.key])
+            items = spark.read.schema(taken.schema).parquet(f"{root}/items/_part={number}") if held else taken
+            flat, seen = self.process(items).select(self.key, "value.*", error), Observation()
+            part = f"{folder}/_part={number}"
+            flat.observe(seen, *sums).select(*marked).write.partitionBy("_bad", "_bucket").parquet(f"{store.root}/{part}")
+            good = Placed(T.StructType(flat.schema.fields[:-1]), key, n, store.bucket_dirs(f"{part}/_bad=false"))
+            txn = store.begin()
+            apart = apart and txn.number == since
+            own = not good.dirs or {"_part": number, **seen.get} == held.get(number)
+            apart = apart and (own or self._own_keys(items, store.rows(good)))
+            add_in(txn, store, name, good if apart else store.rows(good), key)
             txn.commit()
+            since = txn.number + 1
             self.saves += 1
-        return spark.read.schema(answers).parquet(*[f"{root}/answers/_part={n}" for n in range(0, (numbers or 0) + 1)])
+        answers = spark.read.schema(flat.schema).parquet(f"{store.root}/{folder}")
+        return answers.select(self.key, F.struct(*good.schema.names[1:]).alias("value"), F.col("_error").alias("error"))
+
+    def _own_keys(self, items: DataFrame, answers: DataFrame) -> bool:
+        """Whether the answers have no key twice and none but those of the items; both are one part, read by one task."""
+        if items.schema[self.key].dataType != answers.schema[self.key].dataType:
+            return False
+        both = items.select(self.key, F.lit(0).alias("_answer")).union(answers.select(self.key, F.lit(1)))
+        counted = both.coalesce(1).groupBy(self.key).agg(F.count("*").alias("_rows"), F.sum("_answer").alias("_answers"))
+        return counted.where((F.col("_answers") > 1) | (F.col("_rows") == F.col("_answers"))).isEmpty()
 
     def start(self, stream: DataFrame, checkpoint: str, interval: float = 0):
         """Start the query: once over what is there (0), or again every ``interval`` seconds."""

@@ -580,6 +580,66 @@ def test_saves_do_not_rewrite_what_is_saved(spark, store):
     assert written == 200  # before, every save wrote the buckets of its rows anew
 
 
+def _saved(spark, store, items, process, between=lambda n: None, **more):
+    """The results of a job that saves by threes over items (id, v), with its saves."""
+    path = work_dir(spark, "arrivals")
+    spark.createDataFrame(items, "id long, v string").write.parquet(path)
+    calls = []
+
+    def counted(df):
+        calls.append(1)
+        between(len(calls))
+        return process(df)
+
+    job = stream_jobs.PolledJob(store, "out", "id", [F.col("v")], counted, save_every=3, **more)
+    job.finish(job.start(stream_jobs.file_stream(spark, path, spark.read.parquet(path).schema), work_dir(spark, "progress")))
+    return sorted((r["id"] if r["id"] is not None else -1, r["v"]) for r in store.read("out").collect()), job.saves
+
+
+def _answers(df):
+    return df.select("id", F.struct("v").alias("value"), F.lit(None).cast("string").alias("error"))
+
+
+def test_saves_take_answers_over(spark, store, monkeypatch):
+    compared = []
+    for name in ("conflicts", "merged"):
+        monkeypatch.setattr(merge, name, lambda *a, f=getattr(merge, name): compared.append(f.__name__) or f(*a))
+    store.replace("out", spark.createDataFrame([(100, "old")], "id long, v string"), ["id"])
+    got, saves = _saved(spark, store, [(i, f"v{i}") for i in range(20)] + [(None, "n")], _answers)
+    assert not compared and saves == 7 and got == [(-1, "n"), *sorted((i, f"v{i}") for i in range(20)), (100, "old")]
+    assert max(len(d) for d in store._latest()[1]["out"]["dirs"].values()) <= 16
+
+
+def test_saves_of_many_parts_join_their_folders(spark, store):
+    got, saves = _saved(spark, store, [(i, "v") for i in range(0, 240)], _answers)
+    assert saves == 80 and [i for i, _ in got] == list(range(240))
+    assert max(len(d) for d in store._latest()[1]["out"]["dirs"].values()) <= 16
+
+
+@pytest.mark.parametrize("force_all", [False, True])
+def test_saves_compare_answers_that_are_not_the_items_own(spark, store, force_all):
+    store.replace("out", spark.createDataFrame([(1, "old"), (100, "old")], "id long, v string"), ["id"])
+
+    def process(df):  # item 5 answers for 100, which is stored, 7 for 8, another item, and 9 twice; 6 fails, 10 is left out
+        more = df.where("id = 9").select("id", F.lit("w9").alias("v"))
+        rows = df.where("id <> 10").unionByName(more).withColumn("k", F.expr("CASE id WHEN 5 THEN 100 WHEN 7 THEN 8 ELSE id END"))
+        error = F.when(F.col("id") == 6, "no")
+        return rows.select(F.col("k").alias("id"), F.when(error.isNull(), F.struct("v")).alias("value"), error.alias("error"))
+
+    got, saves = _saved(spark, store, [(i, f"v{i}") for i in range(12)], process, force_all=force_all)
+    got = dict(got) if len(dict(got)) == len(got) else pytest.fail(f"keys came twice: {got}")
+    assert saves == 4 and sorted(got) == [0, 1, 2, 3, 4, 8, 9, 11, 100]
+    assert got[1] == ("v1" if force_all else "old") and got[100] == "v5" and got[9] == "w9" and got[8] in ("v7", "v8")
+    assert [r["id"] for r in store.read("failures").collect()] == [6]
+
+
+def test_saves_beside_another_writer(spark, store):
+    """It publishes all keys after the first part: none is stored twice then."""
+    other = lambda n: n == 2 and merge.upsert(store, "out", spark.createDataFrame([(i, "other") for i in range(9)], "id long, v string"), ["id"])
+    got, saves = _saved(spark, store, [(i, f"v{i}") for i in range(9)], _answers, other)
+    assert saves == 3 and [i for i, _ in got] == list(range(9)) and sorted(v == "other" for _, v in got) == [False] * 6 + [True] * 3
+
+
 def test_rows_added_to_a_stored_table(spark, store):
     put = lambda rows, folders=16: (lambda txn: (merge.add_in(txn, store, "t", spark.createDataFrame(rows, "k long, v string"), ["k"], folders), txn.commit()))(store.begin())
     put([(1, "a"), (2, "b"), (2, "c"), (None, "n")])
