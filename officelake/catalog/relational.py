@@ -266,8 +266,8 @@ def j8_overlap(spark, sf):
     """Events last as long as their value says: how many others each one meets."""
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf, "events").select("event_id", start.alias("start"), (start + F.floor(F.col("value") * 2_000_000)).alias("stop"))
-    met = lookups.interval_join(e, e, ("start", "stop"), ("start", "stop"), width=1_000_000)
-    return met.groupBy("left.event_id").agg(F.count("*").alias("met"), F.max("right.event_id").alias("last"))
+    met = lookups.interval_join(e, e, ("start", "stop"), ("start", "stop"), width=1_000_000, last_of="event_id")
+    return met.groupBy("left.event_id").agg(F.sum("met").alias("met"), F.max("last").alias("last"))
 
 
 @query(

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from officelake.operators import domains
+from officelake.operators import domains, lookups
 from officelake.operators.domains import Equal, Holds, Within
 from officelake.operators.lookups import interval_join
 
@@ -34,6 +34,45 @@ def test_interval_join_meets_every_pair_once(spark, width):
     assert interval_join(left.limit(0), right, ("start", "stop"), ("from", "upto")).count() == 0
 
 
+
+@pytest.mark.parametrize("size", [3, 10, 1000])
+def test_interval_join_counts_without_pairs(spark, size, monkeypatch):
+    """Chunks of few starts, so that intervals end in others and span some; numbers repeat, are negative or null."""
+    monkeypatch.setattr(lookups, "CHUNK_ROWS", size)
+    r = random.Random(size)
+
+    def spans(n):
+        rows = [(i, r.choice([None, r.randint(-9, 9)]), s := r.choice([7, r.randint(-200, 200)]), s + r.choice([0, 0, 1, 3, 40, 500])) for i in range(n)]
+        return rows + [(n, 99, 5, 4), (n + 1, 99, None, 3), (n + 2, 99, 3, None), (n + 3, 1, 9000, 9000)]
+
+    one, two = spans(70), spans(90)
+    left = spark.createDataFrame(one, "id long, v long, start long, stop long")
+    right = spark.createDataFrame(two, "id long, v int, `from` int, upto int")
+    sound = lambda x: None not in x[2:] and x[2] <= x[3]
+    want = {}
+    for a, b in itertools.product(one, two):
+        if sound(a) and sound(b) and a[2] <= b[3] and b[2] <= a[3]:
+            want.setdefault(a[0], []).append(b[1])
+    out = interval_join(left, right, ("start", "stop"), ("from", "upto"), last_of="v")
+    got = out.groupBy("left.id").agg(F.sum("met"), F.max("last")).collect()
+    assert {x[0]: (x[1], x[2]) for x in got} == {i: (len(v), max([x for x in v if x is not None], default=None)) for i, v in want.items()}
+    assert len(got) == len(want) and out.select("left.*").columns == left.columns
+    assert interval_join(left.limit(0), right, ("start", "stop"), ("from", "upto"), last_of="v").count() == 0
+    with pytest.raises(ValueError):
+        interval_join(left, right, ("start", "stop"), ("from", "upto"), ["v"], last_of="v")
+
+
+def test_events_at_one_time_are_not_paired(spark, tmp_path):
+    """30,000 events that all meet each other: 900 million pairs, which were listed before."""
+    from officelake.catalog import relational
+
+    e = spark.range(30_000).selectExpr("id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 100) AS ts", "100.0D AS value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    out = relational.j8_overlap(spark, str(tmp_path))
+    assert "_bin" not in out._jdf.queryExecution().toString()
+    assert out.select("met", "last").distinct().collect() == [(30_000, 29_999)] and out.count() == 30_000
+
+
 RULES = [
     Holds("odd", "a % 2 = 1", ("a",)),
     Equal("twice", "a", "a * 2", "b", "b"),
